@@ -54,3 +54,292 @@ def q_hotspot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("road_defect")),
     )
     return alerts.export_clusters(alerts.hotspot_clusters(crashes, min_crashes=3))
+
+
+# --------------------------------------------------------------------- joins
+
+def _orders_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey)
+
+
+@register("fuzzy_join")
+def q_fuzzy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civiclens.operators.joins import fuzzy_join
+
+    oc = _orders_customers(spark, sf_dir)
+    crashes = oc.select(
+        F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("crash_record_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("crash_date"),
+        (F.col("o_orderkey") % 50).cast("string").alias("street_no"),
+        F.col("o_orderstatus").alias("street_direction"),
+        F.col("c_mktsegment").alias("street_name"),
+        F.col("o_orderkey").alias("ord"),
+    )
+    moved = F.when(F.col("o_orderkey") % 35 == 0, F.add_months("o_orderdate", 240)).otherwise(F.to_date("o_orderdate"))
+    head = F.concat_ws(" ", (F.col("o_orderkey") % 50).cast("string"), F.col("o_orderstatus"))
+    contacts = oc.select(
+        F.concat(F.lit("K"), F.col("o_orderkey").cast("string")).alias("crash_join_id"),
+        F.date_format(moved, "yyyy-MM-dd").alias("date"),
+        F.when(
+            F.col("o_orderkey") % 3 == 0,
+            F.concat(head, F.lit(" "), F.col("c_mktsegment"), F.lit(" #"), (F.col("o_custkey") % 10).cast("string")),
+        ).otherwise(F.concat(head, F.lit(" "), F.substring("c_mktsegment", 1, 5))).alias("address"),
+    )
+    return fuzzy_join(contacts, crashes, order_cols=["ord"])
+
+
+def _merge_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "customer")
+    s = table(spark, sf_dir, "supplier")
+    left = c.select(
+        F.when(F.col("c_custkey") % 11 == 0, F.lit(None)).otherwise(F.col("c_nationkey")).alias("crash_join_id"),
+        "c_custkey",
+        F.col("c_name").alias("name"),
+        F.col("c_acctbal").alias("acctbal"),
+    )
+    right = s.select(
+        F.when(F.col("s_suppkey") % 7 == 0, F.lit(None)).otherwise(F.col("s_nationkey")).alias("crash_join_id"),
+        "s_suppkey",
+        F.col("s_name").alias("name"),
+        F.col("s_acctbal").alias("acctbal"),
+    )
+    return left, right
+
+
+@register("merge_suffix")
+def q_merge_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civiclens.operators.joins import merge_suffix
+
+    left, right = _merge_sides(spark, sf_dir)
+    return merge_suffix(left, right)
+
+
+@register("ensure_key")
+def q_ensure_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civiclens.operators.joins import ensure_key
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("crash_id"), "o_orderstatus")
+    return ensure_key(o)
+
+
+def _sync_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "customer")
+    o = table(spark, sf_dir, "orders")
+    k3 = F.col("c_custkey") % 3
+    base = c.select(
+        F.col("c_custkey").cast("string").alias("crash_join_id"),
+        "c_name",
+        F.when(k3 == 0, F.lit("")).when(k3 == 1, F.lit(None)).otherwise(F.lit("X")).alias("o_orderstatus"),
+        F.when(F.col("c_custkey") % 5 == 0, F.col("c_mktsegment")).otherwise(F.lit("")).alias("o_orderpriority"),
+    )
+    meta = o.select(
+        F.when(F.col("o_orderkey") % 13 == 0, F.lit("")).otherwise(F.col("o_custkey").cast("string")).alias("crash_join_id"),
+        "o_orderkey",
+        "o_orderstatus",
+        F.when(F.col("o_orderkey") % 4 == 0, F.lit("")).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
+    )
+    return base, meta
+
+
+@register("overlay_join")
+def q_overlay_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civiclens.operators.joins import overlay_join
+
+    base, meta = _sync_sides(spark, sf_dir)
+    return overlay_join(base, meta, order_cols=["o_orderkey"])
+
+
+@register("sync_fill")
+def q_sync_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civiclens.operators.joins import sync_metadata
+
+    base, meta = _sync_sides(spark, sf_dir)
+    return sync_metadata(base, meta, order_cols=["o_orderkey"], overwrite=False)
+
+
+@register("sync_overwrite")
+def q_sync_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civiclens.operators.joins import sync_metadata
+
+    base, meta = _sync_sides(spark, sf_dir)
+    return sync_metadata(base, meta, order_cols=["o_orderkey"], overwrite=True)
+
+
+@register("enrich_flag")
+def q_enrich_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civiclens.operators.joins import enrich_flag
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("crash_id"), "c_name")
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F")
+    lookup = o.select(F.col("o_custkey").alias("crash_id"), "o_orderkey", "o_totalprice")
+    out = enrich_flag(c, lookup, "crash_id", order_cols=["o_orderkey"])
+    return out.select(
+        "crash_id",
+        "c_name",
+        F.col("contact.o_orderkey").alias("contact_orderkey"),
+        F.col("contact.o_totalprice").alias("contact_totalprice"),
+        "has_contact",
+    )
+
+
+@register("priority_resolve")
+def q_priority_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civiclens.operators.joins import priority_resolve
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("crash_id"))
+    o = table(spark, sf_dir, "orders")
+    sources = []
+    for status in ("F", "O", "P"):
+        s = (
+            o.filter(F.col("o_orderstatus") == status)
+            .groupBy("o_custkey")
+            .agg(F.max("o_orderkey").alias("k"))
+            .select(
+                F.col("o_custkey").alias("crash_id"),
+                # an empty value is not a result: the next source is asked
+                F.when(F.col("k") % 9 == 0, F.lit("")).otherwise(F.concat(F.lit(status + "-"), F.col("k").cast("string"))).alias("v"),
+            )
+        )
+        sources.append(s)
+    return priority_resolve(c, sources, "crash_id", "v")
+
+
+# relational chain: customer (crash) → orders (unit) → lineitem (person)
+
+def _crashes(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("crash_record_id"), F.col("c_mktsegment").alias("crash_type"), F.col("c_nationkey")
+    )
+
+
+def _units(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("crash_unit_id"),
+        F.col("o_custkey").alias("crash_record_id"),
+        F.col("o_orderdate").alias("crash_date"),
+        F.col("o_orderstatus").alias("make"),
+        F.col("o_orderpriority").alias("model"),
+    )
+
+
+def _people(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("person_id"),
+        F.col("l_orderkey").alias("crash_unit_id"),
+        F.when(F.col("l_returnflag") == "R", F.lit("FATAL INJURY")).otherwise(F.lit("NO INDICATION OF INJURY")).alias("injury_type"),
+        F.col("l_quantity").alias("age"),
+    )
+
+
+@register("join_inner_filtered")
+def q_join_inner_filtered(spark, sf_dir):
+    c, v = _crashes(spark, sf_dir), _units(spark, sf_dir)
+    return c.filter(F.col("crash_type") == "BUILDING").join(v, "crash_record_id").select(
+        "crash_record_id", "crash_type", "crash_unit_id", "crash_date", "make", "model"
+    )
+
+
+@register("join_unit")
+def q_join_unit(spark, sf_dir):
+    v, p = _units(spark, sf_dir), _people(spark, sf_dir)
+    return v.filter(F.col("model") == "1-URGENT").join(p, "crash_unit_id").select(
+        "crash_unit_id", "crash_record_id", "person_id", "injury_type", "age"
+    )
+
+
+@register("join_left_chain")
+def q_join_left_chain(spark, sf_dir):
+    c, v, p = _crashes(spark, sf_dir), _units(spark, sf_dir), _people(spark, sf_dir)
+    return (
+        c.filter(F.col("crash_type") == "MACHINERY")
+        .join(v, "crash_record_id", "left")
+        .join(p, "crash_unit_id", "left")
+        .select("crash_record_id", "crash_type", "crash_unit_id", "make", "person_id", "injury_type")
+    )
+
+
+@register("join_direct")
+def q_join_direct(spark, sf_dir):
+    # crash ↔ person directly: orders as crashes, lineitem rows carry the crash id
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("crash_record_id"), F.col("o_orderdate").alias("crash_date"))
+    p = _people(spark, sf_dir).withColumnRenamed("crash_unit_id", "crash_record_id")
+    return o.join(p, "crash_record_id").select("crash_record_id", "crash_date", "person_id", "injury_type")
+
+
+@register("count_per_key")
+def q_count_per_key(spark, sf_dir):
+    from civiclens.operators.aggregates import count_per_key
+
+    v = count_per_key(_units(spark, sf_dir), "crash_record_id", "n").select(
+        F.lit("vehicles_per_crash").alias("kind"), F.col("crash_record_id").alias("key"), "n"
+    )
+    p = count_per_key(_people(spark, sf_dir), "crash_unit_id", "n").select(
+        F.lit("people_per_unit").alias("kind"), F.col("crash_unit_id").alias("key"), "n"
+    )
+    return v.unionByName(p)
+
+
+@register("injury_summary")
+def q_injury_summary(spark, sf_dir):
+    c, v, p = _crashes(spark, sf_dir), _units(spark, sf_dir), _people(spark, sf_dir)
+    j = c.join(v, "crash_record_id").join(p, "crash_unit_id", "left")
+    return j.groupBy("crash_record_id", "crash_unit_id", "crash_date", "make", "model").agg(
+        F.count("person_id").alias("occupant_count"),
+        F.count(F.when(F.col("injury_type") == "FATAL INJURY", 1)).alias("fatalities"),
+    )
+
+
+# ids and ranges: landed reports are the 'F' orders
+
+def _found_ids(spark, sf_dir):
+    return table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F").select(
+        F.col("o_orderkey").alias("report_id"), "o_totalprice"
+    )
+
+
+def _probe_ids(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id")).distinct()
+
+
+@register("lookup_hits")
+def q_lookup_hits(spark, sf_dir):
+    from civiclens.operators.joins import lookup_hits
+
+    return lookup_hits(_probe_ids(spark, sf_dir), _found_ids(spark, sf_dir), "id", "report_id").select("id", "o_totalprice")
+
+
+@register("lookup_misses")
+def q_lookup_misses(spark, sf_dir):
+    from civiclens.operators.joins import lookup_misses
+
+    return lookup_misses(_probe_ids(spark, sf_dir), _found_ids(spark, sf_dir), "id", "report_id")
+
+
+@register("range_scan")
+def q_range_scan(spark, sf_dir):
+    from civiclens.operators.joins import multi_range_scan
+
+    n = table(spark, sf_dir, "nation")
+    ranges = n.select(
+        F.col("n_nationkey").alias("range_no"),
+        (F.col("n_nationkey") * 600).cast("bigint").alias("start"),
+        (F.col("n_nationkey") * 600 + 400).cast("bigint").alias("end"),
+        F.lit(None).cast("int").alias("limit"),
+    )
+    return multi_range_scan(_found_ids(spark, sf_dir), ranges)
+
+
+@register("multi_range_scan")
+def q_multi_range_scan(spark, sf_dir):
+    from civiclens.operators.joins import multi_range_scan
+
+    c = table(spark, sf_dir, "customer")
+    ranges = c.select(
+        F.col("c_custkey").alias("range_no"),
+        (F.col("c_custkey") * 10).alias("start"),
+        (F.col("c_custkey") * 10 + 5 + F.col("c_nationkey")).alias("end"),
+        (F.col("c_custkey") % 4 + 1).cast("int").alias("limit"),
+    )
+    return multi_range_scan(_found_ids(spark, sf_dir), ranges)

@@ -1,0 +1,23 @@
+"""Size-checked broadcast.
+
+A side is broadcast only when it is proven small: ``limit(n + 1).count()``
+stops reading after ``n + 1`` rows, so the check is cheap even when the side
+turns out to be large.  Otherwise the plan is left to Catalyst/AQE, which picks
+a broadcast by its own size statistics or a sort-merge join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 200_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` unchanged."""
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df

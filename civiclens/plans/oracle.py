@@ -54,3 +54,182 @@ SELECT lab.segment, lab.street AS street_name, CAST(lab.blk AS VARCHAR) AS block
        || COALESCE(' Known road defects: ' || da.d_comma || '.', '') AS recommendation
 FROM lab LEFT JOIN ca ON lab.segment = ca.segment LEFT JOIN da ON lab.segment = da.segment
 """
+
+_NORM = "regexp_replace(trim(lower(coalesce({x}, ''))), '[^a-z0-9 ]', '', 'g')"
+
+ORACLE["fuzzy_join"] = f"""
+WITH oc AS (SELECT * FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+r AS (
+  SELECT 'C' || o_orderkey AS crash_record_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') AS crash_date,
+         CAST(o_orderkey % 50 AS VARCHAR) AS street_no, o_orderstatus AS street_direction, c_mktsegment AS street_name,
+         o_orderkey AS ord FROM oc),
+r2 AS (SELECT *, concat_ws(' ', CASE WHEN street_no <> '' THEN trim(street_no) END,
+                               CASE WHEN street_direction <> '' THEN trim(street_direction) END,
+                               CASE WHEN street_name <> '' THEN trim(street_name) END) AS addr FROM r),
+l AS (
+  SELECT 'K' || o_orderkey AS crash_join_id,
+         strftime(CASE WHEN o_orderkey % 35 = 0 THEN o_orderdate + INTERVAL 20 YEAR ELSE o_orderdate END, '%Y-%m-%d') AS date,
+         CASE WHEN o_orderkey % 3 = 0
+              THEN CAST(o_orderkey % 50 AS VARCHAR) || ' ' || o_orderstatus || ' ' || c_mktsegment || ' #' || CAST(o_custkey % 10 AS VARCHAR)
+              ELSE CAST(o_orderkey % 50 AS VARCHAR) || ' ' || o_orderstatus || ' ' || substr(c_mktsegment, 1, 5) END AS address
+  FROM oc),
+ln AS (SELECT *, NULLIF(substr(trim(date), 1, 10), '') AS d, {_NORM.format(x='address')} AS a FROM l),
+rn AS (SELECT *, NULLIF(substr(trim(crash_date), 1, 10), '') AS d, {_NORM.format(x='addr')} AS a FROM r2),
+m AS (
+  SELECT ln.crash_join_id, arg_min(rn.crash_record_id, rn.ord) AS mid, arg_min(rn.crash_date, rn.ord) AS mdate,
+         arg_min(rn.addr, rn.ord) AS maddr
+  FROM ln JOIN rn ON ln.d = rn.d AND length(ln.a) > 0 AND length(rn.a) > 0
+                 AND (starts_with(ln.a, rn.a) OR starts_with(rn.a, ln.a))
+  GROUP BY ln.crash_join_id)
+SELECT l.crash_join_id, l.date, l.address, m.mid AS matched_crash_record_id, m.mdate AS matched_crash_date,
+       m.maddr AS matched_crash_address, CASE WHEN m.mid IS NULL THEN 'unmatched' ELSE 'matched' END AS match_status
+FROM l LEFT JOIN m ON l.crash_join_id = m.crash_join_id
+"""
+
+_MERGE_SIDES = """
+l AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_nationkey END AS crash_join_id, c_custkey,
+             c_name AS name, c_acctbal AS acctbal FROM customer),
+r AS (SELECT CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey END AS crash_join_id, s_suppkey,
+             s_name AS name_contact, s_acctbal AS acctbal_contact FROM supplier)
+"""
+
+ORACLE["merge_suffix"] = f"""
+WITH {_MERGE_SIDES}
+SELECT l.crash_join_id, l.c_custkey, l.name, l.acctbal, r.s_suppkey, r.name_contact, r.acctbal_contact
+FROM l LEFT JOIN r ON l.crash_join_id IS NOT DISTINCT FROM r.crash_join_id
+"""
+
+ORACLE["ensure_key"] = "SELECT o_orderkey AS crash_id, o_orderstatus, o_orderkey AS crash_join_id FROM orders"
+
+_SYNC_SIDES = """
+b AS (SELECT CAST(c_custkey AS VARCHAR) AS crash_join_id, c_name,
+             CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'X' END AS o_orderstatus,
+             CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment ELSE '' END AS o_orderpriority FROM customer),
+m AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS crash_join_id, o_orderkey,
+             o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderpriority END AS o_orderpriority FROM orders)
+"""
+
+ORACLE["overlay_join"] = f"""
+WITH {_SYNC_SIDES},
+ml AS (SELECT * FROM (SELECT COALESCE(crash_join_id, '') AS k, o_orderkey, o_orderstatus, o_orderpriority,
+                      row_number() OVER (PARTITION BY COALESCE(crash_join_id, '') ORDER BY o_orderkey DESC) AS rn FROM m) WHERE rn = 1)
+SELECT b.crash_join_id, b.c_name,
+       CASE WHEN ml.k IS NOT NULL THEN ml.o_orderstatus ELSE b.o_orderstatus END AS o_orderstatus,
+       CASE WHEN ml.k IS NOT NULL THEN ml.o_orderpriority ELSE b.o_orderpriority END AS o_orderpriority,
+       ml.o_orderkey
+FROM b LEFT JOIN ml ON COALESCE(b.crash_join_id, '') = ml.k
+"""
+
+
+def _sync_sql(overwrite: bool) -> str:
+    def pick(f: str, cur: str) -> str:
+        inc = f"ml.{f}"
+        ok = f"({inc} IS NOT NULL AND {inc} <> '')"
+        take = ok if overwrite else f"{ok} AND ({cur} IS NULL OR {cur} = '')"
+        return f"CASE WHEN {take} THEN {inc} ELSE {cur} END AS {f}"
+
+    return f"""
+WITH {_SYNC_SIDES},
+ml AS (SELECT * FROM (SELECT crash_join_id AS k, CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority,
+                      row_number() OVER (PARTITION BY crash_join_id ORDER BY o_orderkey DESC) AS rn
+                      FROM m WHERE crash_join_id IS NOT NULL AND crash_join_id <> '') WHERE rn = 1)
+SELECT b.crash_join_id, b.c_name, {pick('o_orderstatus', 'b.o_orderstatus')}, {pick('o_orderpriority', 'b.o_orderpriority')},
+       {pick('o_orderkey', 'CAST(NULL AS VARCHAR)')}
+FROM b LEFT JOIN ml ON b.crash_join_id = ml.k
+"""
+
+
+ORACLE["sync_fill"] = _sync_sql(False)
+ORACLE["sync_overwrite"] = _sync_sql(True)
+
+ORACLE["enrich_flag"] = """
+WITH lk AS (SELECT o_custkey AS crash_id, arg_max(o_orderkey, o_orderkey) AS contact_orderkey,
+                   arg_max(o_totalprice, o_orderkey) AS contact_totalprice
+            FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
+SELECT c.c_custkey AS crash_id, c.c_name, lk.contact_orderkey, lk.contact_totalprice, lk.crash_id IS NOT NULL AS has_contact
+FROM customer c LEFT JOIN lk ON c.c_custkey = lk.crash_id
+"""
+
+ORACLE["priority_resolve"] = """
+WITH s AS (
+  SELECT o_custkey AS crash_id, o_orderstatus AS st, max(o_orderkey) AS k FROM orders GROUP BY 1, 2),
+v AS (SELECT crash_id, CASE st WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS p,
+             CASE WHEN k % 9 = 0 THEN '' ELSE st || '-' || CAST(k AS VARCHAR) END AS v FROM s),
+b AS (SELECT crash_id, arg_min(v, p) AS resolved, min(p) AS source_rank FROM v WHERE v IS NOT NULL AND v <> '' GROUP BY 1)
+SELECT c.c_custkey AS crash_id, b.resolved, b.source_rank FROM customer c LEFT JOIN b ON c.c_custkey = b.crash_id
+"""
+
+_CHAIN = """
+cr AS (SELECT c_custkey AS crash_record_id, c_mktsegment AS crash_type, c_nationkey FROM customer),
+un AS (SELECT o_orderkey AS crash_unit_id, o_custkey AS crash_record_id, o_orderdate AS crash_date,
+              o_orderstatus AS make, o_orderpriority AS model FROM orders),
+pe AS (SELECT l_orderkey * 10 + l_linenumber AS person_id, l_orderkey AS crash_unit_id,
+              CASE WHEN l_returnflag = 'R' THEN 'FATAL INJURY' ELSE 'NO INDICATION OF INJURY' END AS injury_type,
+              l_quantity AS age FROM lineitem)
+"""
+
+ORACLE["join_inner_filtered"] = f"""
+WITH {_CHAIN}
+SELECT cr.crash_record_id, cr.crash_type, un.crash_unit_id, un.crash_date, un.make, un.model
+FROM cr JOIN un ON cr.crash_record_id = un.crash_record_id WHERE cr.crash_type = 'BUILDING'
+"""
+
+ORACLE["join_unit"] = f"""
+WITH {_CHAIN}
+SELECT un.crash_unit_id, un.crash_record_id, pe.person_id, pe.injury_type, pe.age
+FROM un JOIN pe ON un.crash_unit_id = pe.crash_unit_id WHERE un.model = '1-URGENT'
+"""
+
+ORACLE["join_left_chain"] = f"""
+WITH {_CHAIN}
+SELECT cr.crash_record_id, cr.crash_type, un.crash_unit_id, un.make, pe.person_id, pe.injury_type
+FROM cr LEFT JOIN un ON cr.crash_record_id = un.crash_record_id LEFT JOIN pe ON un.crash_unit_id = pe.crash_unit_id
+WHERE cr.crash_type = 'MACHINERY'
+"""
+
+ORACLE["join_direct"] = f"""
+WITH {_CHAIN}
+SELECT o.o_orderkey AS crash_record_id, o.o_orderdate AS crash_date, pe.person_id, pe.injury_type
+FROM orders o JOIN pe ON o.o_orderkey = pe.crash_unit_id
+"""
+
+ORACLE["count_per_key"] = f"""
+WITH {_CHAIN}
+SELECT 'vehicles_per_crash' AS kind, crash_record_id AS key, count(*) AS n FROM un GROUP BY crash_record_id
+UNION ALL
+SELECT 'people_per_unit' AS kind, crash_unit_id AS key, count(*) AS n FROM pe GROUP BY crash_unit_id
+"""
+
+ORACLE["injury_summary"] = f"""
+WITH {_CHAIN}
+SELECT cr.crash_record_id, un.crash_unit_id, un.crash_date, un.make, un.model,
+       count(pe.person_id) AS occupant_count, count(CASE WHEN pe.injury_type = 'FATAL INJURY' THEN 1 END) AS fatalities
+FROM cr JOIN un ON cr.crash_record_id = un.crash_record_id LEFT JOIN pe ON un.crash_unit_id = pe.crash_unit_id
+GROUP BY cr.crash_record_id, un.crash_unit_id, un.crash_date, un.make, un.model
+"""
+
+_FOUND = "found AS (SELECT o_orderkey AS report_id, o_totalprice FROM orders WHERE o_orderstatus = 'F')"
+
+ORACLE["lookup_hits"] = f"""
+WITH {_FOUND}, ids AS (SELECT DISTINCT event_id AS id FROM events)
+SELECT ids.id, found.o_totalprice FROM ids JOIN found ON ids.id = found.report_id
+"""
+
+ORACLE["lookup_misses"] = f"""
+WITH {_FOUND}, ids AS (SELECT DISTINCT event_id AS id FROM events)
+SELECT ids.id FROM ids WHERE NOT EXISTS (SELECT 1 FROM found WHERE found.report_id = ids.id)
+"""
+
+ORACLE["range_scan"] = f"""
+WITH {_FOUND}
+SELECT n.n_nationkey AS range_no, f.report_id FROM nation n
+JOIN found f ON f.report_id >= n.n_nationkey * 600 AND f.report_id < n.n_nationkey * 600 + 400
+"""
+
+ORACLE["multi_range_scan"] = f"""
+WITH {_FOUND},
+r AS (SELECT c_custkey AS range_no, c_custkey * 10 AS s, c_custkey * 10 + 5 + c_nationkey AS e, c_custkey % 4 + 1 AS lim FROM customer),
+j AS (SELECT r.range_no, f.report_id, r.lim, row_number() OVER (PARTITION BY r.range_no ORDER BY f.report_id) AS rn
+      FROM r JOIN found f ON f.report_id >= r.s AND f.report_id < r.e)
+SELECT range_no, report_id FROM j WHERE rn <= lim
+"""
