@@ -343,3 +343,115 @@ def q_multi_range_scan(spark, sf_dir):
         (F.col("c_custkey") % 4 + 1).cast("int").alias("limit"),
     )
     return multi_range_scan(_found_ids(spark, sf_dir), ranges)
+
+
+# ------------------------------------------------------------------- profile
+
+PROFILE_AS_OF = "2024-03-15 00:00:00"
+
+
+def events_profile_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as incident rows with nulls and delays made by fixed rules."""
+    e = table(spark, sf_dir, "events")
+    shift_ms = ((F.col("value") - 10) * 3600000).cast("bigint")
+    return e.select(
+        "event_type",
+        F.when(F.col("event_id") % 97 == 0, F.lit(None)).otherwise(F.col("event_id")).alias("crash_join_id"),
+        F.col("ts").alias("crash_date"),
+        F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")) + shift_ms).alias("date_police_notified"),
+        F.get_json_object("props", "$.k").try_cast("double").alias("latitude"),
+        F.when(F.col("user_id") % 5 == 0, F.lit(None)).otherwise(F.col("value")).alias("longitude"),
+        F.when(F.col("event_id") % 4 == 0, F.lit(None)).otherwise(F.col("user_id") % 3).alias("injuries_total"),
+        "user_id",
+        F.to_date("ts").alias("crash_day"),
+    )
+
+
+def _type_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from civiclens.operators.profile import profile, profile_report
+
+    f = events_profile_frame(spark, sf_dir)
+    return profile_report(profile(f, ["event_type"], as_of=PROFILE_AS_OF, dedup_subset=["user_id", "crash_day"]))
+
+
+def _with_issue_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("issues", F.array_join("flagged_issues", " | ")).withColumn(
+        "n_issues", F.size("flagged_issues")
+    ).drop("flagged_issues")
+
+
+@register("dataset_profile")
+def q_dataset_profile(spark, sf_dir):
+    from civiclens.operators.profile import profile, profile_report
+
+    f = events_profile_frame(spark, sf_dir).drop("event_type")
+    p = profile_report(profile(f, as_of=PROFILE_AS_OF, dedup_subset=["user_id", "crash_day"]))
+    return _with_issue_text(p)
+
+
+@register("profile_empty")
+def q_profile_empty(spark, sf_dir):
+    from civiclens.operators.profile import profile, profile_report
+
+    f = events_profile_frame(spark, sf_dir).drop("event_type").filter(F.lit(False))
+    return _with_issue_text(profile_report(profile(f, as_of=PROFILE_AS_OF)))
+
+
+@register("missing_pct")
+def q_missing_pct(spark, sf_dir):
+    return _type_profile(spark, sf_dir).select("event_type", "missing_fields_pct")
+
+
+@register("duplicate_rate")
+def q_duplicate_rate(spark, sf_dir):
+    return _type_profile(spark, sf_dir).select("event_type", "duplicate_rate")
+
+
+@register("critical_null_pct")
+def q_critical_null_pct(spark, sf_dir):
+    return _type_profile(spark, sf_dir).select("event_type", "critical_fields_null_pct")
+
+
+@register("completeness_pct")
+def q_completeness_pct(spark, sf_dir):
+    return _type_profile(spark, sf_dir).select("event_type", "injury_completeness_pct")
+
+
+@register("staleness_days")
+def q_staleness_days(spark, sf_dir):
+    return _type_profile(spark, sf_dir).select("event_type", "staleness_days")
+
+
+@register("issue_flags")
+def q_issue_flags(spark, sf_dir):
+    return _with_issue_text(_type_profile(spark, sf_dir)).select("event_type", "issues", "n_issues")
+
+
+@register("avg_delay_days")
+def q_avg_delay_days(spark, sf_dir):
+    from civiclens.operators.profile import profile, profile_report
+
+    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem")
+    f = o.join(li, o.o_orderkey == li.l_orderkey).select(
+        "o_orderpriority", F.col("o_orderdate").alias("crash_date"), F.col("l_shipdate").alias("date_police_notified")
+    )
+    p = profile_report(profile(f, ["o_orderpriority"], as_of=PROFILE_AS_OF))
+    return p.select("o_orderpriority", "avg_ingestion_delay_days")
+
+
+@register("multi_profile_ranked")
+def q_multi_profile_ranked(spark, sf_dir):
+    from pyspark.sql import Window
+
+    p = _with_issue_text(_type_profile(spark, sf_dir))
+    w = Window.orderBy(F.desc("quality_score"), F.asc("event_type"))
+    # one row per group: the ranking window runs over a handful of rows
+    return p.withColumn("rank", F.row_number().over(w)).orderBy("rank")
+
+
+@register("profile_text")
+def q_profile_text(spark, sf_dir):
+    from civiclens.operators.profile import profile_text
+
+    return profile_text(_type_profile(spark, sf_dir), "event_type")

@@ -233,3 +233,107 @@ j AS (SELECT r.range_no, f.report_id, r.lim, row_number() OVER (PARTITION BY r.r
       FROM r JOIN found f ON f.report_id >= r.s AND f.report_id < r.e)
 SELECT range_no, report_id FROM j WHERE rn <= lim
 """
+
+_PROFILE_FRAME = """
+f AS (
+  SELECT event_type, CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_id END AS crash_join_id, ts AS crash_date,
+         epoch_ms(epoch_ms(ts) + CAST(trunc((value - 10) * 3600000) AS BIGINT)) AS date_police_notified,
+         TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS latitude,
+         CASE WHEN user_id % 5 = 0 THEN NULL ELSE value END AS longitude,
+         CASE WHEN event_id % 4 = 0 THEN NULL ELSE user_id % 3 END AS injuries_total,
+         user_id, CAST(ts AS DATE) AS crash_day
+  FROM events)
+"""
+
+
+def _profile_sql(group: str | None) -> str:
+    g = f"{group}, " if group else ""
+    gb = f"GROUP BY {group}" if group else ""
+    on = f"USING ({group})" if group else "ON TRUE"
+    nulls = " + ".join(
+        f"CAST({c} IS NULL{' OR isnan(' + c + ')' if c in ('latitude', 'longitude') else ''} AS INTEGER)"
+        for c in ["crash_join_id", "crash_date", "date_police_notified", "latitude", "longitude", "injuries_total", "user_id", "crash_day"]
+    )
+    crit = " + ".join(
+        f"CAST({c} IS NULL{' OR isnan(' + c + ')' if c in ('latitude', 'longitude') else ''} AS INTEGER)"
+        for c in ["crash_date", "latitude", "longitude", "crash_join_id"]
+    )
+    return f"""
+{_PROFILE_FRAME},
+d AS (SELECT *, (epoch_us(date_police_notified) - epoch_us(crash_date)) / 86400e6 AS dd FROM f),
+a AS (SELECT {g} count(*) AS total_records, sum({nulls}) AS nc, sum({crit}) AS cc,
+             sum(CAST(injuries_total IS NOT NULL AS INTEGER)) AS ip, avg(CASE WHEN dd >= 0 THEN dd END) AS dl,
+             max(crash_date) AS latest FROM d {gb}),
+dc AS (SELECT {g} user_id, crash_day, count(*) AS n FROM f GROUP BY {g} user_id, crash_day),
+dr AS (SELECT {g} sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS dup_rows FROM dc {gb}),
+m AS (
+  SELECT {g} total_records,
+         CASE WHEN total_records = 0 THEN 100.0 ELSE nc / (total_records * 8.0) * 100 END AS mp,
+         CASE WHEN total_records = 0 THEN 0.0 ELSE COALESCE(dup_rows, 0) / CAST(total_records AS DOUBLE) END AS du,
+         CASE WHEN total_records = 0 THEN 0.0 ELSE COALESCE(dl, 0.0) END AS de,
+         CASE WHEN total_records = 0 THEN 0.0 ELSE cc / (total_records * 4.0) * 100 END AS cr,
+         CASE WHEN total_records = 0 THEN 100.0 ELSE ip / CAST(total_records AS DOUBLE) * 100 END AS ij,
+         CASE WHEN total_records = 0 THEN 0.0
+              ELSE COALESCE(greatest(0.0, (epoch_us(TIMESTAMP '2024-03-15 00:00:00') - epoch_us(latest)) / 86400e6), 0.0) END AS st
+  FROM a LEFT JOIN dr {on}),
+s AS (
+  SELECT *, CASE WHEN total_records = 0 THEN 0.0 ELSE greatest(0.0, 100.0 - least(mp, 100.0) * 0.30 - least(cr, 100.0) * 0.30
+            - least(du * 100, 100.0) * 0.20 - least(de / 30, 1.0) * 100 * 0.10 - (100.0 - least(ij, 100.0)) * 0.10) END AS qs,
+         CASE WHEN total_records = 0 THEN ['Dataset is empty'] ELSE list_filter([
+           CASE WHEN mp > 20 THEN 'High missing-field rate: ' || printf('%.1f', round_even(mp, 1)) || '% of cells are null.' END,
+           CASE WHEN du > 0.05 THEN 'Duplicate rate ' || printf('%.1f', round_even(du * 100, 1)) || '% exceeds 5% threshold.' END,
+           CASE WHEN de > 14 THEN 'Avg ingestion delay ' || printf('%.1f', round_even(de, 1)) || ' days — data may lag real events.' END,
+           CASE WHEN cr > 5 THEN 'Critical fields (lat/lon/date/id) have ' || printf('%.1f', round_even(cr, 1)) || '% nulls.' END,
+           CASE WHEN st > 30 THEN 'Most recent record is ' || printf('%.0f', round_even(st, 0)) || ' days old — feed may have stalled.' END
+         ], lambda x: x IS NOT NULL) END AS iss
+  FROM m),
+r AS (
+  SELECT {g} total_records, round_even(mp, 2) AS missing_fields_pct, round_even(du, 4) AS duplicate_rate,
+         round_even(de, 2) AS avg_ingestion_delay_days, round_even(cr, 2) AS critical_fields_null_pct,
+         round_even(ij, 2) AS injury_completeness_pct, round_even(st, 1) AS staleness_days, 'api' AS data_source_type,
+         round_even(qs, 1) AS quality_score, array_to_string(iss, ' | ') AS issues, len(iss) AS n_issues, iss
+  FROM s)
+"""
+
+
+ORACLE["dataset_profile"] = "WITH " + _profile_sql(None) + " SELECT * EXCLUDE (iss) FROM r"
+ORACLE["profile_empty"] = ("WITH " + _profile_sql(None) + " SELECT * EXCLUDE (iss) FROM r").replace(
+    "FROM events)", "FROM events WHERE false)"
+)
+_TYPE = "WITH " + _profile_sql("event_type")
+ORACLE["missing_pct"] = _TYPE + " SELECT event_type, missing_fields_pct FROM r"
+ORACLE["duplicate_rate"] = _TYPE + " SELECT event_type, duplicate_rate FROM r"
+ORACLE["critical_null_pct"] = _TYPE + " SELECT event_type, critical_fields_null_pct FROM r"
+ORACLE["completeness_pct"] = _TYPE + " SELECT event_type, injury_completeness_pct FROM r"
+ORACLE["staleness_days"] = _TYPE + " SELECT event_type, staleness_days FROM r"
+ORACLE["issue_flags"] = _TYPE + " SELECT event_type, issues, n_issues FROM r"
+ORACLE["multi_profile_ranked"] = (
+    _TYPE + " SELECT * EXCLUDE (iss), row_number() OVER (ORDER BY quality_score DESC, event_type) AS rank FROM r"
+)
+
+
+def _fmt1(x: str, d: int = 1) -> str:
+    return f"printf('%.{d}f', round_even({x}, {d}))"
+
+
+ORACLE["profile_text"] = _TYPE + f"""
+SELECT event_type, concat_ws(chr(10),
+  '=== ' || event_type || ' (' || upper(data_source_type) || ') ===',
+  '  Records          : ' || format('{{:,}}', total_records),
+  '  Quality score    : ' || {_fmt1('quality_score')} || ' / 100',
+  '  Missing fields   : ' || {_fmt1('missing_fields_pct')} || '%',
+  '  Duplicate rate   : ' || {_fmt1('duplicate_rate * 100')} || '%',
+  '  Ingestion delay  : ' || {_fmt1('avg_ingestion_delay_days')} || ' days avg',
+  '  Staleness        : ' || {_fmt1('staleness_days', 0)} || ' days since last record',
+  '  Critical nulls   : ' || {_fmt1('critical_fields_null_pct')} || '%',
+  '  Injury complete  : ' || {_fmt1('injury_completeness_pct')} || '%',
+  CASE WHEN len(iss) > 0 THEN '  Issues:' || chr(10) || array_to_string(list_transform(iss, lambda x: '    ⚠  ' || x), chr(10)) END
+) AS summary FROM r
+"""
+
+ORACLE["avg_delay_days"] = """
+WITH d AS (SELECT o_orderpriority, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400e6 AS dd
+           FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT o_orderpriority, round_even(COALESCE(avg(CASE WHEN dd >= 0 THEN dd END), 0.0), 2) AS avg_ingestion_delay_days
+FROM d GROUP BY 1
+"""
