@@ -455,3 +455,147 @@ def q_profile_text(spark, sf_dir):
     from civiclens.operators.profile import profile_text
 
     return profile_text(_type_profile(spark, sf_dir), "event_type")
+
+
+# ------------------------------------------------------------------- audits
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a landed request log: portal = user, report id = hour number."""
+    e = table(spark, sf_dir, "events")
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("bigint")
+    return e.select(
+        F.col("user_id").alias("portal"),
+        F.col("event_id").alias("pos"),
+        F.when(F.col("event_type") == "signup", F.lit("n/a")).otherwise(F.concat(F.lit("RPT-"), hour.cast("string"))).alias("report_id"),
+        (F.col("event_type") != "error").alias("ok"),
+    )
+
+
+@register("id_gap_rate")
+def q_id_gap_rate(spark, sf_dir):
+    from civiclens.operators.audit import id_gap_rate
+
+    return id_gap_rate(request_log(spark, sf_dir), ["portal"], "pos", "report_id")
+
+
+@register("id_enumeration_report")
+def q_id_enumeration_report(spark, sf_dir):
+    from civiclens.operators.audit import id_enumeration_report
+
+    r = id_enumeration_report(request_log(spark, sf_dir), ["portal"], "pos", "report_id", F.col("ok"))
+    return r.select(
+        "portal",
+        "ids_probed",
+        "hits",
+        "hit_rate",
+        "gap_rate",
+        "severity",
+        F.size("findings").alias("n_findings"),
+        F.array_join(
+            F.transform("findings", lambda f: F.concat_ws(" :: ", f["severity"], f["category"], f["description"], f["evidence"])), " || "
+        ).alias("findings_text"),
+        "recommendation",
+    )
+
+
+def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source_url"), "text"
+    )
+    p = table(spark, sf_dir, "pages").select(F.col("url").alias("source_url"), F.col("html").alias("text"))
+    return d.unionByName(p)
+
+
+@register("pii_scan")
+def q_pii_scan(spark, sf_dir):
+    from civiclens.operators.audit import pii_scan
+
+    f = pii_scan(text_corpus(spark, sf_dir), "text", "source_url")
+    return f.select(
+        "source_url", "pattern_name", "severity", "match_count", F.array_join("sample_matches", " | ").alias("samples")
+    )
+
+
+@register("pii_summary")
+def q_pii_summary(spark, sf_dir):
+    from civiclens.operators.audit import pii_scan, pii_summary
+
+    return pii_summary(pii_scan(text_corpus(spark, sf_dir), "text", "source_url"))
+
+
+@register("sequence_signature")
+def q_sequence_signature(spark, sf_dir):
+    from civiclens.operators.audit import sequence_signature
+
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return sequence_signature(e, ["user_id", "day"], ["ts", "event_id"], "event_type", ["error", "purchase"], ["day", "user_id"])
+
+
+# -------------------------------------------------------------------- rates
+
+def _user_requests(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("user_id", "event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
+
+
+@register("throttle_slots")
+def q_throttle_slots(spark, sf_dir):
+    from civiclens.operators.rates import throttle_slots
+
+    out = throttle_slots(_user_requests(spark, sf_dir), ["user_id"], ["ts", "event_id"], "t_us", rate_per_s=1 / 21600, bucket_us=86_400_000_000)
+    return out.select("user_id", "event_id", "t_us", "slot_start_us", "delay_us")
+
+
+@register("token_bucket_delay")
+def q_token_bucket_delay(spark, sf_dir):
+    from civiclens.operators.rates import token_bucket_delay
+
+    out = token_bucket_delay(
+        _user_requests(spark, sf_dir), ["user_id"], ["ts", "event_id"], "t_us", capacity=3, refill_per_s=1 / 14400, bucket_us=86_400_000_000
+    )
+    return out.select("user_id", "event_id", "t_us", "admit_us", "delay_us")
+
+
+# --------------------------------------------------------------- validation
+
+ORDER_RULES = None
+
+
+def _order_rules():
+    from civiclens.operators.validation import Rule
+
+    return [
+        Rule("o_orderkey", "required"),
+        Rule("o_custkey", "required"),
+        Rule("o_orderstatus", "enum", ("F", "O")),
+        Rule("o_orderpriority", "pattern", "^[1-5]-[A-Z ]+$"),
+        Rule("o_orderpriority", "enum", ("1-URGENT", "2-HIGH", "3-MEDIUM")),
+        Rule("o_orderdate", "datetime"),
+        Rule("o_totalprice", "minimum", 10000),
+        Rule("o_totalprice", "type", "double"),
+    ]
+
+
+@register("validate_rules")
+def q_validate_rules(spark, sf_dir):
+    from civiclens.operators.validation import validate_rules
+
+    return validate_rules(table(spark, sf_dir, "orders"), _order_rules())
+
+
+@register("key_violations")
+def q_key_violations(spark, sf_dir):
+    from civiclens.operators.validation import key_violations
+
+    return key_violations(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"])
+
+
+@register("orphan_counts")
+def q_orphan_counts(spark, sf_dir):
+    from civiclens.operators.validation import orphan_counts
+
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") != "P").select("o_orderkey")
+    li = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") == 7, F.lit(None)).otherwise(F.col("l_orderkey")).alias("l_orderkey")
+    )
+    return orphan_counts(o, li, "o_orderkey", "l_orderkey")

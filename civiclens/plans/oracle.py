@@ -337,3 +337,135 @@ WITH d AS (SELECT o_orderpriority, (epoch_us(l_shipdate) - epoch_us(o_orderdate)
 SELECT o_orderpriority, round_even(COALESCE(avg(CASE WHEN dd >= 0 THEN dd END), 0.0), 2) AS avg_ingestion_delay_days
 FROM d GROUP BY 1
 """
+
+_REQUEST_LOG = """
+rl AS (SELECT user_id AS portal, event_id AS pos,
+              CASE WHEN event_type = 'signup' THEN 'n/a' ELSE 'RPT-' || CAST(CAST(floor(epoch(ts) / 3600) AS BIGINT) AS VARCHAR) END AS report_id,
+              event_type <> 'error' AS ok FROM events),
+nm AS (SELECT portal, pos, TRY_CAST(NULLIF(regexp_replace(report_id, '\\D', '', 'g'), '') AS DECIMAL(38,0)) AS num FROM rl),
+nv AS (SELECT *, lag(num) OVER (PARTITION BY portal ORDER BY pos) AS prev FROM nm WHERE num IS NOT NULL),
+ng AS (SELECT portal, count(*) AS n, sum(CAST(abs(num - prev) = 1 AS INTEGER)) AS c FROM nv GROUP BY 1),
+gap AS (SELECT portal, CASE WHEN n < 2 THEN 0.0 ELSE COALESCE(c, 0) / CAST(n - 1 AS DOUBLE) END AS gap_rate FROM ng)
+"""
+
+ORACLE["id_gap_rate"] = f"WITH {_REQUEST_LOG} SELECT portal, gap_rate FROM gap"
+
+ORACLE["id_enumeration_report"] = f"""
+WITH {_REQUEST_LOG},
+b AS (SELECT portal, count(*) AS ids_probed, sum(CAST(ok AS INTEGER)) AS hits FROM rl GROUP BY 1),
+h AS (SELECT portal, report_id, row_number() OVER (PARTITION BY portal ORDER BY pos) AS rn, pos FROM rl WHERE ok),
+ev AS (SELECT portal, string_agg('''' || report_id || '''', ', ' ORDER BY pos) AS ids FROM h WHERE rn <= 5 GROUP BY 1),
+r AS (SELECT b.portal, ids_probed, hits, hits / CAST(ids_probed AS DOUBLE) AS hr, COALESCE(gap.gap_rate, 0.0) AS gr, ev.ids
+      FROM b LEFT JOIN gap USING (portal) LEFT JOIN ev USING (portal)),
+s AS (SELECT *, CASE WHEN hr >= 0.9 AND gr >= 0.7 THEN 'CRITICAL' WHEN hr >= 0.75 THEN 'HIGH' WHEN hr >= 0.5 THEN 'MEDIUM'
+                     WHEN hr > 0 THEN 'LOW' ELSE 'INFO' END AS severity FROM r),
+f AS (SELECT *, list_filter([
+        CASE WHEN hr > 0 THEN concat_ws(' :: ', severity, 'Sequential ID Enumeration',
+             printf('%.0f', round_even(hr * 100, 0)) || '% of probed IDs returned valid records. An attacker can enumerate all crash records by iterating IDs.',
+             'Valid IDs confirmed: [' || COALESCE(ids, '') || ']' || CASE WHEN hits > 5 THEN '…' ELSE '' END) END,
+        CASE WHEN gr >= 0.7 THEN concat_ws(' :: ', 'HIGH', 'Predictable ID Pattern',
+             printf('%.0f', round_even(gr * 100, 0)) || '% of consecutive IDs differ by 1. Report IDs are strictly sequential and therefore fully predictable.',
+             '') END], lambda x: x IS NOT NULL) AS fl FROM s)
+SELECT portal, ids_probed, hits, round_even(hr, 4) AS hit_rate, round_even(gr, 4) AS gap_rate, severity,
+       len(fl) AS n_findings, array_to_string(fl, ' || ') AS findings_text,
+       CASE severity
+         WHEN 'CRITICAL' THEN 'URGENT: Implement token-based access control. Replace sequential IDs with non-guessable UUIDs. Add authentication for full-record retrieval. Consider rate-limiting and CAPTCHA on the search form.'
+         WHEN 'HIGH' THEN 'Replace sequential numeric report IDs with opaque tokens or UUIDs. Add per-IP rate limiting and an audit log for bulk enumeration attempts.'
+         WHEN 'MEDIUM' THEN 'Monitor for bulk access patterns. Consider switching to non-sequential IDs and adding rate limiting to the search endpoint.'
+         WHEN 'LOW' THEN 'Low enumeration risk detected. Monitor access logs for sequential request patterns and review whether all returned fields are intended for public access.'
+         ELSE 'No enumeration vulnerability detected in this sample. Re-test with a larger ID range to confirm.' END AS recommendation
+FROM f
+"""
+
+ORACLE["sequence_signature"] = """
+WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, string_agg(event_type, '-' ORDER BY ts, event_id) AS signature,
+                  count(*) AS n_events, max(CAST(event_type IN ('error', 'purchase') AS INTEGER)) AS flag
+           FROM events GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY day, user_id) AS rn FROM s WHERE flag = 1)
+SELECT signature, user_id, day, n_events FROM r WHERE rn = 1
+"""
+
+ORACLE["throttle_slots"] = """
+WITH e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t,
+                  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+r AS (SELECT *, max(t - i * 21600000000) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM e)
+SELECT user_id, event_id, t AS t_us, i * 21600000000 + m AS slot_start_us, i * 21600000000 + m - t AS delay_us FROM r
+"""
+
+ORACLE["token_bucket_delay"] = """
+WITH e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t,
+                  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+r AS (SELECT *, max(t - i * 14400000000) OVER w AS m, max(t) OVER w AS tm FROM e
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT user_id, event_id, t AS t_us, greatest(tm, m + (i + 1 - 3) * 14400000000) AS admit_us,
+       greatest(tm, m + (i + 1 - 3) * 14400000000) - t AS delay_us FROM r
+"""
+
+ORACLE["validate_rules"] = """
+SELECT * FROM (VALUES
+  ('o_orderkey', 'required', (SELECT count(*) FROM orders WHERE o_orderkey IS NULL)),
+  ('o_custkey', 'required', (SELECT count(*) FROM orders WHERE o_custkey IS NULL)),
+  ('o_orderstatus', 'enum', (SELECT count(*) FROM orders WHERE o_orderstatus IS NOT NULL AND o_orderstatus NOT IN ('F', 'O'))),
+  ('o_orderpriority', 'pattern', (SELECT count(*) FROM orders WHERE o_orderpriority IS NOT NULL AND NOT regexp_matches(o_orderpriority, '^[1-5]-[A-Z ]+$'))),
+  ('o_orderpriority', 'enum', (SELECT count(*) FROM orders WHERE o_orderpriority IS NOT NULL AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))),
+  ('o_orderdate', 'datetime', (SELECT count(*) FROM orders WHERE o_orderdate IS NOT NULL AND TRY_CAST(CAST(o_orderdate AS VARCHAR) AS TIMESTAMP) IS NULL)),
+  ('o_totalprice', 'minimum', (SELECT count(*) FROM orders WHERE o_totalprice IS NOT NULL AND o_totalprice < 10000)),
+  ('o_totalprice', 'type', (SELECT count(*) FROM orders WHERE o_totalprice IS NOT NULL AND TRY_CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE) IS NULL))
+) t("column", rule, violations)
+"""
+
+ORACLE["key_violations"] = """
+SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1
+"""
+
+ORACLE["orphan_counts"] = """
+WITH o AS (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'),
+li AS (SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE l_orderkey END AS l_orderkey FROM lineitem)
+SELECT 'orphan_children' AS "check", (SELECT count(*) FROM li WHERE l_orderkey IS NOT NULL AND l_orderkey NOT IN (SELECT o_orderkey FROM o)) AS n
+UNION ALL
+SELECT 'parents_without_children', (SELECT count(*) FROM o WHERE NOT EXISTS (SELECT 1 FROM li WHERE li.l_orderkey = o.o_orderkey))
+UNION ALL
+SELECT 'null_foreign_keys', (SELECT count(*) FROM li WHERE l_orderkey IS NULL)
+"""
+
+# PII patterns for RE2 (SSN's look-aheads become a filter on plain candidates).
+_PII_SQL = [
+    ("SSN", "CRITICAL", 0,
+     "list_filter(regexp_extract_all(text, '\\b\\d{3}[-\\s]\\d{2}[-\\s]\\d{4}\\b'), lambda x: "
+     "substr(x, 1, 3) NOT IN ('000', '666') AND substr(x, 1, 1) <> '9' AND substr(x, 5, 2) <> '00' AND substr(x, 8, 4) <> '0000')"),
+    ("Phone", "HIGH", 1, "regexp_extract_all(text, '(?:\\+?1[-.\\s]?)?(?:\\(\\d{3}\\)[-.\\s]?|\\d{3}[-.\\s])\\d{3}[-.\\s]\\d{4}')"),
+    ("Email", "MEDIUM", 2, "regexp_extract_all(text, '\\b[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}\\b')"),
+    ("Date of Birth", "HIGH", 3, "regexp_extract_all(text, '(?i)\\b(?:DOB|Date of Birth|Born)[:\\s]+\\d{1,2}[/\\-]\\d{1,2}[/\\-]\\d{2,4}\\b')"),
+    ("Driver License", "HIGH", 4, "regexp_extract_all(text, '(?i)\\b(?:DL|License)[#\\s:]+[A-Z0-9]{6,12}\\b')"),
+    ("License Plate", "MEDIUM", 5, "regexp_extract_all(text, '\\b[A-Z]{1,3}[-\\s]?\\d{3,4}[-\\s]?[A-Z]{0,3}\\b')"),
+    ("Full Name (labeled)", "MEDIUM", 6, "regexp_extract_all(text, '(?i)\\b(?:Driver|Owner|Name)[:\\s]+[A-Z][a-z]+\\s[A-Z][a-z]+\\b')"),
+]
+
+_PII_FINDINGS = (
+    "corpus AS (SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS source_url, text FROM documents "
+    "UNION ALL SELECT url AS source_url, html AS text FROM pages),\n"
+    "m AS (\n"
+    + "\n  UNION ALL\n".join(
+        f"  SELECT source_url, '{n}' AS pattern_name, '{s}' AS severity, {p} AS pattern_pos, {e} AS ms FROM corpus"
+        for n, s, p, e in _PII_SQL
+    )
+    + "),\n"
+    "f AS (SELECT source_url, pattern_name, severity, pattern_pos, len(ms) AS match_count,\n"
+    "             list_slice(list_filter(ms, lambda x, i: list_position(ms, x) = i), 1, 3) AS smp FROM m WHERE len(ms) > 0)"
+)
+
+ORACLE["pii_scan"] = f"""
+WITH {_PII_FINDINGS}
+SELECT source_url, pattern_name, severity, match_count,
+       array_to_string(list_transform(smp, lambda x: CASE WHEN length(x) <= 4 THEN repeat('*', length(x))
+                       ELSE left(x, 1) || repeat('*', length(x) - 2) || right(x, 1) END), ' | ') AS samples
+FROM f
+"""
+
+ORACLE["pii_summary"] = f"""
+WITH {_PII_FINDINGS}
+SELECT pattern_name, severity, count(*) AS texts_with_matches, sum(match_count) AS total_matches,
+       printf('  [%-8s] %s: %d match(es) in %d text(s)', severity, pattern_name, sum(match_count), count(*)) AS line
+FROM f GROUP BY 1, 2
+"""
