@@ -243,3 +243,23 @@ def calendar_parts(ts: ColumnOrName) -> list[Column]:
 def percent_text(c: ColumnOrName, decimals: int = 1) -> Column:
     """X23 ``{:.1%}``: half-even rounding first, then fixed formatting."""
     return F.concat(F.format_string(f"%.{decimals}f", F.bround(col(c) * 100, decimals)), F.lit("%"))
+
+
+def py_fixed(c: ColumnOrName, decimals: int) -> Column:
+    """Python ``f"{x:.Nf}"``: half-even on the exact binary value.
+
+    ``format_number`` formats with ``DecimalFormat`` (HALF_EVEN on the exact
+    double), which is what Python does; the grouping commas are removed.
+    """
+    return F.regexp_replace(F.format_number(col(c), decimals), ",", "")
+
+
+def py_round(c: ColumnOrName, decimals: int) -> Column:
+    """Python ``round(x, N)`` for doubles (exact binary value, half-even).
+
+    ``bround`` rounds the shortest decimal text of the double instead, which
+    differs on values such as 0.35 (binary 0.34999…).  For N = 0 both agree.
+    """
+    if decimals == 0:
+        return F.bround(col(c), 0)
+    return py_fixed(c, decimals).cast("double")

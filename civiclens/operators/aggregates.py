@@ -101,10 +101,10 @@ def kpi_summary(
     cols = set(df.columns)
     aggs = [F.count(F.lit(1)).alias("total_crashes")]
     aggs.append(
-        (F.coalesce(F.sum(to_double(injuries_col)), F.lit(0.0)) if injuries_col in cols else F.lit(0.0)).alias("total_injuries")
+        (F.coalesce(F.sum(to_double(injuries_col)), F.lit(0.0)) if injuries_col in cols else F.lit(0.0)).cast("bigint").alias("total_injuries")
     )
     aggs.append(
-        (F.coalesce(F.sum(to_double(fatal_col)), F.lit(0.0)) if fatal_col in cols else F.lit(0.0)).alias("total_fatal")
+        (F.coalesce(F.sum(to_double(fatal_col)), F.lit(0.0)) if fatal_col in cols else F.lit(0.0)).cast("bigint").alias("total_fatal")
     )
     aggs.append((F.mode(F.col(damage_col), True) if damage_col in cols else F.lit(None).cast("string")).alias("_mode"))
     out = df.agg(*aggs)

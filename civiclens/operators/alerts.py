@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from civiclens.functions.exprs import (
     floor_block,
+    py_round,
     join_address,
     literal_map,
     rank_of,
@@ -117,7 +118,7 @@ def hotspot_clusters(
     """Road segments (block + street) with at least ``min_crashes`` rows.
 
     Output: segment, street_name, block, crash_count, injury_count, fatal_count,
-    risk_score (1 decimal, half-even), severity, contributing_causes (array),
+    risk_score (Python round to 1 decimal), severity, contributing_causes (array),
     road_defects (array), recommendation.  Sorted by score desc, then segment.
     """
     cols = set(df.columns)
@@ -159,7 +160,7 @@ def hotspot_clusters(
             "crash_count",
             "injury_count",
             "fatal_count",
-            F.bround("_score", 1).alias("risk_score"),
+            py_round("_score", 1).alias("risk_score"),
             "severity",
             "contributing_causes",
             "road_defects",

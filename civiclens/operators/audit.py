@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiclens.functions.exprs import digits_as_number, literal_map, redact
+from civiclens.functions.exprs import digits_as_number, literal_map, py_fixed, py_round, redact
 from civiclens.operators.joins import first_k_per_group
 from civiclens.plans.scan import previous_value
 
@@ -60,7 +60,7 @@ def _severity_rank(sev: Column) -> Column:
 
 def _pct0(x: Column) -> Column:
     """``{:.0%}``."""
-    return F.concat(F.format_string("%.0f", F.bround(x * 100, 0)), F.lit("%"))
+    return F.concat(py_fixed(x * 100, 0), F.lit("%"))
 
 
 # ------------------------------------------------------------ A20 / A21 / G07
@@ -153,8 +153,8 @@ def id_enumeration_report(
         *g,
         "ids_probed",
         "hits",
-        F.bround("_hit", 4).alias("hit_rate"),
-        F.bround("_gap", 4).alias("gap_rate"),
+        py_round("_hit", 4).alias("hit_rate"),
+        py_round("_gap", 4).alias("gap_rate"),
         "severity",
         F.filter(F.array(f_enum, f_pred), lambda x: x.isNotNull()).alias("findings"),
         F.element_at(literal_map(ENUM_RECOMMENDATION), F.col("severity")).alias("recommendation"),

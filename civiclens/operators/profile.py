@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from civiclens.functions.exprs import days_between, parse_ts
+from civiclens.functions.exprs import days_between, parse_ts, py_fixed, py_round
 
 # --------------------------------------------------------------------------
 # Fixed values (thresholds, weights and texts must equal the reference's).
@@ -58,7 +58,7 @@ def quality_score(missing: Column, dup: Column, delay: Column, critical: Column,
 
 
 def _fmt(x: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", F.bround(x, decimals))
+    return py_fixed(x, decimals)
 
 
 def issue_flags(missing: Column, dup: Column, delay: Column, critical: Column, staleness: Column) -> Column:
@@ -185,7 +185,7 @@ def _attach_global(base: DataFrame, dup: DataFrame) -> DataFrame:
 
 
 def profile_report(profiled: DataFrame) -> DataFrame:
-    """Reference rounding of the metric columns (half-even: 2/4/2/2/2/1/1)."""
+    """Reference rounding of the metric columns (Python ``round``: 2/4/2/2/2/1/1)."""
     rounding = {
         "missing_fields_pct": 2,
         "duplicate_rate": 4,
@@ -195,7 +195,7 @@ def profile_report(profiled: DataFrame) -> DataFrame:
         "staleness_days": 1,
         "quality_score": 1,
     }
-    return profiled.select(*[F.bround(c, rounding[c]).alias(c) if c in rounding else F.col(c) for c in profiled.columns])
+    return profiled.select(*[py_round(c, rounding[c]).alias(c) if c in rounding else F.col(c) for c in profiled.columns])
 
 
 def ranked(profiled: DataFrame, tie_cols: Sequence[str]) -> DataFrame:

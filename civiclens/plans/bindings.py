@@ -39,20 +39,17 @@ def crash_view_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") >= 48).cast("int").alias("injuries_total"),
         (F.col("l_quantity") >= 50).cast("int").alias("injuries_fatal"),
         F.col("p_type").alias("prim_contributory_cause"),
-        F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("road_defect"),
+        # 'NF' and 'NO' play the role of NO DEFECTS / UNKNOWN in this binding.
+        F.when(F.concat("l_returnflag", "l_linestatus") == "NF", F.lit("NO DEFECTS"))
+        .when(F.concat("l_returnflag", "l_linestatus") == "NO", F.lit("UNKNOWN"))
+        .otherwise(F.concat("l_returnflag", "l_linestatus"))
+        .alias("road_defect"),
     )
 
 
 @register("hotspot_clusters")
 def q_hotspot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     crashes = crash_view_lineitem(spark, sf_dir)
-    # 'NF' and 'NO' play the role of NO DEFECTS / UNKNOWN in this binding.
-    crashes = crashes.withColumn(
-        "road_defect",
-        F.when(F.col("road_defect") == "NF", F.lit("NO DEFECTS"))
-        .when(F.col("road_defect") == "NO", F.lit("UNKNOWN"))
-        .otherwise(F.col("road_defect")),
-    )
     return alerts.export_clusters(alerts.hotspot_clusters(crashes, min_crashes=3))
 
 
@@ -599,3 +596,153 @@ def q_orphan_counts(spark, sf_dir):
         F.when(F.col("l_linenumber") == 7, F.lit(None)).otherwise(F.col("l_orderkey")).alias("l_orderkey")
     )
     return orphan_counts(o, li, "o_orderkey", "l_orderkey")
+
+
+# --------------------------------------------------------------- risk, features
+
+def _quakes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    # magnitude = value / 50; text 'x' on errors exercises the unparsable rule
+    mag = F.when(F.col("event_type") == "error", F.lit("x")).otherwise((F.col("value") / 50).cast("string"))
+    return e.select(F.col("event_id").alias("id"), mag.alias("magnitude"))
+
+
+@register("risk_score")
+def q_risk_score(spark, sf_dir):
+    from civiclens.operators.risk import risk_score
+
+    return risk_score(_quakes(spark, sf_dir)).select("id", "magnitude", "risk_score", "risk_level")
+
+
+@register("risk_explain")
+def q_risk_explain(spark, sf_dir):
+    from civiclens.operators.risk import risk_explain
+
+    return risk_explain(_quakes(spark, sf_dir)).select("id", "risk_score", "risk_level", "explanation")
+
+
+@register("severity_proxy_score")
+def q_severity_proxy_score(spark, sf_dir):
+    from civiclens.operators.risk import severity_proxy_score
+
+    li = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("crash_record_id"), F.col("l_quantity").alias("injuries_total")
+    )
+    return severity_proxy_score(li).select("crash_record_id", "severity_proxy", "risk_score", "risk_level")
+
+
+@register("feature_build")
+def q_feature_build(spark, sf_dir):
+    from civiclens.operators.risk import feature_build
+
+    e = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.get_json_object("props", "$.k").alias("lat"),
+        F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(F.col("value").cast("string")).alias("lon"),
+        F.when(F.col("event_type") == "signup", F.lit("junk")).otherwise(F.col("ts").cast("string")).alias("timestamp"),
+    )
+    return feature_build(e).select("event_id", "lat", "lon", "hour", "is_night", "missing_location")
+
+
+# ------------------------------------------------- keep-first, counts, top-k
+
+@register("dedup_keep_first")
+def q_dedup_keep_first(spark, sf_dir):
+    from civiclens.operators.aggregates import keep_first
+
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return keep_first(e, ["user_id"], ["ts", "event_id"])
+
+
+def _crash_view_dash(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    part = table(spark, sf_dir, "part")
+    return li.join(part, li.l_partkey == part.p_partkey).select(
+        F.col("p_type").alias("crash_type"),
+        F.col("p_brand").alias("prim_contributory_cause"),
+        F.col("l_linestatus").alias("weather_condition"),
+        (F.col("l_quantity") >= 48).cast("int").alias("injuries_total"),
+        (F.col("l_quantity") >= 50).cast("int").alias("injuries_fatal"),
+        F.when(F.col("l_discount") > 0.05, F.lit("OVER $1,500")).when(F.col("l_discount") > 0.02, F.lit("$501 - $1,500"))
+        .otherwise(F.lit("$500 OR LESS")).alias("damage"),
+        F.col("l_returnflag").alias("most_severe_injury"),
+    )
+
+
+@register("kpi_summary")
+def q_kpi_summary(spark, sf_dir):
+    from civiclens.operators.aggregates import kpi_summary
+
+    return kpi_summary(_crash_view_dash(spark, sf_dir))
+
+
+@register("value_counts_top")
+def q_value_counts_top(spark, sf_dir):
+    from civiclens.operators.aggregates import value_counts
+
+    return value_counts(_crash_view_dash(spark, sf_dir), "prim_contributory_cause", top=10)
+
+
+@register("value_counts_all")
+def q_value_counts_all(spark, sf_dir):
+    from civiclens.operators.aggregates import value_counts
+
+    return value_counts(_crash_view_dash(spark, sf_dir), "crash_type")
+
+
+@register("map_points")
+def q_map_points(spark, sf_dir):
+    from civiclens.operators.mapping import map_points
+
+    c = table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 7 == 0, F.lit("bad")).otherwise(F.col("c_acctbal").cast("string")).alias("latitude"),
+        F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).otherwise(F.col("c_nationkey")).alias("longitude"),
+    )
+    return map_points(c)
+
+
+@register("topk_values_per_group")
+def q_topk_values_per_group(spark, sf_dir):
+    from civiclens.operators.aggregates import topk_values_per_group
+
+    v = crash_view_lineitem(spark, sf_dir)
+    seg = (F.col("street_no") - F.pmod(F.col("street_no"), F.lit(100))).cast("string")
+    t = topk_values_per_group(v.withColumn("segment", seg), ["segment"], "prim_contributory_cause", 3)
+    return t.select("segment", F.array_join("top_values", " | ").alias("top_values"))
+
+
+@register("topk_values_excluding")
+def q_topk_values_excluding(spark, sf_dir):
+    from civiclens.operators.aggregates import topk_values_per_group
+
+    v = crash_view_lineitem(spark, sf_dir)
+    seg = (F.col("street_no") - F.pmod(F.col("street_no"), F.lit(100))).cast("string")
+    t = topk_values_per_group(v.withColumn("segment", seg), ["segment"], "road_defect", 3, alerts.DEFECT_EXCLUSIONS)
+    return t.select("segment", F.array_join("top_values", " | ").alias("top_values"))
+
+
+@register("row_alerts")
+def q_row_alerts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    sev = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("FATAL INJURY"))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.lit("incapacitating injury "))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.lit("NONINCAPACITATING INJURY"))
+        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("REPORTED, NOT EVIDENT"))
+        .otherwise(F.lit("NO INDICATION OF INJURY"))
+    )
+    rows = o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_orderkey").cast("string").alias("crash_join_id"),
+        F.col("o_orderdate").cast("string").alias("crash_date"),
+        sev.alias("most_severe_injury"),
+        (F.col("o_orderkey") % 5000).cast("string").alias("street_no"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit("N")).otherwise(F.lit("")).alias("street_direction"),
+        F.col("c_mktsegment").alias("street_name"),
+        F.col("c_name").alias("driver_name"),
+        F.when(F.col("c_custkey") % 10 == 0, F.lit(None)).otherwise(F.format_string("555-01%02d", F.col("c_custkey") % 100)).alias("driver_phone"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("Y")).otherwise(F.lit("N")).alias("hit_and_run_i"),
+        F.when(F.col("o_orderstatus") == "O", F.lit("RUT, HOLES")).when(F.col("o_orderstatus") == "P", F.lit("NO DEFECTS")).alias("road_defect"),
+        F.when(F.col("o_totalprice") > 300000, F.lit("NOT FUNCTIONING")).otherwise(F.lit("FUNCTIONING PROPERLY")).alias("device_condition"),
+    )
+    return alerts.row_alerts(rows, city="chicago", min_severity_rank=2)

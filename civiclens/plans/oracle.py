@@ -44,7 +44,7 @@ lab AS (
                     WHEN score >= 25 THEN 'ELEVATED' ELSE 'MONITOR' END AS severity
   FROM sc)
 SELECT lab.segment, lab.street AS street_name, CAST(lab.blk AS VARCHAR) AS block, crash_count, injury_count, fatal_count,
-       round_even(score, 1) AS risk_score, severity,
+       CAST(printf('%.1f', score) AS DOUBLE) AS risk_score, severity,
        COALESCE(ca.top_causes, '') AS top_causes, COALESCE(da.road_defects, '') AS road_defects,
        CASE severity
          WHEN 'CRITICAL' THEN 'Immediate engineering review required. Deploy traffic safety improvements (signals, barriers, repaving) within 30 days.'
@@ -280,18 +280,18 @@ s AS (
   SELECT *, CASE WHEN total_records = 0 THEN 0.0 ELSE greatest(0.0, 100.0 - least(mp, 100.0) * 0.30 - least(cr, 100.0) * 0.30
             - least(du * 100, 100.0) * 0.20 - least(de / 30, 1.0) * 100 * 0.10 - (100.0 - least(ij, 100.0)) * 0.10) END AS qs,
          CASE WHEN total_records = 0 THEN ['Dataset is empty'] ELSE list_filter([
-           CASE WHEN mp > 20 THEN 'High missing-field rate: ' || printf('%.1f', round_even(mp, 1)) || '% of cells are null.' END,
-           CASE WHEN du > 0.05 THEN 'Duplicate rate ' || printf('%.1f', round_even(du * 100, 1)) || '% exceeds 5% threshold.' END,
-           CASE WHEN de > 14 THEN 'Avg ingestion delay ' || printf('%.1f', round_even(de, 1)) || ' days — data may lag real events.' END,
-           CASE WHEN cr > 5 THEN 'Critical fields (lat/lon/date/id) have ' || printf('%.1f', round_even(cr, 1)) || '% nulls.' END,
-           CASE WHEN st > 30 THEN 'Most recent record is ' || printf('%.0f', round_even(st, 0)) || ' days old — feed may have stalled.' END
+           CASE WHEN mp > 20 THEN 'High missing-field rate: ' || printf('%.1f', mp) || '% of cells are null.' END,
+           CASE WHEN du > 0.05 THEN 'Duplicate rate ' || printf('%.1f', du * 100) || '% exceeds 5% threshold.' END,
+           CASE WHEN de > 14 THEN 'Avg ingestion delay ' || printf('%.1f', de) || ' days — data may lag real events.' END,
+           CASE WHEN cr > 5 THEN 'Critical fields (lat/lon/date/id) have ' || printf('%.1f', cr) || '% nulls.' END,
+           CASE WHEN st > 30 THEN 'Most recent record is ' || printf('%.0f', st) || ' days old — feed may have stalled.' END
          ], lambda x: x IS NOT NULL) END AS iss
   FROM m),
 r AS (
-  SELECT {g} total_records, round_even(mp, 2) AS missing_fields_pct, round_even(du, 4) AS duplicate_rate,
-         round_even(de, 2) AS avg_ingestion_delay_days, round_even(cr, 2) AS critical_fields_null_pct,
-         round_even(ij, 2) AS injury_completeness_pct, round_even(st, 1) AS staleness_days, 'api' AS data_source_type,
-         round_even(qs, 1) AS quality_score, array_to_string(iss, ' | ') AS issues, len(iss) AS n_issues, iss
+  SELECT {g} total_records, CAST(printf('%.2f', mp) AS DOUBLE) AS missing_fields_pct, CAST(printf('%.4f', du) AS DOUBLE) AS duplicate_rate,
+         CAST(printf('%.2f', de) AS DOUBLE) AS avg_ingestion_delay_days, CAST(printf('%.2f', cr) AS DOUBLE) AS critical_fields_null_pct,
+         CAST(printf('%.2f', ij) AS DOUBLE) AS injury_completeness_pct, CAST(printf('%.1f', st) AS DOUBLE) AS staleness_days, 'api' AS data_source_type,
+         CAST(printf('%.1f', qs) AS DOUBLE) AS quality_score, array_to_string(iss, ' | ') AS issues, len(iss) AS n_issues, iss
   FROM s)
 """
 
@@ -313,7 +313,7 @@ ORACLE["multi_profile_ranked"] = (
 
 
 def _fmt1(x: str, d: int = 1) -> str:
-    return f"printf('%.{d}f', round_even({x}, {d}))"
+    return f"printf('%.{d}f', {x})"
 
 
 ORACLE["profile_text"] = _TYPE + f"""
@@ -334,7 +334,7 @@ SELECT event_type, concat_ws(chr(10),
 ORACLE["avg_delay_days"] = """
 WITH d AS (SELECT o_orderpriority, (epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400e6 AS dd
            FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
-SELECT o_orderpriority, round_even(COALESCE(avg(CASE WHEN dd >= 0 THEN dd END), 0.0), 2) AS avg_ingestion_delay_days
+SELECT o_orderpriority, CAST(printf('%.2f', COALESCE(avg(CASE WHEN dd >= 0 THEN dd END), 0.0)) AS DOUBLE) AS avg_ingestion_delay_days
 FROM d GROUP BY 1
 """
 
@@ -361,12 +361,12 @@ s AS (SELECT *, CASE WHEN hr >= 0.9 AND gr >= 0.7 THEN 'CRITICAL' WHEN hr >= 0.7
                      WHEN hr > 0 THEN 'LOW' ELSE 'INFO' END AS severity FROM r),
 f AS (SELECT *, list_filter([
         CASE WHEN hr > 0 THEN concat_ws(' :: ', severity, 'Sequential ID Enumeration',
-             printf('%.0f', round_even(hr * 100, 0)) || '% of probed IDs returned valid records. An attacker can enumerate all crash records by iterating IDs.',
+             printf('%.0f', hr * 100) || '% of probed IDs returned valid records. An attacker can enumerate all crash records by iterating IDs.',
              'Valid IDs confirmed: [' || COALESCE(ids, '') || ']' || CASE WHEN hits > 5 THEN '…' ELSE '' END) END,
         CASE WHEN gr >= 0.7 THEN concat_ws(' :: ', 'HIGH', 'Predictable ID Pattern',
-             printf('%.0f', round_even(gr * 100, 0)) || '% of consecutive IDs differ by 1. Report IDs are strictly sequential and therefore fully predictable.',
+             printf('%.0f', gr * 100) || '% of consecutive IDs differ by 1. Report IDs are strictly sequential and therefore fully predictable.',
              '') END], lambda x: x IS NOT NULL) AS fl FROM s)
-SELECT portal, ids_probed, hits, round_even(hr, 4) AS hit_rate, round_even(gr, 4) AS gap_rate, severity,
+SELECT portal, ids_probed, hits, CAST(printf('%.4f', hr) AS DOUBLE) AS hit_rate, CAST(printf('%.4f', gr) AS DOUBLE) AS gap_rate, severity,
        len(fl) AS n_findings, array_to_string(fl, ' || ') AS findings_text,
        CASE severity
          WHEN 'CRITICAL' THEN 'URGENT: Implement token-based access control. Replace sequential IDs with non-guessable UUIDs. Add authentication for full-record retrieval. Consider rate-limiting and CAPTCHA on the search form.'
@@ -469,3 +469,135 @@ SELECT pattern_name, severity, count(*) AS texts_with_matches, sum(match_count)
        printf('  [%-8s] %s: %d match(es) in %d text(s)', severity, pattern_name, sum(match_count), count(*)) AS line
 FROM f GROUP BY 1, 2
 """
+
+_QUAKES = """
+q AS (SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'x' ELSE CAST(value / 50 AS VARCHAR) END AS magnitude FROM events),
+qs AS (SELECT id, COALESCE(TRY_CAST(magnitude AS DOUBLE), 0.0) AS mag FROM q),
+sc AS (SELECT id, mag, CAST(round_even(greatest(0.0, least(10.0, mag)) / 10.0 * 100, 0) AS INTEGER) AS risk_score FROM qs),
+lv AS (SELECT *, CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high'
+                      WHEN risk_score >= 40 THEN 'medium' ELSE 'low' END AS risk_level FROM sc)
+"""
+
+ORACLE["risk_score"] = f"WITH {_QUAKES} SELECT id, mag AS magnitude, risk_score, risk_level FROM lv"
+
+ORACLE["risk_explain"] = f"""
+WITH {_QUAKES}
+SELECT id, risk_score, risk_level,
+       'Risk level is ' || risk_level || ' with score ' || CAST(risk_score AS VARCHAR) || '/100 based on earthquake magnitude '
+       || printf('%.1f', mag) || '.' || CASE risk_level
+         WHEN 'critical' THEN ' Immediate monitoring and response planning are recommended.'
+         WHEN 'high' THEN ' Elevated preparedness and active monitoring are recommended.'
+         WHEN 'medium' THEN ' Continue routine monitoring and review trends regularly.'
+         ELSE ' Current impact appears limited, maintain baseline monitoring.' END AS explanation
+FROM lv
+"""
+
+ORACLE["severity_proxy_score"] = """
+WITH p AS (SELECT l_orderkey * 10 + l_linenumber AS crash_record_id,
+                  least(COALESCE(TRY_CAST(CAST(l_quantity AS VARCHAR) AS DOUBLE), 0.0) / 10.0, 10.0) AS severity_proxy FROM lineitem),
+s AS (SELECT *, CAST(round_even(greatest(0.0, least(10.0, severity_proxy)) / 10.0 * 100, 0) AS INTEGER) AS risk_score FROM p)
+SELECT crash_record_id, severity_proxy, risk_score,
+       CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 40 THEN 'medium' ELSE 'low' END AS risk_level
+FROM s
+"""
+
+ORACLE["feature_build"] = """
+WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS lat,
+                  CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS lon,
+                  CASE WHEN event_type = 'signup' THEN 'junk' ELSE CAST(ts AS VARCHAR) END AS "timestamp" FROM events),
+f AS (SELECT event_id, TRY_CAST(lat AS DOUBLE) AS lat, TRY_CAST(lon AS DOUBLE) AS lon,
+             COALESCE(hour(TRY_CAST("timestamp" AS TIMESTAMP)), -1) AS hour FROM e)
+SELECT event_id, lat, lon, hour, CASE WHEN hour <> -1 AND (hour < 6 OR hour > 20) THEN 1 ELSE 0 END AS is_night,
+       CAST(lat IS NULL OR lon IS NULL AS INTEGER) AS missing_location
+FROM f
+"""
+
+ORACLE["dedup_keep_first"] = """
+SELECT event_id, ts, user_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1
+"""
+
+_DASH = """
+d AS (SELECT p.p_type AS crash_type, p.p_brand AS prim_contributory_cause, l.l_linestatus AS weather_condition,
+             CAST(l.l_quantity >= 48 AS INTEGER) AS injuries_total, CAST(l.l_quantity >= 50 AS INTEGER) AS injuries_fatal,
+             CASE WHEN l.l_discount > 0.05 THEN 'OVER $1,500' WHEN l.l_discount > 0.02 THEN '$501 - $1,500'
+                  ELSE '$500 OR LESS' END AS damage, l.l_returnflag AS most_severe_injury
+      FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)
+"""
+
+ORACLE["kpi_summary"] = f"""
+WITH {_DASH},
+m AS (SELECT damage FROM d WHERE damage IS NOT NULL GROUP BY damage ORDER BY count(*) DESC, damage LIMIT 1)
+SELECT count(*) AS total_crashes, CAST(COALESCE(sum(injuries_total), 0) AS BIGINT) AS total_injuries,
+       CAST(COALESCE(sum(injuries_fatal), 0) AS BIGINT) AS total_fatal,
+       COALESCE((SELECT substr(damage, 1, 20) FROM m), 'N/A') AS most_common_damage
+FROM d
+"""
+
+ORACLE["value_counts_top"] = f"""
+WITH {_DASH}
+SELECT prim_contributory_cause, count(*) AS count FROM d WHERE prim_contributory_cause IS NOT NULL
+GROUP BY 1 ORDER BY count DESC, prim_contributory_cause LIMIT 10
+"""
+
+ORACLE["value_counts_all"] = f"""
+WITH {_DASH}
+SELECT crash_type, count(*) AS count FROM d WHERE crash_type IS NOT NULL GROUP BY 1
+"""
+
+ORACLE["map_points"] = """
+WITH c AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN 'bad' ELSE CAST(c_acctbal AS VARCHAR) END AS latitude,
+                  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey END AS longitude FROM customer),
+n AS (SELECT TRY_CAST(latitude AS DOUBLE) AS latitude, TRY_CAST(CAST(longitude AS VARCHAR) AS DOUBLE) AS longitude
+      FROM c WHERE latitude IS NOT NULL AND longitude IS NOT NULL)
+SELECT * FROM n WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+"""
+
+
+def _topk_sql(value: str, excl: str = "") -> str:
+    return f"""
+WITH c AS ({_CRASH_VIEW_LINEITEM}),
+s AS (SELECT CAST(street_no - (street_no % 100) AS VARCHAR) AS segment, {value} AS v FROM c
+      WHERE {value} IS NOT NULL {excl}),
+n AS (SELECT segment, v, count(*) AS n FROM s GROUP BY 1, 2),
+r AS (SELECT segment, v, row_number() OVER (PARTITION BY segment ORDER BY n DESC, v) AS rn FROM n)
+SELECT segment, string_agg(v, ' | ' ORDER BY rn) AS top_values FROM r WHERE rn <= 3 GROUP BY 1
+"""
+
+
+ORACLE["topk_values_per_group"] = _topk_sql("prim_contributory_cause")
+ORACLE["topk_values_excluding"] = _topk_sql("road_defect", "AND upper(road_defect) NOT IN ('NO DEFECTS', 'UNKNOWN', '')")
+
+ORACLE["row_alerts"] = """
+WITH r AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS crash_join_id, CAST(o_orderdate AS VARCHAR) AS crash_date,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'FATAL INJURY' WHEN '2-HIGH' THEN 'incapacitating injury '
+              WHEN '3-MEDIUM' THEN 'NONINCAPACITATING INJURY' WHEN '4-NOT SPECIFIED' THEN 'REPORTED, NOT EVIDENT'
+              ELSE 'NO INDICATION OF INJURY' END AS most_severe_injury,
+         CAST(o_orderkey % 5000 AS VARCHAR) AS street_no, CASE WHEN o_orderkey % 2 = 0 THEN 'N' ELSE '' END AS street_direction,
+         c_mktsegment AS street_name, c_name AS driver_name,
+         CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE printf('555-01%02d', c_custkey % 100) END AS driver_phone,
+         CASE WHEN o_orderstatus = 'F' THEN 'Y' ELSE 'N' END AS hit_and_run_i,
+         CASE o_orderstatus WHEN 'O' THEN 'RUT, HOLES' WHEN 'P' THEN 'NO DEFECTS' END AS road_defect,
+         CASE WHEN o_totalprice > 300000 THEN 'NOT FUNCTIONING' ELSE 'FUNCTIONING PROPERLY' END AS device_condition
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+s AS (SELECT *, trim(upper(COALESCE(most_severe_injury, ''))) AS sev,
+             COALESCE(trim(driver_name), '') AS nm, COALESCE(trim(driver_phone), '') AS ph FROM r),
+k AS (SELECT *, CASE sev WHEN 'FATAL' THEN 4 WHEN 'FATAL INJURY' THEN 4 WHEN 'INCAPACITATING INJURY' THEN 3
+                          WHEN 'NONINCAPACITATING INJURY' THEN 2 WHEN 'REPORTED, NOT EVIDENT' THEN 1 ELSE 0 END AS rk FROM s)
+SELECT COALESCE(crash_join_id, '') AS crash_join_id, COALESCE(crash_date, '') AS crash_date, sev AS injury_severity,
+       concat_ws(' ', NULLIF(trim(street_no), ''), NULLIF(trim(street_direction), ''), NULLIF(trim(street_name), '')) AS location,
+       CASE WHEN length(nm) <= 4 THEN repeat('*', length(nm)) ELSE left(nm, 1) || repeat('*', length(nm) - 2) || right(nm, 1) END AS contact_name,
+       CASE WHEN length(ph) <= 4 THEN repeat('*', length(ph)) ELSE left(ph, 1) || repeat('*', length(ph) - 2) || right(ph, 1) END AS contact_phone,
+       concat_ws(' ',
+         CASE WHEN trim(upper(COALESCE(hit_and_run_i, ''))) = 'Y' THEN 'Hit-and-run — victim may need additional legal support.' END,
+         CASE WHEN trim(upper(COALESCE(road_defect, ''))) NOT IN ('', 'NO DEFECTS', 'UNKNOWN', 'NAN') THEN 'Road defect recorded: ' || road_defect || '.' END,
+         CASE WHEN trim(upper(COALESCE(device_condition, ''))) NOT IN ('', 'FUNCTIONING PROPERLY', 'NAN') THEN 'Traffic device condition: ' || device_condition || '.' END
+       ) AS notes,
+       'https://www.chicago.gov/city/en/depts/cdph/supp_info/behavioral-health/trauma-informed-care.html' AS resource_trauma,
+       'https://www.illinoislegalaid.org/' AS resource_legal_aid,
+       'https://311.chicago.gov/s/' AS resource_road_complaint,
+       'https://insurance.illinois.gov/consumer/InjuredInAnAccident.html' AS resource_insurance_help,
+       'https://www.chicago.gov/city/en/depts/fss/supp_info/victim-services.html' AS resource_victim_services
+FROM k WHERE rk >= 2
+"""
