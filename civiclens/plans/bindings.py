@@ -746,3 +746,41 @@ def q_row_alerts(spark, sf_dir):
         F.when(F.col("o_totalprice") > 300000, F.lit("NOT FUNCTIONING")).otherwise(F.lit("FUNCTIONING PROPERLY")).alias("device_condition"),
     )
     return alerts.row_alerts(rows, city="chicago", min_severity_rank=2)
+
+
+# --------------------------------------------------------------- HTML jobs
+
+@register("html_links")
+def q_html_links(spark, sf_dir):
+    from civiclens.sources.html import html_links
+
+    # landed pages carry no link titles: every link with text is a listing hit
+    return html_links(table(spark, sf_dir, "pages"), title_phrase=None, source="pages")
+
+
+@register("html_fields")
+def q_html_fields(spark, sf_dir):
+    from civiclens.sources.html import html_fields
+
+    return html_fields(table(spark, sf_dir, "pages"), default_troop="C", source="pages")
+
+
+@register("html_forms")
+def q_html_forms(spark, sf_dir):
+    from civiclens.sources.html import html_forms
+
+    return html_forms(table(spark, sf_dir, "pages"))
+
+
+@register("html_by_id")
+def q_html_by_id(spark, sf_dir):
+    from civiclens.sources.html import html_by_id
+
+    return html_by_id(table(spark, sf_dir, "pages"), agency="pages")
+
+
+@register("html_valid")
+def q_html_valid(spark, sf_dir):
+    from civiclens.sources.html import html_valid
+
+    return html_valid(table(spark, sf_dir, "pages"))
