@@ -41,7 +41,7 @@ def map_trim_key(df: DataFrame, source_key: str, key: str = "crash_join_id") ->
 
 def map_coalesce_key(df: DataFrame, primary: str, secondary: str, source: str, key: str = "crash_join_id") -> DataFrame:
     """key = trimmed primary, else secondary; NULL → ''; constant source tag."""
-    k = F.coalesce(F.col(primary), F.col(secondary))
+    k = F.coalesce(F.col(primary).cast("string"), F.col(secondary).cast("string"))
     return df.withColumn(key, F.coalesce(key_text(k), F.lit(""))).withColumn("source", F.lit(source))
 
 

@@ -784,3 +784,241 @@ def q_html_valid(spark, sf_dir):
     from civiclens.sources.html import html_valid
 
     return html_valid(table(spark, sf_dir, "pages"))
+
+
+# ------------------------------------------------------- landed files (sources)
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from civiclens.session import scratch_path
+
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@register("scan_csv_limit")
+def q_scan_csv_limit(spark, sf_dir):
+    from civiclens.sources.files import scan_csv_limit
+
+    path = _scratch(spark, "customer-csv")
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("crash_record_id"), "c_name", "c_nationkey", "c_mktsegment"
+    )
+    c.write.mode("overwrite").option("header", True).csv(path)
+    return scan_csv_limit(spark, path, limit=0)
+
+
+@register("scan_newest_k")
+def q_scan_newest_k(spark, sf_dir):
+    from civiclens.sources.files import read_json, scan_newest_k
+
+    path = _scratch(spark, "orders-json")
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("crash_date")
+    )
+    o.write.mode("overwrite").json(path)
+    return scan_newest_k(read_json(spark, path), 100, "crash_date", "o_orderkey")
+
+
+@register("geojson_explode")
+def q_geojson_explode(spark, sf_dir):
+    from civiclens.sources.files import geojson_explode, read_geojson
+
+    e = table(spark, sf_dir, "events")
+    feature = F.struct(
+        F.concat(F.lit("ev"), F.col("event_id").cast("string")).alias("id"),
+        F.struct(
+            F.unix_millis(F.col("ts").cast("timestamp")).alias("time"),
+            F.when(F.col("event_type") == "signup", F.lit(None)).otherwise(F.col("value") / 10).alias("mag"),
+        ).alias("properties"),
+        F.when(
+            F.col("event_type") != "error",
+            F.struct(
+                F.array(F.col("value"), F.get_json_object("props", "$.k").cast("double"), F.col("user_id").cast("double")).alias("coordinates")
+            ),
+        ).alias("geometry"),
+    )
+    # one FeatureCollection per 100 consecutive events: every document is bounded
+    docs = e.groupBy(F.floor(F.col("event_id") / 100).alias("doc")).agg(
+        F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value")
+    )
+    path = _scratch(spark, "geojson")
+    docs.select("value").write.mode("overwrite").text(path)
+    g = geojson_explode(read_geojson(spark, path))
+    return g.select(
+        "id", "timestamp", F.col("location")[0].alias("lon"), F.col("location")[1].alias("lat"), F.col("location")[2].alias("depth"), "magnitude"
+    )
+
+
+@register("arcgis_explode")
+def q_arcgis_explode(spark, sf_dir):
+    from civiclens.sources.files import arcgis_explode
+
+    c = table(spark, sf_dir, "customer")
+    attrs = F.to_json(F.struct(F.struct("c_custkey", "c_name", "c_nationkey").alias("attributes")))
+    docs = c.groupBy(F.floor(F.col("c_custkey") / 50).alias("doc")).agg(
+        # non-object elements (a number, a null) are part of the landed layer
+        F.concat(F.lit('{"features":['), F.array_join(F.collect_list(attrs), ","), F.lit(',1,null]}')).alias("value")
+    )
+    path = _scratch(spark, "arcgis")
+    docs.select("value").write.mode("overwrite").text(path)
+    return arcgis_explode(spark.read.text(path), "value", "c_custkey bigint, c_name string, c_nationkey int")
+
+
+@register("nested_case_ids")
+def q_nested_case_ids(spark, sf_dir):
+    from civiclens.sources.files import nested_case_ids
+
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    case_number = F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, F.lit("")).otherwise(F.concat(F.lit(" A"), k.cast("string"), F.lit(" ")))
+    row = F.to_json(F.struct(case_number.alias("CaseNumber"), k.alias("StateCase")))
+    g = F.floor(k / 20)
+    docs = o.groupBy(g.alias("doc")).agg(F.array_join(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("r"))))["r"], ",").alias("rows"))
+    docs = docs.select(
+        "doc",
+        F.when(F.col("doc") % 2 == 0, F.concat(F.lit('{"Results":[['), F.col("rows"), F.lit("]]}")))
+        .otherwise(F.concat(F.lit('{"Results":['), F.col("rows"), F.lit("]}"))).alias("payload"),
+    )
+    return nested_case_ids(docs, "payload", ["doc"])
+
+
+@register("csv_from_text")
+def q_csv_from_text(spark, sf_dir):
+    from civiclens.sources.files import csv_from_text, header_of
+
+    o = table(spark, sf_dir, "orders")
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    docs = o.groupBy(F.col("o_custkey").alias("doc")).agg(
+        F.concat(F.lit("crash_join_id,status,priority\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("text")
+    )
+    return csv_from_text(docs, "text", header_of(docs, "text"), ["doc"])
+
+
+@register("drop_corrupt")
+def q_drop_corrupt(spark, sf_dir):
+    from civiclens.operators.mapping import drop_corrupt
+    from civiclens.sources.files import read_json
+
+    o = table(spark, sf_dir, "orders")
+    line = F.when(F.col("o_orderkey") % 10 == 0, F.lit("[1, 2, 3]")).otherwise(
+        F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderstatus"))
+    )
+    path = _scratch(spark, "ragged-json")
+    o.select(line.alias("value")).write.mode("overwrite").text(path)
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, _corrupt_record string"
+    return drop_corrupt(read_json(spark, path, schema))
+
+
+# ----------------------------------------------------------------- sinks
+
+@register("rows_to_json")
+def q_rows_to_json(spark, sf_dir):
+    from civiclens.sources.sinks import rows_to_json, write_json
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    path = _scratch(spark, "customer-json")
+    write_json(c, path)
+    return rows_to_json(spark.read.schema(c.schema).json(path))
+
+
+@register("sorted_union_columns")
+def q_sorted_union_columns(spark, sf_dir):
+    from civiclens.sources.files import read_csv_strings
+    from civiclens.sources.sinks import write_sorted_union
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("crash_join_id"), F.col("c_name").alias("name"), "c_mktsegment")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("crash_join_id"), F.col("s_name").alias("name"), "s_nationkey")
+    path = _scratch(spark, "sorted-union")
+    write_sorted_union([c, s], path)
+    return read_csv_strings(spark, path).na.fill("")
+
+
+@register("upsert_by_key")
+def q_upsert_by_key(spark, sf_dir):
+    from civiclens.sources.sinks import upsert_table
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    current = _scratch(spark, "store-v1")
+    o.filter(F.col("o_orderkey") % 3 != 0).write.mode("overwrite").parquet(current)
+    # two versions per updated key: the later one (seq 2) must win
+    upd = o.filter(F.col("o_orderkey") % 2 == 0)
+    updates = upd.withColumn("seq", F.lit(1)).unionByName(
+        upd.withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("seq", F.lit(2))
+    )
+    return upsert_table(spark, current, updates, "o_orderkey", ["seq"], _scratch(spark, "store-v2"))
+
+
+@register("typed_load")
+def q_typed_load(spark, sf_dir):
+    from civiclens.sources.sinks import typed_load
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    path = _scratch(spark, "orders-csv")
+    o.write.mode("overwrite").option("header", True).csv(path)
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string"
+    return typed_load(spark, path, schema, ["o_orderkey"])
+
+
+# ----------------------------------------------------------------- mappings
+
+@register("normalize_records")
+def q_normalize_records(spark, sf_dir):
+    from civiclens.operators.mapping import normalize_records
+
+    o = table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderkey") % 4 == 0, F.lit("")).when(F.col("o_orderkey") % 4 == 1, F.lit(None))
+        .otherwise(F.concat(F.lit("J"), F.col("o_orderkey").cast("string"))).alias("crash_join_id"),
+        F.col("o_orderkey").cast("string").alias("crash_record_id"),
+        F.col("o_orderdate").cast("string").alias("crash_date"),
+        (F.col("o_orderkey") % 7000).cast("string").alias("street_no"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit(" ")).otherwise(F.col("o_orderstatus")).alias("street_direction"),
+        F.col("o_orderpriority").alias("street_name"),
+    )
+    return normalize_records(o)
+
+
+@register("map_trim_key")
+def q_map_trim_key(spark, sf_dir):
+    from civiclens.operators.mapping import map_trim_key
+
+    c = table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 9 == 0, F.lit(None)).otherwise(F.concat(F.lit("  "), F.col("c_custkey").cast("string"), F.lit(" "))).alias("collision_id"),
+        "c_name",
+    )
+    return map_trim_key(c, "collision_id")
+
+
+@register("map_coalesce_key")
+def q_map_coalesce_key(spark, sf_dir):
+    from civiclens.operators.mapping import map_coalesce_key
+
+    c = table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit(" D"), F.col("c_custkey").cast("string"))).alias("crash_id"),
+        F.when(F.col("c_custkey") % 6 == 0, F.lit(None)).otherwise(F.col("c_custkey")).alias("OBJECTID"),
+        "c_name",
+    )
+    return map_coalesce_key(c, "crash_id", "OBJECTID", "detroit")
+
+
+@register("clean_ids")
+def q_clean_ids(spark, sf_dir):
+    from civiclens.operators.mapping import clean_ids
+
+    o = table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderkey") % 8 == 0, F.lit("   ")).otherwise(F.concat(F.lit(" "), F.col("o_orderkey").cast("string"))).alias("report_id")
+    )
+    return clean_ids(o, "report_id")
+
+
+@register("clean_phones")
+def q_clean_phones(spark, sf_dir):
+    from civiclens.operators.mapping import clean_phones
+
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("crash_join_id"),
+        F.when(F.col("c_custkey") % 7 == 0, F.lit("n/a")).otherwise(F.format_string("555-%03d-%04d", F.col("c_nationkey"), F.col("c_custkey"))).alias("driver_phone"),
+        F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).otherwise(F.format_string("(555) %03d.%04d", F.col("c_nationkey"), F.col("c_custkey") % 10000)).alias("owner_phone"),
+        "c_name",
+    )
+    return clean_phones(c)

@@ -237,7 +237,7 @@ SELECT range_no, report_id FROM j WHERE rn <= lim
 _PROFILE_FRAME = """
 f AS (
   SELECT event_type, CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_id END AS crash_join_id, ts AS crash_date,
-         epoch_ms(epoch_ms(ts) + CAST(trunc((value - 10) * 3600000) AS BIGINT)) AS date_police_notified,
+         epoch_ms(epoch_us(ts) // 1000 + CAST(trunc((value - 10) * 3600000) AS BIGINT)) AS date_police_notified,
          TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS latitude,
          CASE WHEN user_id % 5 = 0 THEN NULL ELSE value END AS longitude,
          CASE WHEN event_id % 4 = 0 THEN NULL ELSE user_id % 3 END AS injuries_total,
@@ -601,3 +601,97 @@ SELECT COALESCE(crash_join_id, '') AS crash_join_id, COALESCE(crash_date, '') AS
        'https://www.chicago.gov/city/en/depts/fss/supp_info/victim-services.html' AS resource_victim_services
 FROM k WHERE rk >= 2
 """
+
+ORACLE["scan_csv_limit"] = """
+SELECT CAST(c_custkey AS VARCHAR) AS crash_record_id, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment,
+       CAST(c_custkey AS VARCHAR) AS crash_join_id FROM customer
+"""
+
+ORACLE["scan_newest_k"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') AS crash_date
+FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100
+"""
+
+ORACLE["geojson_explode"] = """
+SELECT 'ev' || CAST(event_id AS VARCHAR) AS id, epoch_us(ts) // 1000 AS "timestamp",
+       CASE WHEN event_type <> 'error' THEN value END AS lon,
+       CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS lat,
+       CASE WHEN event_type <> 'error' THEN CAST(user_id AS DOUBLE) END AS depth,
+       CASE WHEN event_type = 'signup' THEN NULL ELSE value / 10 END AS magnitude
+FROM events
+"""
+
+ORACLE["arcgis_explode"] = "SELECT c_custkey, c_name, c_nationkey FROM customer"
+
+ORACLE["nested_case_ids"] = """
+SELECT CAST(floor(o_orderkey / 20) AS BIGINT) AS doc,
+       CAST(row_number() OVER (PARTITION BY floor(o_orderkey / 20) ORDER BY o_orderkey) - 1 AS INTEGER) AS pos,
+       CASE WHEN o_orderkey % 3 = 2 THEN 'A' || CAST(o_orderkey AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END AS case_id
+FROM orders
+"""
+
+ORACLE["csv_from_text"] = """
+SELECT o_custkey AS doc, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY
+         CAST(o_orderkey AS VARCHAR) || ',' || o_orderstatus || ',' || o_orderpriority) AS INTEGER) AS line_no,
+       CAST(o_orderkey AS VARCHAR) AS crash_join_id, o_orderstatus AS status, o_orderpriority AS priority
+FROM orders
+"""
+
+ORACLE["drop_corrupt"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0"
+
+ORACLE["rows_to_json"] = """
+SELECT '{"c_custkey":' || CAST(c_custkey AS VARCHAR) || ',"c_name":"' || c_name || '","c_nationkey":'
+       || CAST(c_nationkey AS VARCHAR) || ',"c_mktsegment":"' || c_mktsegment || '"}' AS json FROM customer
+"""
+
+ORACLE["sorted_union_columns"] = """
+SELECT c_mktsegment, CAST(c_custkey AS VARCHAR) AS crash_join_id, c_name AS name, '' AS s_nationkey FROM customer
+UNION ALL
+SELECT '' AS c_mktsegment, CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey AS VARCHAR) FROM supplier
+"""
+
+ORACLE["upsert_by_key"] = """
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0
+UNION ALL
+SELECT o_orderkey, o_orderstatus, o_totalprice + 1 FROM orders WHERE o_orderkey % 2 = 0
+"""
+
+ORACLE["typed_load"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders"
+
+ORACLE["normalize_records"] = """
+SELECT COALESCE(NULLIF(CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 1 THEN NULL ELSE 'J' || CAST(o_orderkey AS VARCHAR) END, ''),
+                NULLIF(CAST(o_orderkey AS VARCHAR), '')) AS crash_join_id,
+       CAST(o_orderdate AS VARCHAR) AS crash_date,
+       NULLIF(concat_ws(' ', NULLIF(trim(CAST(o_orderkey % 7000 AS VARCHAR)), ''),
+                        NULLIF(trim(CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE o_orderstatus END), ''),
+                        NULLIF(trim(o_orderpriority), '')), '') AS address,
+       'Pending' AS status
+FROM orders
+"""
+
+ORACLE["map_trim_key"] = """
+SELECT CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE '  ' || CAST(c_custkey AS VARCHAR) || ' ' END AS collision_id, c_name,
+       CASE WHEN c_custkey % 9 = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS crash_join_id
+FROM customer
+"""
+
+ORACLE["map_coalesce_key"] = """
+SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE ' D' || CAST(c_custkey AS VARCHAR) END AS crash_id,
+       CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_custkey END AS OBJECTID, c_name,
+       COALESCE(trim(CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END
+                          ELSE ' D' || CAST(c_custkey AS VARCHAR) END), '') AS crash_join_id,
+       'detroit' AS source
+FROM customer
+"""
+
+ORACLE["clean_ids"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS report_id FROM orders WHERE o_orderkey % 8 <> 0
+"""
+
+ORACLE["clean_phones"] = """
+SELECT c_custkey AS crash_join_id,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE printf('555%03d%04d', c_nationkey, c_custkey) END AS driver_phone,
+       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE printf('555%03d%04d', c_nationkey, c_custkey % 10000) END AS owner_phone,
+       c_name
+FROM customer
+"""
