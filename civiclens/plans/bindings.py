@@ -1022,3 +1022,108 @@ def q_clean_phones(spark, sf_dir):
         "c_name",
     )
     return clean_phones(c)
+
+
+# --------------------------------------------------------------- case catalogue
+
+def accidents(spark, sf_dir):
+    """orders as accident cases: state = customer nation, county = segment,
+    vehicles = line items."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("vehicles"))
+    return (
+        o.join(c, o.o_custkey == c.c_custkey)
+        .join(li, o.o_orderkey == li.l_orderkey, "left")
+        .select(
+            F.col("o_orderkey").alias("st_case"),
+            F.col("c_nationkey").alias("state"),
+            F.year("o_orderdate").alias("year"),
+            F.col("c_mktsegment").alias("county"),
+            F.coalesce(F.col("vehicles"), F.lit(0)).alias("vehicles"),
+            F.col("o_orderpriority").alias("make"),
+            F.col("o_orderstatus").alias("model"),
+            F.col("o_totalprice").alias("body_value"),
+        )
+    )
+
+
+def persons(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("st_case"),
+        F.col("l_quantity").cast("int").alias("age"),
+        F.col("l_returnflag").alias("sex"),
+        F.col("l_linenumber").alias("seat_pos"),
+        F.col("l_linestatus").alias("injury_severity"),
+        (F.col("l_linenumber") <= 4).alias("occupant"),
+    )
+
+
+@register("case_list")
+def q_case_list(spark, sf_dir):
+    from civiclens.operators.catalogue import case_list
+
+    return case_list(accidents(spark, sf_dir), "st_case", "state", "year", "vehicles", 7, 1997, 1997, 1)
+
+
+@register("case_details")
+def q_case_details(spark, sf_dir):
+    from civiclens.operators.catalogue import case_details
+
+    return case_details(accidents(spark, sf_dir), {"state": 3, "year": 1998, "county": "BUILDING"})
+
+
+@register("search_by_person")
+def q_search_by_person(spark, sf_dir):
+    from civiclens.operators.catalogue import search_by_person
+
+    return search_by_person(
+        accidents(spark, sf_dir), persons(spark, sf_dir), "st_case", {"sex": "R", "injury_severity": "F", "age": 25},
+        "year", 1995, 1999, "state", None, "occupant", include_occupants=True, include_non_occupants=False,
+    ).select("st_case", "state", "year")
+
+
+@register("search_by_location")
+def q_search_by_location(spark, sf_dir):
+    from civiclens.operators.catalogue import search_by_location
+
+    return search_by_location(accidents(spark, sf_dir), "year", 1996, 1998, "state", 12, "county", "MACHINERY").select(
+        "st_case", "state", "year", "county"
+    )
+
+
+@register("variable_catalogue")
+def q_variable_catalogue(spark, sf_dir):
+    from civiclens.operators.catalogue import variable_catalogue
+
+    return variable_catalogue(accidents(spark, sf_dir).drop("st_case"), "year")
+
+
+@register("attribute_domain")
+def q_attribute_domain(spark, sf_dir):
+    from civiclens.operators.catalogue import attribute_domain
+
+    return attribute_domain(accidents(spark, sf_dir), "make")
+
+
+@register("attribute_domain_scoped")
+def q_attribute_domain_scoped(spark, sf_dir):
+    from civiclens.operators.catalogue import attribute_domain
+
+    return attribute_domain(accidents(spark, sf_dir), "model", {"make": "1-URGENT"})
+
+
+@register("attribute_domain_scoped2")
+def q_attribute_domain_scoped2(spark, sf_dir):
+    from civiclens.operators.catalogue import attribute_domain
+
+    return attribute_domain(accidents(spark, sf_dir), "county", {"make": "2-HIGH", "model": "F"})
+
+
+@register("dataset_slice")
+def q_dataset_slice(spark, sf_dir):
+    from civiclens.operators.catalogue import dataset_slice, write_partitioned
+
+    path = _scratch(spark, "accidents-by-year-state")
+    write_partitioned(accidents(spark, sf_dir).select("st_case", "vehicles", "make", "year", "state"), path, ["year", "state"])
+    return dataset_slice(spark, path, "year", 1996, 1997, "state", 5, "csv")

@@ -695,3 +695,43 @@ SELECT c_custkey AS crash_join_id,
        c_name
 FROM customer
 """
+
+_ACC = """
+acc AS (SELECT o.o_orderkey AS st_case, c.c_nationkey AS state, year(o.o_orderdate) AS year, c.c_mktsegment AS county,
+               COALESCE(v.vehicles, 0) AS vehicles, o.o_orderpriority AS make, o.o_orderstatus AS model, o.o_totalprice AS body_value
+        FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+        LEFT JOIN (SELECT l_orderkey, count(*) AS vehicles FROM lineitem GROUP BY 1) v ON o.o_orderkey = v.l_orderkey),
+per AS (SELECT l_orderkey AS st_case, CAST(l_quantity AS INTEGER) AS age, l_returnflag AS sex, l_linenumber AS seat_pos,
+               l_linestatus AS injury_severity, l_linenumber <= 4 AS occupant FROM lineitem)
+"""
+
+ORACLE["case_list"] = f"WITH {_ACC} SELECT st_case FROM acc WHERE state = 7 AND year BETWEEN 1997 AND 1997 AND vehicles >= 1"
+ORACLE["case_details"] = f"WITH {_ACC} SELECT * FROM acc WHERE state = 3 AND year = 1998 AND county = 'BUILDING'"
+ORACLE["search_by_person"] = f"""
+WITH {_ACC} SELECT st_case, state, year FROM acc WHERE year BETWEEN 1995 AND 1999
+AND st_case IN (SELECT st_case FROM per WHERE sex = 'R' AND injury_severity = 'F' AND age = 25 AND occupant)
+"""
+ORACLE["search_by_location"] = f"""
+WITH {_ACC} SELECT st_case, state, year, county FROM acc WHERE year BETWEEN 1996 AND 1998 AND state = 12 AND county = 'MACHINERY'
+"""
+ORACLE["variable_catalogue"] = f"""
+WITH {_ACC}
+SELECT year, variable, count(value) AS non_null, any_value(dt) AS data_type FROM (
+  SELECT year, 'state' AS variable, CAST(state AS VARCHAR) AS value, 'int' AS dt FROM acc
+  UNION ALL SELECT year, 'county', county, 'string' FROM acc
+  UNION ALL SELECT year, 'vehicles', CAST(vehicles AS VARCHAR), 'bigint' FROM acc
+  UNION ALL SELECT year, 'make', make, 'string' FROM acc
+  UNION ALL SELECT year, 'model', model, 'string' FROM acc
+  UNION ALL SELECT year, 'body_value', CAST(body_value AS VARCHAR), 'double' FROM acc) GROUP BY 1, 2
+"""
+ORACLE["attribute_domain"] = f"WITH {_ACC} SELECT make AS value, count(*) AS n FROM acc WHERE make IS NOT NULL GROUP BY 1"
+ORACLE["attribute_domain_scoped"] = f"""
+WITH {_ACC} SELECT model AS value, count(*) AS n FROM acc WHERE make = '1-URGENT' AND model IS NOT NULL GROUP BY 1
+"""
+ORACLE["attribute_domain_scoped2"] = f"""
+WITH {_ACC} SELECT county AS value, count(*) AS n FROM acc WHERE make = '2-HIGH' AND model = 'F' AND county IS NOT NULL GROUP BY 1
+"""
+ORACLE["dataset_slice"] = f"""
+WITH {_ACC} SELECT CAST(st_case AS VARCHAR) || ',' || CAST(vehicles AS VARCHAR) || ',' || make || ',' || CAST(year AS VARCHAR) || ',' || CAST(state AS VARCHAR) AS line
+FROM acc WHERE year BETWEEN 1996 AND 1997 AND state = 5
+"""
