@@ -1127,3 +1127,60 @@ def q_dataset_slice(spark, sf_dir):
     path = _scratch(spark, "accidents-by-year-state")
     write_partitioned(accidents(spark, sf_dir).select("st_case", "vehicles", "make", "year", "state"), path, ["year", "state"])
     return dataset_slice(spark, path, "year", 1996, 1997, "state", 5, "csv")
+
+
+# ---------------------------------------------------------------- streaming
+
+def _events_stream(spark, sf_dir):
+    from civiclens.streaming.jobs import file_stream
+
+    schema = table(spark, sf_dir, "events").schema
+    return file_stream(spark, sf_dir, schema, glob="events.parquet")
+
+
+@register("stream_keep_first")
+def q_stream_keep_first(spark, sf_dir):
+    from civiclens.streaming.jobs import keep_first_stream, to_parquet
+
+    out, ckpt = _scratch(spark, "t01-out"), _scratch(spark, "t01-ckpt")
+    s = keep_first_stream(_events_stream(spark, sf_dir), ["user_id", "event_type"], "ts", "1 hour")
+    to_parquet(s.select("user_id", "event_type"), out, ckpt)
+    return spark.read.parquet(out)
+
+
+@register("stream_upsert")
+def q_stream_upsert(spark, sf_dir):
+    from civiclens.streaming.jobs import file_stream, upsert_stream
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    v0 = _scratch(spark, "t02-v0")
+    o.filter(F.col("o_orderkey") % 3 != 0).write.mode("overwrite").parquet(v0)
+    landing = _scratch(spark, "t02-landing")
+    upd = o.filter(F.col("o_orderkey") % 2 == 0)
+    upd.withColumn("seq", F.lit(1)).unionByName(
+        upd.withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("seq", F.lit(2))
+    ).write.mode("overwrite").parquet(landing)
+    schema = "o_orderkey bigint, o_orderstatus string, o_totalprice double, seq int"
+    q = upsert_stream(file_stream(spark, landing, schema), _scratch(spark, "t02-table"), "o_orderkey", ["seq"], _scratch(spark, "t02-ckpt"), v0)
+    return spark.read.parquet(q.current_table)
+
+
+@register("stream_token_bucket")
+def q_stream_token_bucket(spark, sf_dir):
+    from civiclens.streaming.jobs import to_parquet, token_bucket_stream
+
+    s = _events_stream(spark, sf_dir).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
+    out, ckpt = _scratch(spark, "t03-out"), _scratch(spark, "t03-ckpt")
+    tb = token_bucket_stream(s, "user_id", ["t_us", "event_id"], "t_us", capacity=3, refill_per_s=1 / 14400, out_cols=["event_id"])
+    to_parquet(tb, out, ckpt)
+    return spark.read.parquet(out)
+
+
+@register("stream_window_counts")
+def q_stream_window_counts(spark, sf_dir):
+    from civiclens.streaming.jobs import sliding_segment_counts, to_parquet
+
+    out, ckpt = _scratch(spark, "t04-out"), _scratch(spark, "t04-ckpt")
+    s = sliding_segment_counts(_events_stream(spark, sf_dir), "ts", F.col("event_type"), "7 days", "1 day", "1 day")
+    to_parquet(s, out, ckpt)
+    return spark.read.parquet(out)

@@ -735,3 +735,13 @@ ORACLE["dataset_slice"] = f"""
 WITH {_ACC} SELECT CAST(st_case AS VARCHAR) || ',' || CAST(vehicles AS VARCHAR) || ',' || make || ',' || CAST(year AS VARCHAR) || ',' || CAST(state AS VARCHAR) AS line
 FROM acc WHERE year BETWEEN 1996 AND 1997 AND state = 5
 """
+
+ORACLE["stream_keep_first"] = "SELECT DISTINCT user_id, event_type FROM events"
+ORACLE["stream_upsert"] = ORACLE["upsert_by_key"]
+ORACLE["stream_token_bucket"] = ORACLE["token_bucket_delay"]
+ORACLE["stream_window_counts"] = """
+WITH w AS (SELECT event_type AS segment, date_trunc('day', ts) - to_days(CAST(unnest(range(0, 7)) AS INTEGER)) AS window_start FROM events)
+SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, segment, count(*) AS crash_count FROM w
+WHERE window_start + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY
+GROUP BY 1, 2, 3
+"""
