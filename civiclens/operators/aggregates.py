@@ -51,6 +51,7 @@ def topk_values_per_group(
     k: int = 3,
     exclude_upper: Sequence[str] | None = None,
     out_col: str = "top_values",
+    count_col: str | None = None,
 ) -> DataFrame:
     """The ``k`` most frequent non-null values per group.
 
@@ -58,12 +59,14 @@ def topk_values_per_group(
     upper-cased text is in the list (G03).  The window runs on the already
     aggregated (group, value) counts and Spark adds a partial window-group
     limit before its shuffle, so at most ``k`` rows per group and mapper move.
+    ``count_col`` takes pre-aggregated counts (rows are summed instead of counted).
     """
     v = F.col(value_col)
     base = df.filter(v.isNotNull())
     if exclude_upper:
         base = base.filter(~F.upper(v.cast("string")).isin([e.upper() for e in exclude_upper]))
-    counts = base.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.sum(count_col) if count_col else F.count(F.lit(1))
+    counts = base.groupBy(*group_cols, value_col).agg(n.alias("_n"))
     w = Window.partitionBy(*group_cols).orderBy(F.desc("_n"), F.asc(value_col))
     ranked = counts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
     return ranked.groupBy(*group_cols).agg(

@@ -6,7 +6,7 @@ per-segment top-k lists are hash aggregations joined on the segment key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiclens.functions.exprs import (
@@ -20,7 +20,6 @@ from civiclens.functions.exprs import (
     to_double,
     upper_trim_default,
 )
-from civiclens.operators.aggregates import topk_values_per_group
 
 # --------------------------------------------------------------------------
 # Fixed values (must equal the reference's texts and thresholds).
@@ -126,25 +125,42 @@ def hotspot_clusters(
     inj = F.coalesce(to_double(injuries), F.lit(0.0)) if injuries in cols else F.lit(0.0)
     fat = F.coalesce(to_double(fatal), F.lit(0.0)) if fatal in cols else F.lit(0.0)
 
+    # One scan, one shuffle of partial aggregates: every row contributes to its
+    # segment total (kind 0), its cause (kind 1) and its defect (kind 2).  The
+    # per-(segment, kind) ranking runs on aggregated rows only, and the final
+    # fold collects at most ``top_k`` values per list.
+    cause_c = F.col(cause).cast("string") if cause in cols else F.lit(None).cast("string")
+    defect_c = F.col(defect).cast("string") if defect in cols else F.lit(None).cast("string")
+    kinds = F.array(
+        F.struct(F.lit(0).alias("k"), F.lit(None).cast("string").alias("v")),
+        F.struct(F.lit(1).alias("k"), cause_c.alias("v")),
+        F.struct(F.lit(2).alias("k"), defect_c.alias("v")),
+    )
+    keys = ["_segment", "_block", "_street"]
+    x = work.select(*keys, inj.alias("_i"), fat.alias("_f"), F.explode(kinds).alias("_kv"))
+    agg = x.groupBy(*keys, F.col("_kv.k").alias("_k"), F.col("_kv.v").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_i").alias("_inj"), F.sum("_f").alias("_fat")
+    )
+    excluded = F.upper(F.col("_v")).isin([e.upper() for e in DEFECT_EXCLUSIONS])
+    agg = agg.filter((F.col("_k") == 0) | (F.col("_v").isNotNull() & ((F.col("_k") == 1) | ~excluded)))
+    w = Window.partitionBy("_segment", "_k").orderBy(F.desc("_n"), F.asc("_v"))
+    ranked = agg.withColumn("_rn", F.row_number().over(w)).filter((F.col("_k") == 0) | (F.col("_rn") <= top_k))
+
+    def top(kind: int) -> Column:
+        items = F.array_sort(F.collect_list(F.when(F.col("_k") == kind, F.struct(F.col("_rn"), F.col("_v")))))
+        return F.transform(items, lambda e: e["_v"])
+
     seg = (
-        work.groupBy("_segment", "_block", "_street")
+        ranked.groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).alias("crash_count"),
-            F.sum(inj).cast("bigint").alias("injury_count"),
-            F.sum(fat).cast("bigint").alias("fatal_count"),
+            F.sum(F.when(F.col("_k") == 0, F.col("_n"))).alias("crash_count"),
+            F.sum(F.when(F.col("_k") == 0, F.col("_inj"))).cast("bigint").alias("injury_count"),
+            F.sum(F.when(F.col("_k") == 0, F.col("_fat"))).cast("bigint").alias("fatal_count"),
+            top(1).alias("contributing_causes"),
+            top(2).alias("road_defects"),
         )
         .filter(F.col("crash_count") >= min_crashes)
     )
-    if cause in cols:
-        causes = topk_values_per_group(work, ["_segment"], cause, top_k, out_col="contributing_causes")
-        seg = seg.join(causes, "_segment", "left")
-    else:
-        seg = seg.withColumn("contributing_causes", F.lit(None).cast("array<string>"))
-    if defect in cols:
-        defects = topk_values_per_group(work, ["_segment"], defect, top_k, DEFECT_EXCLUSIONS, out_col="road_defects")
-        seg = seg.join(defects, "_segment", "left")
-    else:
-        seg = seg.withColumn("road_defects", F.lit(None).cast("array<string>"))
 
     score = cluster_score(F.col("crash_count"), F.col("injury_count"), F.col("fatal_count"), injury_weight, fatal_weight)
     empty = F.array().cast("array<string>")

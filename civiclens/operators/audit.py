@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from civiclens.functions.exprs import digits_as_number, literal_map, py_fixed, py_round, redact
 from civiclens.operators.joins import first_k_per_group
+from civiclens.plans.parallel import spread
 from civiclens.plans.scan import previous_value
 
 # --------------------------------------------------------------------------
@@ -182,7 +183,7 @@ def pii_scan(
     )
     # One regexp_extract_all per pattern, all in one projection over the scan.
     matches = F.array(*[F.regexp_extract_all(F.col(text_col), F.lit(java_pattern(p, ic)), 0) for _n, p, _s, ic in patterns])
-    per = texts.select(
+    per = spread(texts).select(
         F.col(source_col).alias("source_url"),
         F.posexplode(F.arrays_zip(spec.alias("p"), matches.alias("m"))).alias("_i", "_z"),
     )

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from civiclens.functions.exprs import col, date_part10, normalize_address, strip_ws
 from civiclens.plans.broadcast import maybe_broadcast
+from civiclens.plans.parallel import spread
 
 KEY_CHAIN = ("crash_join_id", "crash_record_id", "crash_id", "rd")
 
@@ -54,17 +55,19 @@ def fuzzy_join(
     The match depends only on (date, normalised address), so it is computed once
     per distinct left key:
 
-    * right is a prefix of left: explode the left key into its prefixes and
-      equi-join with the right side reduced to the first row per (date, address);
-    * left is a prefix of right: explode the right side into its prefixes,
-      reduce to the first row per (date, prefix), equi-join on the left address.
+    * right is a prefix of left: cut the left key at every right-address length
+      seen on that date and equi-join with the right side reduced to the first
+      row per (date, address);
+    * left is a prefix of right: cut right addresses at every left-address
+      length seen on that date, reduce to the first row per (date, prefix),
+      equi-join on the left address.
 
     Both reductions are ``min`` aggregates with a map-side phase, so a busy date
     or a common prefix never produces more than one candidate per left key and
     prefix length.
     """
     order = F.struct(*[col(c) for c in order_cols])
-    right = crashes.select(
+    right = spread(crashes).select(
         date_part10(crash_date).alias("_d"),
         normalize_address(_truthy_parts_address(address_parts)).alias("_a"),
         F.struct(
@@ -81,16 +84,26 @@ def fuzzy_join(
         .distinct()
     )
 
+    # Only prefix lengths that occur on the other side for the same date are
+    # generated: (date, length) sets are small, and AQE broadcasts them at run
+    # time when their measured size allows.
+    right_lens = right.select("_d", F.length("_a").alias("_L")).distinct()
+    left_lens = left_keys.select("_d", F.length("_a").alias("_L")).distinct()
+
     # right address is a prefix of (or equal to) the left address
     right_full = right.groupBy("_d", "_a").agg(F.min("_m").alias("_m"))
-    left_prefixes = left_keys.select("_d", "_a", F.explode(_prefixes(F.col("_a"))).alias("_p"))
-    m1 = left_prefixes.join(
-        right_full.withColumnRenamed("_a", "_p"), ["_d", "_p"]
-    ).select("_d", "_a", "_m")
+    left_prefixes = (
+        left_keys.join(right_lens, "_d")
+        .filter(F.col("_L") <= F.length("_a"))
+        .select("_d", "_a", F.substring("_a", F.lit(1), F.col("_L")).alias("_p"))
+    )
+    m1 = left_prefixes.join(right_full.withColumnRenamed("_a", "_p"), ["_d", "_p"]).select("_d", "_a", "_m")
 
     # left address is a prefix of the right address
     right_prefixes = (
-        right.select("_d", F.explode(_prefixes(F.col("_a"))).alias("_a"), "_m")
+        right.join(left_lens, "_d")
+        .filter(F.col("_L") <= F.length("_a"))
+        .select("_d", F.substring("_a", F.lit(1), F.col("_L")).alias("_a"), "_m")
         .groupBy("_d", "_a")
         .agg(F.min("_m").alias("_m"))
     )

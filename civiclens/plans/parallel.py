@@ -1,0 +1,19 @@
+"""Parallelism guard for per-row-heavy stages.
+
+A table stored as one large row group scans as a single task.  Before work
+that is expensive per row (regex scans, HTML parsing, prefix explosion) the
+input is spread round-robin over the cluster, but only when it has fewer
+partitions than the session's default parallelism; a large input (many
+splits) is left untouched, so no extra shuffle is added at scale.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
