@@ -241,8 +241,8 @@ def calendar_parts(ts: ColumnOrName) -> list[Column]:
 
 
 def percent_text(c: ColumnOrName, decimals: int = 1) -> Column:
-    """X23 ``{:.1%}``: half-even rounding first, then fixed formatting."""
-    return F.concat(F.format_string(f"%.{decimals}f", F.bround(col(c) * 100, decimals)), F.lit("%"))
+    """X23 ``{:.1%}`` (Python rounding of the exact value)."""
+    return F.concat(py_fixed(col(c) * 100, decimals), F.lit("%"))
 
 
 def py_fixed(c: ColumnOrName, decimals: int) -> Column:

@@ -144,7 +144,9 @@ def hotspot_clusters(
     excluded = F.upper(F.col("_v")).isin([e.upper() for e in DEFECT_EXCLUSIONS])
     agg = agg.filter((F.col("_k") == 0) | (F.col("_v").isNotNull() & ((F.col("_k") == 1) | ~excluded)))
     w = Window.partitionBy("_segment", "_k").orderBy(F.desc("_n"), F.asc("_v"))
-    ranked = agg.withColumn("_rn", F.row_number().over(w)).filter((F.col("_k") == 0) | (F.col("_rn") <= top_k))
+    # kind-0 rows are alone in their window (rank 1), so a plain rank filter
+    # keeps them and lets Spark add a partial window-group limit before the shuffle
+    ranked = agg.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max(1, top_k))
 
     def top(kind: int) -> Column:
         items = F.array_sort(F.collect_list(F.when(F.col("_k") == kind, F.struct(F.col("_rn"), F.col("_v")))))
