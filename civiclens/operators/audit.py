@@ -254,18 +254,32 @@ def sequence_signature(
     name_col: str,
     watch: Sequence[str],
     session_order: Sequence[str] | None = None,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """signature = event names of a session joined with '-' in event order;
     a session is flagged when any name is in ``watch``; only the first flagged
     session (in ``session_order``) per signature is kept.
+
+    ``bucket`` (non-decreasing in the event order, e.g. the hour of the event)
+    builds the signature in two levels: ordered pieces per (session, bucket),
+    then the pieces in bucket order, so raw events are only gathered per bucket.
     """
     s = list(session_cols)
     so = list(session_order or s)
-    per = events.groupBy(*s).agg(
-        F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order_cols], F.col(name_col).alias("_name")))).alias("_ev"),
+    ev = events.withColumn("_b", bucket if bucket is not None else F.lit(0))
+    ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order_cols], F.coalesce(F.col(name_col), F.lit("")).alias("_name"))))
+    pieces = ev.groupBy(*s, "_b").agg(
+        F.array_join(F.transform(ordered, lambda x: x["_name"]), "-").alias("_piece"),
+        F.count(F.lit(1)).alias("_n"),
         F.max(F.col(name_col).isin(list(watch)).cast("int")).alias("_flag"),
     )
-    per = per.withColumn("signature", F.array_join(F.transform("_ev", lambda x: F.coalesce(x["_name"], F.lit(""))), "-"))
-    flagged = per.filter(F.col("_flag") == 1).withColumn("n_events", F.size("_ev")).drop("_ev", "_flag")
-    first = flagged.groupBy("signature").agg(F.min(F.struct(*[F.col(c) for c in so], *[F.col(c).alias(f"_s_{c}") for c in s], "n_events")).alias("_m"))
+    per = pieces.groupBy(*s).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_piece"))), lambda x: x["_piece"]), "-").alias("signature"),
+        F.sum("_n").alias("n_events"),
+        F.max("_flag").alias("_flag"),
+    )
+    flagged = per.filter(F.col("_flag") == 1).drop("_flag")
+    first = flagged.groupBy("signature").agg(
+        F.min(F.struct(*[F.col(c) for c in so], *[F.col(c).alias(f"_s_{c}") for c in s], "n_events")).alias("_m")
+    )
     return first.select("signature", *[F.col(f"_m._s_{c}").alias(c) for c in s], F.col("_m.n_events").alias("n_events"))

@@ -525,7 +525,9 @@ def q_sequence_signature(spark, sf_dir):
     from civiclens.operators.audit import sequence_signature
 
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    return sequence_signature(e, ["user_id", "day"], ["ts", "event_id"], "event_type", ["error", "purchase"], ["day", "user_id"])
+    return sequence_signature(
+        e, ["user_id", "day"], ["ts", "event_id"], "event_type", ["error", "purchase"], ["day", "user_id"], bucket=F.hour("ts")
+    )
 
 
 # -------------------------------------------------------------------- rates

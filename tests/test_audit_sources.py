@@ -193,3 +193,71 @@ def test_python_rounding(spark):
     assert [r.r1 for r in got] == [round(v, 1) for v in vals]
     assert [r.r2 for r in got] == [round(v, 2) for v in vals]
     assert [r.f for r in got] == [f"{v:.1f}" for v in vals]
+
+
+def test_sequence_signature_two_level(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, f"s{rnd.randrange(5)}", rnd.randrange(0, 500), rnd.choice(["a", "b", "error"])) for i in range(400)]
+    ev = spark.createDataFrame(rows, "id int, session string, t int, name string")
+    one = {(r.signature, r.session) for r in audit.sequence_signature(ev, ["session"], ["t", "id"], "name", ["error"]).collect()}
+    two = {(r.signature, r.session) for r in audit.sequence_signature(ev, ["session"], ["t", "id"], "name", ["error"], bucket=F.floor(F.col("t") / 37)).collect()}
+    assert one == two and len(one) >= 1
+
+
+def test_expression_helpers(spark):
+    df = spark.createDataFrame([("POINT (-87.6 41.8)", " a, b ,,c ", "https://x", "2024-03-03 21:15:00", 0.125)], "p string, l string, u string, ts string, r double")
+    r = df.select(
+        X.wkt_point("p").alias("pt"), X.comma_list("l").alias("l"), X.is_url("u").alias("u"), X.percent_text("r").alias("pct"),
+        *X.calendar_parts(X.parse_ts("ts")),
+        X.join_address(F.lit(" 1 "), F.lit(None), F.lit("nan"), drop_nan=True).alias("addr"),
+        X.two_way_prefix(F.lit("abc"), F.lit("ab")).alias("pre"), X.first_truthy(F.lit(""), F.lit("b")).alias("ft"),
+    ).first()
+    assert (r.pt.lon, r.pt.lat) == (-87.6, 41.8) and r.l == ["a", "b", "c"] and r.u is True
+    assert r.pct == "12.5%" and (r.crash_hour, r.crash_day_of_week, r.crash_month) == (21, 1, 3)
+    assert r.addr == "1" and r.pre is True and r.ft == "b"
+
+
+def test_catalogues_and_config(spark, tmp_path):
+    p1 = tmp_path / "crashes.json"
+    p1.write_text(json.dumps([{"name": "Crash Date", "fieldName": "crash_date", "dataTypeName": "calendar_date"}, {"fieldName": "x"}]))
+    p2 = tmp_path / "vehicles.json"
+    p2.write_text(json.dumps([{"name": "Unit", "fieldName": "unit_no", "dataTypeName": "number", "description": "d"}]))
+    c1 = files.column_catalogue(spark, str(p1))
+    rows = sorted((r.name, r.fieldName, r.dataTypeName, r.description) for r in c1.collect())
+    assert rows == [("", "x", "", ""), ("Crash Date", "crash_date", "calendar_date", "")]
+    comb = files.combined_catalogue({"crashes": c1, "vehicles": files.column_catalogue(spark, str(p2))})
+    counts = {r.dataset: r.columns_in_dataset for r in comb.collect()}
+    assert counts == {"crashes": 2, "vehicles": 1}
+    profiles = spark.createDataFrame([("stl", None, " 1, ,2 "), ("kc", "KCPD", "9")], "key string, agency string, seed_ids string")
+    seeds = files.profile_seeds(profiles, "stl").collect()
+    assert [(r.agency, r.seed_id) for r in seeds] == [("stl", "1"), ("stl", "2")]
+    with pytest.raises(KeyError):
+        files.profile_seeds(profiles, "nowhere")
+    sched = spark.createDataFrame([("Chicago", "0 * * * *"), ("NYC", "*/15 * * * *")], "city string, cron string")
+    assert files.schedule_lookup(sched, "chicago").first().cron == "0 * * * *"
+    assert files.schedule_lookup(sched).count() == 2
+    with pytest.raises(KeyError):
+        files.schedule_lookup(sched, "paris")
+
+
+def test_sinks(spark, tmp_path):
+    from civiclens.sources import sinks
+
+    a = spark.createDataFrame([("1", "x")], "crash_join_id string, b string")
+    b = spark.createDataFrame([("2", "y")], "crash_join_id string, a string")
+    assert sinks.sorted_union([a, b]).columns == ["a", "b", "crash_join_id"]
+    assert sinks.write_sorted_union([a.limit(0)], str(tmp_path / "none")) == 0
+    assert sinks.write_sorted_union([a, b], str(tmp_path / "u")) == 2
+    assert sinks.write_json(a, str(tmp_path / "j")) == 1
+    csv = tmp_path / "typed.csv"
+    csv.write_text("id,v\n1,a\n1,b\n")
+    with pytest.raises(ValueError):
+        sinks.typed_load(spark, str(csv), "id int, v string", ["id"])
+    bad = tmp_path / "bad.csv"
+    bad.write_text("id,v\nx,a\n")
+    with pytest.raises(Exception):
+        sinks.typed_load(spark, str(bad), "id int, v string", ["id"])
+    with pytest.raises(ValueError):
+        sinks.upsert_table(spark, str(tmp_path / "t"), a, "crash_join_id", ["b"], str(tmp_path / "t"))
