@@ -98,19 +98,25 @@ def kpi_summary(
 ) -> DataFrame:
     """Count, injury and fatal sums, most common damage (first 20 chars).
 
-    Absent columns give 0 / 'N/A' as on the dashboard.  The mode is
-    deterministic: ties go to the smallest value.
+    Absent columns give 0 / 'N/A' as on the dashboard.  The most common value
+    comes from a grouped count and a top-1 (ties go to the smallest value), so
+    no aggregation buffer grows with the number of distinct values.
     """
     cols = set(df.columns)
-    aggs = [F.count(F.lit(1)).alias("total_crashes")]
-    aggs.append(
-        (F.coalesce(F.sum(to_double(injuries_col)), F.lit(0.0)) if injuries_col in cols else F.lit(0.0)).cast("bigint").alias("total_injuries")
+    totals = df.agg(
+        F.count(F.lit(1)).alias("total_crashes"),
+        (F.coalesce(F.sum(to_double(injuries_col)), F.lit(0.0)) if injuries_col in cols else F.lit(0.0)).cast("bigint").alias("total_injuries"),
+        (F.coalesce(F.sum(to_double(fatal_col)), F.lit(0.0)) if fatal_col in cols else F.lit(0.0)).cast("bigint").alias("total_fatal"),
     )
-    aggs.append(
-        (F.coalesce(F.sum(to_double(fatal_col)), F.lit(0.0)) if fatal_col in cols else F.lit(0.0)).cast("bigint").alias("total_fatal")
+    if damage_col in cols:
+        top = value_counts(df, damage_col, top=1).select(F.col(damage_col).cast("string").alias("_mode"))
+    else:
+        top = df.sparkSession.createDataFrame([], "_mode string")
+    # both sides have at most one row: stack them and fold, no join needed
+    stacked = totals.withColumn("_mode", F.lit(None).cast("string")).unionByName(
+        top.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in totals.schema.fields], "_mode")
     )
-    aggs.append((F.mode(F.col(damage_col), True) if damage_col in cols else F.lit(None).cast("string")).alias("_mode"))
-    out = df.agg(*aggs)
+    out = stacked.agg(*[F.max(c).alias(c) for c in totals.columns], F.max("_mode").alias("_mode"))
     return out.select(
         "total_crashes",
         "total_injuries",

@@ -62,15 +62,17 @@ def search_by_location(crashes: DataFrame, year_col: str, year_from: int, year_t
 
 
 def variable_catalogue(df: DataFrame, year_col: str) -> DataFrame:
-    """Per year, every variable (column) with its type and non-null count."""
+    """Per year, every variable (column) with its type and non-null count.
+
+    One grouped aggregation (a counter per column), then the small per-year
+    result is unpivoted into (year, variable) rows.
+    """
     values = [c for c in df.columns if c != year_col]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    long = df.select(year_col, *[F.col(c).cast("string").alias(c) for c in values]).unpivot(
-        [year_col], values, "variable", "value"
-    )
-    out = long.groupBy(year_col, "variable").agg(F.count("value").alias("non_null"))
+    counts = df.groupBy(year_col).agg(*[F.count(F.col(c)).alias(c) for c in values])
+    long = counts.unpivot([year_col], values, "variable", "non_null")
     type_map = F.create_map(*[x for c in values for x in (F.lit(c), F.lit(types[c]))])
-    return out.withColumn("data_type", F.element_at(type_map, F.col("variable")))
+    return long.withColumn("data_type", F.element_at(type_map, F.col("variable")))
 
 
 def attribute_domain(df: DataFrame, variable: str, parents: Mapping[str, object] | None = None) -> DataFrame:
