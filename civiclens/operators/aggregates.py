@@ -98,25 +98,23 @@ def kpi_summary(
 ) -> DataFrame:
     """Count, injury and fatal sums, most common damage (first 20 chars).
 
-    Absent columns give 0 / 'N/A' as on the dashboard.  The most common value
-    comes from a grouped count and a top-1 (ties go to the smallest value), so
-    no aggregation buffer grows with the number of distinct values.
+    Absent columns give 0 / 'N/A' as on the dashboard.  One scan: rows are
+    grouped by the damage value (partial aggregation on the map side), then the
+    groups are folded into the totals and the most common non-null value (ties
+    go to the smallest), so no buffer grows with the number of distinct values.
     """
     cols = set(df.columns)
-    totals = df.agg(
-        F.count(F.lit(1)).alias("total_crashes"),
-        (F.coalesce(F.sum(to_double(injuries_col)), F.lit(0.0)) if injuries_col in cols else F.lit(0.0)).cast("bigint").alias("total_injuries"),
-        (F.coalesce(F.sum(to_double(fatal_col)), F.lit(0.0)) if fatal_col in cols else F.lit(0.0)).cast("bigint").alias("total_fatal"),
+    dmg = F.col(damage_col).cast("string") if damage_col in cols else F.lit(None).cast("string")
+    inj = F.coalesce(F.sum(to_double(injuries_col)), F.lit(0.0)) if injuries_col in cols else F.lit(0.0)
+    fat = F.coalesce(F.sum(to_double(fatal_col)), F.lit(0.0)) if fatal_col in cols else F.lit(0.0)
+    groups = df.groupBy(dmg.alias("_d")).agg(F.count(F.lit(1)).alias("_n"), inj.alias("_inj"), fat.alias("_fat"))
+    rank = F.when(F.col("_d").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_d").alias("d")))
+    out = groups.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_crashes"),
+        F.coalesce(F.sum("_inj"), F.lit(0.0)).cast("bigint").alias("total_injuries"),
+        F.coalesce(F.sum("_fat"), F.lit(0.0)).cast("bigint").alias("total_fatal"),
+        F.min_by(F.col("_d"), rank).alias("_mode"),
     )
-    if damage_col in cols:
-        top = value_counts(df, damage_col, top=1).select(F.col(damage_col).cast("string").alias("_mode"))
-    else:
-        top = df.sparkSession.createDataFrame([], "_mode string")
-    # both sides have at most one row: stack them and fold, no join needed
-    stacked = totals.withColumn("_mode", F.lit(None).cast("string")).unionByName(
-        top.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in totals.schema.fields], "_mode")
-    )
-    out = stacked.agg(*[F.max(c).alias(c) for c in totals.columns], F.max("_mode").alias("_mode"))
     return out.select(
         "total_crashes",
         "total_injuries",

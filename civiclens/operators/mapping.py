@@ -70,3 +70,19 @@ def clean_phones(df: DataFrame) -> DataFrame:
     Phones stay text, so digit-only values never pass through a float column.
     """
     return df.select(*[digits_only(c).alias(c) if "phone" in c.lower() else F.col(c) for c in df.columns])
+
+
+def map_report(df: DataFrame, id_col: str, url_col: str, status_col: str, source: str) -> DataFrame:
+    """Successful lookups as five text columns."""
+    return df.select(
+        F.col(id_col).cast("string").alias("report_id"),
+        F.col(id_col).cast("string").alias("crash_join_id"),
+        F.lit(source).alias("source"),
+        F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("portal_url"),
+        F.coalesce(F.col(status_col).cast("string"), F.lit("")).alias("status_code"),
+    )
+
+
+def distinct_values(df: DataFrame, col_name: str) -> DataFrame:
+    """The distinct values of a column (e.g. the registered sources)."""
+    return df.select(col_name).distinct()

@@ -24,6 +24,11 @@ def read_csv_strings(spark: SparkSession, path: str, header: bool = True) -> Dat
     return spark.read.option("header", header).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
 
 
+def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """An uploaded CSV with inferred types (one extra pass over the file)."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
 def scan_csv_limit(
     spark: SparkSession, path: str, limit: int | None = None, id_col: str = "crash_record_id", key: str = "crash_join_id"
 ) -> DataFrame:

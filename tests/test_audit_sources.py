@@ -261,3 +261,20 @@ def test_sinks(spark, tmp_path):
         sinks.typed_load(spark, str(bad), "id int, v string", ["id"])
     with pytest.raises(ValueError):
         sinks.upsert_table(spark, str(tmp_path / "t"), a, "crash_join_id", ["b"], str(tmp_path / "t"))
+
+
+def test_small_library_pieces(spark, tmp_path):
+    from civiclens.operators.aggregates import kpi_summary
+    from civiclens.plans.compose import run_steps
+
+    df = spark.createDataFrame([("b", 1, 0), ("a", 2, 1), ("b", None, None), ("a", 1, 0), (None, 3, 0)], "damage string, injuries_total int, injuries_fatal int")
+    k = kpi_summary(df).first()
+    assert (k.total_crashes, k.total_injuries, k.total_fatal, k.most_common_damage) == (5, 7, 1, "a")
+    assert kpi_summary(df.drop("damage")).first().most_common_damage == "N/A"
+    out = run_steps(df, [lambda d: d.filter("damage is not null"), lambda d: d.select("damage")])
+    assert out.count() == 4
+    r = mapping.map_report(spark.createDataFrame([(7, None, 200)], "id int, url string, code int"), "id", "url", "code", "lapd").first()
+    assert (r.report_id, r.portal_url, r.status_code, r.source) == ("7", "", "200", "lapd")
+    p = tmp_path / "u.csv"
+    p.write_text("a,b\n1,x\n2,y\n")
+    assert dict(files.read_csv_inferred(spark, str(p)).dtypes)["a"] == "int"
