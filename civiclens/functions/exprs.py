@@ -21,9 +21,14 @@ def col(c: ColumnOrName) -> Column:
 
 # ---------------------------------------------------------------- text helpers
 
+# The characters Python's ``str.strip()`` removes (``str.isspace``), derived by
+# rule rather than listed: ASCII controls, NBSP, the Unicode space separators.
+PY_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip_ws(c: ColumnOrName) -> Column:
-    """Remove leading and trailing whitespace of any kind (like ``str.strip``)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Remove leading and trailing whitespace exactly as ``str.strip()`` does."""
+    return F.btrim(col(c), F.lit(PY_WHITESPACE))
 
 
 def empty_to_null(c: ColumnOrName) -> Column:

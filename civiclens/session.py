@@ -56,3 +56,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for materialised tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+# Settings the operators are designed for on a cluster (applied by the job
+# submitter, not by the library): AQE re-plans joins from measured sizes,
+# splits skewed join partitions and coalesces small shuffle partitions.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+    "spark.sql.files.maxPartitionBytes": str(128 << 20),
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def tune_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int = 128 << 20) -> int:
+    """Size shuffles for an input of ``input_bytes``: about ``partition_bytes`` per
+    shuffle partition (AQE coalesces from there), never fewer than two waves of
+    the cluster's cores.  Returns the partition count that was set."""
+    import math
+
+    n = max(2 * spark.sparkContext.defaultParallelism, math.ceil(input_bytes / partition_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(partition_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(partition_bytes))
+    return n
