@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiclens.functions.exprs import digits_as_number, literal_map, py_fixed, py_round, redact
-from civiclens.operators.joins import first_k_per_group
 from civiclens.plans.parallel import spread
-from civiclens.plans.scan import previous_value
 
 # --------------------------------------------------------------------------
 # Fixed values (must equal the reference's thresholds, texts and patterns).
@@ -66,6 +64,66 @@ def _pct0(x: Column) -> Column:
 
 # ------------------------------------------------------------ A20 / A21 / G07
 
+def _sequence_stats(
+    log: DataFrame,
+    group_cols: Sequence[str],
+    pos_col: str,
+    id_col: str,
+    ok: Column | None,
+    bucket_size: int,
+    first_hits: int = 5,
+) -> DataFrame:
+    """Per group, in one bucketed pass over the log: probes, hits, numeric ids,
+    neighbouring numeric ids with |Δ| = 1, and the first ``first_hits`` hit ids.
+
+    Inside a (group, pos-bucket) window the previous numeric id is the last
+    non-null one before the row and a hit's rank is the running hit count;
+    across buckets both come from a one-row-per-bucket summary (the last numeric
+    id and the hit count of every earlier bucket), so a hot group stays parallel.
+    """
+    g = list(group_cols)
+    okc = ok.cast("boolean") if ok is not None else F.lit(False)
+    d = log.select(
+        *g,
+        F.col(pos_col).alias("_pos"),
+        F.col(id_col).cast("string").alias("_id"),
+        digits_as_number(id_col).alias("_num"),
+        F.coalesce(okc, F.lit(False)).alias("_ok"),
+        F.floor(F.col(pos_col) / F.lit(bucket_size)).alias("_b"),
+    )
+    w = Window.partitionBy(*g, "_b").orderBy("_pos")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_lprev", F.last("_num", ignorenulls=True).over(before)).withColumn(
+        "_lrank", F.sum(F.col("_ok").cast("int")).over(upto)
+    )
+    summary = d.groupBy(*g, "_b").agg(
+        F.max_by(F.col("_num"), F.when(F.col("_num").isNotNull(), F.col("_pos"))).alias("_blast"),
+        F.sum(F.col("_ok").cast("int")).alias("_bhits"),
+    )
+    wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.select(
+        *g,
+        "_b",
+        F.last("_blast", ignorenulls=True).over(wb).alias("_bprev"),
+        F.coalesce(F.sum("_bhits").over(wb), F.lit(0)).alias("_boff"),
+    )
+    d = d.join(summary, [*g, "_b"], "left")
+    prev = F.coalesce(F.col("_lprev"), F.col("_bprev"))
+    rank = F.col("_boff") + F.col("_lrank")
+    return d.groupBy(*g).agg(
+        F.count(F.lit(1)).alias("ids_probed"),
+        F.sum(F.col("_ok").cast("int")).alias("hits"),
+        F.count("_num").alias("_n"),
+        F.sum((F.col("_num").isNotNull() & (F.abs(F.col("_num") - prev) == 1)).cast("int")).alias("_consec"),
+        F.array_sort(F.collect_list(F.when(F.col("_ok") & (rank <= first_hits), F.struct(F.col("_pos"), F.col("_id"))))).alias("_first"),
+    )
+
+
+def _gap() -> Column:
+    return F.when(F.col("_n") < 2, F.lit(0.0)).otherwise(F.col("_consec") / (F.col("_n") - 1).cast("double"))
+
+
 def id_gap_rate(
     log: DataFrame,
     group_cols: Sequence[str],
@@ -77,16 +135,8 @@ def id_gap_rate(
     without digits skipped) whose numeric values differ by exactly 1.
     Fewer than two numeric ids → 0.
     """
-    g = list(group_cols)
-    nums = log.select(*g, pos_col, digits_as_number(id_col).alias("_num")).filter(F.col("_num").isNotNull())
-    bucket = F.floor(F.col(pos_col) / F.lit(bucket_size))
-    with_prev = previous_value(nums, g, [pos_col], bucket, "_num")
-    agg = with_prev.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum((F.abs(F.col("_num") - F.col("_prev")) == 1).cast("int")).alias("_consec"),
-    )
-    rate = F.when(F.col("_n") < 2, F.lit(0.0)).otherwise(F.col("_consec") / (F.col("_n") - 1).cast("double"))
-    return agg.select(*g, F.coalesce(rate, F.lit(0.0)).alias("gap_rate"))
+    stats = _sequence_stats(log, group_cols, pos_col, id_col, None, bucket_size, first_hits=0)
+    return stats.select(*group_cols, F.coalesce(_gap(), F.lit(0.0)).alias("gap_rate"))
 
 
 def enumeration_severity(hit: Column, gap: Column) -> Column:
@@ -106,20 +156,16 @@ def id_enumeration_report(
     id_col: str,
     ok: Column,
     url_col: str | None = None,
+    bucket_size: int = 1 << 16,
 ) -> DataFrame:
     """Per portal (group) over a landed request log: probes, hit rate, gap
-    rate (both rounded half-even to 4), severity, findings and recommendation.
+    rate (both Python-rounded to 4), severity, findings and recommendation.
+    ``url_col``, when given, must be one of ``group_cols`` (the portal URL).
     """
+    if url_col is not None and url_col not in group_cols:
+        raise ValueError("url_col must be one of group_cols")
     g = list(group_cols)
-    marked = log.withColumn("_ok", ok.cast("boolean"))
-    base = marked.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("ids_probed"),
-        F.sum(F.col("_ok").cast("int")).alias("hits"),
-    )
-    gaps = id_gap_rate(log, g, pos_col, id_col)
-    first5 = first_k_per_group(marked.filter("_ok").select(*g, pos_col, F.col(id_col).cast("string").alias("_id")), g, pos_col, 5)
-    ev = first5.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct(F.col(pos_col), F.col("_id")))).alias("_first"))
-    r = base.join(gaps, g, "left").join(ev, g, "left")
+    r = _sequence_stats(log, g, pos_col, id_col, ok, bucket_size).withColumn("gap_rate", _gap())
     hit = F.col("hits") / F.col("ids_probed").cast("double")
     gap = F.coalesce(F.col("gap_rate"), F.lit(0.0))
     r = r.withColumn("_hit", hit).withColumn("_gap", gap).withColumn("severity", enumeration_severity(F.col("_hit"), F.col("_gap")))
