@@ -936,19 +936,34 @@ def q_sorted_union_columns(spark, sf_dir):
     return read_csv_strings(spark, path).na.fill("")
 
 
+def _upsert_inputs(spark, sf_dir):
+    """Stored table = every order; updates = every returned line item (status
+    'R', its own price), several per order: the last in (line number, part,
+    supplier, price) order wins (line numbers repeat in this data)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    li = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
+    updates = li.select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.lit("R").alias("o_orderstatus"),
+        F.col("l_extendedprice").alias("o_totalprice"),
+        F.col("l_linenumber").alias("seq"),
+        "l_partkey",
+        "l_suppkey",
+    )
+    return o, updates
+
+
+UPSERT_ORDER = ["seq", "l_partkey", "l_suppkey", "o_totalprice"]
+
+
 @register("upsert_by_key")
 def q_upsert_by_key(spark, sf_dir):
     from civiclens.sources.sinks import upsert_table
 
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    stored, updates = _upsert_inputs(spark, sf_dir)
     current = _scratch(spark, "store-v1")
-    o.filter(F.col("o_orderkey") % 3 != 0).write.mode("overwrite").parquet(current)
-    # two versions per updated key: the later one (seq 2) must win
-    upd = o.filter(F.col("o_orderkey") % 2 == 0)
-    updates = upd.withColumn("seq", F.lit(1)).unionByName(
-        upd.withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("seq", F.lit(2))
-    )
-    return upsert_table(spark, current, updates, "o_orderkey", ["seq"], _scratch(spark, "store-v2"))
+    stored.write.mode("overwrite").parquet(current)
+    return upsert_table(spark, current, updates, "o_orderkey", UPSERT_ORDER, _scratch(spark, "store-v2"))
 
 
 @register("typed_load")
@@ -1154,16 +1169,14 @@ def q_stream_keep_first(spark, sf_dir):
 def q_stream_upsert(spark, sf_dir):
     from civiclens.streaming.jobs import file_stream, upsert_stream
 
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    stored, updates = _upsert_inputs(spark, sf_dir)
     v0 = _scratch(spark, "t02-v0")
-    o.filter(F.col("o_orderkey") % 3 != 0).write.mode("overwrite").parquet(v0)
+    stored.write.mode("overwrite").parquet(v0)
     landing = _scratch(spark, "t02-landing")
-    upd = o.filter(F.col("o_orderkey") % 2 == 0)
-    upd.withColumn("seq", F.lit(1)).unionByName(
-        upd.withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("seq", F.lit(2))
-    ).write.mode("overwrite").parquet(landing)
-    schema = "o_orderkey bigint, o_orderstatus string, o_totalprice double, seq int"
-    q = upsert_stream(file_stream(spark, landing, schema), _scratch(spark, "t02-table"), "o_orderkey", ["seq"], _scratch(spark, "t02-ckpt"), v0)
+    updates.write.mode("overwrite").parquet(landing)
+    q = upsert_stream(
+        file_stream(spark, landing, updates.schema), _scratch(spark, "t02-table"), "o_orderkey", UPSERT_ORDER, _scratch(spark, "t02-ckpt"), v0
+    )
     return spark.read.parquet(q.current_table)
 
 

@@ -651,9 +651,12 @@ SELECT '' AS c_mktsegment, CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey
 """
 
 ORACLE["upsert_by_key"] = """
-SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0
+WITH u AS (SELECT l_orderkey AS o_orderkey, 'R' AS o_orderstatus, l_extendedprice AS o_totalprice,
+                  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn
+           FROM lineitem WHERE l_returnflag = 'R')
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM u)
 UNION ALL
-SELECT o_orderkey, o_orderstatus, o_totalprice + 1 FROM orders WHERE o_orderkey % 2 = 0
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM u WHERE rn = 1
 """
 
 ORACLE["typed_load"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders"
