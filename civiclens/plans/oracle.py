@@ -291,7 +291,7 @@ r AS (
   SELECT {g} total_records, CAST(printf('%.2f', mp) AS DOUBLE) AS missing_fields_pct, CAST(printf('%.4f', du) AS DOUBLE) AS duplicate_rate,
          CAST(printf('%.2f', de) AS DOUBLE) AS avg_ingestion_delay_days, CAST(printf('%.2f', cr) AS DOUBLE) AS critical_fields_null_pct,
          CAST(printf('%.2f', ij) AS DOUBLE) AS injury_completeness_pct, CAST(printf('%.1f', st) AS DOUBLE) AS staleness_days, 'api' AS data_source_type,
-         CAST(printf('%.1f', qs) AS DOUBLE) AS quality_score, array_to_string(iss, ' | ') AS issues, len(iss) AS n_issues, iss
+         CAST(printf('%.1f', qs) AS DOUBLE) AS quality_score, array_to_string(iss, ' | ') AS issues, CAST(len(iss) AS INTEGER) AS n_issues, iss
   FROM s)
 """
 
@@ -308,7 +308,7 @@ ORACLE["completeness_pct"] = _TYPE + " SELECT event_type, injury_completeness_pc
 ORACLE["staleness_days"] = _TYPE + " SELECT event_type, staleness_days FROM r"
 ORACLE["issue_flags"] = _TYPE + " SELECT event_type, issues, n_issues FROM r"
 ORACLE["multi_profile_ranked"] = (
-    _TYPE + " SELECT * EXCLUDE (iss), row_number() OVER (ORDER BY quality_score DESC, event_type) AS rank FROM r"
+    _TYPE + " SELECT * EXCLUDE (iss), CAST(row_number() OVER (ORDER BY quality_score DESC, event_type) AS INTEGER) AS rank FROM r"
 )
 
 
@@ -352,7 +352,7 @@ ORACLE["id_gap_rate"] = f"WITH {_REQUEST_LOG} SELECT portal, gap_rate FROM gap"
 
 ORACLE["id_enumeration_report"] = f"""
 WITH {_REQUEST_LOG},
-b AS (SELECT portal, count(*) AS ids_probed, sum(CAST(ok AS INTEGER)) AS hits FROM rl GROUP BY 1),
+b AS (SELECT portal, count(*) AS ids_probed, CAST(sum(CAST(ok AS INTEGER)) AS BIGINT) AS hits FROM rl GROUP BY 1),
 h AS (SELECT portal, report_id, row_number() OVER (PARTITION BY portal ORDER BY pos) AS rn, pos FROM rl WHERE ok),
 ev AS (SELECT portal, string_agg('''' || report_id || '''', ', ' ORDER BY pos) AS ids FROM h WHERE rn <= 5 GROUP BY 1),
 r AS (SELECT b.portal, ids_probed, hits, hits / CAST(ids_probed AS DOUBLE) AS hr, COALESCE(gap.gap_rate, 0.0) AS gr, ev.ids
@@ -367,7 +367,7 @@ f AS (SELECT *, list_filter([
              printf('%.0f', gr * 100) || '% of consecutive IDs differ by 1. Report IDs are strictly sequential and therefore fully predictable.',
              '') END], lambda x: x IS NOT NULL) AS fl FROM s)
 SELECT portal, ids_probed, hits, CAST(printf('%.4f', hr) AS DOUBLE) AS hit_rate, CAST(printf('%.4f', gr) AS DOUBLE) AS gap_rate, severity,
-       len(fl) AS n_findings, array_to_string(fl, ' || ') AS findings_text,
+       CAST(len(fl) AS INTEGER) AS n_findings, array_to_string(fl, ' || ') AS findings_text,
        CASE severity
          WHEN 'CRITICAL' THEN 'URGENT: Implement token-based access control. Replace sequential IDs with non-guessable UUIDs. Add authentication for full-record retrieval. Consider rate-limiting and CAPTCHA on the search form.'
          WHEN 'HIGH' THEN 'Replace sequential numeric report IDs with opaque tokens or UUIDs. Add per-IP rate limiting and an audit log for bulk enumeration attempts.'
@@ -451,7 +451,7 @@ _PII_FINDINGS = (
         for n, s, p, e in _PII_SQL
     )
     + "),\n"
-    "f AS (SELECT source_url, pattern_name, severity, pattern_pos, len(ms) AS match_count,\n"
+    "f AS (SELECT source_url, pattern_name, severity, pattern_pos, CAST(len(ms) AS INTEGER) AS match_count,\n"
     "             list_slice(list_filter(ms, lambda x, i: list_position(ms, x) = i), 1, 3) AS smp FROM m WHERE len(ms) > 0)"
 )
 
@@ -465,7 +465,7 @@ FROM f
 
 ORACLE["pii_summary"] = f"""
 WITH {_PII_FINDINGS}
-SELECT pattern_name, severity, count(*) AS texts_with_matches, sum(match_count) AS total_matches,
+SELECT pattern_name, severity, count(*) AS texts_with_matches, CAST(sum(match_count) AS BIGINT) AS total_matches,
        printf('  [%-8s] %s: %d match(es) in %d text(s)', severity, pattern_name, sum(match_count), count(*)) AS line
 FROM f GROUP BY 1, 2
 """
@@ -506,7 +506,7 @@ WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS lat,
                   CASE WHEN event_type = 'error' THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS lon,
                   CASE WHEN event_type = 'signup' THEN 'junk' ELSE CAST(ts AS VARCHAR) END AS "timestamp" FROM events),
 f AS (SELECT event_id, TRY_CAST(lat AS DOUBLE) AS lat, TRY_CAST(lon AS DOUBLE) AS lon,
-             COALESCE(hour(TRY_CAST("timestamp" AS TIMESTAMP)), -1) AS hour FROM e)
+             CAST(COALESCE(hour(TRY_CAST("timestamp" AS TIMESTAMP)), -1) AS INTEGER) AS hour FROM e)
 SELECT event_id, lat, lon, hour, CASE WHEN hour <> -1 AND (hour < 6 OR hour > 20) THEN 1 ELSE 0 END AS is_night,
        CAST(lat IS NULL OR lon IS NULL AS INTEGER) AS missing_location
 FROM f
@@ -700,7 +700,7 @@ FROM customer
 """
 
 _ACC = """
-acc AS (SELECT o.o_orderkey AS st_case, c.c_nationkey AS state, year(o.o_orderdate) AS year, c.c_mktsegment AS county,
+acc AS (SELECT o.o_orderkey AS st_case, c.c_nationkey AS state, CAST(year(o.o_orderdate) AS INTEGER) AS year, c.c_mktsegment AS county,
                COALESCE(v.vehicles, 0) AS vehicles, o.o_orderpriority AS make, o.o_orderstatus AS model, o.o_totalprice AS body_value
         FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
         LEFT JOIN (SELECT l_orderkey, count(*) AS vehicles FROM lineitem GROUP BY 1) v ON o.o_orderkey = v.l_orderkey),
