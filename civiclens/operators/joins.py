@@ -84,14 +84,17 @@ def fuzzy_join(
         .distinct()
     )
 
-    # Only prefix lengths that occur on the other side for the same date are
-    # generated: (date, length) sets are small, and AQE broadcasts them at run
-    # time when their measured size allows.
-    right_lens = right.select("_d", F.length("_a").alias("_L")).distinct()
+    # The right side is first reduced to the first row per (date, address);
+    # every later step starts from that one aggregate (its columns kept
+    # identical, so the runtime reuses one exchange and the crashes are scanned
+    # once).  Only prefix lengths that occur on the other side for the same date
+    # are generated; the (date, length) sets are small and AQE broadcasts them
+    # when their measured size allows.
+    right_full = right.groupBy("_d", "_a").agg(F.min("_m").alias("_m"))
+    right_lens = right_full.filter(F.col("_m").isNotNull()).select("_d", F.length("_a").alias("_L")).distinct()
     left_lens = left_keys.select("_d", F.length("_a").alias("_L")).distinct()
 
     # right address is a prefix of (or equal to) the left address
-    right_full = right.groupBy("_d", "_a").agg(F.min("_m").alias("_m"))
     left_prefixes = (
         left_keys.join(right_lens, "_d")
         .filter(F.col("_L") <= F.length("_a"))
@@ -101,7 +104,7 @@ def fuzzy_join(
 
     # left address is a prefix of the right address
     right_prefixes = (
-        right.join(left_lens, "_d")
+        right_full.join(left_lens, "_d")
         .filter(F.col("_L") <= F.length("_a"))
         .select("_d", F.substring("_a", F.lit(1), F.col("_L")).alias("_a"), "_m")
         .groupBy("_d", "_a")
