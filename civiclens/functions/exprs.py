@@ -96,8 +96,8 @@ def digits_as_number(c: ColumnOrName) -> Column:
 
 
 def to_double(c: ColumnOrName) -> Column:
-    """Coerce to double, bad → NULL."""
-    return col(c).cast("string").try_cast("double")
+    """Coerce to double, bad → NULL (numbers cast directly, text parsed)."""
+    return col(c).try_cast("double")
 
 
 def safe_float(c: ColumnOrName) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from civiclens.plans.parallel import spread
 from civiclens.functions.exprs import (
     floor_block,
     py_round,
@@ -121,7 +122,7 @@ def hotspot_clusters(
     road_defects (array), recommendation.  Sorted by score desc, then segment.
     """
     cols = set(df.columns)
-    work = _segment_frame(df, street_no, street_name, block_size)
+    work = _segment_frame(spread(df), street_no, street_name, block_size)
     inj = F.coalesce(to_double(injuries), F.lit(0.0)) if injuries in cols else F.lit(0.0)
     fat = F.coalesce(to_double(fatal), F.lit(0.0)) if fatal in cols else F.lit(0.0)
 
@@ -253,7 +254,7 @@ def row_alerts(
     if redact_contacts:
         name, phone = redact(name), redact(phone)
     resources = SUPPORT_RESOURCES.get(city.lower(), SUPPORT_RESOURCES["default"])
-    return df.filter(rank >= min_severity_rank).select(
+    return spread(df).filter(rank >= min_severity_rank).select(
         F.coalesce(_text(cols, id_col), F.lit("")).alias("crash_join_id"),
         F.coalesce(_text(cols, date_col), F.lit("")).alias("crash_date"),
         sev.alias("injury_severity"),

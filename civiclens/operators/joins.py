@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiclens.functions.exprs import col, date_part10, normalize_address, strip_ws
-from civiclens.plans.broadcast import maybe_broadcast
 from civiclens.plans.parallel import spread
 
 KEY_CHAIN = ("crash_join_id", "crash_record_id", "crash_id", "rd")
@@ -220,13 +219,17 @@ def enrich_flag(
     struct_name: str = "contact",
     flag_name: str = "has_contact",
 ) -> DataFrame:
-    """Attach the lookup row (one per key, last wins) as a struct and a found flag."""
+    """Attach the lookup row (one per key, last wins) as a struct and a found flag.
+
+    The lookup is an aggregate, so counting it up front would run it twice;
+    AQE measures its shuffle output and broadcasts it when that is small.
+    """
     from civiclens.operators.aggregates import keep_last
 
     one = keep_last(lookup, [key], order_cols)
     payload = [c for c in one.columns if c != key]
     r = one.select(F.col(key).alias("_k"), F.struct(*payload).alias(struct_name))
-    j = left.join(maybe_broadcast(r), left[key] == r["_k"], "left").drop("_k")
+    j = left.join(r, left[key] == r["_k"], "left").drop("_k")
     return j.withColumn(flag_name, F.col(struct_name).isNotNull())
 
 

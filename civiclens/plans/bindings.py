@@ -541,7 +541,7 @@ def _user_requests(spark, sf_dir):
 def q_throttle_slots(spark, sf_dir):
     from civiclens.operators.rates import throttle_slots
 
-    out = throttle_slots(_user_requests(spark, sf_dir), ["user_id"], ["ts", "event_id"], "t_us", rate_per_s=1 / 21600, bucket_us=86_400_000_000)
+    out = throttle_slots(_user_requests(spark, sf_dir), ["user_id"], ["ts", "event_id"], "t_us", rate_per_s=1 / 21600)
     return out.select("user_id", "event_id", "t_us", "slot_start_us", "delay_us")
 
 
@@ -550,7 +550,7 @@ def q_token_bucket_delay(spark, sf_dir):
     from civiclens.operators.rates import token_bucket_delay
 
     out = token_bucket_delay(
-        _user_requests(spark, sf_dir), ["user_id"], ["ts", "event_id"], "t_us", capacity=3, refill_per_s=1 / 14400, bucket_us=86_400_000_000
+        _user_requests(spark, sf_dir), ["user_id"], ["ts", "event_id"], "t_us", capacity=3, refill_per_s=1 / 14400
     )
     return out.select("user_id", "event_id", "t_us", "admit_us", "delay_us")
 
