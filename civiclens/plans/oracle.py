@@ -748,3 +748,54 @@ SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, segment, count
 WHERE window_start + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY
 GROUP BY 1, 2, 3
 """
+
+# HTML jobs: regex forms of the parser rules, valid for well-formed pages like
+# the driver's (comments, script, style and template bodies removed, tags
+# stripped, label cells matched within one row).
+_VISIBLE = (
+    "regexp_replace(regexp_replace(regexp_replace(html, "
+    "'(?s)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>|<template\\b.*?</template>', ' ', 'g'), "
+    "'<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')"
+)
+_ALLTEXT = "regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+
+ORACLE["html_links"] = """
+WITH l AS (SELECT page_id,
+                  regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1) AS hrefs,
+                  regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2) AS texts FROM pages),
+u AS (SELECT page_id, unnest(hrefs) AS href, trim(unnest(texts)) AS t, unnest(range(len(texts))) AS i FROM l),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM u WHERE t <> '')
+SELECT page_id, CAST(pos AS INTEGER) AS link_pos, t AS crash_join_id, href, 'pages' AS source, '' AS agency, '' AS troop,
+       false AS contact_found, 'Found' AS status
+FROM f
+"""
+
+ORACLE["html_valid"] = f"""
+SELECT page_id, NOT regexp_matches(lower({_VISIBLE}), 'not found|no report|no results|invalid|unable to locate') AS valid FROM pages
+"""
+
+ORACLE["html_by_id"] = """
+SELECT page_id, trim(regexp_extract(html, 'id="report_num"[^>]*>([^<]*)<', 1)) AS crash_join_id, 'pages' AS agency,
+       regexp_matches(html, 'id="involved_party"') AS contact_found
+FROM pages
+"""
+
+
+def _label(labels: list[str]) -> str:
+    parts = []
+    for lab in labels:
+        parts.append(f"NULLIF(trim(regexp_extract(html, '(?i)<t[hd][^>]*>\\s*{lab}\\s*</t[hd]>\\s*<t[hd][^>]*>([^<]*)<', 1)), '')")
+        parts.append(f"NULLIF(trim(regexp_extract(html, '(?i)<dt[^>]*>\\s*{lab}\\s*</dt>\\s*<dd[^>]*>([^<]*)<', 1)), '')")
+    return "COALESCE(" + ", ".join(parts) + ", '')"
+
+
+ORACLE["html_fields"] = f"""
+SELECT page_id, url, 'pages' AS source, '' AS agency,
+       CASE WHEN {_label(['Troop'])} = '' THEN 'C' ELSE {_label(['Troop'])} END AS troop,
+       {_label(['Report Date', 'Date of Crash', 'Crash Date'])} AS report_date,
+       {_label(['County'])} AS county,
+       {_label(['Location', 'Location of Crash'])} AS location,
+       regexp_matches(lower({_ALLTEXT}), 'driver|owner|pedestrian|involved party') AS contact_found
+FROM pages
+WHERE NOT regexp_matches(lower({_VISIBLE}), 'no records found|no accident report|not found|invalid accident number')
+"""

@@ -66,7 +66,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_has_oracle_or_is_documented():
     missing = sorted(set(E.queries()) - set(E.oracle_sql()))
-    assert set(missing) <= {"html_links", "html_fields", "html_forms", "html_by_id", "html_valid"}
+    assert set(missing) <= {"html_forms"}
 
 
 BAD_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
