@@ -20,12 +20,25 @@ def _eq_all(filters: Mapping[str, object]) -> Column:
     return cond
 
 
+def year_range(year_col: str, year_from: int, year_to: int, date_col: str | None = None) -> Column:
+    """Inclusive year range; with the raw ``date_col`` the same range is also
+    stated on the date itself, a predicate Parquet row-group statistics can use
+    (Catalyst pushes it through joins into the scan)."""
+    cond = F.col(year_col).between(year_from, year_to)
+    if date_col is not None:
+        lo = F.make_date(F.lit(year_from), F.lit(1), F.lit(1))
+        hi = F.make_date(F.lit(year_to + 1), F.lit(1), F.lit(1))
+        cond = cond & (F.col(date_col) >= lo) & (F.col(date_col) < hi)
+    return cond
+
+
 def case_list(accidents: DataFrame, id_col: str, state_col: str, year_col: str, vehicles_col: str,
-              state: object, year_from: int, year_to: int | None = None, min_vehicles: int = 1) -> DataFrame:
+              state: object, year_from: int, year_to: int | None = None, min_vehicles: int = 1,
+              date_col: str | None = None) -> DataFrame:
     """Ids of cases in ``state`` within the inclusive year range having at least ``min_vehicles``."""
     year_to = year_from if year_to is None else year_to
     return accidents.filter(
-        (F.col(state_col) == F.lit(state)) & F.col(year_col).between(year_from, year_to) & (F.col(vehicles_col) >= min_vehicles)
+        (F.col(state_col) == F.lit(state)) & year_range(year_col, year_from, year_to, date_col) & (F.col(vehicles_col) >= min_vehicles)
     ).select(id_col)
 
 
@@ -36,7 +49,8 @@ def case_details(accidents: DataFrame, keys: Mapping[str, object]) -> DataFrame:
 
 def search_by_person(crashes: DataFrame, people: DataFrame, crash_key: str, person_filters: Mapping[str, object],
                      year_col: str, year_from: int, year_to: int, state_col: str, state: object | None,
-                     occupant_col: str, include_occupants: bool = True, include_non_occupants: bool = True) -> DataFrame:
+                     occupant_col: str, include_occupants: bool = True, include_non_occupants: bool = True,
+                     date_col: str | None = None) -> DataFrame:
     """Crashes (year range, state) that have at least one person matching
     all given attributes; the two flags choose occupants / non-occupants."""
     if not (include_occupants or include_non_occupants):
@@ -46,16 +60,16 @@ def search_by_person(crashes: DataFrame, people: DataFrame, crash_key: str, pers
         p = p.filter(~F.col(occupant_col))
     if not include_non_occupants:
         p = p.filter(F.col(occupant_col))
-    c = crashes.filter(F.col(year_col).between(year_from, year_to))
+    c = crashes.filter(year_range(year_col, year_from, year_to, date_col))
     if state is not None:
         c = c.filter(F.col(state_col) == F.lit(state))
     return c.join(p.select(crash_key), crash_key, "left_semi")
 
 
 def search_by_location(crashes: DataFrame, year_col: str, year_from: int, year_to: int, state_col: str, state: object,
-                       county_col: str, county: object | None = None) -> DataFrame:
+                       county_col: str, county: object | None = None, date_col: str | None = None) -> DataFrame:
     """Crashes in the inclusive year range, state and (optional) county."""
-    cond = F.col(year_col).between(year_from, year_to) & (F.col(state_col) == F.lit(state))
+    cond = year_range(year_col, year_from, year_to, date_col) & (F.col(state_col) == F.lit(state))
     if county is not None:
         cond = cond & (F.col(county_col) == F.lit(county))
     return crashes.filter(cond)

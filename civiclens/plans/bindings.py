@@ -1061,6 +1061,7 @@ def accidents(spark, sf_dir):
             F.col("o_orderpriority").alias("make"),
             F.col("o_orderstatus").alias("model"),
             F.col("o_totalprice").alias("body_value"),
+            F.col("o_orderdate").alias("crash_date"),
         )
     )
 
@@ -1080,14 +1081,14 @@ def persons(spark, sf_dir):
 def q_case_list(spark, sf_dir):
     from civiclens.operators.catalogue import case_list
 
-    return case_list(accidents(spark, sf_dir), "st_case", "state", "year", "vehicles", 7, 1997, 1997, 1)
+    return case_list(accidents(spark, sf_dir), "st_case", "state", "year", "vehicles", 7, 1997, 1997, 1, date_col="crash_date")
 
 
 @register("case_details")
 def q_case_details(spark, sf_dir):
     from civiclens.operators.catalogue import case_details
 
-    return case_details(accidents(spark, sf_dir), {"state": 3, "year": 1998, "county": "BUILDING"})
+    return case_details(accidents(spark, sf_dir), {"state": 3, "year": 1998, "county": "BUILDING"}).drop("crash_date")
 
 
 @register("search_by_person")
@@ -1096,7 +1097,7 @@ def q_search_by_person(spark, sf_dir):
 
     return search_by_person(
         accidents(spark, sf_dir), persons(spark, sf_dir), "st_case", {"sex": "R", "injury_severity": "F", "age": 25},
-        "year", 1995, 1999, "state", None, "occupant", include_occupants=True, include_non_occupants=False,
+        "year", 1995, 1999, "state", None, "occupant", include_occupants=True, include_non_occupants=False, date_col="crash_date",
     ).select("st_case", "state", "year")
 
 
@@ -1104,7 +1105,7 @@ def q_search_by_person(spark, sf_dir):
 def q_search_by_location(spark, sf_dir):
     from civiclens.operators.catalogue import search_by_location
 
-    return search_by_location(accidents(spark, sf_dir), "year", 1996, 1998, "state", 12, "county", "MACHINERY").select(
+    return search_by_location(accidents(spark, sf_dir), "year", 1996, 1998, "state", 12, "county", "MACHINERY", date_col="crash_date").select(
         "st_case", "state", "year", "county"
     )
 
@@ -1113,7 +1114,7 @@ def q_search_by_location(spark, sf_dir):
 def q_variable_catalogue(spark, sf_dir):
     from civiclens.operators.catalogue import variable_catalogue
 
-    return variable_catalogue(accidents(spark, sf_dir).drop("st_case"), "year")
+    return variable_catalogue(accidents(spark, sf_dir).drop("st_case", "crash_date"), "year")
 
 
 @register("attribute_domain")
