@@ -439,12 +439,9 @@ def q_avg_delay_days(spark, sf_dir):
 
 @register("multi_profile_ranked")
 def q_multi_profile_ranked(spark, sf_dir):
-    from pyspark.sql import Window
+    from civiclens.operators.profile import ranked
 
-    p = _with_issue_text(_type_profile(spark, sf_dir))
-    w = Window.orderBy(F.desc("quality_score"), F.asc("event_type"))
-    # one row per group: the ranking window runs over a handful of rows
-    return p.withColumn("rank", F.row_number().over(w)).orderBy("rank")
+    return ranked(_with_issue_text(_type_profile(spark, sf_dir)), ["event_type"])
 
 
 @register("profile_text")
@@ -891,7 +888,8 @@ def q_csv_from_text(spark, sf_dir):
 
     o = table(spark, sf_dir, "orders")
     line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
-    docs = o.groupBy(F.col("o_custkey").alias("doc")).agg(
+    # one document per block of 20 orders: every document is bounded
+    docs = o.groupBy(F.floor(F.col("o_orderkey") / 20).alias("doc")).agg(
         F.concat(F.lit("crash_join_id,status,priority\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("text")
     )
     return csv_from_text(docs, "text", header_of(docs, "text"), ["doc"])

@@ -308,7 +308,7 @@ ORACLE["completeness_pct"] = _TYPE + " SELECT event_type, injury_completeness_pc
 ORACLE["staleness_days"] = _TYPE + " SELECT event_type, staleness_days FROM r"
 ORACLE["issue_flags"] = _TYPE + " SELECT event_type, issues, n_issues FROM r"
 ORACLE["multi_profile_ranked"] = (
-    _TYPE + " SELECT * EXCLUDE (iss), CAST(row_number() OVER (ORDER BY quality_score DESC, event_type) AS INTEGER) AS rank FROM r"
+    _TYPE + " SELECT * EXCLUDE (iss) FROM r ORDER BY quality_score DESC, event_type"
 )
 
 
@@ -631,7 +631,7 @@ FROM orders
 """
 
 ORACLE["csv_from_text"] = """
-SELECT o_custkey AS doc, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY
+SELECT CAST(floor(o_orderkey / 20) AS BIGINT) AS doc, CAST(row_number() OVER (PARTITION BY floor(o_orderkey / 20) ORDER BY
          CAST(o_orderkey AS VARCHAR) || ',' || o_orderstatus || ',' || o_orderpriority) AS INTEGER) AS line_no,
        CAST(o_orderkey AS VARCHAR) AS crash_join_id, o_orderstatus AS status, o_orderpriority AS priority
 FROM orders

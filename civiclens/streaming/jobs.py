@@ -53,19 +53,23 @@ def keep_first_stream(stream: DataFrame, key_cols: Sequence[str], ts_col: str, d
 
 def upsert_stream(stream: DataFrame, table_root: str, key: str, order_cols: Sequence[str], checkpoint: str,
                   initial_version: str) -> StreamingQuery:
-    """Each micro-batch is merged (K04) into the table; version ``n`` is
-    written under ``table_root/v=<epoch>`` and never over the version it reads."""
-    state = {"current": initial_version}
+    """Each micro-batch is merged (K04) into the table.  Epoch ``n`` reads
+    version ``n-1`` (``initial_version`` for the first epoch) and writes
+    ``table_root/v=<n>``; the version read is derived from the epoch id, not
+    from driver memory, so a restarted query continues from shared storage, and
+    a retried epoch rewrites the same version from the same inputs.
+    """
+    root = table_root.rstrip("/")
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        target = f"{table_root.rstrip('/')}/v={epoch_id}"
-        merged = merge_upsert(spark.read.parquet(state["current"]), batch, key, order_cols)
-        merged.write.mode("overwrite").parquet(target)
-        state["current"] = target
+        source = initial_version if epoch_id == 0 else f"{root}/v={epoch_id - 1}"
+        merged = merge_upsert(spark.read.parquet(source), batch, key, order_cols)
+        merged.write.mode("overwrite").parquet(f"{root}/v={epoch_id}")
 
     q = run_available(stream.writeStream.foreachBatch(merge), checkpoint)
-    q.current_table = state["current"]  # type: ignore[attr-defined]
+    last = q.lastProgress["batchId"] if q.lastProgress else None
+    q.current_table = initial_version if last is None else f"{root}/v={last}"  # type: ignore[attr-defined]
     return q
 
 

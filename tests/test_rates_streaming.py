@@ -103,3 +103,18 @@ def test_token_bucket_stream_equals_batch(spark, tmp_path):
     streamed = {r.event_id: r.admit_us for r in spark.read.parquet(out).collect()}
     batch = {r.event_id: r.admit_us for r in rates.token_bucket_delay(df, ["user"], ["t_us", "event_id"], "t_us", 3, 1.0).collect()}
     assert streamed == batch
+
+
+def test_upsert_stream_versions_chain(spark, tmp_path):
+    """Two micro-batches: epoch 1 reads the version written by epoch 0."""
+    from civiclens.streaming.jobs import file_stream, upsert_stream
+
+    base = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (3, "c", 0)], "k int, v string, seq int")
+    v0 = str(tmp_path / "v0")
+    base.write.parquet(v0)
+    landing = str(tmp_path / "landing")
+    spark.createDataFrame([(1, "a1", 1), (1, "a2", 2)], "k int, v string, seq int").coalesce(1).write.parquet(landing)
+    spark.createDataFrame([(2, "b1", 3), (4, "d", 4)], "k int, v string, seq int").coalesce(1).write.mode("append").parquet(landing)
+    q = upsert_stream(file_stream(spark, landing, base.schema, max_files=1), str(tmp_path / "table"), "k", ["seq"], str(tmp_path / "ck"), v0)
+    got = {r.k: r.v for r in spark.read.parquet(q.current_table).collect()}
+    assert got == {1: "a2", 2: "b1", 3: "c", 4: "d"}
