@@ -44,6 +44,10 @@ PII_PATTERNS = [
     ("Full Name (labeled)", r"\b(?:Driver|Owner|Name)[:\s]+[A-Z][a-z]+\s[A-Z][a-z]+\b", "MEDIUM", True),
 ]
 NO_PII = "No PII patterns detected."
+# Necessary conditions used to skip a pattern cheaply: every match of these
+# patterns contains a digit (\d outside optional parts) or an '@'.
+NEEDS_DIGIT = {"SSN", "Phone", "Date of Birth", "License Plate"}
+NEEDS_AT = {"Email"}
 # --------------------------------------------------------------------------
 
 
@@ -227,9 +231,23 @@ def pii_scan(
             for i, (name, _p, sev, _ic) in enumerate(patterns)
         ]
     )
-    # One regexp_extract_all per pattern, all in one projection over the scan.
-    matches = F.array(*[F.regexp_extract_all(F.col(text_col), F.lit(java_pattern(p, ic)), 0) for _n, p, _s, ic in patterns])
-    per = spread(texts).select(
+    # One regexp_extract_all per pattern, all in one projection over the scan;
+    # a pattern runs only on texts that can hold a match (a digit, an '@').
+    empty = F.array().cast("array<string>")
+    has_digit = F.col("_has_digit")
+    has_at = F.instr(F.col(text_col), "@") > 0
+
+    def extract(name: str, p: str, ic: bool) -> Column:
+        m = F.regexp_extract_all(F.col(text_col), F.lit(java_pattern(p, ic)), 0)
+        if name in NEEDS_DIGIT:
+            return F.when(has_digit, m).otherwise(empty)
+        if name in NEEDS_AT:
+            return F.when(has_at, m).otherwise(empty)
+        return m
+
+    matches = F.array(*[extract(n, p, ic) for n, p, _s, ic in patterns])
+    texts = spread(texts).withColumn("_has_digit", F.coalesce(F.col(text_col).rlike(r"(?U)\d"), F.lit(False)))
+    per = texts.select(
         F.col(source_col).alias("source_url"),
         F.posexplode(F.arrays_zip(spec.alias("p"), matches.alias("m"))).alias("_i", "_z"),
     )
