@@ -52,11 +52,16 @@ def map_points(df: DataFrame, lat: str = "latitude", lon: str = "longitude") ->
     return pts.dropna()
 
 
-def drop_corrupt(df: DataFrame, corrupt_col: str = "_corrupt_record") -> DataFrame:
-    """Keep rows the PERMISSIVE reader parsed (object rows only)."""
-    if corrupt_col not in df.columns:
-        return df
-    return df.filter(F.col(corrupt_col).isNull()).drop(corrupt_col)
+def drop_corrupt(lines: DataFrame, text_col: str, schema: str) -> DataFrame:
+    """Keep the rows that are JSON objects (``isinstance(row, dict)``) and
+    parse them with ``schema``; arrays, scalars and broken text are dropped.
+
+    ``json_object_keys`` is NULL exactly for text that is not a JSON object.
+    Working on the text lines avoids the reader's corrupt-record column, which
+    Spark refuses to query alone (a bare ``count()`` would fail).
+    """
+    objs = lines.filter(F.json_object_keys(F.col(text_col)).isNotNull())
+    return objs.select(F.from_json(F.col(text_col), schema).alias("_r")).select("_r.*")
 
 
 def clean_ids(df: DataFrame, id_col: str) -> DataFrame:

@@ -898,7 +898,6 @@ def q_csv_from_text(spark, sf_dir):
 @register("drop_corrupt")
 def q_drop_corrupt(spark, sf_dir):
     from civiclens.operators.mapping import drop_corrupt
-    from civiclens.sources.files import read_json
 
     o = table(spark, sf_dir, "orders")
     line = F.when(F.col("o_orderkey") % 10 == 0, F.lit("[1, 2, 3]")).otherwise(
@@ -906,8 +905,7 @@ def q_drop_corrupt(spark, sf_dir):
     )
     path = _scratch(spark, "ragged-json")
     o.select(line.alias("value")).write.mode("overwrite").text(path)
-    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, _corrupt_record string"
-    return drop_corrupt(read_json(spark, path, schema))
+    return drop_corrupt(spark.read.text(path), "value", "o_orderkey bigint, o_custkey bigint, o_orderstatus string")
 
 
 # ----------------------------------------------------------------- sinks

@@ -33,6 +33,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -83,3 +84,42 @@ def tune_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int =
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(partition_bytes))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(partition_bytes))
     return n
+
+
+_SHIPPED: set[str] = set()
+
+
+def _driver_dir(spark: SparkSession) -> str:
+    """A driver-side folder for the code archive: the checkpoint folder when it
+    is a local path, else a temporary folder (Spark's file server copies the
+    archive to executors; nothing else reads it)."""
+    ckpt = ensure_checkpoint_dir(spark)
+    if "://" not in ckpt or ckpt.startswith("file:"):
+        path = os.path.join(ckpt.replace("file://", "").replace("file:", ""), "pyfiles")
+        os.makedirs(path, exist_ok=True)
+        return path
+    return tempfile.mkdtemp(prefix="civiclens-pyfiles-")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``civiclens`` importable in executor Python workers (mapInPandas,
+    applyInPandasWithState): zip the package once per application and add it
+    with ``addPyFile``."""
+    import zipfile
+
+    import civiclens
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(civiclens.__file__))
+    base = os.path.dirname(pkg_dir)
+    target = os.path.join(_driver_dir(spark), f"civiclens-{civiclens.__version__}-{app}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, base))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)

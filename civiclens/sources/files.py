@@ -58,7 +58,7 @@ def json_objects(raw: Column, element_schema: StructType | str) -> Column:
     """Elements of a raw JSON array that are objects, parsed with ``element_schema``
     (P09: numbers, strings and nulls inside the array are dropped)."""
     elems = F.from_json(raw, ArrayType(StringType()))
-    objs = F.filter(elems, lambda e: e.isNotNull() & F.ltrim(e).startswith("{"))
+    objs = F.filter(elems, lambda e: F.json_object_keys(e).isNotNull())
     return F.transform(objs, lambda e: F.from_json(e, element_schema))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from civiclens.session import ship_package
 from civiclens.sources.sinks import merge_upsert
 
 
@@ -84,6 +85,7 @@ def token_bucket_stream(stream: DataFrame, key_col: str, order_cols: Sequence[st
     vectorised cumulative maxima.  Rows of a key inside one micro-batch are
     ordered by ``order_cols`` before they are admitted.
     """
+    ship_package(stream.sparkSession)
     step = int(round(1_000_000 / refill_per_s))
     cap = int(capacity)
     in_cols = [key_col, *[c for c in order_cols if c != key_col], t_us_col, *[c for c in out_cols if c not in (key_col, t_us_col, *order_cols)]]

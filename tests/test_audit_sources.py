@@ -278,3 +278,17 @@ def test_small_library_pieces(spark, tmp_path):
     p = tmp_path / "u.csv"
     p.write_text("a,b\n1,x\n2,y\n")
     assert dict(files.read_csv_inferred(spark, str(p)).dtypes)["a"] == "int"
+
+
+def test_drop_corrupt_counts(spark):
+    lines = spark.createDataFrame([('{"a": 1, "b": "x"}',), ("[1, 2, 3]",), ('{"a": 2}',), ("not json",), ('"s"',), ('{"a": "zz"}',), ("{}",)], "value string")
+    out = mapping.drop_corrupt(lines, "value", "a bigint, b string")
+    assert out.count() == 4  # count alone works (no corrupt-record column)
+    assert sorted((r.a, r.b) for r in out.collect() if r.a is not None) == [(1, "x"), (2, None)]
+
+
+def test_geojson_strict_raises(spark, tmp_path):
+    p = tmp_path / "g.json"
+    p.write_text(json.dumps({"features": [{"properties": {"mag": 1.0}}]}))
+    with pytest.raises(Exception):
+        files.geojson_explode(files.read_geojson(spark, str(p)), strict=True).collect()
