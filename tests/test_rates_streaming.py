@@ -118,3 +118,16 @@ def test_upsert_stream_versions_chain(spark, tmp_path):
     q = upsert_stream(file_stream(spark, landing, base.schema, max_files=1), str(tmp_path / "table"), "k", ["seq"], str(tmp_path / "ck"), v0)
     got = {r.k: r.v for r in spark.read.parquet(q.current_table).collect()}
     assert got == {1: "a2", 2: "b1", 3: "c", 4: "d"}
+
+
+def test_previous_value_matches_lag(spark):
+    from pyspark.sql import Window
+
+    from civiclens.plans.scan import previous_value
+
+    rnd = random.Random(9)
+    rows = [(rnd.choice("xyz"), i, rnd.randrange(100)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "g string, o long, v long")
+    got = {(r.g, r.o): r._prev for r in previous_value(df, ["g"], ["o"], F.floor(F.col("o") / 41), "v").collect()}
+    ref = {(r.g, r.o): r.p for r in df.withColumn("p", F.lag("v").over(Window.partitionBy("g").orderBy("o"))).collect()}
+    assert got == ref
