@@ -292,3 +292,14 @@ def test_geojson_strict_raises(spark, tmp_path):
     p.write_text(json.dumps({"features": [{"properties": {"mag": 1.0}}]}))
     with pytest.raises(Exception):
         files.geojson_explode(files.read_geojson(spark, str(p)), strict=True).collect()
+
+
+def test_append_and_distinct(spark, tmp_path):
+    from civiclens.sources import sinks
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id int, src string")
+    path = str(tmp_path / "feat")
+    assert sinks.append(df, path, partition_by=["src"]) == 3
+    assert sinks.append(df.limit(1), path, partition_by=["src"]) == 1
+    assert spark.read.parquet(path).count() == 4
+    assert sorted(r.src for r in mapping.distinct_values(df, "src").collect()) == ["a", "b"]
