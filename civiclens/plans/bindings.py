@@ -1196,3 +1196,10 @@ def q_stream_window_counts(spark, sf_dir):
     s = sliding_segment_counts(_events_stream(spark, sf_dir), "ts", F.col("event_type"), "7 days", "1 day", "1 day")
     to_parquet(s, out, ckpt)
     return spark.read.parquet(out)
+
+
+@register("pii_text_summary")
+def q_pii_text_summary(spark, sf_dir):
+    from civiclens.operators.audit import pii_scan, pii_text_summary
+
+    return pii_text_summary(pii_scan(text_corpus(spark, sf_dir), "text", "source_url"))

@@ -799,3 +799,16 @@ SELECT page_id, url, 'pages' AS source, '' AS agency,
 FROM pages
 WHERE NOT regexp_matches(lower({_VISIBLE}), 'no records found|no accident report|not found|invalid accident number')
 """
+
+ORACLE["pii_text_summary"] = f"""
+WITH {_PII_FINDINGS},
+l AS (SELECT source_url, pattern_pos,
+             CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END AS r,
+             printf('  [%-8s] %s: %d match(es) — e.g. %s', severity, pattern_name, match_count,
+                    '[' || array_to_string(list_transform(smp, lambda x: '''' ||
+                        CASE WHEN length(x) <= 4 THEN repeat('*', length(x)) ELSE left(x, 1) || repeat('*', length(x) - 2) || right(x, 1) END
+                        || ''''), ', ') || ']') AS line
+      FROM f)
+SELECT source_url, printf('PII Scan — %d finding(s):', count(*)) || chr(10) || string_agg(line, chr(10) ORDER BY r, pattern_pos) AS summary
+FROM l GROUP BY source_url
+"""
