@@ -1203,3 +1203,24 @@ def q_pii_text_summary(spark, sf_dir):
     from civiclens.operators.audit import pii_scan, pii_text_summary
 
     return pii_text_summary(pii_scan(text_corpus(spark, sf_dir), "text", "source_url"))
+
+
+@register("wkt_points")
+def q_wkt_points(spark, sf_dir):
+    from civiclens.functions.exprs import wkt_point
+
+    c = table(spark, sf_dir, "customer")
+    # every 9th location is written without the space after POINT (invalid)
+    loc = F.when(F.col("c_custkey") % 9 == 0, F.format_string("POINT(%s %s)", F.col("c_nationkey"), F.col("c_custkey"))).otherwise(
+        F.format_string("POINT (%s %s)", F.col("c_nationkey"), F.col("c_custkey"))
+    )
+    pts = c.select("c_custkey", wkt_point(loc).alias("p"))
+    return pts.select("c_custkey", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"))
+
+
+@register("calendar_parts")
+def q_calendar_parts(spark, sf_dir):
+    from civiclens.functions.exprs import calendar_parts
+
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", *calendar_parts("ts"))

@@ -812,3 +812,19 @@ l AS (SELECT source_url, pattern_pos,
 SELECT source_url, printf('PII Scan — %d finding(s):', count(*)) || chr(10) || string_agg(line, chr(10) ORDER BY r, pattern_pos) AS summary
 FROM l GROUP BY source_url
 """
+
+ORACLE["wkt_points"] = """
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'POINT(' ELSE 'POINT (' END
+                  || CAST(c_nationkey AS VARCHAR) || ' ' || CAST(c_custkey AS VARCHAR) || ')' AS loc FROM customer)
+SELECT c_custkey,
+       CASE WHEN regexp_matches(loc, '^POINT \\((-?[0-9.]+) (-?[0-9.]+)\\)$')
+            THEN TRY_CAST(regexp_extract(loc, '^POINT \\((-?[0-9.]+) (-?[0-9.]+)\\)$', 1) AS DOUBLE) END AS lon,
+       CASE WHEN regexp_matches(loc, '^POINT \\((-?[0-9.]+) (-?[0-9.]+)\\)$')
+            THEN TRY_CAST(regexp_extract(loc, '^POINT \\((-?[0-9.]+) (-?[0-9.]+)\\)$', 2) AS DOUBLE) END AS lat
+FROM c
+"""
+
+ORACLE["calendar_parts"] = """
+SELECT event_id, CAST(hour(ts) AS INTEGER) AS crash_hour, CAST(dayofweek(ts) + 1 AS INTEGER) AS crash_day_of_week,
+       CAST(month(ts) AS INTEGER) AS crash_month FROM events
+"""
