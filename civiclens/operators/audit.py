@@ -17,17 +17,11 @@ from civiclens.plans.parallel import spread
 HIT_MEDIUM, HIT_HIGH, HIT_CRITICAL, GAP_THRESHOLD = 0.50, 0.75, 0.90, 0.70
 SEVERITY_ORDER = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
 ENUM_RECOMMENDATION = {
-    "CRITICAL": "URGENT: Implement token-based access control. Replace sequential IDs with "
-    "non-guessable UUIDs. Add authentication for full-record retrieval. "
-    "Consider rate-limiting and CAPTCHA on the search form.",
-    "HIGH": "Replace sequential numeric report IDs with opaque tokens or UUIDs. "
-    "Add per-IP rate limiting and an audit log for bulk enumeration attempts.",
-    "MEDIUM": "Monitor for bulk access patterns. Consider switching to non-sequential IDs "
-    "and adding rate limiting to the search endpoint.",
-    "LOW": "Low enumeration risk detected. Monitor access logs for sequential request "
-    "patterns and review whether all returned fields are intended for public access.",
-    "INFO": "No enumeration vulnerability detected in this sample. Re-test with a larger "
-    "ID range to confirm.",
+    "CRITICAL": "URGENT: Implement token-based access control. Replace sequential IDs with non-guessable UUIDs. Add authentication for full-record retrieval. Consider rate-limiting and CAPTCHA on the search form.",
+    "HIGH": "Replace sequential numeric report IDs with opaque tokens or UUIDs. Add per-IP rate limiting and an audit log for bulk enumeration attempts.",
+    "MEDIUM": "Monitor for bulk access patterns. Consider switching to non-sequential IDs and adding rate limiting to the search endpoint.",
+    "LOW": "Low enumeration risk detected. Monitor access logs for sequential request patterns and review whether all returned fields are intended for public access.",
+    "INFO": "No enumeration vulnerability detected in this sample. Re-test with a larger ID range to confirm.",
 }
 ENUM_CATEGORY = "Sequential ID Enumeration"
 ENUM_DESCRIPTION = "{pct} of probed IDs returned valid records. An attacker can enumerate all crash records by iterating IDs."
