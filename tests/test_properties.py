@@ -70,3 +70,21 @@ def test_fuzzy_join_partition_invariant(spark):
     a = bag(joins.fuzzy_join(contacts, crashes, ["o_orderkey"]))
     b = bag(joins.fuzzy_join(contacts.repartition(5), crashes.repartition(7), ["o_orderkey"]))
     assert a == b
+
+
+def test_duplicate_rows_matches_pandas(spark):
+    import random
+
+    import pandas as pd
+
+    from civiclens.operators.profile import duplicate_rows
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice("ab"), rnd.choice([None, 1, 2]), rnd.choice([None, "x", "y", "z"]), rnd.randrange(3)) for _ in range(600)]
+    pdf = pd.DataFrame(rows, columns=["g", "a", "b", "c"])
+    df = spark.createDataFrame(rows, "g string, a int, b string, c int")
+    got = {r.g: r._dup_rows for r in duplicate_rows(df, ["g"], ["a", "b", "c"]).collect()}
+    want = {g: int(part.duplicated(subset=["a", "b", "c"], keep=False).sum()) for g, part in pdf.groupby("g")}
+    assert {g: got.get(g, 0) for g in want} == want
+    total = duplicate_rows(df, [], ["a", "b", "c"]).first()._dup_rows
+    assert total == int(pdf.duplicated(subset=["a", "b", "c"], keep=False).sum())
