@@ -70,6 +70,9 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
     "spark.sql.files.maxPartitionBytes": str(128 << 20),
     "spark.sql.session.timeZone": "UTC",
+    # Arrow batches handed to Python workers (HTML pages can be large): bound
+    # the rows per batch so a batch stays small in worker memory.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
