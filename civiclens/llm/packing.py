@@ -30,7 +30,7 @@ from civiclens.llm.common import id_and_text, shuffle_width, written
 
 CAPACITY = 1024
 GROUPS = 48
-SMALL = 8  # lengths up to capacity / SMALL are small
+SMALL = (2, 4)  # lengths up to capacity / 2, or up to a quarter, are small: the better plan is taken
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 EPS = 1e-9
 
@@ -138,8 +138,21 @@ class _Queue:
         return out
 
 
-def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
+PlanRow = tuple[int, int, int, int, int]
+
+
+def sequences(plan: list[PlanRow]) -> int:
+    """How many sequences a plan fills."""
+    return max((first + n for _, _, n, first, _ in plan), default=0)
+
+
+def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[PlanRow]:
     """Rows ``(length, rank, n, first sequence, offset)`` that place every piece."""
+    return min((plan_once(counts, capacity, groups, small) for small in SMALL), key=sequences)
+
+
+def plan_once(counts: dict[int, int], capacity: int, groups: int, small: int) -> list[PlanRow]:
+    """A plan whose large lengths are those over ``capacity / small``."""
     plan: list[tuple[int, int, int, int, int]] = []
     counts = {int(k): int(v) for k, v in counts.items() if v}
     if any(k < 1 or k > capacity for k in counts):
@@ -148,18 +161,20 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
     if sequence:
         plan.append((capacity, 0, sequence, 0, 0))
     room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room left -> runs (first, n) of sequences
-    large = [(k, counts[k]) for k in sorted(counts, reverse=True) if k > capacity // SMALL]
+    large = [(k, counts[k]) for k in sorted(counts, reverse=True) if k > capacity // small]
     total = sum(n for _, n in large)
     waiting: dict[int, list[tuple[int, int]]] = defaultdict(list)  # length -> runs (rank, n) not placed yet
     if total:
         each = -(-total // groups)
-        queues, sizes, free = [_Queue()], [], each
+        queues, sizes, free = [_Queue()], [], max(each, large[0][1]) if len(large) <= groups else each
         for k, n in large:
             rank = 0
+            if len(large) <= groups and queues[-1].runs:  # few lengths: each is a group
+                free = 0
             while n:
                 if free == 0:
                     queues.append(_Queue())
-                    free = each
+                    free = n if len(large) <= groups else each
                 if not queues[-1].runs:
                     sizes.append(k)
                 use = min(n, free)
@@ -198,7 +213,7 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
             for length, rank, n in q.runs[q.at :]:
                 waiting[length].append((rank, n))
     for k, n in counts.items():
-        if k <= capacity // SMALL:
+        if k <= capacity // small:
             waiting[k].append((0, n))
     for k in sorted(waiting, reverse=True):
         for rank, n in waiting[k]:

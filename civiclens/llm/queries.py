@@ -7,10 +7,20 @@ parameters and derives the columns of its contract from the operator's output.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from civiclens.llm.bpe import encode_documents
 from civiclens.llm.common import table
 from civiclens.llm.content_sort import exact_duplicates
+from civiclens.llm.packing import pack_documents
+
+END_ID = 2  # the id after each document of a packed sequence
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +28,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 1024 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+
+
 REGISTRY = {
+    "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
 }
 
 ORACLE = {
