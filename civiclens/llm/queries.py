@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from civiclens.llm import toxicity
 from civiclens.llm.bpe import encode_documents
 from civiclens.llm.common import table
 from civiclens.llm.content_sort import exact_duplicates
@@ -33,10 +35,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; a fifth of the ids is held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), held_out=(5, 0)))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id",
+        F.coalesce(toxicity.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 REGISTRY = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op7_toxicity": op7_toxicity,
 }
 
 ORACLE = {
