@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclens.llm import toxicity
+from civiclens.llm import pii, toxicity
 from civiclens.llm.bpe import encode_documents
 from civiclens.llm.common import table
 from civiclens.llm.content_sort import exact_duplicates
@@ -35,6 +35,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans counted and hashed, all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.fit(pii.sample_texts(docs)))
+    of = F.split("base", ",")
+    counts = [F.size(F.filter(of, lambda x, k=k: x.startswith(k + ":"))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; a fifth of the ids is held out."""
     docs = table(spark, sf_dir, "documents")
@@ -51,6 +60,7 @@ REGISTRY = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
     "op7_toxicity": op7_toxicity,
 }
 
