@@ -15,6 +15,7 @@ from civiclens.llm import pii, toxicity
 from civiclens.llm.bpe import encode_documents
 from civiclens.llm.common import table
 from civiclens.llm.content_sort import exact_duplicates
+from civiclens.llm.jaccard_join import jaccard_components
 from civiclens.llm.packing import pack_documents
 
 END_ID = 2  # the id after each document of a packed sequence
@@ -56,12 +57,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles overlap by 90 %."""
+    return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 REGISTRY = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
     "op7_toxicity": op7_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 
 ORACLE = {
