@@ -36,12 +36,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
+def _of_kind(kind: str):
+    return lambda span: span.startswith(f"{kind}:")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans counted and hashed, all spans."""
     docs = table(spark, sf_dir, "documents")
     found = pii.find_personal_data(docs, pii.fit(pii.sample_texts(docs)))
     of = F.split("base", ",")
-    counts = [F.size(F.filter(of, lambda x, k=k: x.startswith(k + ":"))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.size(F.filter(of, _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
