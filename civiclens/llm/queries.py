@@ -16,10 +16,19 @@ from civiclens.llm.bpe import encode_documents
 from civiclens.llm.common import table
 from civiclens.llm.content_sort import exact_duplicates
 from civiclens.llm.jaccard_join import jaccard_components
+from civiclens.llm.link_graph import Rule, judge_urls
+from civiclens.llm.multiset_hash import fingerprint_documents
 from civiclens.llm.packing import pack_documents
 
 END_ID = 2  # the id after each document of a packed sequence
 
+URL_RULES = [
+    Rule("net", "/", "block"),
+    Rule("example.net", "/en/", "allow"),
+    Rule("example.com", "/de/", "block"),
+    Rule("org", "/fr/", "allow"),
+]
+
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
@@ -49,6 +58,16 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url, by rules and link propagation."""
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; a fifth of the ids is held out."""
     docs = table(spark, sf_dir, "documents")
@@ -71,6 +90,8 @@ REGISTRY = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
+    "op5_url_filter": op5_url_filter,
+    "op6_multiset_hash": op6_multiset_hash,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
 }
