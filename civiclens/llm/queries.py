@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclens.llm import pii, toxicity
+from civiclens.llm import crf, pii, toxicity
 from civiclens.llm.bpe import encode_documents
 from civiclens.llm.common import table
 from civiclens.llm.content_sort import exact_duplicates
@@ -85,6 +85,15 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a quarter of the ids is held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = crf.train(*crf.labelled_sample(docs, held_out=(4, 2)))
+    return crf.identify(docs, model).select(
+        "doc_id", F.coalesce(toxicity.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 REGISTRY = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -94,6 +103,7 @@ REGISTRY = {
     "op6_multiset_hash": op6_multiset_hash,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE = {
