@@ -19,6 +19,7 @@ from civiclens.llm.jaccard_join import jaccard_components
 from civiclens.llm.link_graph import Rule, judge_urls
 from civiclens.llm.multiset_hash import fingerprint_documents
 from civiclens.llm.packing import pack_documents
+from civiclens.llm.suffix_dedup import remove_repeats
 
 END_ID = 2  # the id after each document of a packed sequence
 
@@ -94,6 +95,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without passages of 13 words or more of earlier documents."""
+    return remove_repeats(table(spark, sf_dir, "documents"), width=13, digests=True)
+
+
 REGISTRY = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -104,6 +110,7 @@ REGISTRY = {
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE = {
