@@ -4,9 +4,8 @@ Rules judge the urls they fit.  For the rest, hosts are judged: trust starts at
 hosts with pages that a rule allows and follows links, distrust starts at hosts
 with blocked pages and follows links backwards (who links to a blocked host), both
 as personalised PageRank over host edges in Spark.  Host edges are the links of
-the pages to other hosts and, both ways, the step from a host to its parent
-domain.  A host is blocked when its distrust exceeds its trust by a threshold,
-both as multiples of what a host of its size gets if rules judge all its pages.
+the pages to other hosts and the step from a host to its parent domain.  A host is blocked when its distrust exceeds its trust by a threshold,
+both as multiples of what a host of its size starts with if rules judge all its pages.
 """
 
 from __future__ import annotations
@@ -68,7 +67,7 @@ def judged(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``src, dst, weight``: links between different hosts, summed per pair, and the
-    steps between a host and its parent domain (of two labels or more)."""
+    steps from a host to its parent domain (of two labels or more)."""
     source = host_of(F.col(url_col))
     links = (
         pages.select(source.alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1))).alias("dst"))
@@ -84,9 +83,8 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             F.concat_ws(".", F.slice(labels, i + 1, F.size(labels) - i)).alias("src"),
             F.concat_ws(".", F.slice(labels, i + 2, F.size(labels) - i - 1)).alias("dst"),
         ))).alias("s")
-    ).select("s.src", "s.dst").distinct()
-    both = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("weight", F.lit(1.0))
-    return links.unionByName(both).where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(
+    ).select("s.src", "s.dst").distinct().withColumn("weight", F.lit(1.0))
+    return links.unionByName(steps).where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(
         F.sum("weight").alias("weight")
     )
 
@@ -148,7 +146,7 @@ def judge_urls(
     )
     total = hosts.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
     ranks = propagate(host_edges(pages, url_col, html_col), hosts)
-    per_page = lambda rank, n: F.col(rank) * F.lit(float(n or 0)) / F.col("pages")
+    per_page = lambda rank, n: F.col(rank) * F.lit(float(n or 0) / (1 - DAMPING)) / F.col("pages")
     bad = (
         hosts.join(ranks, "host")
         .where(per_page("distrust", total["b"]) - per_page("trust", total["a"]) >= F.lit(threshold))
