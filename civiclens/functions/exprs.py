@@ -7,6 +7,7 @@ coercions go through ``try_cast`` / ``try_to_timestamp`` and never raise.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -57,16 +58,17 @@ def normalize_address(c: ColumnOrName) -> Column:
     return F.regexp_replace(lowered, "[^a-z0-9 ]", "")
 
 
-def join_address(*parts: ColumnOrName, empty_as_null: bool = False, drop_nan: bool = False) -> Column:
+def join_address(*parts: ColumnOrName, empty_as_null: bool = False, drop_nan: bool = False, keep_blank: bool = False) -> Column:
     """Truthy parts, stripped, joined with one space.
 
     ``empty_as_null`` gives NULL instead of '' when no part survives;
-    ``drop_nan`` also drops parts spelled ``nan`` (any case).
+    ``drop_nan`` also drops parts spelled ``nan`` (any case); ``keep_blank`` keeps
+    the empty slot of a part that holds only white space.
     """
     cleaned = []
     for p in parts:
         t = strip_ws(col(p).cast("string"))
-        t = F.nullif(t, F.lit(""))
+        t = F.when(col(p).cast("string") != "", t) if keep_blank else F.nullif(t, F.lit(""))
         if drop_nan:
             t = F.when(F.lower(t) == "nan", F.lit(None)).otherwise(t)
         cleaned.append(t)
@@ -87,12 +89,31 @@ def two_way_prefix(a: ColumnOrName, b: ColumnOrName) -> Column:
 
 def digits_only(c: ColumnOrName) -> Column:
     """Strip non-digits; '' → NULL."""
-    return empty_to_null(F.regexp_replace(col(c).cast("string"), r"\D", ""))
+    return empty_to_null(F.regexp_replace(col(c).cast("string"), r"(?U)\D", ""))
+
+
+# Every decimal digit of Unicode and its ASCII digit, by rule.
+_DIGITS = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i)) == "Nd"]
+_ASCII_DIGITS = "".join(str(unicodedata.decimal(d)) for d in _DIGITS)
 
 
 def digits_as_number(c: ColumnOrName) -> Column:
-    """X05 as an integer (decimal(38,0) keeps long digit runs exact)."""
-    return digits_only(c).try_cast("decimal(38,0)")
+    """X05 as an integer of any length: its decimal text without leading zeros."""
+    digits = F.translate(digits_only(c), "".join(_DIGITS), _ASCII_DIGITS)
+    return F.regexp_replace(digits, r"^0+(?=.)", "")
+
+
+def next_number(c: ColumnOrName) -> Column:
+    """The decimal text of a number text plus one: the digit before the trailing
+    nines goes up, the nines become zeros."""
+    c = col(c)
+    nines = F.length(F.regexp_extract(c, "(9*)$", 1))
+    head = F.substring(c, F.lit(1), F.length(c) - nines)
+    last = (F.right(head, F.lit(1)).try_cast("int") + 1).cast("string")
+    raised = F.when(F.length(head) == 0, F.lit("1")).otherwise(
+        F.concat(F.substring(head, F.lit(1), F.length(head) - 1), last)
+    )
+    return F.concat(raised, F.repeat(F.lit("0"), nines))
 
 
 def to_double(c: ColumnOrName) -> Column:

@@ -9,8 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiclens.functions.exprs import digits_as_number, literal_map, py_fixed, py_round, redact
-from civiclens.plans.parallel import spread
+from civiclens.functions.exprs import digits_as_number, literal_map, next_number, py_fixed, py_round, redact
+from civiclens.plans.scan import join_null_safe
 
 # --------------------------------------------------------------------------
 # Fixed values (must equal the reference's thresholds, texts and patterns).
@@ -106,14 +106,14 @@ def _sequence_stats(
         F.last("_blast", ignorenulls=True).over(wb).alias("_bprev"),
         F.coalesce(F.sum("_bhits").over(wb), F.lit(0)).alias("_boff"),
     )
-    d = d.join(summary, [*g, "_b"], "left")
+    d = join_null_safe(d, summary, [*g, "_b"])
     prev = F.coalesce(F.col("_lprev"), F.col("_bprev"))
     rank = F.col("_boff") + F.col("_lrank")
     return d.groupBy(*g).agg(
         F.count(F.lit(1)).alias("ids_probed"),
         F.sum(F.col("_ok").cast("int")).alias("hits"),
         F.count("_num").alias("_n"),
-        F.sum((F.col("_num").isNotNull() & (F.abs(F.col("_num") - prev) == 1)).cast("int")).alias("_consec"),
+        F.sum((F.col("_num").isNotNull() & (((F.col("_num") == next_number(prev)) | (prev == next_number("_num"))))).cast("int")).alias("_consec"),
         F.array_sort(F.collect_list(F.when(F.col("_ok") & (rank <= first_hits), F.struct(F.col("_pos"), F.col("_id"))))).alias("_first"),
     )
 
@@ -217,7 +217,7 @@ def pii_scan(
 ) -> DataFrame:
     """Per text and pattern with at least one match: match count, the first
     three distinct matches (redacted unless ``redact_samples`` is False) and the
-    severity.  Rows ordered by severity, then pattern order.
+    severity.  Within a text the order is ``severity_rank``, ``pattern_pos``.
     """
     spec = F.array(
         *[
@@ -240,7 +240,7 @@ def pii_scan(
         return m
 
     matches = F.array(*[extract(n, p, ic) for n, p, _s, ic in patterns])
-    texts = spread(texts).withColumn("_has_digit", F.coalesce(F.col(text_col).rlike(r"(?U)\d"), F.lit(False)))
+    texts = texts.withColumn("_has_digit", F.coalesce(F.col(text_col).rlike(r"(?U)\d"), F.lit(False)))
     per = texts.select(
         F.col(source_col).alias("source_url"),
         F.posexplode(F.arrays_zip(spec.alias("p"), matches.alias("m"))).alias("_i", "_z"),
@@ -263,7 +263,7 @@ def pii_scan(
         samples.alias("sample_matches"),
         "pattern_pos",
     )
-    return out.orderBy("source_url", _severity_rank(F.col("severity")), "pattern_pos")
+    return out.withColumn("severity_rank", _severity_rank(F.col("severity")))
 
 
 def pii_summary(findings: DataFrame) -> DataFrame:

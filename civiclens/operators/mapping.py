@@ -18,7 +18,7 @@ def normalize_records(
     fallback: str = "crash_record_id",
     date_col: str = "crash_date",
     address_parts: Sequence[str] = ("street_no", "street_direction", "street_name"),
-    status: str = "Pending",
+    status: str = "normalized",
 ) -> DataFrame:
     """key = key or fallback (empty counts as missing), date, address, constant status."""
     cols = set(df.columns)
@@ -29,7 +29,7 @@ def normalize_records(
     return df.select(
         first_truthy(c(key), c(fallback)).alias("crash_join_id"),
         c(date_col).alias("crash_date"),
-        join_address(*[c(p) for p in address_parts], empty_as_null=True).alias("address"),
+        join_address(*[c(p) for p in address_parts], empty_as_null=True, keep_blank=True).alias("address"),
         F.lit(status).alias("status"),
     )
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from civiclens.functions.exprs import days_between, parse_ts, py_fixed, py_round
+from civiclens.plans.scan import join_null_safe
 
 # --------------------------------------------------------------------------
 # Fixed values (thresholds, weights and texts must equal the reference's).
@@ -124,7 +125,7 @@ def profile(
 
     subset = [c for c in (dedup_subset or []) if c in cols] or data_cols
     dup = duplicate_rows(df, group_cols, subset)
-    joined = base.join(dup, group_cols, "left") if group_cols else _attach_global(base, dup)
+    joined = join_null_safe(base, dup, group_cols) if group_cols else _attach_global(base, dup)
 
     n = F.col("total_records").cast("double")
     empty = F.col("total_records") == 0
@@ -177,20 +178,12 @@ def duplicate_rows(df: DataFrame, group_cols: Sequence[str], subset: Sequence[st
     """Per group, rows that belong to a set of equal rows (over ``subset``)
     of size > 1 (pandas ``duplicated(keep=False)``; NULLs equal each other).
 
-    Exact, in two phases so full rows are not shuffled: 64-bit row hashes are
-    counted first (an 8-byte shuffle key per row); only rows whose hash occurs
-    more than once can be duplicates, and only those are grouped by their real
-    values.  Equal rows always share a hash, and a hash collision between
-    different rows is resolved by the exact second grouping.
+    One scan and one shuffle: equal rows are counted map-side first, so a value
+    repeated in very many rows leaves one row per task.
     """
     g = list(group_cols)
-    h = F.xxhash64(*[F.col(c) for c in subset]).alias("_h")
-    hashed = df.select(*g, *subset, h)
-    multi = hashed.groupBy(*g, "_h").agg(F.count(F.lit(1)).alias("_hn")).filter(F.col("_hn") > 1).select(*g, "_h")
-    cands = hashed.join(multi, [*g, "_h"], "left_semi")
-    exact = cands.groupBy(*g, *subset).agg(F.count(F.lit(1)).alias("_n"))
-    # groups without duplicates have no row here; the caller left-joins and reads 0
-    return exact.groupBy(*g).agg(F.sum(F.when(F.col("_n") > 1, F.col("_n")).otherwise(0)).alias("_dup_rows"))
+    alike = df.groupBy(*dict.fromkeys([*g, *subset])).agg(F.count(F.lit(1)).alias("_n"))
+    return alike.groupBy(*g).agg(F.sum(F.when(F.col("_n") > 1, F.col("_n")).otherwise(0)).alias("_dup_rows"))
 
 
 def _attach_global(base: DataFrame, dup: DataFrame) -> DataFrame:

@@ -88,19 +88,20 @@ def q_fuzzy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merge_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, sf_dir, "customer")
-    s = table(spark, sf_dir, "supplier")
-    left = c.select(
-        F.when(F.col("c_custkey") % 11 == 0, F.lit(None)).otherwise(F.col("c_nationkey")).alias("crash_join_id"),
-        "c_custkey",
-        F.col("c_name").alias("name"),
-        F.col("c_acctbal").alias("acctbal"),
+    o = table(spark, sf_dir, "orders")
+    i = table(spark, sf_dir, "lineitem")
+    # a few rows of fixed number on each side have no key and match one another
+    left = o.select(
+        F.when(F.col("o_orderkey") > 3, F.col("o_orderkey")).alias("crash_join_id"),
+        F.col("o_orderkey").alias("order_no"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").alias("amount"),
     )
-    right = s.select(
-        F.when(F.col("s_suppkey") % 7 == 0, F.lit(None)).otherwise(F.col("s_nationkey")).alias("crash_join_id"),
-        "s_suppkey",
-        F.col("s_name").alias("name"),
-        F.col("s_acctbal").alias("acctbal"),
+    right = i.select(
+        F.when(F.col("l_orderkey") > 5, F.col("l_orderkey")).alias("crash_join_id"),
+        "l_linenumber",
+        F.col("l_linestatus").alias("status"),
+        F.col("l_extendedprice").alias("amount"),
     )
     return left, right
 
@@ -318,11 +319,12 @@ def q_lookup_misses(spark, sf_dir):
 def q_range_scan(spark, sf_dir):
     from civiclens.operators.joins import multi_range_scan
 
-    n = table(spark, sf_dir, "nation")
-    ranges = n.select(
-        F.col("n_nationkey").alias("range_no"),
-        (F.col("n_nationkey") * 600).cast("bigint").alias("start"),
-        (F.col("n_nationkey") * 600 + 400).cast("bigint").alias("end"),
+    # one range in every block of 600 ids that occurs
+    blocks = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 600).cast("bigint").alias("range_no")).distinct()
+    ranges = blocks.select(
+        "range_no",
+        (F.col("range_no") * 600).alias("start"),
+        (F.col("range_no") * 600 + 400).alias("end"),
         F.lit(None).cast("int").alias("limit"),
     )
     return multi_range_scan(_found_ids(spark, sf_dir), ranges)
@@ -390,7 +392,7 @@ def q_dataset_profile(spark, sf_dir):
 def q_profile_empty(spark, sf_dir):
     from civiclens.operators.profile import profile, profile_report
 
-    f = events_profile_frame(spark, sf_dir).drop("event_type").filter(F.lit(False))
+    f = events_profile_frame(spark, sf_dir).drop("event_type").filter(F.col("user_id") < 0)
     return _with_issue_text(profile_report(profile(f, as_of=PROFILE_AS_OF)))
 
 
@@ -554,7 +556,6 @@ def q_token_bucket_delay(spark, sf_dir):
 
 # --------------------------------------------------------------- validation
 
-ORDER_RULES = None
 
 
 def _order_rules():
@@ -884,15 +885,21 @@ def q_nested_case_ids(spark, sf_dir):
 
 @register("csv_from_text")
 def q_csv_from_text(spark, sf_dir):
-    from civiclens.sources.files import csv_from_text, header_of
+    from civiclens.sources.files import csv_from_text
 
     o = table(spark, sf_dir, "orders")
-    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
-    # one document per block of 20 orders: every document is bounded
-    docs = o.groupBy(F.floor(F.col("o_orderkey") / 20).alias("doc")).agg(
-        F.concat(F.lit("crash_join_id,status,priority\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("text")
+    key = F.col("o_orderkey").cast("string")
+    # one document per block of 20 orders (bounded); every other one has its columns
+    # in another order, and priorities that span two lines
+    doc = F.floor(F.col("o_orderkey") / 20)
+    line = F.when(doc % 2 == 0, F.concat_ws(",", key, "o_orderstatus", "o_orderpriority")).otherwise(
+        F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('\nnext",'), key, F.lit(","), F.col("o_orderstatus"))
+    )
+    head = F.when(doc % 2 == 0, F.lit("crash_join_id,status,priority")).otherwise(F.lit("priority,crash_join_id,status"))
+    docs = o.select(doc.alias("doc"), head.alias("head"), line.alias("line")).groupBy("doc").agg(
+        F.concat(F.first("head"), F.lit("\r\n"), F.array_join(F.array_sort(F.collect_list("line")), "\r\n")).alias("text")
     )
-    return csv_from_text(docs, "text", header_of(docs, "text"), ["doc"])
+    return csv_from_text(docs, "text", ["crash_join_id", "status", "priority"], ["doc"])
 
 
 @register("drop_corrupt")
@@ -1154,12 +1161,11 @@ def _events_stream(spark, sf_dir):
 
 @register("stream_keep_first")
 def q_stream_keep_first(spark, sf_dir):
-    from civiclens.streaming.jobs import keep_first_stream, to_parquet
+    from civiclens.streaming.jobs import keep_first_stream
 
-    out, ckpt = _scratch(spark, "t01-out"), _scratch(spark, "t01-ckpt")
-    s = keep_first_stream(_events_stream(spark, sf_dir), ["user_id", "event_type"], "ts", "1 hour")
-    to_parquet(s.select("user_id", "event_type"), out, ckpt)
-    return spark.read.parquet(out)
+    s = _events_stream(spark, sf_dir)
+    q = keep_first_stream(s, ["user_id", "event_type"], ["ts", "event_id"], _scratch(spark, "t01-out"), _scratch(spark, "t01-ckpt"))
+    return spark.read.parquet(q.current_table)
 
 
 @register("stream_upsert")

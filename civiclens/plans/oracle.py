@@ -87,15 +87,15 @@ FROM l LEFT JOIN m ON l.crash_join_id = m.crash_join_id
 """
 
 _MERGE_SIDES = """
-l AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_nationkey END AS crash_join_id, c_custkey,
-             c_name AS name, c_acctbal AS acctbal FROM customer),
-r AS (SELECT CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_nationkey END AS crash_join_id, s_suppkey,
-             s_name AS name_contact, s_acctbal AS acctbal_contact FROM supplier)
+l AS (SELECT CASE WHEN o_orderkey > 3 THEN o_orderkey END AS crash_join_id, o_orderkey AS order_no,
+             o_orderstatus AS status, o_totalprice AS amount FROM orders),
+r AS (SELECT CASE WHEN l_orderkey > 5 THEN l_orderkey END AS crash_join_id, l_linenumber,
+             l_linestatus AS status_contact, l_extendedprice AS amount_contact FROM lineitem)
 """
 
 ORACLE["merge_suffix"] = f"""
 WITH {_MERGE_SIDES}
-SELECT l.crash_join_id, l.c_custkey, l.name, l.acctbal, r.s_suppkey, r.name_contact, r.acctbal_contact
+SELECT l.crash_join_id, l.order_no, l.status, l.amount, r.l_linenumber, r.status_contact, r.amount_contact
 FROM l LEFT JOIN r ON l.crash_join_id IS NOT DISTINCT FROM r.crash_join_id
 """
 
@@ -222,8 +222,7 @@ SELECT ids.id FROM ids WHERE NOT EXISTS (SELECT 1 FROM found WHERE found.report_
 
 ORACLE["range_scan"] = f"""
 WITH {_FOUND}
-SELECT n.n_nationkey AS range_no, f.report_id FROM nation n
-JOIN found f ON f.report_id >= n.n_nationkey * 600 AND f.report_id < n.n_nationkey * 600 + 400
+SELECT report_id // 600 AS range_no, report_id FROM found WHERE report_id % 600 < 400
 """
 
 ORACLE["multi_range_scan"] = f"""
@@ -298,7 +297,7 @@ r AS (
 
 ORACLE["dataset_profile"] = "WITH " + _profile_sql(None) + " SELECT * EXCLUDE (iss) FROM r"
 ORACLE["profile_empty"] = ("WITH " + _profile_sql(None) + " SELECT * EXCLUDE (iss) FROM r").replace(
-    "FROM events)", "FROM events WHERE false)"
+    "FROM events)", "FROM events WHERE user_id < 0)"
 )
 _TYPE = "WITH " + _profile_sql("event_type")
 ORACLE["missing_pct"] = _TYPE + " SELECT event_type, missing_fields_pct FROM r"
@@ -631,10 +630,15 @@ FROM orders
 """
 
 ORACLE["csv_from_text"] = """
-SELECT CAST(floor(o_orderkey / 20) AS BIGINT) AS doc, CAST(row_number() OVER (PARTITION BY floor(o_orderkey / 20) ORDER BY
-         CAST(o_orderkey AS VARCHAR) || ',' || o_orderstatus || ',' || o_orderpriority) AS INTEGER) AS line_no,
-       CAST(o_orderkey AS VARCHAR) AS crash_join_id, o_orderstatus AS status, o_orderpriority AS priority
-FROM orders
+WITH l AS (
+  SELECT o_orderkey // 20 AS doc, CAST(o_orderkey AS VARCHAR) AS crash_join_id, o_orderstatus AS status,
+         CASE WHEN (o_orderkey // 20) % 2 = 0 THEN o_orderpriority ELSE o_orderpriority || chr(10) || 'next' END AS priority
+  FROM orders)
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN doc % 2 = 0
+         THEN crash_join_id || ',' || status || ',' || priority
+         ELSE '"' || priority || '",' || crash_join_id || ',' || status END) AS INTEGER) AS line_no,
+       crash_join_id, status, priority
+FROM l
 """
 
 ORACLE["drop_corrupt"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0"
@@ -665,10 +669,9 @@ ORACLE["normalize_records"] = """
 SELECT COALESCE(NULLIF(CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 1 THEN NULL ELSE 'J' || CAST(o_orderkey AS VARCHAR) END, ''),
                 NULLIF(CAST(o_orderkey AS VARCHAR), '')) AS crash_join_id,
        CAST(o_orderdate AS VARCHAR) AS crash_date,
-       NULLIF(concat_ws(' ', NULLIF(trim(CAST(o_orderkey % 7000 AS VARCHAR)), ''),
-                        NULLIF(trim(CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE o_orderstatus END), ''),
-                        NULLIF(trim(o_orderpriority), '')), '') AS address,
-       'Pending' AS status
+       CAST(o_orderkey % 7000 AS VARCHAR) || ' ' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END
+         || ' ' || trim(o_orderpriority) AS address,
+       'normalized' AS status
 FROM orders
 """
 
@@ -739,7 +742,9 @@ WITH {_ACC} SELECT CAST(st_case AS VARCHAR) || ',' || CAST(vehicles AS VARCHAR)
 FROM acc WHERE year BETWEEN 1996 AND 1997 AND state = 5
 """
 
-ORACLE["stream_keep_first"] = "SELECT DISTINCT user_id, event_type FROM events"
+ORACLE["stream_keep_first"] = """
+SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1
+"""
 ORACLE["stream_upsert"] = ORACLE["upsert_by_key"]
 ORACLE["stream_token_bucket"] = ORACLE["token_bucket_delay"]
 ORACLE["stream_window_counts"] = """

@@ -20,31 +20,13 @@ def _cols(cs: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
-def previous_value(
-    df: DataFrame,
-    group_cols: Sequence[str],
-    order_cols: Sequence[str],
-    bucket: Column,
-    value_col: str,
-    out_col: str = "_prev",
-) -> DataFrame:
-    """``lag(value)`` over (group order by order_cols) computed bucket-wise.
-
-    ``bucket`` must be non-decreasing in the order (e.g. ``floor(pos / 4096)``).
-    """
-    g = list(group_cols)
-    d = df.withColumn("_bkt", bucket)
-    w_local = Window.partitionBy(*g, "_bkt").orderBy(*_cols(order_cols))
-    d = d.withColumn("_lprev", F.lag(value_col).over(w_local))
-    summary = d.groupBy(*g, "_bkt").agg(F.max_by(F.col(value_col), F.struct(*_cols(order_cols))).alias("_last"))
-    # one row per non-empty bucket: the window over buckets is small
-    w_b = Window.partitionBy(*g).orderBy("_bkt")
-    summary = summary.withColumn("_bprev", F.lag("_last").over(w_b)).drop("_last")
-    d = d.join(summary, [*g, "_bkt"], "left")
-    first_in_bucket = F.row_number().over(w_local) == 1
-    return d.withColumn(out_col, F.when(first_in_bucket, F.col("_bprev")).otherwise(F.col("_lprev"))).drop(
-        "_lprev", "_bprev", "_bkt"
-    )
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the keys stay once, from ``left``."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(named[f"_r_{k}"])
+    return left.join(named, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def running_index_and_max(
@@ -54,6 +36,7 @@ def running_index_and_max(
     bucket: Column,
     t_col: str,
     step: int,
+    scale: int = 1,
     idx_col: str = "_idx",
     max_col: str = "_runmax",
     tmax_col: str = "_tmax",
@@ -61,36 +44,39 @@ def running_index_and_max(
     """For each row ``i`` (0-based position within its group in the order):
 
     * ``idx_col``  = i
-    * ``max_col``  = max over j ≤ i of (t_j − j·step)
-    * ``tmax_col`` = max over j ≤ i of t_j
+    * ``max_col``  = max over j ≤ i of (t_j·scale − j·step)
+    * ``tmax_col`` = max over j ≤ i of t_j·scale
 
-    Exact in integer arithmetic (``t`` and ``step`` as bigint).  Inside a
-    bucket the window is local; across buckets the offsets (row counts) and
+    Exact in integer arithmetic: an interval that is no whole number of time units
+    is the fraction ``step / scale``, in decimals of 38 digits.  NULL groups are
+    groups like any other.  Inside a bucket the window is local; across buckets the offsets (row counts) and
     prefix maxima come from a per-bucket summary.
     """
     g = list(group_cols)
-    t = F.col(t_col).cast("bigint")
-    st = F.lit(int(step)).cast("bigint")
+    kind = "bigint" if scale == 1 else "decimal(38,0)"
+    t = F.col(t_col).cast("bigint") if scale == 1 else (F.col(t_col).cast("decimal(19,0)") * F.lit(scale).cast("decimal(18,0)")).cast(kind)
+    st = F.lit(int(step))
+    j_step = (lambda j: j * st) if scale == 1 else (lambda j: (j.cast("decimal(19,0)") * F.lit(int(step)).cast("decimal(18,0)")).cast(kind))
     d = df.withColumn("_bkt", bucket)
     w_local = Window.partitionBy(*g, "_bkt").orderBy(*_cols(order_cols))
     w_run = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_lj", F.row_number().over(w_local) - 1)
-    d = d.withColumn("_lmax", F.max(t - F.col("_lj") * st).over(w_run)).withColumn("_ltmax", F.max(t).over(w_run))
+    d = d.withColumn("_lmax", F.max(t - j_step(F.col("_lj"))).over(w_run)).withColumn("_ltmax", F.max(t).over(w_run))
 
     summary = d.groupBy(*g, "_bkt").agg(
         F.count(F.lit(1)).alias("_cnt"),
-        F.max(t - F.col("_lj") * st).alias("_bm"),
+        F.max(t - j_step(F.col("_lj"))).alias("_bm"),
         F.max(t).alias("_btm"),
     )
     w_b = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     summary = (
         summary.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_b), F.lit(0)).cast("bigint"))
         # bucket maxima shifted by their own offset before the prefix max
-        .withColumn("_bm_abs", F.col("_bm") - F.col("_off") * st)
+        .withColumn("_bm_abs", F.col("_bm") - j_step(F.col("_off")))
     )
     summary = summary.withColumn("_pmax", F.max("_bm_abs").over(w_b)).withColumn("_ptmax", F.max("_btm").over(w_b))
-    d = d.join(summary.select(*g, "_bkt", "_off", "_pmax", "_ptmax"), [*g, "_bkt"], "left")
-    local_abs = F.col("_lmax") - F.col("_off") * st
+    d = join_null_safe(d, summary.select(*g, "_bkt", "_off", "_pmax", "_ptmax"), [*g, "_bkt"])
+    local_abs = F.col("_lmax") - j_step(F.col("_off"))
     d = d.withColumn(idx_col, F.col("_off") + F.col("_lj"))
     d = d.withColumn(max_col, F.greatest(local_abs, F.coalesce(F.col("_pmax"), local_abs)))
     d = d.withColumn(tmax_col, F.greatest(F.col("_ltmax"), F.coalesce(F.col("_ptmax"), F.col("_ltmax"))))

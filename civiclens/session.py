@@ -37,16 +37,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as
-    is.  Only when it is unset (local tests) a scratch folder is created.
+    is.  Only when it is unset on a local master (tests) a scratch folder is
+    created; any other master without it is an error, since a folder of the
+    driver's machine is none that executors share.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not is_local(spark.sparkContext.master):
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="civiclens-ckpt-")
     spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)
@@ -76,19 +85,6 @@ CLUSTER_CONF = {
 }
 
 
-def tune_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int = 128 << 20) -> int:
-    """Size shuffles for an input of ``input_bytes``: about ``partition_bytes`` per
-    shuffle partition (AQE coalesces from there), never fewer than two waves of
-    the cluster's cores.  Returns the partition count that was set."""
-    import math
-
-    n = max(2 * spark.sparkContext.defaultParallelism, math.ceil(input_bytes / partition_bytes))
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(partition_bytes))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(partition_bytes))
-    return n
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -8,8 +8,11 @@ set for pretty-printed single documents.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+import io
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
@@ -140,20 +143,26 @@ def nested_case_ids(docs: DataFrame, doc_col: str, key_cols: Sequence[str] = ())
 
 # ------------------------------------------------------------------ CSV text
 
-def csv_from_text(docs: DataFrame, text_col: str, header: Sequence[str], key_cols: Sequence[str] = ()) -> DataFrame:
-    """One CSV document per row: the first line is the header (``header``
-    gives the column names, all text), the others are rows."""
-    schema = ", ".join(f"`{h}` string" for h in header)
-    lines = F.split(F.col(text_col), r"\r?\n")
-    body = docs.select(*key_cols, F.posexplode(lines).alias("line_no", "line")).filter((F.col("line_no") > 0) & (F.col("line") != ""))
-    parsed = body.select(*key_cols, "line_no", F.from_csv("line", schema).alias("r"))
-    return parsed.select(*key_cols, "line_no", "r.*")
-
-
-def header_of(docs: DataFrame, text_col: str) -> list[str]:
-    """The header line of one document (a single short row on the driver)."""
-    first = docs.select(F.substring_index(F.col(text_col), "\n", 1).alias("h")).limit(1).collect()
-    return [h.strip() for h in first[0]["h"].split(",")] if first else []
+def csv_from_text(docs: DataFrame, text_col: str, columns: Sequence[str], key_cols: Sequence[str] = ()) -> DataFrame:
+    """One CSV document per row, read as ``csv.DictReader`` does: each
+    document's own first record names its columns, quoted fields may span lines,
+    blank lines are skipped.  Returns the keys, the record number and ``columns`` as
+    text; a column that a document lacks, or a short record's, is NULL.
+    """
+    keys, wanted = list(key_cols), list(columns)
+    kinds = dict(docs.select(*keys).dtypes)
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["line_no int"] + [f"`{c}` string" for c in wanted])
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for row in f.itertuples(index=False, name=None):
+                records = csv.DictReader(io.StringIO(row[-1] or "", newline=""))
+                for n, r in enumerate(records, 1):
+                    out.append((*row[:-1], n, *[r.get(c) for c in wanted]))
+            yield pd.DataFrame(out, columns=[*keys, "line_no", *wanted])
+
+    return docs.select(*keys, F.col(text_col).alias("_text")).mapInPandas(read, schema)
 
 
 # ------------------------------------------------------------------ catalogues

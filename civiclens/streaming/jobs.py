@@ -10,6 +10,8 @@ then stop), which is also how the tests and the bindings run them.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from fractions import Fraction
+from math import lcm
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from civiclens.operators.aggregates import keep_first
+from civiclens.operators.rates import interval
 from civiclens.session import ship_package
 from civiclens.sources.sinks import merge_upsert
 
@@ -41,13 +45,26 @@ def run_available(writer, checkpoint: str) -> StreamingQuery:
 
 # ------------------------------------------------------------------ T01
 
-def keep_first_stream(stream: DataFrame, key_cols: Sequence[str], ts_col: str, delay: str) -> DataFrame:
-    """Drop repeats of a key seen within the watermark delay (A01 on a stream).
+def keep_first_stream(stream: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str], table_root: str, checkpoint: str) -> StreamingQuery:
+    """The first row of each key by ``order_cols`` (A01 on a stream).
 
-    ``withWatermark`` needs a TIMESTAMP column; NTZ event times are cast first.
+    Every micro-batch is reduced to its first rows and merged with the table so
+    far, keeping the smaller order; so the table does not depend on how the input
+    is cut into micro-batches, nor on their order.  Epoch ``n`` writes
+    ``table_root/v=<n>`` from version ``n-1``.
     """
-    s = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, delay)
-    return s.dropDuplicatesWithinWatermark(list(key_cols))
+    root = table_root.rstrip("/")
+
+    def merge(batch: DataFrame, epoch_id: int) -> None:
+        rows = batch
+        if epoch_id:
+            rows = rows.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{root}/v={epoch_id - 1}"))
+        keep_first(rows, list(key_cols), list(order_cols)).write.mode("overwrite").parquet(f"{root}/v={epoch_id}")
+
+    q = run_available(stream.writeStream.foreachBatch(merge), checkpoint)
+    last = q.lastProgress["batchId"] if q.lastProgress else None
+    q.current_table = f"{root}/v={last or 0}"  # type: ignore[attr-defined]
+    return q
 
 
 # ------------------------------------------------------------------ T02
@@ -76,7 +93,7 @@ def upsert_stream(stream: DataFrame, table_root: str, key: str, order_cols: Sequ
 
 # ------------------------------------------------------------------ T03
 
-def token_bucket_stream(stream: DataFrame, key_col: str, order_cols: Sequence[str], t_us_col: str, capacity: int,
+def token_bucket_stream(stream: DataFrame, key_col: str, order_cols: Sequence[str], t_us_col: str, capacity: float,
                         refill_per_s: float, out_cols: Sequence[str]) -> DataFrame:
     """Stateful token bucket per key with ``applyInPandasWithState``.
 
@@ -86,8 +103,11 @@ def token_bucket_stream(stream: DataFrame, key_col: str, order_cols: Sequence[st
     ordered by ``order_cols`` before they are admitted.
     """
     ship_package(stream.sparkSession)
-    step = int(round(1_000_000 / refill_per_s))
-    cap = int(capacity)
+    # as in rates.token_bucket_delay: exact fractions over one denominator
+    delta = interval(refill_per_s)
+    ahead = (1 - Fraction(str(capacity))) * delta
+    scale = lcm(delta.denominator, ahead.denominator)
+    step, lead = int(delta * scale), int(ahead * scale)
     in_cols = [key_col, *[c for c in order_cols if c != key_col], t_us_col, *[c for c in out_cols if c not in (key_col, t_us_col, *order_cols)]]
     out_schema = ", ".join(
         [f"{c} {stream.schema[c].dataType.simpleString()}" for c in dict.fromkeys([key_col, *out_cols, t_us_col])]
@@ -98,21 +118,25 @@ def token_bucket_stream(stream: DataFrame, key_col: str, order_cols: Sequence[st
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(list(order_cols), kind="mergesort")
         n, m, tm = state.get if state.exists else (0, None, None)
         t = pdf[t_us_col].to_numpy(dtype=np.int64)
-        idx = n + np.arange(len(t), dtype=np.int64)
-        run_m = np.maximum.accumulate(t - idx * step)
-        run_t = np.maximum.accumulate(t)
+        number = np.int64 if scale == 1 else object  # whole numbers of any length for fractions
+        idx = (n + np.arange(len(t), dtype=np.int64)).astype(number)
+        scaled = t.astype(number) * scale
+        run_m = np.maximum.accumulate(scaled - idx * step)
+        run_t = np.maximum.accumulate(scaled)
         if m is not None:
-            run_m = np.maximum(run_m, m)
-            run_t = np.maximum(run_t, tm)
-        admit = np.maximum(run_t, run_m + (idx + 1 - cap) * step)
-        state.update((int(n + len(t)), int(run_m[-1]), int(run_t[-1])))
+            run_m = np.maximum(run_m, int(m))
+            run_t = np.maximum(run_t, int(tm))
+        admit = np.maximum(run_t, run_m + idx * step + lead)
+        state.update((int(n + len(t)), str(run_m[-1]), str(run_t[-1])))
+        if scale > 1:
+            admit = np.asarray([(2 * a + scale) // (2 * scale) for a in admit], dtype=np.int64)
         out = pdf[list(dict.fromkeys([key_col, *out_cols, t_us_col]))].copy()
         out["admit_us"] = admit
         out["delay_us"] = admit - t
         yield out
 
     return stream.select(*dict.fromkeys(in_cols)).groupBy(key_col).applyInPandasWithState(
-        fn, out_schema, "n long, m long, tm long", "append", GroupStateTimeout.NoTimeout
+        fn, out_schema, "n long, m string, tm string", "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -137,9 +137,46 @@ def test_sheet_url_f10(spark):
 
 
 def test_csv_from_text(spark):
-    docs = spark.createDataFrame([(1, "crash_join_id,target_id\nC-1001,TGT-1\n")], "doc int, text string")
-    out = files.csv_from_text(docs, "text", files.header_of(docs, "text"), ["doc"]).collect()
-    assert [(r.crash_join_id, r.target_id) for r in out] == [("C-1001", "TGT-1")]
+    docs = spark.createDataFrame(
+        [(1, "crash_join_id,target_id\nC-1001,TGT-1\n"), (2, 'target_id,crash_join_id\r\n"T,\n2",C-2\r\n\r\nT3\r\n'), (3, None), (4, "other\nx")],
+        "doc int, text string",
+    )
+    out = files.csv_from_text(docs, "text", ["crash_join_id", "target_id"], ["doc"]).collect()
+    assert sorted(map(tuple, out), key=str) == [
+        (1, 1, "C-1001", "TGT-1"), (2, 1, "C-2", "T,\n2"), (2, 2, None, "T3"), (4, 1, None, None)]
+
+
+def test_ids_of_any_length_and_null_portals(spark):
+    from civiclens.functions.exprs import digits_as_number, next_number
+    from civiclens.operators.audit import id_enumeration_report, id_gap_rate
+
+    long = 10**39 + 999
+    rows = [(None, 0, f"A{long}"), (None, 1, f"A0{long + 1}"), ("p", 0, "x9"), ("p", 1, "x10"), ("p", 2, "x12"), ("p", 3, "none")]
+    log = spark.createDataFrame(rows, "portal string, pos long, id string")
+    got = {r.portal: r.gap_rate for r in id_gap_rate(log, ["portal"], "pos", "id", bucket_size=1).collect()}
+    assert got == {None: 1.0, "p": 0.5}
+    report = {r.portal: r for r in id_enumeration_report(log, ["portal"], "pos", "id", F.lit(True), bucket_size=1).collect()}
+    assert report[None].hits == 2 and str(long) in report[None].findings[0].evidence
+    n = spark.createDataFrame([("009",), ("999",), ("٣",), ("a",)], "s string").select(digits_as_number("s").alias("d"), next_number(digits_as_number("s")).alias("n"))
+    assert [tuple(r) for r in n.collect()] == [("9", "10"), ("999", "1000"), ("3", "4"), (None, None)]
+
+
+def test_null_group_duplicates_and_blank_address_parts(spark):
+    from civiclens.operators.mapping import normalize_records
+    from civiclens.operators.profile import profile
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 3)], "g string, v int")
+    assert {r.g: r.duplicate_rate for r in profile(df, ["g"], as_of="2024-01-01").collect()} == {"a": 0.0, None: 1.0}
+    r = normalize_records(spark.createDataFrame([("", "k", "10", " ", "MAIN "), (None, "k", None, "", None)],
+                          "crash_join_id string, crash_record_id string, street_no string, street_direction string, street_name string")).collect()
+    assert [(x.crash_join_id, x.address, x.status) for x in r] == [("k", "10  MAIN", "normalized"), ("k", None, "normalized")]
+
+
+def test_shared_folder_is_required_off_local_masters():
+    from civiclens.session import is_local
+
+    assert is_local("local") and is_local("local[8]")
+    assert not is_local("local-cluster[3,2,1024]") and not is_local("spark://h:7077") and not is_local("yarn")
 
 
 def test_geojson_and_ids_f12(spark, tmp_path):

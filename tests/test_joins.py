@@ -112,18 +112,3 @@ def test_range_join_wide_and_narrow(spark):
         hits = [x for x in ids if s <= x < e]
         want += [(n, x) for x in (hits[:lim] if lim else hits)]
     assert got == sorted(want)
-
-
-def test_maybe_broadcast_and_spread(spark):
-    from civiclens.plans.broadcast import maybe_broadcast, row_count_at_most
-    from civiclens.plans.parallel import spread
-
-    small = spark.range(10)
-    assert row_count_at_most(small, 10) and not row_count_at_most(small, 9)
-    big = spark.range(1000)
-    assert maybe_broadcast(big, 100) is big
-    assert maybe_broadcast(small, 100) is not small
-    one = spark.range(100).coalesce(1)
-    assert spread(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(100).repartition(8)
-    assert spread(many, 4) is many

@@ -120,14 +120,58 @@ def test_upsert_stream_versions_chain(spark, tmp_path):
     assert got == {1: "a2", 2: "b1", 3: "c", 4: "d"}
 
 
-def test_previous_value_matches_lag(spark):
-    from pyspark.sql import Window
+def test_null_safe_join(spark):
+    from civiclens.plans.scan import join_null_safe
+
+    left = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, v int")
+    right = spark.createDataFrame([("a", 10), (None, 20)], "k string, w int")
+    assert {(r.k, r.v, r.w) for r in join_null_safe(left, right, ["k"]).collect()} == {("a", 1, 10), (None, 2, 20), ("b", 3, None)}
 
-    from civiclens.plans.scan import previous_value
 
-    rnd = random.Random(9)
-    rows = [(rnd.choice("xyz"), i, rnd.randrange(100)) for i in range(1500)]
-    df = spark.createDataFrame(rows, "g string, o long, v long")
-    got = {(r.g, r.o): r._prev for r in previous_value(df, ["g"], ["o"], F.floor(F.col("o") / 41), "v").collect()}
-    ref = {(r.g, r.o): r.p for r in df.withColumn("p", F.lag("v").over(Window.partitionBy("g").orderBy("o"))).collect()}
-    assert got == ref
+@pytest.mark.parametrize("rate,capacity", [(3, 2.5), (0.7, 1.25), (2, 3), (2_500_000, 4)])
+def test_rates_are_exact_fractions(spark, rate, capacity):
+    """Against the recurrences in exact fractions; NULL keys are a key of their own."""
+    from fractions import Fraction
+    from math import floor
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["x", None]), i, rnd.randrange(0, 8_000_000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, e int, t long")
+    slots = {r.e: r.slot_start_us for r in rates.throttle_slots(df, ["k"], ["t", "e"], "t", rate, bucket_us=500_000).collect()}
+    admits = {r.e: r.admit_us for r in rates.token_bucket_delay(df, ["k"], ["t", "e"], "t", capacity, rate, bucket_us=500_000).collect()}
+    delta, half = 1_000_000 / Fraction(str(rate)), Fraction(1, 2)
+    for key in ("x", None):
+        free, tokens, now = Fraction(0), Fraction(str(capacity)), None
+        for _, e, t in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            start = max(Fraction(t), free)
+            free = start + delta
+            assert slots[e] == floor(start + half)
+            at = Fraction(t) if now is None else max(Fraction(t), now)
+            if now is not None:
+                tokens = min(Fraction(str(capacity)), tokens + (at - now) / delta)
+            if tokens < 1:
+                at += (1 - tokens) * delta
+                tokens = Fraction(1)
+            tokens, now = tokens - 1, at
+            assert admits[e] == floor(at + half)
+
+
+def test_tenth_request_at_three_per_second(spark):
+    df = spark.createDataFrame([("x", i, 0) for i in range(10)], "k string, e int, t long")
+    assert max(r.slot_start_us for r in rates.throttle_slots(df, ["k"], ["e"], "t", 3).collect()) == 3_000_000
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_keep_first_stream_does_not_depend_on_batches(spark, tmp_path, files):
+    from civiclens.streaming.jobs import file_stream, keep_first_stream
+
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(40), i, f"v{i}") for i in range(400)]
+    rnd.shuffle(rows)
+    landing = str(tmp_path / "in")
+    for n in range(files):
+        spark.createDataFrame(rows[n::files], "k int, o int, v string").coalesce(1).write.mode("append").parquet(landing)
+    s = file_stream(spark, landing, "k int, o int, v string", max_files=1)
+    q = keep_first_stream(s, ["k"], ["o"], str(tmp_path / "t"), str(tmp_path / "c"))
+    got = {r.k: (r.o, r.v) for r in spark.read.parquet(q.current_table).collect()}
+    assert got == {k: min((o, v) for kk, o, v in rows if kk == k) for k, *_ in rows}
