@@ -284,8 +284,10 @@ def fit(texts: list[str]) -> Model:
 def sample_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", limit: int = SAMPLE_DOCUMENTS) -> list[str]:
     """At most ``limit`` documents to learn from, chosen by a hash of the id among
     those with a digit."""
-    rows = id_and_text(docs, id_col, text_col).where(F.col("text").rlike("[0-9]"))
-    return [r["text"] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
+    rows = id_and_text(docs, id_col, text_col).where(F.col("text").rlike("[0-9]") & F.col("doc_id").isNotNull())
+    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).distinct()
+    found = rows.join(F.broadcast(chosen), "doc_id")  # at most `limit` ids
+    return [r["text"] for r in found.orderBy("doc_id", "text").limit(limit).collect()]
 
 
 def find_spans(texts: list[str], model: Model) -> list[tuple[list, list]]:
