@@ -3,7 +3,8 @@
 Two sets whose Jaccard similarity is at least ``t`` share a token among the first
 ``n - ceil(t n) + 1`` of each, under every order of the tokens.  Candidates come
 from the first order's prefix tokens, and must also share a prefix token under
-two further orders; only then are the sets compared.  All orders put frequent
+two further orders; only then are the sets compared.  A shared token counts only where
+its places in both sets leave room for the overlap that is needed.  All orders put frequent
 tokens last (the most frequent ones of the whole corpus, a list of bounded
 length), so common passages do not make candidates of unlike documents.
 
@@ -91,7 +92,10 @@ def prefix(s: np.ndarray, order: int, percent: int, frequent: np.ndarray) -> np.
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         key = key | ((frequent[at] == s).astype(np.uint64) << _U(63))
     size = n - (percent * n + 99) // 100 + 1
-    return s[np.argsort(key, kind="stable")[:size]]
+    if size < n:
+        least = np.argpartition(key, size - 1)[:size]
+        return s[least[np.argsort(key[least], kind="stable")]]
+    return s[np.argsort(key, kind="stable")]
 
 
 def _profile(rows: DataFrame, k: int) -> DataFrame:
@@ -133,7 +137,8 @@ def _profile(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """``doc_id, n, p0, p1, ...``: prefix tokens under each order."""
+    """``doc_id, n, p0, p1, ...``: prefix tokens under each order, by their places;
+    those of the further orders, which only filter, as their low 32 bits."""
 
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = frequent.value
@@ -142,11 +147,12 @@ def _prefixes(rows: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 g = f.iloc[at : at + 1000]
                 sets = [shingles(t, k) for t in g["text"]]
                 out = pd.DataFrame({"doc_id": g["doc_id"].to_numpy(), "n": [len(s) for s in sets]})
-                for o in range(ORDERS):
-                    out[f"p{o}"] = [prefix(s, o, percent, common).view(np.int64) for s in sets]
+                out["p0"] = [prefix(s, 0, percent, common).view(np.int64) for s in sets]
+                for o in range(1, ORDERS):
+                    out[f"p{o}"] = [prefix(s, o, percent, common).astype(np.uint32).view(np.int32) for s in sets]
                 yield out
 
-    return rows.mapInPandas(prefixes, "doc_id long, n long, " + ", ".join(f"p{o} array<long>" for o in range(ORDERS)))
+    return rows.mapInPandas(prefixes, "doc_id long, n long, p0 array<long>, " + ", ".join(f"p{o} array<int>" for o in range(1, ORDERS)))
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -166,6 +172,12 @@ def _may_link(n1: str, n2: str, percent: int):
     return F.lit(100) * F.least(n1, n2) >= F.lit(percent) * F.greatest(n1, n2)
 
 
+def _room(n1: str, at1: str, n2: str, at2: str, percent: int):
+    """From a shared token at these places on, the sets can overlap enough.  It holds
+    for the first shared token of any two sets that link."""
+    return (F.lit(100 + percent) * F.least(F.col(n1) - F.col(at1), F.col(n2) - F.col(at2))) >= F.lit(percent) * (F.col(n1) + F.col(n2))
+
+
 class _Join:
     """The steps of one join over class representatives."""
 
@@ -233,23 +245,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     # 2. each token's group against its first member
     group = Window.partitionBy("token").orderBy("doc_id")
     shared = written(
-        table.select(F.explode("p0").alias("token"), "doc_id", F.col("n").cast("int").alias("n"))
-        .withColumn("first", F.first(F.struct("doc_id", "n")).over(group))
+        table.select(F.posexplode("p0").alias("at", "token"), "doc_id", F.col("n").cast("int").alias("n"))
+        .withColumn("first", F.first(F.struct("doc_id", "n", "at")).over(group))
         .withColumn("last", F.lead("doc_id").over(group).isNull())
         .where((F.col("first.doc_id") != F.col("doc_id")) | ~F.col("last"))
-        .select("token", "doc_id", "n", F.col("first.doc_id").alias("center"), F.col("first.n").alias("center_n")),
+        .select(
+            "token", "doc_id", "n", "at", F.col("first.doc_id").alias("center"), F.col("first.n").alias("center_n"), F.col("first.at").alias("center_at")
+        ),
         "groups",
     )
-    stars = shared.where((F.col("center") != F.col("doc_id")) & _may_link("n", "center_n", percent))
+    stars = shared.where(
+        (F.col("center") != F.col("doc_id")) & _may_link("n", "center_n", percent) & _room("n", "at", "center_n", "center_at", percent)
+    )
     star_links = join.links(stars.select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
     first = components(star_links)
 
     # 3. links between components
     placed = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "token", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.col("component").isNotNull().alias("many")
+        "token", "n", "at", F.coalesce("component", "doc_id").alias("component"), F.col("component").isNotNull().alias("many")
     )
     units = placed.groupBy("token", "component").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.first("many").alias("many"), F.count(F.lit(1)).alias("members")
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("at").alias("at"), F.first("many").alias("many")
     )
     left, right = units.alias("l"), units.alias("r")
     meet = written(
@@ -258,6 +274,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
             (F.col("l.component") < F.col("r.component"))
             & (F.lit(100) * F.col("l.most") >= F.lit(percent) * F.col("r.least"))
             & (F.lit(100) * F.col("r.most") >= F.lit(percent) * F.col("l.least"))
+            & (F.col("l.many") | F.col("r.many") | _room("l.most", "l.at", "r.most", "r.at", percent))
         )
         .select(F.col("l.component").alias("a"), F.col("r.component").alias("b"), (F.col("l.many") | F.col("r.many")).alias("many"))
         .distinct(),
