@@ -28,8 +28,19 @@ HOUR_US = 3_600_000_000
 
 
 def interval(rate_per_s: float) -> Fraction:
-    """Microseconds between two permits, the exact fraction of the decimal rate."""
-    return 1_000_000 / Fraction(str(rate_per_s))
+    """Microseconds between two permits: an exact fraction.  A float rate stands for
+    the simplest fraction that it is the float of."""
+    return 1_000_000 / simplest(rate_per_s)
+
+
+def simplest(x: float) -> Fraction:
+    """The fraction of the smallest power-of-ten bounded denominator that a float
+    is nearest to (1/21600 and 0.7 are themselves)."""
+    for digits in range(1, 17):
+        f = Fraction(x).limit_denominator(10**digits)
+        if float(f) == float(x):
+            return f
+    return Fraction(x)
 
 
 def whole_us(value: Column, scale: int) -> Column:
@@ -87,7 +98,7 @@ def token_bucket_delay(
         raise ValueError("a capacity under 1 never admits a unit request")
     # the interval and what (1 - capacity) intervals take, over one denominator
     delta = interval(refill_per_s)
-    ahead = (1 - Fraction(str(capacity))) * delta
+    ahead = (1 - simplest(capacity)) * delta
     scale = lcm(delta.denominator, ahead.denominator)
     step, lead = int(delta * scale), int(ahead * scale)
     d = running_index_and_max(df, key_cols, order_cols, _bucket(t_us_col, bucket_us), t_us_col, step, scale)

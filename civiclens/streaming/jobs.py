@@ -10,7 +10,6 @@ then stop), which is also how the tests and the bindings run them.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from fractions import Fraction
 from math import lcm
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from civiclens.operators.aggregates import keep_first
-from civiclens.operators.rates import interval
+from civiclens.operators.rates import interval, simplest
 from civiclens.session import ship_package
 from civiclens.sources.sinks import merge_upsert
 
@@ -105,7 +104,7 @@ def token_bucket_stream(stream: DataFrame, key_col: str, order_cols: Sequence[st
     ship_package(stream.sparkSession)
     # as in rates.token_bucket_delay: exact fractions over one denominator
     delta = interval(refill_per_s)
-    ahead = (1 - Fraction(str(capacity))) * delta
+    ahead = (1 - simplest(capacity)) * delta
     scale = lcm(delta.denominator, ahead.denominator)
     step, lead = int(delta * scale), int(ahead * scale)
     in_cols = [key_col, *[c for c in order_cols if c != key_col], t_us_col, *[c for c in out_cols if c not in (key_col, t_us_col, *order_cols)]]
