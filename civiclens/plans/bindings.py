@@ -758,32 +758,57 @@ def q_html_links(spark, sf_dir):
     return html_links(table(spark, sf_dir, "pages"), title_phrase=None, source="pages")
 
 
+def _report_pages(spark, sf_dir):
+    """The landed pages and one built from each order: a table, a list, a form, ids,
+    or a page that was not found."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    kind = F.col("o_orderkey") % 5
+    html = (
+        F.when(kind == 0, F.concat(
+            F.lit("<table><tr><th>County</th><td>C"), F.col("o_custkey").cast("string"), F.lit("</td></tr><tr><td>Report Date</td><td> "),
+            F.col("o_orderdate").cast("date").cast("string"), F.lit("</td></tr></table><p>Driver</p>")))
+        .when(kind == 1, F.concat(
+            F.lit("<dl><dt>Location of Crash</dt><dd>"), F.col("o_orderpriority"), F.lit("</dd><dt> troop </dt><dd>T"),
+            (F.col("o_custkey") % 9).cast("string"), F.lit("</dd></dl>")))
+        .when(kind == 2, F.concat(
+            F.lit('<form action="find"><input name="'), F.when(F.col("o_orderkey") % 2 == 0, "report_number").otherwise("caseNumber"),
+            F.lit('" value="'), key, F.lit('"><input type="hidden" name="csrf_token" value="t"><select name="s"><option value="a"><option value="'),
+            F.col("o_orderstatus"), F.lit('" selected></select></form>')))
+        .when(kind == 3, F.concat(F.lit('<div id="report_num">R'), key, F.lit('</div><p id="involved_party">Owner</p>')))
+        .otherwise(F.lit("<p>No records found</p>"))
+    )
+    built = o.select((F.col("o_orderkey") + 1_000_000_000).alias("page_id"), F.concat(F.lit("http://built.example.com/p/"), key).alias("url"), html.alias("html"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(built)
+
+
 @register("html_fields")
 def q_html_fields(spark, sf_dir):
     from civiclens.sources.html import html_fields
 
-    return html_fields(table(spark, sf_dir, "pages"), default_troop="C", source="pages")
+    return html_fields(_report_pages(spark, sf_dir), default_troop="C", source="pages")
 
 
 @register("html_forms")
 def q_html_forms(spark, sf_dir):
     from civiclens.sources.html import html_forms
 
-    return html_forms(table(spark, sf_dir, "pages"))
+    pairs = F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return html_forms(_report_pages(spark, sf_dir)).withColumn("fields", F.array_join(F.array_sort(pairs), "&"))
 
 
 @register("html_by_id")
 def q_html_by_id(spark, sf_dir):
     from civiclens.sources.html import html_by_id
 
-    return html_by_id(table(spark, sf_dir, "pages"), agency="pages")
+    return html_by_id(_report_pages(spark, sf_dir), agency="pages")
 
 
 @register("html_valid")
 def q_html_valid(spark, sf_dir):
     from civiclens.sources.html import html_valid
 
-    return html_valid(table(spark, sf_dir, "pages"))
+    return html_valid(_report_pages(spark, sf_dir))
 
 
 # ------------------------------------------------------- landed files (sources)

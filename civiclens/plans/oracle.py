@@ -833,3 +833,31 @@ ORACLE["calendar_parts"] = """
 SELECT event_id, CAST(hour(ts) AS INTEGER) AS crash_hour, CAST(dayofweek(ts) + 1 AS INTEGER) AS crash_day_of_week,
        CAST(month(ts) AS INTEGER) AS crash_month FROM events
 """
+
+# the landed pages and those that the bindings build from orders
+_REPORT_PAGES = """WITH all_pages AS (
+  SELECT page_id, url, html FROM pages
+  UNION ALL
+  SELECT 1000000000 + o_orderkey, 'http://built.example.com/p/' || o_orderkey,
+         CASE o_orderkey % 5
+           WHEN 0 THEN '<table><tr><th>County</th><td>C' || o_custkey || '</td></tr><tr><td>Report Date</td><td> '
+                       || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '</td></tr></table><p>Driver</p>'
+           WHEN 1 THEN '<dl><dt>Location of Crash</dt><dd>' || o_orderpriority || '</dd><dt> troop </dt><dd>T' || (o_custkey % 9) || '</dd></dl>'
+           WHEN 3 THEN '<div id="report_num">R' || o_orderkey || '</div><p id="involved_party">Owner</p>'
+           WHEN 4 THEN '<p>No records found</p>'
+           ELSE '<form></form>' END
+  FROM orders)
+"""
+for _k in ("html_fields", "html_by_id", "html_valid"):
+    ORACLE[_k] = _REPORT_PAGES + ORACLE[_k].replace("FROM pages", "FROM all_pages")
+ORACLE["html_forms"] = """
+SELECT page_id, false AS has_form, CAST(NULL AS VARCHAR) AS action, '' AS fields, CAST(NULL AS VARCHAR) AS id_field, false AS has_token FROM pages
+UNION ALL
+SELECT 1000000000 + o_orderkey, o_orderkey % 5 = 2, CASE WHEN o_orderkey % 5 = 2 THEN 'http://built.example.com/p/find' END,
+       CASE WHEN o_orderkey % 5 <> 2 THEN ''
+            WHEN o_orderkey % 2 = 0 THEN 'csrf_token=t&report_number=' || o_orderkey || '&s=' || o_orderstatus
+            ELSE 'caseNumber=' || o_orderkey || '&csrf_token=t&s=' || o_orderstatus END,
+       CASE WHEN o_orderkey % 5 = 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'report_number' ELSE 'caseNumber' END END,
+       o_orderkey % 5 = 2
+FROM orders
+"""

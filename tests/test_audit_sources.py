@@ -340,3 +340,23 @@ def test_append_and_distinct(spark, tmp_path):
     assert sinks.append(df.limit(1), path, partition_by=["src"]) == 1
     assert spark.read.parquet(path).count() == 4
     assert sorted(r.src for r in mapping.distinct_values(df, "src").collect()) == ["a", "b"]
+
+
+def test_deep_pages_and_flat_rows(spark):
+    deep = "<p>" * 5000 + "x" + "<div>" * 5000 + "no such thing"
+    table = ("<table><tr><th><b>County</b></th><td> Cole </td></tr><tr><td>Date of Crash</td><th>2024-01-02</th></tr></table>"
+             "<dl><dt>Troop</dt><dd>F</dd></dl><span id=report_num>R<i>1</i></span><p>Owner: x</p>")
+    form = ("<form action='go?x=1'><input name=a value=1><input type=checkbox name=b value=2><input type=radio name=c value=3 checked>"
+            "<select name=s><option value=u><option value=v selected></select><textarea name=t> hi </textarea>"
+            "<input type=submit name=z><input name=a value=9><input type=hidden name=csrf_token value=k></form><form><input name=q></form>")
+    pages = spark.createDataFrame([(1, "http://h/p/", deep), (2, "http://h/p/", table), (3, "http://h/p/", form), (4, None, None)],
+                                  "page_id long, url string, html string")
+    f = {r.page_id: r for r in html.html_fields(pages, default_troop="C").collect()}
+    assert (f[2].county, f[2].report_date, f[2].location, f[2].troop, f[2].contact_found) == ("Cole", "2024-01-02", "", "F", True)
+    assert f[1].county == "" and f[4].troop == "C"
+    forms = {r.page_id: r for r in html.html_forms(pages).collect()}
+    assert forms[3].action == "http://h/p/go?x=1" and forms[3].has_token and forms[3].id_field == "a"
+    assert forms[3].fields == {"a": "9", "c": "3", "s": "v", "t": "hi", "csrf_token": "k"}
+    assert not forms[2].has_form and forms[2].action is None and forms[2].id_field is None
+    ids = {r.page_id: r.crash_join_id for r in html.html_by_id(pages).collect()}
+    assert ids == {1: "", 2: "R1", 3: "", 4: ""}
