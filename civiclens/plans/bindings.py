@@ -282,10 +282,14 @@ def q_count_per_key(spark, sf_dir):
 @register("injury_summary")
 def q_injury_summary(spark, sf_dir):
     c, v, p = _crashes(spark, sf_dir), _units(spark, sf_dir), _people(spark, sf_dir)
-    j = c.join(v, "crash_record_id").join(p, "crash_unit_id", "left")
+    # people are counted per unit before they meet the units
+    per_unit = p.groupBy("crash_unit_id").agg(
+        F.count("person_id").alias("people"), F.count(F.when(F.col("injury_type") == "FATAL INJURY", 1)).alias("fatal")
+    )
+    j = c.join(v, "crash_record_id").join(per_unit, "crash_unit_id", "left")
     return j.groupBy("crash_record_id", "crash_unit_id", "crash_date", "make", "model").agg(
-        F.count("person_id").alias("occupant_count"),
-        F.count(F.when(F.col("injury_type") == "FATAL INJURY", 1)).alias("fatalities"),
+        F.coalesce(F.sum("people"), F.lit(0)).alias("occupant_count"),
+        F.coalesce(F.sum("fatal"), F.lit(0)).alias("fatalities"),
     )
 
 
@@ -499,7 +503,18 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source_url"), "text"
     )
     p = table(spark, sf_dir, "pages").select(F.col("url").alias("source_url"), F.col("html").alias("text"))
-    return d.unionByName(p)
+    # records built from customers hold every pattern
+    k, digits = F.col("c_custkey"), lambda n, width: F.lpad(n.cast("string"), width, "0")
+    c = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("customer/"), k.cast("string")).alias("source_url"),
+        F.concat(
+            F.lit("Driver: Ann Lee, DOB: 1/"), (k % 28 + 1).cast("string"), F.lit("/1990, SSN "),
+            digits(k % 500 + 100, 3), F.lit("-"), digits(k % 99 + 1, 2), F.lit("-"), digits(k % 9999 + 1, 4),
+            F.lit(", License: A"), digits(k, 7), F.lit(", plate KX-"), digits(k % 900 + 100, 3), F.lit(", call ("),
+            digits(k % 800 + 100, 3), F.lit(") 555-"), digits(k % 10000, 4), F.lit(", c"), k.cast("string"), F.lit("@mail.example.org"),
+        ).alias("text"),
+    )
+    return d.unionByName(p).unionByName(c)
 
 
 @register("pii_scan")

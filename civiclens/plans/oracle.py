@@ -443,7 +443,11 @@ _PII_SQL = [
 
 _PII_FINDINGS = (
     "corpus AS (SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS source_url, text FROM documents "
-    "UNION ALL SELECT url AS source_url, html AS text FROM pages),\n"
+    "UNION ALL SELECT url AS source_url, html AS text FROM pages "
+    "UNION ALL SELECT 'customer/' || c_custkey, 'Driver: Ann Lee, DOB: 1/' || (c_custkey % 28 + 1) || '/1990, SSN ' || (c_custkey % 500 + 100) || '-' "
+    "|| lpad(CAST(c_custkey % 99 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey % 9999 + 1 AS VARCHAR), 4, '0') || ', License: A' "
+    "|| lpad(CAST(c_custkey AS VARCHAR), 7, '0') || ', plate KX-' || (c_custkey % 900 + 100) || ', call (' || (c_custkey % 800 + 100) || ') 555-' "
+    "|| lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || ', c' || c_custkey || '@mail.example.org' FROM customer),\n"
     "m AS (\n"
     + "\n  UNION ALL\n".join(
         f"  SELECT source_url, '{n}' AS pattern_name, '{s}' AS severity, {p} AS pattern_pos, {e} AS ms FROM corpus"
