@@ -37,11 +37,6 @@ def empty_to_null(c: ColumnOrName) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
-def blank_to_null(c: ColumnOrName) -> Column:
-    """Whitespace-only or '' → NULL, otherwise the stripped text."""
-    return F.nullif(strip_ws(col(c).cast("string")), F.lit(""))
-
-
 def first_truthy(*cols: ColumnOrName) -> Column:
     """First value that is neither NULL nor ''."""
     return F.coalesce(*[empty_to_null(col(c)) for c in cols])
@@ -131,11 +126,6 @@ def clamp(c: ColumnOrName, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), col(c)))
 
 
-def round_half_even(c: ColumnOrName, scale: int = 0) -> Column:
-    """Python's ``round`` (banker's rounding)."""
-    return F.bround(col(c), scale)
-
-
 def floor_block(n: ColumnOrName, size: int) -> Column:
     """X11: floor to a multiple of ``size`` (negatives floor too); exact for integers."""
     n = col(n).cast("bigint")
