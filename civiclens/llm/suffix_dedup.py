@@ -9,9 +9,10 @@ window, whether and in which smallest document it occurs.
 
 Only the shards that can match are sent to a span, not all to all:
 
-1. Every window holds an anchor, its minimal ``GRAM``-word hash.  Anchors that lie
-   in two documents are kept as a bitmap of fixed size; windows without one are
-   in one document only.  (A full bitmap makes more work, not other results.)
+1. Every window holds an anchor, its minimal ``GRAM``-word hash.  Tasks note in
+   bitmaps of fixed size which anchors they saw once and which in two documents,
+   the bitmaps are merged, and windows whose anchor is in one document only are
+   done with.  (A full bitmap makes more work, not other results.)
 2. The other windows are compared by hash: first within a batch, so that a window
    in very many documents leaves one row per batch, then over all batches.  Each
    repeat names an earlier document and place.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +36,10 @@ from civiclens.llm.common import id_and_text, shuffle_width, written
 from civiclens.llm.jaccard_join import _WORDS, mixed
 
 WIDTH = 13
-GRAM = 5
-BITS = 1 << 26
+GRAM = 7
+BITS = 1 << 28
+CHUNK_BYTES = 1 << 16
+IDS = 1 << 24  # bits of the bitmaps of document ids
 SPAN_WORDS = 500_000  # words streamed through one copy of a shard
 _U = np.uint64
 
@@ -145,21 +149,75 @@ class Automaton:
 
 
 def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of ``BITS`` bits of a column's 64-bit values: at most BITS / 64 rows
+    """A bitmap of ``IDS`` bits of a column's 64-bit values: at most IDS / 64 rows
     reach the driver, whatever the input."""
-    bit = F.pmod(F.col(column), F.lit(BITS))
+    bit = F.pmod(F.col(column), F.lit(IDS))
     rows = (
         hashes.groupBy(F.shiftright(bit, 6).cast("int").alias("at"))
         .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))")).alias("bits"))
         .toPandas()
     )
-    out = np.zeros(BITS // 64, dtype=np.int64)
+    out = np.zeros(IDS // 64, dtype=np.int64)
     out[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
     return out.view(np.uint64)
 
 
+def _put(bitmap: np.ndarray, bits: np.ndarray) -> None:
+    """Set sorted distinct bits of a bitmap of bytes."""
+    if len(bits):
+        at = bits >> 3
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        bitmap[at[starts]] |= np.bitwise_or.reduceat(np.uint8(1) << (bits & 7).astype(np.uint8), starts)
+
+
+def _shared_bits(rows: DataFrame, width: int) -> np.ndarray:
+    """The bitmap of anchors that lie in two documents or more."""
+    schema = "chunk int, part int, at binary, once binary, twice binary"
+
+    def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        once, twice = np.zeros(BITS // 8, dtype=np.uint8), np.zeros(BITS // 8, dtype=np.uint8)
+        for f in frames:
+            found = [np.unique(anchors_and_windows(words_of(t), width)[0] % _U(BITS)) for t in f["text"]]
+            if sum(map(len, found)):
+                bits, docs = np.unique(np.concatenate(found).astype(np.int64), return_counts=True)
+                before = (once[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
+                _put(once, bits)
+                _put(twice, bits[before | (docs > 1)])
+        at = np.flatnonzero(once)
+        cuts = np.searchsorted(at, np.arange(0, BITS // 8 + 1, CHUNK_BYTES))
+        part = TaskContext.get().partitionId() % 64
+        out = [
+            (c, part, (at[a:b] % CHUNK_BYTES).astype(np.uint16).tobytes(), once[at[a:b]].tobytes(), twice[at[a:b]].tobytes())
+            for c, (a, b) in enumerate(zip(cuts, cuts[1:]))
+            if a < b
+        ]
+        yield pd.DataFrame(out, columns=["chunk", "part", "at", "once", "twice"])
+
+    def merge(f: pd.DataFrame, last: bool = False) -> pd.DataFrame:
+        once, twice = np.zeros(CHUNK_BYTES, dtype=np.uint8), np.zeros(CHUNK_BYTES, dtype=np.uint8)
+        for a, o, t in zip(f["at"], f["once"], f["twice"]):
+            at, o = np.frombuffer(a, dtype=np.uint16), np.frombuffer(o, dtype=np.uint8)
+            twice[at] |= np.frombuffer(t, dtype=np.uint8) | (once[at] & o)
+            once[at] |= o
+        at = np.flatnonzero(twice if last else once)
+        row = (f["chunk"].iloc[0], 0, at.astype(np.uint16).tobytes(), once[at].tobytes(), twice[at].tobytes())
+        return pd.DataFrame([row], columns=["chunk", "part", "at", "once", "twice"])
+
+    def merge_part(f: pd.DataFrame) -> pd.DataFrame:
+        return merge(f)
+
+    def finish(f: pd.DataFrame) -> pd.DataFrame:
+        return merge(f, last=True)
+
+    merged = rows.mapInPandas(seen, schema).groupBy("chunk", "part").applyInPandas(merge_part, schema).groupBy("chunk").applyInPandas(finish, schema)
+    out = np.zeros(BITS // 8, dtype=np.uint8)
+    for r in merged.select("chunk", "at", "twice").collect():  # at most BITS / 8 bytes and their places
+        out[r["chunk"] * CHUNK_BYTES + np.frombuffer(r["at"], dtype=np.uint16).astype(np.int64)] = np.frombuffer(r["twice"], dtype=np.uint8)
+    return out.view("<u8")
+
+
 def _in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values.view(np.int64) % np.int64(BITS)
+    at = (values.view(np.uint64) % _U(64 * len(bitmap))).astype(np.int64)
     return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) == 1
 
 
@@ -177,22 +235,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = rows.sparkSession
     known = rows.where("doc_id is not null")
 
-    def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [np.unique(anchors_and_windows(words_of(t), width)[0]) for t in f["text"]]
-            if not sum(map(len, found)):
-                continue
-            a = np.concatenate(found)
-            doc = np.repeat(f["doc_id"].to_numpy(dtype=np.int64), list(map(len, found)))
-            order, first = _by_owner(a, doc)
-            starts = np.flatnonzero(first == np.arange(len(first)))
-            ends = np.append(starts[1:], len(a)) - 1
-            yield pd.DataFrame({"anchor": a[order][starts].view(np.int64), "low": doc[order][starts], "high": doc[order][ends]})
-
-    shared = (
-        known.mapInPandas(anchors, "anchor long, low long, high long").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    )
-    bitmap = spark.sparkContext.broadcast(_bitmap(shared, "anchor"))
+    bitmap = spark.sparkContext.broadcast(_shared_bits(known, width))
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Candidate windows.  Those that a smaller document of the batch holds are
@@ -238,7 +281,6 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     runs = written(
         within.unionByName(across)
         .withColumn("shift", F.col("first_place") - F.col("place"))
-        .distinct()
         .withColumn("new", F.coalesce((F.col("place") - F.lag("place").over(line) > 1).cast("int"), F.lit(1)))
         .withColumn("run", F.sum("new").over(line))
         .groupBy("doc_id", "first_doc", "shift", "run")
