@@ -32,6 +32,8 @@ GRAM = 5  # bytes of the strings whose counts in the classes are compared
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.006, 20.0  # a toxic string is in so many (and such a share of the) toxic documents, and so many times likelier there
 WINDOW_BYTES = 48  # longer words (links, runs without space) are cut into such windows
 REPEATS = 3
+CHANCE = 1e-7  # the most likely that a toxic string's count may be if it were as frequent in ordinary text
+FOLDS = 4
 EVIDENCE = 3  # bytes saved from which a window counts
 CACHE_ENTRIES = 500_000
 
@@ -76,8 +78,8 @@ def _filled(size: int, strings: list[bytes]) -> bytes:
     for x in strings:
         if size <= 0:
             break
-        out.append(x)
-        size -= len(x)
+        out.append(x + b"\n")  # no match goes on from one string into the next
+        size -= len(out[-1])
     return b"".join(reversed(out))
 
 
@@ -129,6 +131,13 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, x))))
 
 
+def _log_tail(n: int, mean: float) -> float:
+    """log of a bound on the chance that a Poisson count reaches ``n``."""
+    if mean >= n:
+        return 0.0
+    return -mean + n * math.log(mean) - math.lgamma(n + 1) - math.log(1 - mean / (n + 1))
+
+
 def dictionaries(toxic: Iterable[str], ordinary: Iterable[str]) -> tuple[bytes, bytes]:
     """The two dictionaries' contents from texts of the two classes."""
     toxic, ordinary = list(toxic), list(ordinary)
@@ -142,7 +151,11 @@ def dictionaries(toxic: Iterable[str], ordinary: Iterable[str]) -> tuple[bytes,
             count.update(grams)
     scale = max(1, len(ordinary)) / max(1, len(toxic))
     least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * len(toxic)))
-    marks = {g for g, n in in_toxic.items() if n >= least and n * scale >= LEAST_RATIO * max(in_ordinary[g], 0.5)}
+    marks = {
+        g
+        for g, n in in_toxic.items()
+        if n >= least and n * scale >= LEAST_RATIO * max(in_ordinary[g], 0.5) and _log_tail(n, (in_ordinary[g] + 0.5) / scale) < math.log(CHANCE)
+    }
     spans: Counter = Counter()
     for t in toxic:
         spans.update({x for w in set(windows(t)) for x in _spans(w, marks) if len(x) > GRAM})
@@ -167,20 +180,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
-    """Dictionaries from all texts; the score's weights from halves whose evidence
-    is taken with the other half's dictionaries.  Without both classes the score
+    """Dictionaries from all texts; the score's weights from folds whose evidence
+    is taken with the dictionaries of the other folds.  Without both classes the score
     is the share of toxic labels (0 if there are none)."""
     y = np.asarray(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 0.0
         return Model(b"", b"", (math.log((rate + 1e-9) / (1 - rate + 1e-9)),))
-    half = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % 2  # halves of both classes
+    of = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % FOLDS  # folds of both classes
     x = np.zeros((len(y), 3))
-    for h in (0, 1):
-        learn = [i for i in range(len(y)) if half[i] != h]
+    for h in range(FOLDS):
+        learn = [i for i in range(len(y)) if of[i] != h]
         m = Model(*dictionaries([texts[i] for i in learn if y[i]], [texts[i] for i in learn if not y[i]]), ())
         seen: dict[bytes, int] = {}
-        for i in np.flatnonzero(half == h):
+        for i in np.flatnonzero(of == h):
             x[i] = m.evidence(texts[i], seen)
     toxic, ordinary = dictionaries([t for t, v in zip(texts, y) if v], [t for t, v in zip(texts, y) if not v])
     return Model(toxic, ordinary, tuple(_logistic(x, y).tolist()))
