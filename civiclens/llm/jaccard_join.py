@@ -82,15 +82,25 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mixed(s, 100 + i).sum(dtype=np.uint64).view(np.int64)) for i in (0, 1))
 
 
-def prefix(s: np.ndarray, order: int, percent: int, frequent: np.ndarray) -> np.ndarray:
-    """The prefix tokens of a set under an order; ``frequent``: tokens, sorted."""
+def sieve(frequent: np.ndarray) -> np.ndarray:
+    """By low bits: whether a token may be among the frequent ones."""
+    maybe = np.zeros(1 << 20, dtype=bool)
+    maybe[(frequent & _U(len(maybe) - 1)).astype(np.int64)] = True
+    return maybe
+
+
+def prefix(s: np.ndarray, order: int, percent: int, frequent: np.ndarray, maybe: np.ndarray) -> np.ndarray:
+    """The prefix tokens of a set under an order; ``frequent``: tokens, sorted, and
+    their sieve."""
     n = len(s)
     if not n:
         return s
     key = mixed(s, order) >> _U(1)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        key = key | ((frequent[at] == s).astype(np.uint64) << _U(63))
+        hit = np.flatnonzero(maybe[(s & _U(len(maybe) - 1)).astype(np.int64)])
+        if len(hit):
+            at = np.minimum(np.searchsorted(frequent, s[hit]), len(frequent) - 1)
+            key[hit[frequent[at] == s[hit]]] |= _U(1 << 63)
     size = n - (percent * n + 99) // 100 + 1
     if size < n:
         least = np.argpartition(key, size - 1)[:size]
@@ -141,15 +151,15 @@ def _prefixes(rows: DataFrame, k: int, percent: int, frequent) -> DataFrame:
     those of the further orders, which only filter, as their low 32 bits."""
 
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = frequent.value
+        common, maybe = frequent.value, sieve(frequent.value)
         for f in frames:
             for at in range(0, len(f), 1000):
                 g = f.iloc[at : at + 1000]
                 sets = [shingles(t, k) for t in g["text"]]
                 out = pd.DataFrame({"doc_id": g["doc_id"].to_numpy(), "n": [len(s) for s in sets]})
-                out["p0"] = [prefix(s, 0, percent, common).view(np.int64) for s in sets]
+                out["p0"] = [prefix(s, 0, percent, common, maybe).view(np.int64) for s in sets]
                 for o in range(1, ORDERS):
-                    out[f"p{o}"] = [prefix(s, o, percent, common).astype(np.uint32).view(np.int32) for s in sets]
+                    out[f"p{o}"] = [prefix(s, o, percent, common, maybe).astype(np.uint32).view(np.int32) for s in sets]
                 yield out
 
     return rows.mapInPandas(prefixes, "doc_id long, n long, p0 array<long>, " + ", ".join(f"p{o} array<int>" for o in range(1, ORDERS)))
@@ -172,10 +182,13 @@ def _may_link(n1: str, n2: str, percent: int):
     return F.lit(100) * F.least(n1, n2) >= F.lit(percent) * F.greatest(n1, n2)
 
 
-def _room(n1: str, at1: str, n2: str, at2: str, percent: int):
+def _room(n1: str, at1: str, n2: str, at2: str, percent: int, least1: str | None = None, least2: str | None = None):
     """From a shared token at these places on, the sets can overlap enough.  It holds
-    for the first shared token of any two sets that link."""
-    return (F.lit(100 + percent) * F.least(F.col(n1) - F.col(at1), F.col(n2) - F.col(at2))) >= F.lit(percent) * (F.col(n1) + F.col(n2))
+    for the first shared token of any two sets that link.  For groups of sets:
+    the largest sizes, the first places, and the least sizes."""
+    return (F.lit(100 + percent) * F.least(F.col(n1) - F.col(at1), F.col(n2) - F.col(at2))) >= F.lit(percent) * (
+        F.col(least1 or n1) + F.col(least2 or n2)
+    )
 
 
 class _Join:
@@ -207,9 +220,9 @@ class _Join:
         return written(sized.select(*pairs.columns, "inter", "total"), f"{name}-compared")
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs ``a, b`` that link."""
+        """The pairs ``a, b`` that link, with ``inter`` and ``total``."""
         found = self.compared(written(self.filtered(pairs), f"{name}-pairs"), name)
-        return found.where(F.lit(100) * F.col("inter") >= F.lit(self.percent) * F.col("total")).select("a", "b")
+        return found.where(F.lit(100) * F.col("inter") >= F.lit(self.percent) * F.col("total"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,7 +278,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         "token", "n", "at", F.coalesce("component", "doc_id").alias("component"), F.col("component").isNotNull().alias("many")
     )
     units = placed.groupBy("token", "component").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max("at").alias("at"), F.first("many").alias("many")
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("at").alias("at"), F.first("many").alias("many")
     )
     left, right = units.alias("l"), units.alias("r")
     meet = written(
@@ -274,7 +287,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
             (F.col("l.component") < F.col("r.component"))
             & (F.lit(100) * F.col("l.most") >= F.lit(percent) * F.col("r.least"))
             & (F.lit(100) * F.col("r.most") >= F.lit(percent) * F.col("l.least"))
-            & (F.col("l.many") | F.col("r.many") | _room("l.most", "l.at", "r.most", "r.at", percent))
+            & _room("l.most", "l.at", "r.most", "r.at", percent, "l.least", "r.least")
         )
         .select(F.col("l.component").alias("a"), F.col("r.component").alias("b"), (F.col("l.many") | F.col("r.many")).alias("many"))
         .distinct(),
@@ -291,7 +304,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         "inside",
     )
     away = (F.lit(1.0) - F.col("inter") / F.col("total")).alias("away")
-    near = join.compared(inside, "inside").select(F.col("a").alias("component"), F.col("b").alias("node"), away)
+    # most members were compared with their pivot as a group's first member
+    known_near = star_links.join(inside, ["a", "b"], "left_semi")
+    rest = written(inside.join(star_links, ["a", "b"], "left_anti"), "inside-rest")
+    near = known_near.unionByName(join.compared(rest, "inside")).select(F.col("a").alias("component"), F.col("b").alias("node"), away)
     pivots = grouped.select(F.col("a").alias("component")).unionByName(grouped.select(F.col("b").alias("component"))).distinct()
     members = written(near.unionByName(pivots.select("component", F.col("component").alias("node"), F.lit(0.0).alias("away"))), "members")
     radius = members.groupBy("component").agg(F.max("away").alias("radius"))
@@ -316,7 +332,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         .distinct()
     )
     across = join.links(pairs, "across")
-    final = components(star_links.unionByName(single).unionByName(across))
+    final = components(star_links.unionByName(single).unionByName(across).select("a", "b"))
 
     of = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "rep")).alias("component")
