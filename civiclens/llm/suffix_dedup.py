@@ -13,8 +13,8 @@ Only the shards that can match are sent to a span, not all to all:
    bitmaps of fixed size which anchors they saw once and which in two documents,
    the bitmaps are merged, and windows whose anchor is in one document only are
    done with.  (A full bitmap makes more work, not other results.)
-2. The other windows are compared by hash: first within a batch, so that a window
-   in very many documents leaves one row per batch, then over all batches.  Each
+2. The other windows are compared by hash: first within some documents of a task, so that a window
+   in very many documents leaves one row for those, then over all batches.  Each
    repeat names an earlier document and place.
 3. Runs of repeats are the candidate spans, and the places they name are the
    reference passages.  Both go to the earlier document's shard; a shard with
@@ -41,7 +41,9 @@ BITS = 1 << 28
 CHUNK_BYTES = 1 << 16
 IDS = 1 << 24  # bits of the bitmaps of document ids
 SPAN_WORDS = 500_000  # words streamed through one copy of a shard
+SLICE = 1500  # documents whose hashes a task holds at once
 _U = np.uint64
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -50,25 +52,30 @@ def words_of(text: str) -> list[bytes]:
 
 
 def _grams(h: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """A hash for each run of ``n`` words."""
+    """A hash for each run of ``n`` words: a polynomial of their mixed hashes."""
     m = len(h) - n + 1
-    out = np.zeros(m, dtype=np.uint64)
-    for i in range(n):
-        out = out * _U(0x100000001B3) + mixed(h[i : i + m], seed + i % 2)
-        out ^= out >> _U(29)
-    return mixed(out, seed)
+    x = mixed(h, seed)
+    out = x[:m].copy()
+    for i in range(1, n):
+        out *= _FACTOR
+        out += x[i : i + m]
+    return mixed(out, seed + 1)
 
 
-def anchors_and_windows(words: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Each window's anchor and hash, by the place where it starts."""
-    if len(words) < width:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+def _hashes(text: str, width: int) -> np.ndarray | None:
+    """The words' hashes; None for texts without a window."""
+    words = words_of(text)
+    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words)) if len(words) >= width else None
+
+
+def anchors(h: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
+    """Each window's anchor, by the place where the window starts."""
     gram = min(gram, width)
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
     g = _grams(h, gram, 11)
-    span = width - gram + 1
-    anchors = np.lib.stride_tricks.sliding_window_view(g, span).min(axis=1)
-    return anchors, _grams(h, width, 17)
+    out, m = g[: len(h) - width + 1].copy(), len(h) - width + 1
+    for i in range(1, width - gram + 1):
+        np.minimum(out, g[i : i + m], out=out)
+    return out
 
 
 class Automaton:
@@ -176,9 +183,10 @@ def _shared_bits(rows: DataFrame, width: int) -> np.ndarray:
 
     def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         once, twice = np.zeros(BITS // 8, dtype=np.uint8), np.zeros(BITS // 8, dtype=np.uint8)
-        for f in frames:
-            found = [np.unique(anchors_and_windows(words_of(t), width)[0] % _U(BITS)) for t in f["text"]]
-            if sum(map(len, found)):
+        for f in _slices(frames):
+            hashes = [h for h in (_hashes(t, width) for t in f["text"]) if h is not None]
+            found = [np.unique(anchors(h, width) % _U(BITS)) for h in hashes]
+            if found:
                 bits, docs = np.unique(np.concatenate(found).astype(np.int64), return_counts=True)
                 before = (once[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
                 _put(once, bits)
@@ -221,6 +229,12 @@ def _in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) == 1
 
 
+def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for at in range(0, len(f), SLICE):
+            yield f.iloc[at : at + SLICE]
+
+
 def _by_owner(w: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by value then document, and each row's first row of its value."""
     order = np.lexsort((doc, w))
@@ -241,13 +255,13 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         """Candidate windows.  Those that a smaller document of the batch holds are
         repeats of it; one row of each other window goes on to the other batches."""
         bits = bitmap.value
-        for f in frames:
+        for f in _slices(frames):
             hashes, docs, places = [], [], []
             for doc, text in zip(f["doc_id"].tolist(), f["text"]):
-                a, w = anchors_and_windows(words_of(text), width)
-                if len(a):
-                    at = np.flatnonzero(_in_bitmap(bits, a))
-                    hashes.append(w[at])
+                h = _hashes(text, width)
+                if h is not None:
+                    at = np.flatnonzero(_in_bitmap(bits, anchors(h, width)))
+                    hashes.append(_grams(h, width, 17)[at])
                     docs.append(np.full(len(at), doc, dtype=np.int64))
                     places.append(at)
             if not sum(map(len, hashes)):
