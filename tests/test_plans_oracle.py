@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from civiclens.plans.bindings import REGISTRY
+from civiclens.plans.oracle import ORACLE
 from civiclens.plans.tables import TABLES
 
 SF = os.environ.get("CIVICLENS_TEST_SF", "/root/testdata/sf0.001")
@@ -51,7 +53,7 @@ def test_entry_smoke(spark):
     assert df.count() >= 0 and "segment" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_matches_oracle(spark, duck, name):
     sdf = E.queries()[name](spark, SF)
     srows = [tuple(r) for r in sdf.collect()]
@@ -65,14 +67,13 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle_or_is_documented():
-    missing = sorted(set(E.queries()) - set(E.oracle_sql()))
-    assert set(missing) <= {"html_forms"}
+    assert set(REGISTRY) == set(ORACLE)
 
 
 BAD_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_no_cross_or_nested_loop_join(spark, name):
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for node in BAD_NODES:
