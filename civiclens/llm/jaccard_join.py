@@ -11,8 +11,9 @@ length), so common passages do not make candidates of unlike documents.
 Groups of like documents are never expanded into all pairs:
 
 1. documents with the same shingle set are one class with one representative;
-2. in each prefix token's group every member is compared with the group's first
-   member only; the links found make components;
+2. in each prefix token's group a member is compared with the group's first member
+   at most, and a document with the few first members it shares most tokens with;
+   the links found make components;
 3. for links between different components that share a prefix token, pairs of
    components are formed, not of members.  The Jaccard distance is a metric, so
    two components whose pivots are farther apart than their radii and the
@@ -35,6 +36,7 @@ from civiclens.llm.common import id_and_text, written
 from civiclens.llm.graph import components
 
 ORDERS = 3
+STARS = 4  # first members that a document is compared with before components are formed
 FREQUENT = 65_536  # tokens that all orders put last
 CACHE_WORDS = 400_000
 _U = np.uint64
@@ -270,7 +272,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     stars = shared.where(
         (F.col("center") != F.col("doc_id")) & _may_link("n", "center_n", percent) & _room("n", "at", "center_n", "center_at", percent)
     )
-    star_links = join.links(stars.select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    # of each document's first members the STARS with most shared tokens; links that
+    # the others would have found are found between components below
+    best = Window.partitionBy("b").orderBy(F.col("shared").desc(), "a")
+    star_pairs = (
+        stars.groupBy(F.col("center").alias("a"), F.col("doc_id").alias("b"))
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .withColumn("place", F.row_number().over(best))
+        .where(F.col("place") <= STARS)
+        .select("a", "b")
+    )
+    star_links = join.links(star_pairs, "stars")
     first = components(star_links)
 
     # 3. links between components
