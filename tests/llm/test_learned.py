@@ -47,6 +47,59 @@ def test_labels_of_the_held_out_fold_are_not_read(spark):
     assert {int(t[1:]) for t in texts} == {i for i in range(50) if zlib.crc32(str(i).encode()) % 5}
 
 
+def held_out_recall(planted, seed=1):
+    """Shares of toxic documents found and of ordinary ones taken for toxic, where
+    toxic documents have ``planted(rnd)`` and all have its words one by one."""
+    rnd = random.Random(seed)
+    syllables = ["an", "er", "th", "in", "on", "ed", "re", "st", "ou", "ha"]
+    word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randint(2, 4)))
+    texts, labels = [], []
+    for i in range(900):
+        words = [word() for _ in range(rnd.randint(30, 120))]
+        y = i % 3 == 0
+        for x in planted(rnd, y):
+            words.insert(rnd.randrange(len(words)), x)
+        texts.append(" ".join(words))
+        labels.append(int(y))
+    model = toxicity.train(texts[:600], labels[:600])
+    seen: dict = {}
+    hit = np.array([model.score(model.evidence(t, seen)) >= 0.5 for t in texts[600:]])
+    y = np.array(labels[600:]) == 1
+    return hit[y].mean(), hit[~y].mean()
+
+
+def test_toxic_words_of_three_bytes_and_fewer():
+    for bad in ("kys", "zx", "q"):
+        found, wrong = held_out_recall(lambda rnd, y: [bad] * rnd.randint(1, 3) if y else [])  # noqa: B023
+        assert found > 0.95 and wrong < 0.05, bad
+
+
+def test_toxic_sequences_of_ordinary_words():
+    words = ["people", "like", "these", "should", "leave"]
+
+    def planted(rnd, y):
+        return [" ".join(words)] * rnd.randint(1, 2) if y else [" ".join(rnd.sample(words, 2)) for _ in range(2)] + rnd.sample(words, 5)
+
+    found, wrong = held_out_recall(planted)
+    assert found > 0.95 and wrong < 0.05
+
+
+def test_strings_in_long_runs_lie_whole_in_a_window():
+    run = "".join(chr(97 + i % 23) for i in range(500))
+    for at in range(40, 60):
+        text = run[:at] + "wretchedscoundrel" + run[at:]
+        assert any(b"wretchedscoundrel" in w for w in toxicity.windows(text)), at
+        assert max(map(len, toxicity.windows(text))) <= toxicity.WINDOW_BYTES
+
+
+def test_copies_of_a_document_make_no_toxic_sequence():
+    rnd = random.Random(5)
+    copied = " ".join(f"w{rnd.randint(0, 400)}" for _ in range(60))
+    other = lambda: " ".join(f"w{rnd.randint(0, 400)}" for _ in range(60))
+    texts, ordinary = [copied] * 40 + [other() for _ in range(40)], [other() for _ in range(160)]
+    assert not toxicity.sequences(texts, ordinary, 2.0, 3, set())
+
+
 def brute_spans(text):
     out = [(m.start(), m.end(), "email") for m in pii.EMAIL.finditer(text)]
     out += [(m.start(), m.end(), "ip") for m in pii.IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
