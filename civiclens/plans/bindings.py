@@ -1244,6 +1244,16 @@ def q_stream_window_counts(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@register("stream_window_counts_all")
+def q_stream_window_counts_all(spark, sf_dir):
+    from civiclens.streaming.jobs import window_counts_stream
+
+    q = window_counts_stream(
+        _events_stream(spark, sf_dir), "ts", F.col("event_type"), "7 days", "1 day", _scratch(spark, "t04-table"), _scratch(spark, "t04-all-ckpt")
+    )
+    return spark.read.parquet(q.current_table)
+
+
 @register("pii_text_summary")
 def q_pii_text_summary(spark, sf_dir):
     from civiclens.operators.audit import pii_scan, pii_text_summary

@@ -757,6 +757,12 @@ SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, segment, count
 WHERE window_start + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY
 GROUP BY 1, 2, 3
 """
+# the same over all windows, those still open at the end among them
+ORACLE["stream_window_counts_all"] = """
+WITH w AS (SELECT event_type AS segment, date_trunc('day', ts) - to_days(CAST(unnest(range(0, 7)) AS INTEGER)) AS window_start
+           FROM events WHERE ts IS NOT NULL)
+SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, segment, count(*) AS crash_count FROM w GROUP BY 1, 2, 3
+"""
 
 # HTML jobs: regex forms of the parser rules, valid for well-formed pages like
 # the driver's (comments, script, style and template bodies removed, tags

@@ -150,6 +150,40 @@ def sliding_segment_counts(stream: DataFrame, ts_col: str, segment: Column, wind
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "segment", "crash_count")
 
 
+def window_counts_stream(stream: DataFrame, ts_col: str, segment: Column, window: str, slide: str, table_root: str,
+                         checkpoint: str) -> StreamingQuery:
+    """T04 with all windows, those still open among them: every micro-batch is
+    reduced to its counts and added to the table so far.  No row is too late and no
+    window waits for its end, so the table does not depend on how the input is cut
+    into micro-batches.  Epoch ``n`` writes ``table_root/v=<n>`` from version ``n-1``.
+    """
+    root = table_root.rstrip("/")
+    keys = ["window_start", "window_end", "segment"]
+
+    def merge(batch: DataFrame, epoch_id: int) -> None:
+        rows = batch.select(F.window(F.col(ts_col).cast("timestamp"), window, slide).alias("w"), segment.alias("segment")).select(
+            F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "segment"
+        )
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("crash_count"))
+        if epoch_id:
+            before = batch.sparkSession.read.schema(counts.schema).parquet(f"{root}/v={epoch_id - 1}")
+            counts = counts.unionByName(before).groupBy(*keys).agg(F.sum("crash_count").alias("crash_count"))
+        counts.write.mode("overwrite").parquet(f"{root}/v={epoch_id}")
+
+    q = run_available(stream.writeStream.foreachBatch(merge), checkpoint)
+    q.current_table = _newest_version(stream.sparkSession, root)  # type: ignore[attr-defined]
+    return q
+
+
+def _newest_version(spark: SparkSession, root: str) -> str | None:
+    """The last version written whole; also after a restart that found nothing new."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    whole = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+    return f"{root}/v={max(whole)}" if whole else None
+
+
 def to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     return run_available(df.writeStream.format("parquet").option("path", path).outputMode(mode), checkpoint)
 

@@ -1,6 +1,8 @@
 """Fixture F13, brute-force limiter simulators, and the streaming twins."""
 
 import random
+from collections import Counter
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +177,23 @@ def test_keep_first_stream_does_not_depend_on_batches(spark, tmp_path, files):
     q = keep_first_stream(s, ["k"], ["o"], str(tmp_path / "t"), str(tmp_path / "c"))
     got = {r.k: (r.o, r.v) for r in spark.read.parquet(q.current_table).collect()}
     assert got == {k: min((o, v) for kk, o, v in rows if kk == k) for k, *_ in rows}
+
+
+def test_window_counts_hold_open_windows_and_late_rows(spark, tmp_path):
+    from civiclens.streaming.jobs import file_stream, window_counts_stream
+
+    rows = [(datetime(2024, 1, d, 12), s) for d, s in ((20, "a"), (20, "a"), (1, "a"), (19, None), (21, "b"))]  # the third comes late
+    landing = str(tmp_path / "in")
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, "ts timestamp, s string").coalesce(1).write.mode("append").parquet(landing)
+    want = Counter()
+    for ts, s in rows:
+        for back in range(7):
+            want[datetime(ts.year, ts.month, ts.day) - timedelta(days=back), s] += 1
+    for max_files in (None, 1):
+        stream = lambda: file_stream(spark, landing, "ts timestamp, s string", max_files=max_files)  # noqa: B023, E731
+        at = str(tmp_path / f"t{max_files}"), str(tmp_path / f"c{max_files}")
+        for _ in range(2):  # the second run finds no new files
+            q = window_counts_stream(stream(), "ts", F.col("s"), "7 days", "1 day", *at)
+            got = {(r.window_start, r.segment): r.crash_count for r in spark.read.parquet(q.current_table).collect()}
+            assert got == want
