@@ -1,9 +1,9 @@
 """Document fingerprints by a homomorphic multiset hash.
 
 A paragraph is hashed to a wide vector: four 64-bit lanes of its whole text, and
-``LANES`` 16-bit lanes to which each pair of neighbouring words adds or subtracts
+``LANES`` 32-bit lanes to which each pair of neighbouring words adds or subtracts
 one.  A document's fingerprint is the sum of its paragraphs' vectors, modulo 2^64
-and 2^16.  So it doesn't depend on the order of paragraphs, a paragraph is added
+and 2^32 (no text has 2^31 pairs, so the narrow lanes keep their sign).  So it doesn't depend on the order of paragraphs, a paragraph is added
 or taken away by its vector alone, equal multisets have equal fingerprints, and
 the narrow lanes of two fingerprints tell how much the documents share.
 """
@@ -27,13 +27,13 @@ _U = np.uint64
 
 
 class Fingerprint:
-    """``whole``: 4 lanes modulo 2^64; ``shared``: LANES lanes modulo 2^16."""
+    """``whole``: 4 lanes modulo 2^64; ``shared``: LANES lanes modulo 2^32."""
 
     __slots__ = ("whole", "shared")
 
     def __init__(self, whole: np.ndarray | None = None, shared: np.ndarray | None = None):
         self.whole = np.zeros(4, dtype=np.uint64) if whole is None else whole
-        self.shared = np.zeros(LANES, dtype=np.uint16) if shared is None else shared
+        self.shared = np.zeros(LANES, dtype=np.uint32) if shared is None else shared
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.whole + other.whole, self.shared + other.shared)
@@ -47,18 +47,18 @@ class Fingerprint:
     __hash__ = None
 
     def text(self) -> str:
-        return base64.b64encode(self.whole.astype("<u8").tobytes() + self.shared.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.whole.astype("<u8").tobytes() + self.shared.astype("<u4").tobytes()).decode()
 
     @staticmethod
     def read(text: str) -> Fingerprint:
         raw = base64.b64decode(text)
-        return Fingerprint(np.frombuffer(raw[:32], dtype="<u8").copy(), np.frombuffer(raw[32:], dtype="<u2").copy())
+        return Fingerprint(np.frombuffer(raw[:32], dtype="<u8").copy(), np.frombuffer(raw[32:], dtype="<u4").copy())
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal fingerprints, else the cosine of the narrow lanes, at least 0."""
         if self == other:
             return 1.0
-        a, b = self.shared.astype(np.int16).astype(np.float64), other.shared.astype(np.int16).astype(np.float64)
+        a, b = self.shared.view(np.int32).astype(np.float64), other.shared.view(np.int32).astype(np.float64)
         norm = float(np.sqrt((a @ a) * (b @ b)))
         return float(min(1.0, max(0.0, a @ b / norm))) if norm else 0.0
 
@@ -96,7 +96,7 @@ def fingerprint(text: str) -> Fingerprint:
     units = np.concatenate([pairs, lone])
     signs = np.where((units >> _U(32)) & _U(1), 1.0, -1.0)
     shared = np.bincount((units % _U(LANES)).astype(np.int64), signs, LANES).astype(np.int64)
-    return Fingerprint(np.asarray([w & 0xFFFFFFFFFFFFFFFF for w in whole], dtype=np.uint64), (shared & 0xFFFF).astype(np.uint16))
+    return Fingerprint(np.asarray([w & 0xFFFFFFFFFFFFFFFF for w in whole], dtype=np.uint64), (shared & 0xFFFFFFFF).astype(np.uint32))
 
 
 def edited(text: str, following: str) -> str:

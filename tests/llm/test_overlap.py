@@ -117,6 +117,15 @@ def test_fingerprint_is_a_multiset_sum():
     assert mh.Fingerprint.read(mh.fingerprint(a).text()) == mh.fingerprint(a)
 
 
+def test_long_texts_of_one_line_stay_near():
+    line = " ".join(f"w{i}" for i in range(10)) + "\n"
+    other = "\n".join(f"x{i} y{i * 7} z{i * 3}" for i in range(40_000))
+    text = line * 40_000
+    own, half, two = mh.fingerprint(text), mh.fingerprint(mh.edited(text, other)), mh.fingerprint(line * 20_000)
+    assert own.likeness(two) > 0.999 and own.likeness(half) > 0.9
+    assert mh.Fingerprint.read(own.text()).likeness(half) == own.likeness(half)
+
+
 def test_fingerprints_equal_brute_force(spark):
     rnd = random.Random(1)
     docs = [(i * 3 + 1, "\n".join(" ".join(f"w{rnd.randint(0, 500)}" for _ in range(rnd.randint(0, 30))) for _ in range(rnd.randint(0, 6)))) for i in range(150)]
