@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from civiclens.llm.common import written
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+ROUNDS, TOLERANCE = 8, 1e-6  # rounds between two looks at the rest; what a judged value may lack at the end
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -92,7 +93,11 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def propagate(edges: DataFrame, hosts: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """``host, trust, distrust``: personalised PageRank along the edges from the
     hosts' ``allowed`` pages, and against the edges from their ``blocked`` pages.
-    A host without edges to follow passes nothing on."""
+    A host without edges to follow passes nothing on.
+
+    The ranks are the sums of what arrives after 0, 1, 2, ... links.  All that is
+    still to come is at most the last round's sum times damping / (1 - damping), and
+    rounds go on until that changes no host's judged value by ``TOLERANCE``."""
     total = hosts.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
     allowed, blocked = float(total["a"] or 0), float(total["b"] or 0)
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
@@ -110,20 +115,31 @@ def propagate(edges: DataFrame, hosts: DataFrame, damping: float = DAMPING, roun
         ),
         "host-seeds",
     )
-    zero, ranks = F.lit(0.0), seeds
-    for _ in range(rounds):
-        along = flows.join(ranks, flows["src"] == ranks["host"]).select(
-            F.col("dst").alias("host"), (F.col("trust") * F.col("along")).alias("trust"), zero.alias("distrust")
-        )
-        back = flows.join(ranks, flows["dst"] == ranks["host"]).select(
-            F.col("src").alias("host"), zero.alias("trust"), (F.col("distrust") * F.col("back")).alias("distrust")
-        )
-        start = seeds.select("host", *[(F.col(c) * F.lit((1 - damping) / damping)).alias(c) for c in ("trust", "distrust")])
-        ranks = written(
-            along.unionByName(back).unionByName(start).groupBy("host").agg(*[(F.sum(c) * F.lit(damping)).alias(c) for c in ("trust", "distrust")]),
-            "host-ranks",
-        )
-    return ranks
+    zero, moved = F.lit(0.0), ("new_trust", "new_distrust")
+    start = [(F.col(c) * F.lit(1 - damping)) for c in ("trust", "distrust")]
+    ranks = seeds.select("host", *[x.alias(c) for x, c in zip(start, ("trust", "distrust"))], *[x.alias(c) for x, c in zip(start, moved)])
+    scale = damping / (1 - damping) ** 2  # of a round's sum: all that is to come, in judged values of a host of one page
+    while True:
+        for _ in range(rounds):
+            along = flows.join(ranks, flows["src"] == ranks["host"]).select(
+                F.col("dst").alias("host"), zero.alias("trust"), zero.alias("distrust"),
+                (F.col("new_trust") * F.col("along") * F.lit(damping)).alias("new_trust"), zero.alias("new_distrust"),
+            )
+            back = flows.join(ranks, flows["dst"] == ranks["host"]).select(
+                F.col("src").alias("host"), zero.alias("trust"), zero.alias("distrust"),
+                zero.alias("new_trust"), (F.col("new_distrust") * F.col("back") * F.lit(damping)).alias("new_distrust"),
+            )
+            kept = ranks.select("host", "trust", "distrust", *[zero.alias(c) for c in moved])
+            sums = along.unionByName(back).unionByName(kept).groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", *moved)])
+            ranks = written(
+                sums.select("host", (F.col("trust") + F.col("new_trust")).alias("trust"), (F.col("distrust") + F.col("new_distrust")).alias("distrust"), *moved),
+                "host-ranks",
+            )
+        last = ranks.agg(*[F.sum(c).alias(c) for c in moved]).first()
+        rest = max(allowed * (last["new_trust"] or 0.0), blocked * (last["new_distrust"] or 0.0)) * scale
+        if rest < TOLERANCE:
+            break
+    return ranks.select("host", "trust", "distrust")
 
 
 def judge_urls(

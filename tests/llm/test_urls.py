@@ -77,3 +77,16 @@ def test_propagation_equals_brute_force(spark):
         want = "block" if h.endswith(".net") else "allow" if h.endswith(".org") else "block" if h in bad else "allow"
         assert got[i] == want, url
     assert bad  # a host that links to blocked ones is caught
+
+
+def test_distrust_goes_along_chains_of_any_length(spark):
+    # d links from a blocked host of n pages, n * DAMPING^d arrives
+    pages, want = [], {}
+    for name, n, long in (("one", 1, 10), ("ten", 10, 22)):
+        pages += [(len(pages) + i, f"http://{name}.net/{i}", "") for i in range(n)]
+        for d in range(1, long + 1):
+            to = f"{name}{d - 1}.info" if d > 1 else f"{name}.net"
+            pages.append((len(pages), f"http://{name}{d}.info/", f"<a href='http://{to}/'>"))
+            want[len(pages) - 1] = "block" if n * DAMPING**d >= THRESHOLD else "allow"
+    got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), [Rule("net", "/", "block")]).collect()}
+    assert {i: got[i] for i in want} == want and set(want.values()) == {"allow", "block"}
