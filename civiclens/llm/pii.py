@@ -10,7 +10,8 @@ a kind's strict rule are examples for it, those that break it counter-examples.
 Each example is also written in other forms in its own context: forms that people
 use and the strict rule misses (``name (at) host``, a number without its plus,
 dots in a card number) are examples too; broken ones (a wrong check digit, a part
-over 255, too few digits, a host without a dot) are counter-examples.
+over 255, too few digits, a host without a dot) are counter-examples.  An address whose
+letters are not all ASCII, of which the strict rule finds a part only, is an example.
 """
 
 from __future__ import annotations
@@ -224,7 +225,9 @@ def variants(span: str, kind: str) -> list[tuple[str, int]]:
     """Other ways to write a span, and whether it is still personal data."""
     if kind == "email":
         local, host = span.split("@", 1)
-        return [(f"{local} (at) {host}", 1), (f"{local} [at] {host}", 1), (f"{local}@{host.split('.')[0]}", 0)]
+        letters, short = "".join(c for c in local if c.isalpha()), ".".join(host.split(".")[-2:])
+        others = [(f"{local[:1]}ö{local[1:]}@{host}", 1), (f"{letters[:1]}ö{letters[1:]}@{short}", 1)]
+        return [*others, (f"{local} (at) {host}", 1), (f"{local} [at] {host}", 1), (f"{local}@{host.split('.')[0]}", 0)]
     if kind == "ip":
         parts = span.split(".")
         return [(".".join([*parts[:3], "999"]), 0), (".".join(["300", *parts[1:]]), 0), (span + ".7", 0), (".".join(parts[:3]), 0)]
@@ -236,6 +239,13 @@ def variants(span: str, kind: str) -> list[tuple[str, int]]:
     return [(span[1:], 1), (span.replace(" ", "."), 1), (digits[:4] + "-" + digits[4:7], 0), (digits, 0)]
 
 
+def _extends(text: str, start: int, end: int, base: tuple[int, int, str]) -> bool:
+    """Whether a span is a base address with letters around it that the rule does not know."""
+    s, e, _ = base
+    more = text[start:s] + text[e:end]
+    return start <= s and e <= end and bool(more) and text[end - 1].isalnum() and all(c.isalpha() or c in _LOCAL for c in more)
+
+
 @dataclass
 class Model:
     trees: dict[str, Boosted]
@@ -247,12 +257,13 @@ def fit(texts: list[str]) -> Model:
     examples and counter-examples gets no trees, and only its base spans."""
     x: dict[str, list[list[float]]] = {k: [] for k in KINDS}
     y: dict[str, list[int]] = {k: [] for k in KINDS}
+    ends: dict[str, list[int]] = {k: [] for k in KINDS}  # after each text
     for t in texts:
         strict = {(s, e, k) for s, e, k in base_spans(t)}
         for s, e, k in candidates(t):
             x[k].append(features(t, s, e, k))
-            y[k].append(int((s, e, k) in strict))
-            if y[k][-1]:
+            y[k].append(int((s, e, k) in strict or any(_extends(t, s, e, b) for b in strict if b[2] == k == "email")))
+            if (s, e, k) in strict:
                 head, tail = t[max(0, s - CONTEXT) : s], t[e : e + CONTEXT]
                 for form, label in variants(t[s:e], k):
                     x[k].append(features(head + form + tail, len(head), len(head) + len(form), k))
@@ -260,12 +271,15 @@ def fit(texts: list[str]) -> Model:
                     if k == "ip":  # numbers with dots are no phone numbers
                         x["phone"].append(features(head + form + tail, len(head), len(head) + len(form), "phone"))
                         y["phone"].append(0)
+        for k in KINDS:
+            ends[k].append(len(y[k]))
     model = Model({}, {})
     for k in KINDS:
         a, b = np.asarray(x[k], dtype=float), np.asarray(y[k], dtype=float)
         if len(b) < 20 or b.min() == b.max():
             continue
-        half = np.arange(len(b)) % 2
+        with_any = np.diff([0, *ends[k]])[np.diff([0, *ends[k]]) > 0]
+        half = np.repeat(np.arange(len(with_any)) % 2, with_any)  # a text's forms stay together
         p = np.zeros(len(b))
         for h in (0, 1):
             if b[half != h].min() != b[half != h].max():
@@ -273,10 +287,11 @@ def fit(texts: list[str]) -> Model:
         threshold = 1.01
         for q in np.linspace(0.99, 0.5, 50):
             chosen = p >= q
-            if chosen.any() and b[chosen].mean() >= PRECISION:
-                threshold = float(q)
-            else:
+            if not chosen.any():
+                continue
+            if b[chosen].mean() < PRECISION:
                 break
+            threshold = float(q)
         model.trees[k], model.thresholds[k] = Boosted().fit(a, b), threshold
     return model
 
@@ -290,15 +305,27 @@ def sample_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     return [r["text"] for r in found.orderBy("doc_id", "text").limit(limit).collect()]
 
 
+def _held(text: str, start: int, end: int, base: list[tuple[int, int, str]]) -> bool:
+    """Whether a base span holds a span; punctuation at its ends doesn't count."""
+    if not any(start < e and s < end for s, e, _ in base):
+        return False
+    while start < end and not text[start].isalnum():
+        start += 1
+    while start < end and not text[end - 1].isalnum():
+        end -= 1
+    return any(s <= start and end <= e for s, e, _ in base)
+
+
 def find_spans(texts: list[str], model: Model) -> list[tuple[list, list]]:
     """``(base spans, all spans)`` of each text: base spans, and candidates that the
-    trees score over their kind's threshold and that overlap no base span."""
+    trees score over their kind's threshold and that no base span holds whole
+    (but for punctuation at their ends)."""
     found, rows = [], {k: [] for k in model.trees}
     for i, t in enumerate(texts):
         base = base_spans(t)
         found.append((base, []))
         for s, e, k in candidates(t):
-            if k in rows and not any(s < y and x < e for x, y, _ in base):
+            if k in rows and not _held(t, s, e, base):
                 rows[k].append((i, s, e))
     for k, cs in rows.items():
         if cs:

@@ -139,6 +139,19 @@ def test_trees_add_other_forms_and_leave_clean_text(spark, edge, none):
     assert sum(r.text is None for r in cleaned) == 2
 
 
+def test_addresses_with_other_letters_go_whole():
+    names, hosts = ("jo", "ann.lee", "kim7", "r.mo22", "olga"), ("x.com", "mail.example.com", "example.org")
+    texts = [f"please see {names[i % 5]}@{hosts[i % 3]} for more of this" for i in range(100)] + [f"write to k{i} now @home or 1.2.3.{i % 9}" for i in range(100)]
+    model = pii.fit(texts)
+    for address in ("jörg@x.com", "müller.k@mail.example.com", "rené7@mail.example.com"):
+        text = f"please see {address} for more"
+        base, spans = pii.find_spans([text], model)[0]
+        assert base and set(base) <= set(spans)
+        assert pii.redact(text, spans) == "please see [EMAIL] for more", address
+    text = "please see u5@mail.example.com for more"
+    assert pii.find_spans([text], model)[0][0] == pii.find_spans([text], model)[0][1]
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     unary, start, step, length = rng.normal(size=(2, 5, 3)), rng.normal(size=3), rng.normal(size=(3, 3)), np.array([5, 3])
