@@ -21,8 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiclens.llm.common import id_and_text
-from civiclens.llm.toxicity import fold
+from civiclens.llm.common import fold, id_and_text
 
 PER_LANGUAGE, LANGUAGES = 120, 64  # documents of each language, and languages, that are learnt from
 BUCKETS = 1 << 15

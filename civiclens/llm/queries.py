@@ -11,14 +11,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civiclens.llm import crf, pii, toxicity
+from civiclens.llm import crf, nbsvm, pii, toxicity
 from civiclens.llm.bpe import encode_documents
-from civiclens.llm.common import table
+from civiclens.llm.common import fold, table
 from civiclens.llm.content_sort import exact_duplicates
 from civiclens.llm.jaccard_join import jaccard_components
 from civiclens.llm.link_graph import Rule, judge_urls
 from civiclens.llm.multiset_hash import fingerprint_documents
+from civiclens.llm.ns_bounds import cluster_vectors
 from civiclens.llm.packing import pack_documents
+from civiclens.llm.presence_masks import rank_documents
 from civiclens.llm.suffix_dedup import remove_repeats
 
 END_ID = 2  # the id after each document of a packed sequence
@@ -75,7 +77,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), held_out=(5, 0)))
     return toxicity.score_documents(docs, model).select(
         "doc_id",
-        F.coalesce(toxicity.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
@@ -91,7 +93,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = crf.train(*crf.labelled_sample(docs, held_out=(4, 2)))
     return crf.identify(docs, model).select(
-        "doc_id", F.coalesce(toxicity.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score"
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score"
     )
 
 
@@ -100,6 +102,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), width=13, digests=True)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a fifth of the ids is held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = nbsvm.fit(docs, table(spark, sf_dir, "labels"), held_out=(5, 0))
+    return nbsvm.score_documents(docs, model).select(
+        "doc_id",
+        F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10).select("item_id", "rank", "doc_id", "score")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings in 40 clusters after five rounds and one more assignment."""
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256.0, seed="2:").drop("scans")
+
+
 REGISTRY = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -111,8 +135,41 @@ REGISTRY = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_quality": op11_quality,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_centroids": op13_centroids,
 }
 
+
+def _centroid_sql(k: int, rounds: int) -> str:
+    """The rounds of :func:`op13_centroids`, one pair of tables each."""
+    parts = []
+    for t in range(rounds + 1):
+        if t:
+            parts.append(f"""c{t} AS MATERIALIZED (
+                SELECT c.j, c.i, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.v)::BIGINT AS v
+                FROM c{t - 1} c LEFT JOIN (
+                    SELECT a.j, x.i, sum(x.v)::BIGINT AS s, count(*) AS n FROM x JOIN a{t - 1} a USING (vec_id) GROUP BY ALL
+                ) m ON m.j = c.j AND m.i = c.i)""")
+        parts.append(f"""a{t} AS MATERIALIZED (
+                SELECT vec_id, j, d FROM (
+                    SELECT x.vec_id, c.j, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d FROM x JOIN c{t} c USING (i) GROUP BY ALL
+                ) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, j) = 1)""")
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, embedding FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+        ), x AS MATERIALIZED (
+            SELECT vec_id, unnest(range(64)) AS i, unnest(list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT)) AS v FROM kept
+        ), start AS (
+            SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS j FROM kept ORDER BY j LIMIT {k}
+        ), c0 AS MATERIALIZED (SELECT s.j, x.i, x.v FROM x JOIN start s USING (vec_id)),
+        {", ".join(parts)}
+        SELECT a.vec_id, a.j::INT AS "cluster", a.d AS distance, (sum(a.d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia,
+               (sum(a.d) OVER ())::BIGINT AS inertia, h.h AS centroid_sha256
+        FROM a{rounds} a JOIN (SELECT j, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY j) h USING (j)
+    """
+
 ORACLE = {
     "op2_exact_dedup": """
         SELECT doc_id,
@@ -123,4 +180,25 @@ ORACLE = {
         FROM documents
         WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op12_ranked_search": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+        ), q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), total AS (
+            SELECT count(*)::BIGINT AS docs, sum(len(words))::BIGINT AS terms FROM d WHERE len(words) > 0
+        ), tf AS (
+            SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(words)::BIGINT AS n, unnest(words) AS term FROM d) GROUP BY ALL
+        ), w AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, docs
+        ), s AS (
+            SELECT q.item_id, tf.doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * tf.n * total.docs) // total.terms))))::BIGINT AS score
+            FROM q JOIN tf USING (term) JOIN w USING (term), total GROUP BY ALL
+        )
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS "rank", doc_id, score
+        FROM s WHERE score > 0 QUALIFY "rank" <= 10
+    """,
+    "op13_centroids": _centroid_sql(k=40, rounds=5),
 }

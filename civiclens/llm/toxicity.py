@@ -29,10 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civiclens.llm.common import id_and_text
+from civiclens.llm.common import fold, id_and_text
 
 MAX_TOXIC, MAX_ORDINARY = 1500, 3000  # labelled documents of each class that are learnt from
 BASE_BYTES, CLASS_BYTES = 8192, 32768
@@ -303,11 +303,6 @@ def train(texts: list[str], labels: list[int]) -> Model:
     return Model(toxic, ordinary, tuple(_logistic(x, y).tolist()))
 
 
-def fold(id_col: str | Column, folds: int) -> Column:
-    """crc32 of the id's decimal text, modulo ``folds``."""
-    return F.pmod(F.crc32((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string").cast("binary")), F.lit(folds))
-
-
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, held_out: tuple[int, int] | None = (5, 0),
