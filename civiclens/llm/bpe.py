@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civiclens.functions.frames import map_frames
 from civiclens.llm.common import id_and_text, shuffle_width
 
 LEAF_CHARS = 8192
@@ -276,15 +277,9 @@ def encode_documents(
         f = f.sort_values("part")
         return _summary(enc, f["doc_id"].iloc[:1], [tree_join(enc, list(f["text"]), list(f["packed"]))], not digests)
 
-    short = rows.where(F.length("text") <= part_chars).mapInPandas(encode_whole, schema)
+    short = map_frames(rows.where(F.length("text") <= part_chars), encode_whole, schema)
     part_schema = "row long, doc_id long, part int, text string"
-    long = (
-        rows.where(F.length("text") > part_chars)
-        .withColumn("row", F.monotonically_increasing_id())
-        .mapInPandas(cut, part_schema)
-        .repartition(shuffle_width(docs.sparkSession))
-        .mapInPandas(encode_parts, part_schema + ", packed binary")
-        .groupBy("row")
-        .applyInPandas(meet, schema)
-    )
+    parts = map_frames(rows.where(F.length("text") > part_chars).withColumn("row", F.monotonically_increasing_id()), cut, part_schema)
+    encoded = map_frames(parts.repartition(shuffle_width(docs.sparkSession)), encode_parts, part_schema + ", packed binary")
+    long = encoded.groupBy("row").applyInPandas(meet, schema)  # one document's rows: its id or NULL in all
     return short.unionByName(long)

@@ -10,14 +10,9 @@ with the same columns.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from civiclens.session import ensure_checkpoint_dir, ship_package
 
@@ -48,30 +43,6 @@ def fold(id_col: str | Column, folds: int) -> Column:
     return F.pmod(F.crc32((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string").cast("binary")), F.lit(folds))
 
 
-def frame_of(batch: pa.RecordBatch) -> pd.DataFrame:
-    """A batch as a frame.  A long column with NULLs becomes ``Int64``: as a float
-    it would lose ids over 2^53."""
-    frame = batch.to_pandas()
-    for i, field in enumerate(batch.schema):
-        column = batch.column(i)
-        if field.type == pa.int64() and column.null_count:
-            values, gone = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
-            frame[field.name] = pd.arrays.IntegerArray(values.copy(), gone.copy())
-    return frame
-
-
-def map_frames(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """``fn`` over the frames of Arrow batches, like ``mapInPandas``, with whole
-    ids beside NULLs."""
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in fn(frame_of(b) for b in batches if b.num_rows):
-            yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
-
-    return df.mapInArrow(run, schema)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder of ``spark.checkpoint.dir``:
     it cuts the lineage and outlives a lost executor."""

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from civiclens.functions.frames import map_frames
 from civiclens.llm.common import fold, id_and_text
 
 PER_LANGUAGE, LANGUAGES = 120, 64  # documents of each language, and languages, that are learnt from
@@ -249,7 +250,7 @@ def identify(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: st
         for f in frames:
             got = labeller.languages(f["text"].tolist())
             yield pd.DataFrame(
-                {"doc_id": f["doc_id"].astype("Int64"), "lang_pred": [g for g, _ in got], "score": np.asarray([s for _, s in got], dtype=float)}
+                {"doc_id": f["doc_id"], "lang_pred": [g for g, _ in got], "score": np.asarray([s for _, s in got], dtype=float)}
             )
 
-    return id_and_text(docs, id_col, text_col).mapInPandas(label, "doc_id long, lang_pred string, score double")
+    return map_frames(id_and_text(docs, id_col, text_col), label, "doc_id long, lang_pred string, score double")

@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from civiclens.functions.frames import map_frames
 from civiclens.llm.common import id_and_text, written
 from civiclens.llm.graph import components
 
@@ -120,7 +121,7 @@ def _profile(rows: DataFrame, k: int) -> DataFrame:
             hashes = [_set_hash(s) for s in sets]
             out = pd.DataFrame(
                 {
-                    "doc_id": f["doc_id"].astype("Int64"),
+                    "doc_id": f["doc_id"],
                     "n": pd.array([len(s) for s in sets], dtype="Int64"),
                     "h1": pd.array([h[0] for h in hashes], dtype="Int64"),
                     "h2": pd.array([h[1] for h in hashes], dtype="Int64"),
@@ -145,7 +146,7 @@ def _profile(rows: DataFrame, k: int) -> DataFrame:
                         }
                     )
 
-    return rows.mapInPandas(profile, "doc_id long, n long, h1 long, h2 long, tokens array<long>, counts array<long>")
+    return map_frames(rows, profile, "doc_id long, n long, h1 long, h2 long, tokens array<long>, counts array<long>")
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, frequent) -> DataFrame:

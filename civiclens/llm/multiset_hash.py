@@ -11,6 +11,7 @@ the narrow lanes of two fingerprints tell how much the documents share.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -19,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civiclens.functions.frames import map_frames
 from civiclens.llm.common import shuffle_width
 from civiclens.llm.jaccard_join import _WORDS, mixed
 
 LANES = 128
+SAMPLED, BLOCKS = 100, 4  # rows sampled and blocks cut for each shuffle partition
 _U = np.uint64
 
 
@@ -115,67 +118,61 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     after all others; rows that share an id follow each other by their text's
     hash.  A single document is its own next one.
 
-    The ids are cut into blocks at ids that occur (as many as there are shuffle
-    partitions); the first document of a block is also sent to the block before
-    it, so one shuffle of the texts gives each document its neighbour.
+    Rows are ordered by id from the largest, then by their text's hash, then by
+    their place in the input.  The order is cut into blocks at sampled rows, four to a
+    partition; a row that a block begins with is also the end of the block before, so one
+    shuffle of the texts gives each document its neighbour.  A repeated id is cut like
+    any other rows.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("place"),
+        # descending ids as ascending places: the bits turned over, NULL last
+        F.when(F.col(id_col).isNull(), F.lit(1)).otherwise(F.lit(0)).alias("last"),
+        F.coalesce(F.bitwise_not(F.col(id_col).cast("long")), F.lit(0).cast("long")).alias("place"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
-    cuts = rows.select(
-        F.percentile_approx("place", F.array(*[F.lit(i / width) for i in range(1, width + 1)]), 100 * width).alias("cuts"), F.max("place").alias("top")
-    ).first()
-    heads = np.asarray(sorted({*(cuts["cuts"] or []), *([cuts["top"]] if cuts["top"] is not None else [])}), dtype=np.int64)  # at most `width` + 1 ids
-    shared = spark.sparkContext.broadcast(heads)
+        F.monotonically_increasing_id().alias("line"),
+    ).withColumn("order", F.xxhash64("text"))
+    key = ("last", "place", "order", "line")
+    sample = sorted(tuple(r) for r in rows.select(*key).orderBy(F.xxhash64(*key)).limit(SAMPLED * width).collect())
+    first = rows.select(*key).orderBy(*key).limit(1).collect()  # the blocks go round: the first row ends the last one
+    blocks = min(len(sample), BLOCKS * width)
+    heads = sorted({*(tuple(r) for r in first), *(sample[i * len(sample) // blocks] for i in range(blocks))}) if sample else []
+    shared = spark.sparkContext.broadcast(heads)  # at most BLOCKS * width + 1 rows of four numbers
 
     @F.pandas_udf("array<int>")
-    def blocks(place: pd.Series) -> pd.Series:
-        """The block of an id, and the block it ends, if it begins one."""
-        tops, p = shared.value, place.to_numpy()
-        block = np.searchsorted(tops, p, side="left")
-        begins = tops[np.minimum(block, len(tops) - 1)] == p
-        before = (block + 1) % len(tops)
-        return pd.Series([[b, e] if x else [b] for b, e, x in zip(block.tolist(), before.tolist(), begins.tolist())])
+    def blocks_of(last: pd.Series, place: pd.Series, order: pd.Series, line: pd.Series) -> pd.Series:
+        """The block of a row, and the block it ends, if it begins one."""
+        heads, out = shared.value, []
+        for k in zip(last.tolist(), place.tolist(), order.tolist(), line.tolist()):
+            at = bisect.bisect_right(heads, k) - 1
+            out.append([at, (at - 1) % len(heads)] if heads[at] == k else [at])
+        return pd.Series(out)
 
     dealt = (
-        rows.withColumn("order", F.xxhash64("text"))
-        .select("doc_id", "place", "text", "order", F.posexplode(blocks("place")).alias("ends", "block"))
-        .repartition(max(width, len(heads)), "block")
-        .sortWithinPartitions("block", "ends", F.col("place").desc(), "order")
+        rows.select("doc_id", "text", *key, F.posexplode(blocks_of(*key)).alias("ends", "block"))
+        .repartitionById(max(1, len(heads)), "block")
+        .sortWithinPartitions("block", "ends", *key)
     )
     schema = (
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # (block, ends, doc_id, text, fingerprint) of the row before
+        held = None  # (block, doc_id, text, fingerprint) of the row before
         for f in frames:
             out = []
-            for block, ends, doc_id, text in zip(f["block"], f["ends"], f["doc_id"], f["text"]):
-                if held is not None and held[0] == block and held[1] and ends:
-                    continue  # one document ends a block
+            for block, doc_id, text in zip(f["block"], f["doc_id"], f["text"]):
                 own = fingerprint(text)
                 if held is not None and held[0] == block:
-                    t, mark = held[3], held[4]
+                    t, mark = held[2], held[3]
                     changed = edited(t, text)
                     other = fingerprint(changed)
-                    out.append(
-                        (
-                            held[2],
-                            len(t),
-                            hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
-                            mark.text(),
-                            other.text(),
-                            mark.likeness(other),
-                            mark.likeness(own),
-                        )
-                    )
-                held = (block, ends, None if pd.isna(doc_id) else int(doc_id), text, own)
+                    digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+                    out.append((held[1], len(t), digest, mark.text(), other.text(), mark.likeness(other), mark.likeness(own)))
+                held = (block, doc_id, text, own)
             result = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            yield result.assign(doc_id=result["doc_id"].astype("Int64"))
+            yield result.assign(doc_id=pd.array(result["doc_id"].tolist(), dtype="Int64"))
 
-    return dealt.mapInPandas(walk, schema)
+    return map_frames(dealt.select("block", "ends", "doc_id", "text"), walk, schema)

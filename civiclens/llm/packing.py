@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiclens.llm.bpe import encoder, tree_encode
+from civiclens.functions.frames import map_frames
 from civiclens.llm.common import id_and_text, shuffle_width, written
 
 CAPACITY = 1024
@@ -66,7 +67,7 @@ def token_pieces(
             g["doc_id"] = g["doc_id"].astype("Int64")
             yield g.assign(ids=ids) if with_ids else g
 
-    return id_and_text(docs, id_col, text_col).mapInPandas(cut, PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
+    return map_frames(id_and_text(docs, id_col, text_col), cut, PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -266,14 +267,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
         rows = shared.value
         key = rows[:, 0] << 44 | rows[:, 1]
         for f in frames:
-            if not len(f):
-                continue
             rank = f["__rank"].to_numpy()
             at = np.searchsorted(key, f["length"].to_numpy() << 44 | rank, side="right") - 1
             yield f.drop(columns="__rank").assign(sequence_id=rows[at, 3] + rank - rows[at, 1], offset=rows[at, 4])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return ranked.mapInPandas(place, schema + ", sequence_id long, offset long")
+    return map_frames(ranked, place, schema + ", sequence_id long, offset long")
 
 
 def pack_documents(

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civiclens.functions.frames import map_frames
 from civiclens.llm.common import id_and_text
 
 KINDS = ("email", "ip", "card", "phone")
@@ -365,14 +366,14 @@ def find_personal_data(docs: DataFrame, model: Model, id_col: str = "doc_id", te
             spans = find_spans(texts, shared.value)
             yield pd.DataFrame(
                 {
-                    "doc_id": f["doc_id"].astype("Int64"),
+                    "doc_id": f["doc_id"],
                     "base": [written_spans(b) for b, _ in spans],
                     "spans": [written_spans(a) for _, a in spans],
                     "redacted": [redact(t, a) for t, (_, a) in zip(texts, spans)],
                 }
             )
 
-    return id_and_text(docs, id_col, text_col).mapInPandas(find, "doc_id long, base string, spans string, redacted string")
+    return map_frames(id_and_text(docs, id_col, text_col), find, "doc_id long, base string, spans string, redacted string")
 
 
 def redact_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from civiclens.functions.frames import map_frames
 from civiclens.llm.common import id_and_text, shuffle_width, written
 from civiclens.llm.jaccard_join import _WORDS, mixed
 
@@ -360,11 +361,12 @@ def _likely(rows: DataFrame, wanted: DataFrame, inside: bool) -> DataFrame:
     bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted, "doc_id"))
 
     @F.pandas_udf("boolean")
-    def hit(doc_id: pd.Series) -> pd.Series:
-        known = doc_id.notna().to_numpy()
-        return pd.Series(known & _in_bitmap(bitmap.value, doc_id.fillna(0).to_numpy(dtype=np.int64)))
+    def noted(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(_in_bitmap(bitmap.value, doc_id.to_numpy(dtype=np.int64)))
 
-    return rows.where(hit("doc_id") if inside else ~hit("doc_id"))
+    # a NULL beside ids would make them floats
+    hit = F.col("doc_id").isNotNull() & noted(F.coalesce("doc_id", F.lit(0).cast("long")))
+    return rows.where(hit if inside else ~hit)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -397,4 +399,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     nothing = F.lit(None).cast(wanted.schema["cuts"].dataType).alias("cuts")
     touched = _likely(rows, wanted, True).join(wanted, "doc_id", "left").select("doc_id", "text", "cuts")
     rest = _likely(rows, wanted, False).select("doc_id", "text", nothing)
-    return touched.mapInPandas(remove, schema).unionByName(rest.mapInPandas(remove, schema))
+    return map_frames(touched, remove, schema).unionByName(map_frames(rest, remove, schema))

@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civiclens.functions.frames import map_frames
 from civiclens.llm.common import fold, id_and_text
 
 MAX_TOXIC, MAX_ORDINARY = 1500, 3000  # labelled documents of each class that are learnt from
@@ -331,9 +332,9 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         m, seen = shared.value, {}
         for f in frames:
             scores = [m.score(m.evidence(t, seen)) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "score": np.asarray(scores, dtype=float)})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "score": np.asarray(scores, dtype=float)})
 
-    return id_and_text(docs, id_col, text_col).mapInPandas(score, "doc_id long, score double")
+    return map_frames(id_and_text(docs, id_col, text_col), score, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
