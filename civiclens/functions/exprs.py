@@ -94,7 +94,11 @@ _ASCII_DIGITS = "".join(str(unicodedata.decimal(d)) for d in _DIGITS)
 
 def digits_as_number(c: ColumnOrName) -> Column:
     """X05 as an integer of any length: its decimal text without leading zeros."""
-    digits = F.translate(digits_only(c), "".join(_DIGITS), _ASCII_DIGITS)
+    text = col(c).cast("string")
+    plain = F.octet_length(text) == F.length(text)  # ASCII alone needs no look at other scripts' digits
+    digits = F.when(plain, empty_to_null(F.regexp_replace(text, "[^0-9]", ""))).otherwise(
+        F.translate(digits_only(text), "".join(_DIGITS), _ASCII_DIGITS)
+    )
     return F.regexp_replace(digits, r"^0+(?=.)", "")
 
 

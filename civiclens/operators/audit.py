@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiclens.functions.exprs import digits_as_number, literal_map, next_number, py_fixed, py_round, redact
-from civiclens.plans.scan import join_null_safe
+from civiclens.plans.scan import order_buckets
 
 # --------------------------------------------------------------------------
 # Fixed values (must equal the reference's thresholds, texts and patterns).
@@ -62,59 +62,74 @@ def _pct0(x: Column) -> Column:
 
 # ------------------------------------------------------------ A20 / A21 / G07
 
+def _numbers(digits: str) -> Column:
+    """A number's digits as a long up to 18 digits, beyond that as they are."""
+    text = F.col(digits)
+    short = F.length(text) <= 18
+    return F.when(
+        text.isNotNull(), F.struct(F.when(short, text.cast("bigint")).alias("small"), F.when(~short, text).alias("big"))
+    )
+
+
+def _neighbours(a: Column, b: Column) -> Column:
+    """Whether two numbers of ``_numbers`` differ by 1."""
+    text = lambda x: F.coalesce(x["big"], x["small"].cast("string"))
+    return F.when(a["small"].isNotNull() & b["small"].isNotNull(), F.abs(a["small"] - b["small"]) == 1).otherwise(
+        (text(a) == next_number(text(b))) | (text(b) == next_number(text(a)))
+    )
+
+
 def _sequence_stats(
     log: DataFrame,
     group_cols: Sequence[str],
     pos_col: str,
     id_col: str,
     ok: Column | None,
-    bucket_size: int,
+    bucket_size: int | None,
     first_hits: int = 5,
 ) -> DataFrame:
     """Per group, in one bucketed pass over the log: probes, hits, numeric ids,
     neighbouring numeric ids with |Δ| = 1, and the first ``first_hits`` hit ids.
 
-    Inside a (group, pos-bucket) window the previous numeric id is the last
-    non-null one before the row and a hit's rank is the running hit count;
-    across buckets both come from a one-row-per-bucket summary (the last numeric
-    id and the hit count of every earlier bucket), so a hot group stays parallel.
+    The log's order by (group, position) is cut into measured buckets of about
+    equally many rows (``bucket_size``: into fixed stretches of positions instead).
+    A bucket leaves one row per group: its counts, its first and last numeric id and
+    its first hits.  Neighbours across buckets are the last id of one and the first
+    of the next; a hot group stays parallel, and nothing is joined back to the log.
     """
     g = list(group_cols)
-    okc = ok.cast("boolean") if ok is not None else F.lit(False)
-    d = log.select(
-        *g,
-        F.col(pos_col).alias("_pos"),
-        F.col(id_col).cast("string").alias("_id"),
-        digits_as_number(id_col).alias("_num"),
-        F.coalesce(okc, F.lit(False)).alias("_ok"),
-        F.floor(F.col(pos_col) / F.lit(bucket_size)).alias("_b"),
-    )
-    w = Window.partitionBy(*g, "_b").orderBy("_pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_lprev", F.last("_num", ignorenulls=True).over(before)).withColumn(
-        "_lrank", F.sum(F.col("_ok").cast("int")).over(upto)
-    )
-    summary = d.groupBy(*g, "_b").agg(
-        F.max_by(F.col("_num"), F.when(F.col("_num").isNotNull(), F.col("_pos"))).alias("_blast"),
-        F.sum(F.col("_ok").cast("int")).alias("_bhits"),
-    )
-    wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.select(
-        *g,
-        "_b",
-        F.last("_blast", ignorenulls=True).over(wb).alias("_bprev"),
-        F.coalesce(F.sum("_bhits").over(wb), F.lit(0)).alias("_boff"),
+    okc = F.coalesce(ok.cast("boolean"), F.lit(False)) if ok is not None else F.lit(False)
+    rows = log.select(*g, F.col(pos_col).alias("_pos"), F.col(id_col).cast("string").alias("_id"), okc.alias("_ok"))
+    rows = rows.withColumn("_digits", digits_as_number("_id")).withColumn("_num", _numbers("_digits")).drop("_digits")
+    if bucket_size is None:
+        rows = order_buckets(rows, [*g, "_pos"])
+    else:
+        rows = rows.withColumn("_bkt", F.floor(F.col("_pos") / F.lit(bucket_size)))
+    here = Window.partitionBy(*g, "_bkt").orderBy("_pos")
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    d = rows.withColumn("_prev", F.last("_num", ignorenulls=True).over(before)).withColumn("_rank", F.sum(F.col("_ok").cast("int")).over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = F.when(F.col("_num").isNotNull(), F.col("_pos"))
+    bucket = d.groupBy(*g, "_bkt").agg(
+        F.count(F.lit(1)).alias("_probes"),
+        F.sum(F.col("_ok").cast("int")).alias("_hits"),
+        F.count("_num").alias("_ids"),
+        F.sum((F.col("_num").isNotNull() & F.col("_prev").isNotNull() & _neighbours(F.col("_num"), F.col("_prev"))).cast("int")).alias("_steps"),
+        F.min_by("_num", at).alias("_head"),
+        F.max_by("_num", at).alias("_tail"),
+        F.collect_list(F.when(F.col("_ok") & (F.col("_rank") <= first_hits), F.struct(F.col("_pos"), F.col("_id")))).alias("_some"),
     )
-    d = join_null_safe(d, summary, [*g, "_b"])
-    prev = F.coalesce(F.col("_lprev"), F.col("_bprev"))
-    rank = F.col("_boff") + F.col("_lrank")
-    return d.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("ids_probed"),
-        F.sum(F.col("_ok").cast("int")).alias("hits"),
-        F.count("_num").alias("_n"),
-        F.sum((F.col("_num").isNotNull() & (((F.col("_num") == next_number(prev)) | (prev == next_number("_num"))))).cast("int")).alias("_consec"),
-        F.array_sort(F.collect_list(F.when(F.col("_ok") & (rank <= first_hits), F.struct(F.col("_pos"), F.col("_id"))))).alias("_first"),
+    back = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    joint = F.last("_tail", ignorenulls=True).over(back)
+    # the first hits lie in the buckets before which fewer hits are known
+    early = F.coalesce(F.sum("_hits").over(back), F.lit(0)) < first_hits
+    bucket = bucket.withColumn("_joint", joint).withColumn("_some", F.when(early, F.col("_some")).otherwise(F.slice("_some", 1, 0)))
+    over = (F.col("_head").isNotNull() & F.col("_joint").isNotNull() & _neighbours(F.col("_head"), F.col("_joint"))).cast("int")
+    return bucket.groupBy(*g).agg(
+        F.sum("_probes").alias("ids_probed"),
+        F.sum("_hits").alias("hits"),
+        F.sum("_ids").alias("_n"),
+        F.sum(F.col("_steps") + over).alias("_consec"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("_some"))), 1, max(1, first_hits)).alias("_first"),
     )
 
 
@@ -127,7 +142,7 @@ def id_gap_rate(
     group_cols: Sequence[str],
     pos_col: str,
     id_col: str,
-    bucket_size: int = 1 << 16,
+    bucket_size: int | None = None,
 ) -> DataFrame:
     """Per group, share of neighbouring ids (in ``pos`` order, ids
     without digits skipped) whose numeric values differ by exactly 1.
@@ -154,7 +169,7 @@ def id_enumeration_report(
     id_col: str,
     ok: Column,
     url_col: str | None = None,
-    bucket_size: int = 1 << 16,
+    bucket_size: int | None = None,
 ) -> DataFrame:
     """Per portal (group) over a landed request log: probes, hit rate, gap
     rate (both Python-rounded to 4), severity, findings and recommendation.

@@ -7,8 +7,8 @@ function here.  None of them emits all pairs inside a key group:
   (date, prefix) against pre-aggregated sides;
 * last-wins / first-wins reductions are ``max_by`` / ``min_by`` aggregates
   (partial aggregation on the map side);
-* the interval join buckets ranges by width class, so every candidate comes
-  from an equi-join on (level, bucket).
+* the interval join turns ranges into positions among the sorted ids and joins on
+  blocks of positions, so every key holds equally many ids.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiclens.functions.exprs import col, date_part10, normalize_address, strip_ws
+from civiclens.plans.scan import order_buckets
 
 KEY_CHAIN = ("crash_join_id", "crash_record_id", "crash_id", "rd")
 
@@ -53,16 +54,18 @@ def fuzzy_join(
     The match depends only on (date, normalised address), so it is computed once
     per distinct left key:
 
-    * right is a prefix of left: cut the left key at every right-address length
-      seen on that date and equi-join with the right side reduced to the first
-      row per (date, address);
-    * left is a prefix of right: cut right addresses at every left-address
-      length seen on that date, reduce to the first row per (date, prefix),
-      equi-join on the left address.
-
-    Both reductions are ``min`` aggregates with a map-side phase, so a busy date
-    or a common prefix never produces more than one candidate per left key and
-    prefix length.
+    * right is a prefix of left: cut the left key at every length that a right
+      address has and equi-join with the right side reduced to the first row per
+      (date, address);
+    * left is a prefix of right: cut right addresses at every length that a left key
+      has, reduce to the first row per (date, prefix), and look the left key up.
+
+    Each side is first reduced to one row per (date, address); the lengths that occur
+    come from the same shuffle, as two scalar subqueries (sets of small numbers), so
+    there is no join on the date alone.  Cuts of a right address and the address
+    itself are rows of one table, keyed by (date, text) and reduced with a map-side
+    phase, so a busy date or a common prefix leaves one row per text; both lookups
+    read that table in one join.
     """
     order = F.struct(*[col(c) for c in order_cols])
     right = crashes.select(
@@ -75,44 +78,22 @@ def fuzzy_join(
             _truthy_parts_address(address_parts).alias("addr"),
         ).alias("_m"),
     ).filter(F.col("_d").isNotNull() & (F.length("_a") > 0))
-
-    left_keys = (
-        contacts.select(date_part10(contact_date).alias("_d"), normalize_address(contact_address).alias("_a"))
-        .filter(F.col("_d").isNotNull() & (F.length("_a") > 0))
-        .distinct()
-    )
-
-    # The right side is first reduced to the first row per (date, address);
-    # every later step starts from that one aggregate (its columns kept
-    # identical, so the runtime reuses one exchange and the crashes are scanned
-    # once).  Only prefix lengths that occur on the other side for the same date
-    # are generated; the (date, length) sets are small and AQE broadcasts them
-    # when their measured size allows.
-    right_full = right.groupBy("_d", "_a").agg(F.min("_m").alias("_m"))
-    right_lens = right_full.filter(F.col("_m").isNotNull()).select("_d", F.length("_a").alias("_L")).distinct()
-    left_lens = left_keys.select("_d", F.length("_a").alias("_L")).distinct()
-
-    # right address is a prefix of (or equal to) the left address
-    left_prefixes = (
-        left_keys.join(right_lens, "_d")
-        .filter(F.col("_L") <= F.length("_a"))
-        .select("_d", "_a", F.substring("_a", F.lit(1), F.col("_L")).alias("_p"))
-    )
-    m1 = left_prefixes.join(right_full.withColumnRenamed("_a", "_p"), ["_d", "_p"]).select("_d", "_a", "_m")
-
-    # left address is a prefix of the right address
-    right_prefixes = (
-        right_full.join(left_lens, "_d")
-        .filter(F.col("_L") <= F.length("_a"))
-        .select("_d", F.substring("_a", F.lit(1), F.col("_L")).alias("_a"), "_m")
-        .groupBy("_d", "_a")
-        .agg(F.min("_m").alias("_m"))
+    keyed = contacts.withColumn("_d", date_part10(contact_date)).withColumn("_a", normalize_address(contact_address))
+    left = keyed.select("_d", "_a").filter(F.col("_d").isNotNull() & (F.length("_a") > 0)).distinct()
+    # the filter keeps the value in the lengths' plan too, so that both read one shuffle
+    right = right.groupBy("_d", "_a").agg(F.min("_m").alias("_m")).filter(F.col("_m").isNotNull())
+
+    # per text: the first row that has it as its address, and the first that begins with it
+    texts = (
+        _cuts(right, _lengths(left), "_m")
+        .groupBy("_d", "_p")
+        .agg(F.min(F.when(F.col("_whole"), F.col("_m"))).alias("_is"), F.min("_m").alias("_begins"))
     )
-    m2 = left_keys.join(right_prefixes, ["_d", "_a"])
-
-    best = m1.unionByName(m2).groupBy("_d", "_a").agg(F.min("_m").alias("_m"))
+    # a whole left key may begin a right address, a cut of it may be one
+    wanted = _cuts(left, _lengths(right), None)
+    found = wanted.join(texts, ["_d", "_p"]).select("_d", "_a", F.when(F.col("_whole"), F.col("_begins")).otherwise(F.col("_is")).alias("_m"))
+    best = found.groupBy("_d", "_a").agg(F.min("_m").alias("_m")).filter(F.col("_m").isNotNull())
 
-    keyed = contacts.withColumn("_d", date_part10(contact_date)).withColumn("_a", normalize_address(contact_address))
     out = keyed.join(best, ["_d", "_a"], "left")
     matched = F.col("_m").isNotNull()
     return out.select(
@@ -124,6 +105,22 @@ def fuzzy_join(
     )
 
 
+def _lengths(keys: DataFrame) -> Column:
+    """The lengths of all addresses, as a scalar subquery."""
+    return keys.agg(F.sort_array(F.collect_set(F.length("_a")))).scalar()
+
+
+def _cuts(keys: DataFrame, lengths: Column, value: str | None) -> DataFrame:
+    """``_d, _a, _p, _whole`` (and a value): each address whole, and cut at those of
+    the lengths that are under its own."""
+    n = F.length("_a")
+    return (
+        keys.withColumn("_L", F.explode(F.array_union(lengths, F.array(n))))
+        .where(F.col("_L") <= n)
+        .select("_d", "_a", F.substring("_a", F.lit(1), F.col("_L")).alias("_p"), (F.col("_L") == n).alias("_whole"), *([value] if value else []))
+    )
+
+
 # ------------------------------------------------------- P02 / J02 key + merge
 
 def ensure_key(df: DataFrame, key: str = "crash_join_id", chain: Sequence[str] = KEY_CHAIN) -> DataFrame:
@@ -271,60 +268,81 @@ def lookup_misses(ids: DataFrame, reports: DataFrame, id_col: str, report_key: s
 
 # ----------------------------------------------------- J13 / J14 range scans
 
-def _level(width: Column, base: int) -> Column:
-    """Width class: smallest L with width <= base * 2^L."""
-    w = F.greatest(width, F.lit(1)).cast("double")
-    return F.greatest(F.lit(0), F.ceil(F.log2(w / F.lit(float(base))))).cast("int")
+BLOCK_BITS = 10  # distinct ids of a block, and blocks of a stretch, as a power of two
 
 
-def range_join(ids: DataFrame, ranges: DataFrame, id_col: str = "report_id", base_width: int = 1024) -> DataFrame:
-    """Interval join ids × [start, end) without a nested loop.
-
-    Each range goes to the width class L whose bucket width ``base·2^L`` is at
-    least its width, so it touches at most two buckets.  Ids are bucketed at
-    every class that occurs (a handful, at most 63), and candidates come from an
-    equi-join on (L, bucket) followed by the exact interval test.
-    """
-    r = ranges.filter(F.col("end") > F.col("start")).withColumn("_L", _level(F.col("end") - F.col("start"), base_width))
-    r = r.withColumn("_w", F.expr(f"shiftleft(CAST({int(base_width)} AS BIGINT), _L)"))
-    r = r.withColumn(
-        "_b",
-        F.explode(F.sequence(F.floor(F.col("start") / F.col("_w")), F.floor((F.col("end") - 1) / F.col("_w")))),
+def _positions(ids: DataFrame, ranges: DataFrame, id_col: str) -> DataFrame:
+    """Distinct ids and range ends on one line, each with how many distinct ids
+    (``_i``) and how many rows of ids (``_rows``) lie before it."""
+    counted = ids.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    no = {c: F.lit(None).cast(ranges.schema[c].dataType).alias(c) for c in ranges.columns}
+    points = counted.select("_v", "_c", F.lit(1).alias("_id"), F.lit(None).cast("bigint").alias("_range"), *no.values())
+    ends = (
+        ranges.where(F.col("end") > F.col("start"))
+        .withColumn("_range", F.monotonically_increasing_id())
+        .withColumn("_v", F.explode(F.array(F.col("start").cast("bigint"), F.col("end").cast("bigint"))))
+        .select("_v", F.lit(0).cast("bigint").alias("_c"), F.lit(0).alias("_id"), "_range", *ranges.columns)
     )
-    # The width classes are metadata (at most 63 small ints), not data.
-    levels = sorted(row[0] for row in r.select("_L").distinct().collect())
-    if not levels:
-        levels = [0]
-    idb = ids.withColumn("_L", F.explode(F.array(*[F.lit(x) for x in levels])))
-    idb = idb.withColumn("_w", F.expr(f"shiftleft(CAST({int(base_width)} AS BIGINT), _L)")).withColumn(
-        "_b", F.floor(F.col(id_col) / F.col("_w"))
+    # an end comes before the id of its value
+    line = order_buckets(points.unionByName(ends), ["_v", "_id", "_range"])
+    before = Window.partitionBy("_bkt").orderBy("_v", "_id", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    line = line.withColumn("_li", F.coalesce(F.sum("_id").over(before), F.lit(0))).withColumn("_lr", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    earlier = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    carry = (
+        line.groupBy("_bkt")
+        .agg(F.sum("_id").alias("_n"), F.sum("_c").alias("_m"))
+        .select("_bkt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_ci"), F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_cr"))
+    )
+    return line.join(carry, "_bkt").select(
+        "_v", "_c", "_id", "_range", *ranges.columns, (F.col("_li") + F.col("_ci")).alias("_i"), (F.col("_lr") + F.col("_cr")).alias("_rows")
     )
-    j = idb.join(r.drop("_w"), ["_L", "_b"]).filter((F.col(id_col) >= F.col("start")) & (F.col(id_col) < F.col("end")))
-    return j.drop("_L", "_b", "_w")
 
 
-def first_k_per_group(df: DataFrame, group_cols: Sequence[str], order_col: str, k: Column | int, salts: int = 16) -> DataFrame:
-    """Rows with rank ≤ k per group by ``order_col`` (ascending, unique within group).
+def _steps(lo: str, hi: str, bits: int) -> Column:
+    """The numbers of the stretches of 2^bits positions that [lo, hi) touches."""
+    return F.explode(F.sequence(F.shiftright(lo, bits), F.shiftright(F.col(hi) - 1, bits)))
 
-    Two stages keep a hot group parallel: first the top-k inside each
-    (group, hash-salt) slice, then the top-k of the survivors (≤ k·salts rows).
-    """
-    kc = F.lit(k) if isinstance(k, int) else k
-    salt = F.pmod(F.xxhash64(F.col(order_col)), F.lit(salts))
-    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(order_col)
-    stage1 = df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= kc)
-    w2 = Window.partitionBy(*group_cols).orderBy(order_col)
-    return stage1.withColumn("_rank", F.row_number().over(w2)).filter(F.col("_rank") <= kc).drop("_salt", "_r1")
 
+def range_join(ids: DataFrame, ranges: DataFrame, id_col: str = "report_id") -> DataFrame:
+    """Interval join ids × [start, end): ``id_col`` and the ranges' columns, one row
+    per row of ids in a range; with a ``limit`` column (NULL or 0: all) the smallest
+    ``limit`` of them, repeats counted.
 
-def multi_range_scan(ids: DataFrame, ranges: DataFrame, id_col: str = "report_id") -> DataFrame:
-    """Per range (range_no, start, end, limit) the first ``limit`` ids
+    Ids and range ends are put on one line and counted along it, which turns a range
+    into the positions [a, b) of its ids among all distinct ids; a limit cuts b to what
+    is needed before any id is touched.  Positions are cut into blocks of 1,024, and
+    one equi-join on the block gives the pairs.  Blocks hold equally many ids, so dense
+    stretches, wide ranges and ranges one over the other are all many equal keys; a
+    range's blocks are listed in two steps with a shuffle between, so a range over
+    everything is spread too.
+    """
+    keep = ranges.columns
+    limited = "limit" in keep
+    line = _positions(ids, ranges, id_col)
+    points = line.where("_id = 1").select(F.shiftright("_i", BLOCK_BITS).alias("_block"), "_i", "_v", "_c", "_rows")
+    spans = (
+        line.where("_id = 0")
+        .groupBy("_range")
+        .agg(F.min("_i").alias("_a"), F.max("_i").alias("_b"), F.min("_rows").alias("_first"), *[F.first(c).alias(c) for c in keep])
+    )
+    limit = F.coalesce(F.col("limit").cast("bigint"), F.lit(0)) if limited else F.lit(0).cast("bigint")
+    spans = spans.withColumn("_limit", limit).withColumn("_b", F.when(F.col("_limit") > 0, F.least("_b", F.col("_a") + F.col("_limit"))).otherwise(F.col("_b")))
+    stretches = spans.where("_b > _a").withColumn("_s", _steps("_a", "_b", 2 * BLOCK_BITS)).repartition("_range", "_s")
+    first, last = F.greatest("_a", F.shiftleft("_s", 2 * BLOCK_BITS)), F.least("_b", F.shiftleft(F.col("_s") + 1, 2 * BLOCK_BITS))
+    blocks = stretches.withColumn("_lo", first).withColumn("_hi", last).withColumn("_block", _steps("_lo", "_hi", BLOCK_BITS))
+    pairs = blocks.join(points, "_block").where((F.col("_i") >= F.col("_a")) & (F.col("_i") < F.col("_b")))
+    left = F.when(F.col("_limit") > 0, F.least("_c", F.col("_first") + F.col("_limit") - F.col("_rows"))).otherwise(F.col("_c"))
+    # repeats of an id, listed in two steps as well
+    copies = pairs.withColumn("_n", left).where("_n > 0").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright(F.col("_n") - 1, BLOCK_BITS))))
+    size = F.least(F.lit(1 << BLOCK_BITS), F.col("_n") - F.shiftleft("_part", BLOCK_BITS)).cast("int")
+    return copies.select(F.explode(F.array_repeat("_v", size)).alias(id_col), *keep)
+
+
+def multi_range_scan(ids: DataFrame, ranges: DataFrame, id_col: str = "report_id", ordered: bool = True) -> DataFrame:
+    """Per range (range_no, start, end, limit) the first ``limit`` ids
     in [start, end) ascending (NULL or 0 limit = all); overlapping ranges repeat
-    ids.  Output: range_no, id, rank within range; order by (range_no, id).
+    ids.  Output: range_no, id; ``ordered``: sorted by (range_no, id), which is one
+    more exchange.
     """
-    j = range_join(ids.select(id_col), ranges.select("range_no", "start", "end", "limit"), id_col)
-    unlimited = j.filter(F.coalesce(F.col("limit"), F.lit(0)) <= 0)
-    limited = j.filter(F.coalesce(F.col("limit"), F.lit(0)) > 0)
-    top = first_k_per_group(limited, ["range_no"], id_col, F.col("limit"))
-    out = top.select("range_no", id_col).unionByName(unlimited.select("range_no", id_col))
-    return out.orderBy("range_no", id_col)
+    out = range_join(ids.select(id_col), ranges.select("range_no", "start", "end", "limit"), id_col).select("range_no", id_col)
+    return out.orderBy("range_no", id_col) if ordered else out

@@ -10,7 +10,7 @@ be fractional; only the results are rounded, half up, to whole microseconds:
       admit_i = max( max_{j≤i} t_j ,  max_{j≤i}(t_j − j·Δ) + (i + 1 − C)·Δ )
 
 The running maxima come from :func:`civiclens.plans.scan.running_index_and_max`,
-which keeps a hot key parallel by scanning time buckets.
+which keeps a hot key parallel by scanning buckets of about equally many rows.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from civiclens.plans.scan import running_index_and_max
 
-HOUR_US = 3_600_000_000
-
 
 def interval(rate_per_s: float) -> Fraction:
     """Microseconds between two permits: an exact fraction.  A float rate stands for
@@ -59,8 +57,9 @@ def times(n: Column, factor: int, scale: int) -> Column:
     return (n.cast("decimal(19,0)") * F.lit(factor).cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
-def _bucket(t_col: str, width_us: int) -> Column:
-    return F.floor(F.col(t_col) / F.lit(width_us)).cast("bigint")
+def _bucket(t_col: str, width_us: int | None) -> Column | None:
+    """Buckets of a fixed time; None: buckets measured from the rows."""
+    return None if width_us is None else F.floor(F.col(t_col) / F.lit(width_us)).cast("bigint")
 
 
 def throttle_slots(
@@ -69,7 +68,7 @@ def throttle_slots(
     order_cols: Sequence[str],
     t_us_col: str,
     rate_per_s: float,
-    bucket_us: int = HOUR_US,
+    bucket_us: int | None = None,
 ) -> DataFrame:
     """Slot start of each request under a fixed-interval limiter (per key)."""
     if rate_per_s <= 0:
@@ -87,7 +86,7 @@ def token_bucket_delay(
     t_us_col: str,
     capacity: float,
     refill_per_s: float,
-    bucket_us: int = HOUR_US,
+    bucket_us: int | None = None,
 ) -> DataFrame:
     """Admission time and delay of each unit-cost request (per key)."""
     if capacity <= 0:

@@ -331,7 +331,7 @@ def q_range_scan(spark, sf_dir):
         (F.col("range_no") * 600 + 400).alias("end"),
         F.lit(None).cast("int").alias("limit"),
     )
-    return multi_range_scan(_found_ids(spark, sf_dir), ranges)
+    return multi_range_scan(_found_ids(spark, sf_dir), ranges, ordered=False)
 
 
 @register("multi_range_scan")
@@ -345,7 +345,7 @@ def q_multi_range_scan(spark, sf_dir):
         (F.col("c_custkey") * 10 + 5 + F.col("c_nationkey")).alias("end"),
         (F.col("c_custkey") % 4 + 1).cast("int").alias("limit"),
     )
-    return multi_range_scan(_found_ids(spark, sf_dir), ranges)
+    return multi_range_scan(_found_ids(spark, sf_dir), ranges, ordered=False)
 
 
 # ------------------------------------------------------------------- profile

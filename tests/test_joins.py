@@ -112,3 +112,60 @@ def test_range_join_wide_and_narrow(spark):
         hits = [x for x in ids if s <= x < e]
         want += [(n, x) for x in (hits[:lim] if lim else hits)]
     assert got == sorted(want)
+
+
+def _brute_ranges(ids, ranges):
+    want = []
+    for n, s, e, lim in ranges:
+        hits = [x for x in sorted(ids) if s <= x < e]
+        want += [(n, x) for x in (hits[:lim] if lim else hits)]
+    return sorted(want)
+
+
+def _scan(spark, ids, ranges):
+    i = spark.createDataFrame([(x,) for x in ids], "report_id bigint").repartition(5)
+    r = spark.createDataFrame(ranges, "range_no int, start bigint, end bigint, limit int")
+    return sorted((x["range_no"], x["report_id"]) for x in joins.multi_range_scan(i, r, ordered=False).collect())
+
+
+def test_range_scan_of_repeated_ids_and_the_ends_of_the_long_range(spark):
+    ids = [5] * 3000 + [6, 6, 7] + [-(2**63), 2**63 - 1, 2**62, 0]
+    ranges = [(0, -(2**63), 2**63 - 1, None), (1, 5, 8, 2), (2, 5, 8, 3001), (3, 6, 7, 1), (4, 8, 9, None), (5, 9, 2, None), (6, 0, 2**63 - 1, 5000), (7, 5, 6, 0)]
+    assert _scan(spark, ids, ranges) == _brute_ranges(ids, ranges)
+
+
+def test_ranges_that_all_overlap(spark):
+    import random
+
+    rnd = random.Random(11)
+    ids = rnd.sample(range(10**9), 400)
+    ranges = [(n, 0, 10**9, rnd.choice([1, 2])) for n in range(10_000)] + [(10_000, 0, 10**9, None)]
+    assert _scan(spark, ids, ranges) == _brute_ranges(ids, ranges)
+
+
+def test_one_range_over_everything_is_many_equal_keys(spark):
+    """Dense and sparse stretches, one range: every join key holds 1,024 ids."""
+    ids = spark.range(60_000).select(F.when(F.col("id") < 50_000, F.col("id")).otherwise(F.col("id") * 1_000_003).alias("report_id"))
+    ranges = spark.createDataFrame([(0, 0, 2**62)], "range_no int, start bigint, end bigint")
+    line = joins._positions(ids, ranges, "report_id").where("_id = 1")
+    sizes = [r["count"] for r in line.groupBy(F.shiftright("_i", joins.BLOCK_BITS).alias("b")).count().collect()]
+    assert sorted(sizes)[1:] == [1024] * (len(sizes) - 1)
+    assert joins.range_join(ids, ranges).count() == 60_000
+
+
+def test_measured_buckets_split_a_hot_hour(spark):
+    from civiclens.plans.scan import order_buckets
+
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"),
+        F.when(F.col("id") % 10 < 9, F.col("id") % 7).otherwise(F.col("id") * 10**6).alias("t"), F.col("id").alias("seq"),
+    )
+    got = order_buckets(rows, ["key", "t", "seq"])
+    sizes = sorted(r["count"] for r in got.groupBy("_bkt").count().collect())
+    assert sum(sizes) == 20_000 and len(sizes) >= 8 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    order = [r["_bkt"] for r in got.orderBy("key", "t", "seq").collect()]
+    assert order == sorted(order)
+    empty = order_buckets(rows.limit(0), ["key"])
+    assert empty.count() == 0 and empty.columns == [*rows.columns, "_bkt"]
+    nulls = order_buckets(spark.createDataFrame([(None, 1), ("a", None), (None, None)], "k string, t int"), ["k", "t"])
+    assert nulls.count() == 3
