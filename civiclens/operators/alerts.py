@@ -125,43 +125,47 @@ def hotspot_clusters(
     inj = F.coalesce(to_double(injuries), F.lit(0.0)) if injuries in cols else F.lit(0.0)
     fat = F.coalesce(to_double(fatal), F.lit(0.0)) if fatal in cols else F.lit(0.0)
 
-    # One scan, one shuffle of partial aggregates: every row contributes to its
-    # segment total (kind 0), its cause (kind 1) and its defect (kind 2).  The
-    # per-(segment, kind) ranking runs on aggregated rows only, and the final
-    # fold collects at most ``top_k`` values per list.
+    # One scan, one shuffle of partial aggregates: every row counts for its cause
+    # (kind 1, NULL too, so the causes add up to the segment) and its defect (kind 2).
+    # Ranking and totals per (segment, kind) run on aggregated rows only, and the
+    # final fold collects at most ``top_k`` values per list.
     cause_c = F.col(cause).cast("string") if cause in cols else F.lit(None).cast("string")
     defect_c = F.col(defect).cast("string") if defect in cols else F.lit(None).cast("string")
     kinds = F.array(
-        F.struct(F.lit(0).alias("k"), F.lit(None).cast("string").alias("v")),
         F.struct(F.lit(1).alias("k"), cause_c.alias("v")),
         F.struct(F.lit(2).alias("k"), defect_c.alias("v")),
     )
-    keys = ["_segment", "_block", "_street"]
+    keys = ["_block", "_street"]  # the segment's text follows from them
     x = work.select(*keys, inj.alias("_i"), fat.alias("_f"), F.explode(kinds).alias("_kv"))
     agg = x.groupBy(*keys, F.col("_kv.k").alias("_k"), F.col("_kv.v").alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_i").alias("_inj"), F.sum("_f").alias("_fat")
     )
     excluded = F.upper(F.col("_v")).isin([e.upper() for e in DEFECT_EXCLUSIONS])
-    agg = agg.filter((F.col("_k") == 0) | (F.col("_v").isNotNull() & ((F.col("_k") == 1) | ~excluded)))
-    w = Window.partitionBy("_segment", "_k").orderBy(F.desc("_n"), F.asc("_v"))
-    # kind-0 rows are alone in their window (rank 1), so a plain rank filter
-    # keeps them and lets Spark add a partial window-group limit before the shuffle
-    ranked = agg.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max(1, top_k))
+    listed = F.col("_v").isNotNull() & ((F.col("_k") == 1) | ~excluded)
+    agg = agg.withColumn("_listed", listed).filter((F.col("_k") == 1) | listed)
+    group = Window.partitionBy(*keys, "_k")
+    in_order = group.orderBy(F.desc("_listed"), F.desc("_n"), F.asc("_v"))  # a NULL cause comes last
+    ranked = agg.withColumn("_rn", F.row_number().over(in_order))
+    for name, of in (("_cn", "_n"), ("_ci", "_inj"), ("_cf", "_fat")):
+        ranked = ranked.withColumn(name, F.sum(of).over(group))
+    ranked = ranked.filter(F.col("_rn") <= max(1, top_k))
 
     def top(kind: int) -> Column:
-        items = F.array_sort(F.collect_list(F.when(F.col("_k") == kind, F.struct(F.col("_rn"), F.col("_v")))))
+        items = F.array_sort(F.collect_list(F.when((F.col("_k") == kind) & F.col("_listed"), F.struct(F.col("_rn"), F.col("_v")))))
         return F.transform(items, lambda e: e["_v"])
 
+    first = (F.col("_k") == 1) & (F.col("_rn") == 1)
     seg = (
         ranked.groupBy(*keys)
         .agg(
-            F.sum(F.when(F.col("_k") == 0, F.col("_n"))).alias("crash_count"),
-            F.sum(F.when(F.col("_k") == 0, F.col("_inj"))).cast("bigint").alias("injury_count"),
-            F.sum(F.when(F.col("_k") == 0, F.col("_fat"))).cast("bigint").alias("fatal_count"),
+            F.max(F.when(first, F.col("_cn"))).alias("crash_count"),
+            F.max(F.when(first, F.col("_ci"))).cast("bigint").alias("injury_count"),
+            F.max(F.when(first, F.col("_cf"))).cast("bigint").alias("fatal_count"),
             top(1).alias("contributing_causes"),
             top(2).alias("road_defects"),
         )
         .filter(F.col("crash_count") >= min_crashes)
+        .withColumn("_segment", F.concat(F.col("_block").cast("string"), F.lit(" "), F.col("_street")))
     )
 
     score = cluster_score(F.col("crash_count"), F.col("injury_count"), F.col("fatal_count"), injury_weight, fatal_weight)

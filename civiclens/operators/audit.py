@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiclens.functions.exprs import digits_as_number, literal_map, next_number, py_fixed, py_round, redact
-from civiclens.plans.scan import order_buckets
+from civiclens.plans.scan import join_null_safe, order_buckets
 
 # --------------------------------------------------------------------------
 # Fixed values (must equal the reference's thresholds, texts and patterns).
@@ -291,8 +291,9 @@ def pii_summary(findings: DataFrame) -> DataFrame:
     return agg.withColumn("line", line)
 
 
-def pii_text_summary(findings: DataFrame) -> DataFrame:
-    """G09 per text: the reference's multi-line summary of one scan."""
+def pii_text_summary(findings: DataFrame, sources: DataFrame | None = None, source_col: str = "source_url") -> DataFrame:
+    """G09 per text: the reference's multi-line summary of one scan.  ``sources``: the
+    texts that were scanned; those without a finding get the line that says so."""
     w_rows = F.array_sort(
         F.collect_list(
             F.struct(
@@ -309,17 +310,38 @@ def pii_text_summary(findings: DataFrame) -> DataFrame:
         )
     )
     per = findings.groupBy("source_url").agg(w_rows.alias("_l"))
-    return per.select(
+    per = per.select(
         "source_url",
         F.concat(
             F.format_string("PII Scan — %d finding(s):\n", F.size("_l")),
             F.array_join(F.transform("_l", lambda x: x["line"]), "\n"),
         ).alias("summary"),
     )
+    if sources is None:
+        return per
+    every = sources.select(F.col(source_col).alias("source_url")).distinct()
+    return join_null_safe(every, per, ["source_url"]).withColumn("summary", F.coalesce("summary", F.lit(NO_PII)))
 
 
 # ------------------------------------------------------------------ G16
 
+HASHES = ((2_147_483_647, 1_000_003), (2_147_483_629, 998_244_353), (2_147_483_587, 754_974_721))  # a prime and a base each
+
+
+def _piece_hash(names: str, prime: int, base: int) -> Column:
+    """The polynomial hash ``h`` of a list of names, and ``w``, the base to the power
+    of its length; both modulo the prime."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("h"), F.lit(1).cast("bigint").alias("w"))
+    code = lambda x: F.pmod(F.xxhash64(x), F.lit(prime))
+    step = lambda a, x: F.struct(((a["h"] * F.lit(base) + code(x)) % F.lit(prime)).alias("h"), (a["w"] * F.lit(base) % F.lit(prime)).alias("w"))
+    return F.aggregate(names, zero, step)
+
+
+def _joined_hash(pieces: str, field: str, prime: int) -> Column:
+    """The hash of pieces one after the other."""
+    return F.aggregate(pieces, F.lit(0).cast("bigint"), lambda a, x: (a * x[field]["w"] + x[field]["h"]) % F.lit(prime))
+
+
 def sequence_signature(
     events: DataFrame,
     session_cols: Sequence[str],
@@ -333,26 +355,32 @@ def sequence_signature(
     a session is flagged when any name is in ``watch``; only the first flagged
     session (in ``session_order``) per signature is kept.
 
-    ``bucket`` (non-decreasing in the event order, e.g. the hour of the event)
-    builds the signature in two levels: ordered pieces per (session, bucket),
-    then the pieces in bucket order, so raw events are only gathered per bucket.
+    The order of all events is cut into measured buckets (or by ``bucket``, which must
+    not fall in the event order), so a long session is many pieces.  A piece leaves its
+    length and a polynomial hash of its names, with the power of the base that its
+    length stands for: hashes of neighbouring pieces join into that of both, whatever
+    the cuts.  Sessions are compared by (length, hashes) alone, three numbers modulo
+    primes near 2^31; no text is a shuffle key, and texts are put together only for
+    the sessions that are kept.
     """
     s = list(session_cols)
     so = list(session_order or s)
-    ev = events.withColumn("_b", bucket if bucket is not None else F.lit(0))
-    ordered = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order_cols], F.coalesce(F.col(name_col), F.lit("")).alias("_name"))))
-    pieces = ev.groupBy(*s, "_b").agg(
-        F.array_join(F.transform(ordered, lambda x: x["_name"]), "-").alias("_piece"),
-        F.count(F.lit(1)).alias("_n"),
-        F.max(F.col(name_col).isin(list(watch)).cast("int")).alias("_flag"),
-    )
-    per = pieces.groupBy(*s).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_piece"))), lambda x: x["_piece"]), "-").alias("signature"),
-        F.sum("_n").alias("n_events"),
-        F.max("_flag").alias("_flag"),
-    )
-    flagged = per.filter(F.col("_flag") == 1).drop("_flag")
-    first = flagged.groupBy("signature").agg(
-        F.min(F.struct(*[F.col(c) for c in so], *[F.col(c).alias(f"_s_{c}") for c in s], "n_events")).alias("_m")
+    names = events.select(*dict.fromkeys([*s, *so, *order_cols]), F.coalesce(F.col(name_col), F.lit("")).alias("_name"), bucket.alias("_b") if bucket is not None else F.lit(0).alias("_b"))
+    if bucket is None:
+        names = order_buckets(names.drop("_b"), [*s, *order_cols], "_b")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order_cols], F.col("_name")))), lambda x: x["_name"])
+    pieces = names.groupBy(*s, "_b").agg(ordered.alias("_names"), F.max(F.col("_name").isin(list(watch)).cast("int")).alias("_flag"))
+    hashed = [_piece_hash("_names", prime, base).alias(f"_p{i}") for i, (prime, base) in enumerate(HASHES)]
+    marks = pieces.select(*s, "_b", "_flag", F.size("_names").cast("bigint").alias("_n"), *hashed)
+    line = F.array_sort(F.collect_list(F.struct("_b", *[f"_p{i}" for i in range(len(HASHES))])))
+    sessions = marks.groupBy(*s).agg(line.alias("_line"), F.sum("_n").alias("n_events"), F.max("_flag").alias("_flag"))
+    joined = [_joined_hash("_line", f"_p{i}", prime).alias(f"_h{i}") for i, (prime, _) in enumerate(HASHES)]
+    flagged = sessions.filter(F.col("_flag") == 1).select(*s, "n_events", *joined)
+    kept = flagged.groupBy("n_events", *[f"_h{i}" for i in range(len(HASHES))]).agg(
+        F.min(F.struct(*[F.col(c) for c in so], *[F.col(c).alias(f"_s_{c}") for c in s])).alias("_m")
     )
-    return first.select("signature", *[F.col(f"_m._s_{c}").alias(c) for c in s], F.col("_m.n_events").alias("n_events"))
+    kept = kept.select(*[F.col(f"_m._s_{c}").alias(c) for c in s], "n_events")
+    # the texts of the sessions kept
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_piece"))), lambda x: x["_piece"]), "-")
+    parts = join_null_safe(pieces.select(*s, "_b", F.array_join("_names", "-").alias("_piece")), kept, s, "inner")
+    return parts.groupBy(*s, "n_events").agg(text.alias("signature")).select("signature", *s, "n_events")

@@ -13,7 +13,7 @@ function here.  None of them emits all pairs inside a key group:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -346,3 +346,14 @@ def multi_range_scan(ids: DataFrame, ranges: DataFrame, id_col: str = "report_id
     """
     out = range_join(ids.select(id_col), ranges.select("range_no", "start", "end", "limit"), id_col).select("range_no", id_col)
     return out.orderBy("range_no", id_col) if ordered else out
+
+
+def scan_reports(
+    lookups: DataFrame, ranges: DataFrame, normalize: Callable[[DataFrame], DataFrame], id_col: str = "report_id"
+) -> DataFrame:
+    """A range scan with a normalise hook.  ``normalize`` turns landed lookups
+    into records (and drops those that found nothing); per range the records of the
+    first ``limit`` found ids are returned, a record for each of its id's rows."""
+    records = normalize(lookups)
+    hits = range_join(records.select(id_col).distinct(), ranges.select("range_no", "start", "end", "limit"), id_col).select("range_no", id_col)
+    return hits.join(records, id_col)

@@ -26,6 +26,8 @@ WARN_DUPLICATE_RATE = 0.05
 WARN_DELAY_DAYS = 14.0
 WARN_STALENESS_DAYS = 30.0
 WARN_CRITICAL_NULL = 5.0
+MULTI_TITLE = ("Multi-City Dataset Quality Report (", " cities)\n")
+MULTI_HEAD = ("City                           Source    Records  Score Issues", "-" * 65)
 EMPTY_ISSUE = "Dataset is empty"
 # --------------------------------------------------------------------------
 
@@ -235,3 +237,28 @@ def profile_text(report: DataFrame, name_col: str) -> DataFrame:
         ),
     )
     return r.select(F.col(name_col), lines.alias("summary"))
+
+
+def _padded(c: Column, width: int, right: bool = False) -> Column:
+    """``{:<n}`` and ``{:>n}``: longer texts stay whole."""
+    pad = F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(width) - F.length(c)))
+    return F.concat(pad, c) if right else F.concat(c, pad)
+
+
+def multi_profile_text(report: DataFrame, name_col: str) -> DataFrame:
+    """The report over several datasets as rows ``section, quality_score, name,
+    line``: title, column heads and rule (sections 0 to 2), then one line per dataset
+    (section 3), best score first, equal scores by name.  ``ORDER BY section,
+    quality_score DESC, name`` is the printed report."""
+    name = F.col(name_col).cast("string")
+    line = F.concat(
+        _padded(name, 30), F.lit(" "), _padded(F.col("data_source_type"), 8), F.lit(" "),
+        _padded(F.format_number(F.col("total_records"), 0), 8, True), F.lit(" "),
+        _padded(_fmt(F.col("quality_score"), 1), 5, True), F.lit("  "), _padded(F.size("flagged_issues").cast("string"), 5, True),
+    )
+    cities = report.select(F.lit(3).alias("section"), F.col("quality_score"), name.alias("name"), line.alias("line"))
+    title = F.concat(F.lit(MULTI_TITLE[0]), F.count(F.lit(1)).cast("string"), F.lit(MULTI_TITLE[1]))
+    heads = report.agg(
+        F.array(F.struct(F.lit(0).alias("section"), title.alias("line")), *[F.struct(F.lit(i).alias("section"), F.lit(x).alias("line")) for i, x in enumerate(MULTI_HEAD, 1)]).alias("h")
+    ).select(F.inline("h"))
+    return heads.select("section", F.lit(None).cast("double").alias("quality_score"), F.lit(None).cast("string").alias("name"), "line").unionByName(cities)

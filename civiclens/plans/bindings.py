@@ -540,7 +540,7 @@ def q_sequence_signature(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     return sequence_signature(
-        e, ["user_id", "day"], ["ts", "event_id"], "event_type", ["error", "purchase"], ["day", "user_id"], bucket=F.hour("ts")
+        e, ["user_id", "day"], ["ts", "event_id"], "event_type", ["error", "purchase"], ["day", "user_id"]
     )
 
 
@@ -808,8 +808,11 @@ def q_html_fields(spark, sf_dir):
 def q_html_forms(spark, sf_dir):
     from civiclens.sources.html import html_forms
 
-    pairs = F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return html_forms(_report_pages(spark, sf_dir)).withColumn("fields", F.array_join(F.array_sort(pairs), "&"))
+    forms = html_forms(_report_pages(spark, sf_dir), search_url="http://portal.example.com/lookup/")
+    for c in ("fields", "hidden"):
+        pairs = F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+        forms = forms.withColumn(c, F.array_join(F.array_sort(pairs), "&"))
+    return forms
 
 
 @register("html_by_id")
@@ -1001,23 +1004,167 @@ UPSERT_ORDER = ["seq", "l_partkey", "l_suppkey", "o_totalprice"]
 
 @register("upsert_by_key")
 def q_upsert_by_key(spark, sf_dir):
-    from civiclens.sources.sinks import upsert_table
+    from civiclens.operators.aggregates import keep_last
+    from civiclens.sources.published import KeyedTable
 
     stored, updates = _upsert_inputs(spark, sf_dir)
-    current = _scratch(spark, "store-v1")
-    stored.write.mode("overwrite").parquet(current)
-    return upsert_table(spark, current, updates, "o_orderkey", UPSERT_ORDER, _scratch(spark, "store-v2"))
+    kept = KeyedTable(spark, _scratch(spark, "store"), stored.schema, ["o_orderkey"])
+    kept.upsert(stored)
+    kept.upsert(keep_last(updates, ["o_orderkey"], UPSERT_ORDER).select(*stored.columns))
+    return kept.read()
 
 
 @register("typed_load")
 def q_typed_load(spark, sf_dir):
-    from civiclens.sources.sinks import typed_load
+    from civiclens.sources.published import AppendTable
+    from civiclens.sources.sinks import typed_rows
 
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     path = _scratch(spark, "orders-csv")
     o.write.mode("overwrite").option("header", True).csv(path)
     schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string"
-    return typed_load(spark, path, schema, ["o_orderkey"])
+    loaded = AppendTable(spark, _scratch(spark, "orders-table"), schema)
+    loaded.append(typed_rows(spark, path, schema), batch="orders", key=["o_orderkey"])
+    return loaded.read()
+
+
+@register("append_insert")
+def q_append_insert(spark, sf_dir):
+    """Events landed in three batches, the second one twice."""
+    from civiclens.sources.published import AppendTable
+
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    landed = AppendTable(spark, _scratch(spark, "inserts"), e.schema)
+    for batch in (0, 1, 1, 2):
+        landed.append(e.where(F.col("event_id") % 3 == batch), batch=batch)
+    return landed.read()
+
+
+@register("append_features")
+def q_append_features(spark, sf_dir):
+    """Features of the events, appended in two batches."""
+    from civiclens.sources.published import AppendTable
+
+    features = q_feature_build(spark, sf_dir)
+    landed = AppendTable(spark, _scratch(spark, "features"), features.schema)
+    for night in (0, 1):
+        landed.append(features.where(F.col("is_night") == night), batch=f"night={night}")
+    return landed.read()
+
+
+@register("scan_csv_first")
+def q_scan_csv_first(spark, sf_dir):
+    """The first 100 rows of many files, in file order."""
+    from civiclens.sources.files import scan_csv_limit
+
+    path = _scratch(spark, "customer-csv")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("crash_record_id"), "c_name")
+    c.repartitionByRange(16, "crash_record_id").sortWithinPartitions("crash_record_id").write.option("header", True).csv(path)
+    return scan_csv_limit(spark, path, limit=100)
+
+
+@register("inferred_types")
+def q_inferred_types(spark, sf_dir):
+    """The types of a table that landed as text."""
+    from civiclens.sources.files import infer_types, read_csv_strings
+
+    path = _scratch(spark, "lineitem-csv")
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_quantity", "l_returnflag", (F.col("l_linenumber") > 3).alias("late"),
+        F.when(F.col("l_linenumber") == 1, F.col("l_partkey")).alias("part_of_first"),
+        F.when(F.col("l_orderkey") % 1000 == 7, F.lit("n/a")).otherwise(F.col("l_suppkey").cast("string")).alias("supplier_text"),
+    )
+    li.write.option("header", True).csv(path)
+    return infer_types(read_csv_strings(spark, path))
+
+
+@register("geojson_strict")
+def q_geojson_strict(spark, sf_dir):
+    """Features that must have an id."""
+    from civiclens.sources.files import geojson_explode
+
+    e = table(spark, sf_dir, "events")
+    feature = F.struct(
+        F.concat(F.lit("ev"), F.col("event_id").cast("string")).alias("id"),
+        F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("time"), F.col("value").cast("double").alias("mag")).alias("properties"),
+        F.struct(F.array(F.col("value").cast("double")).alias("coordinates")).alias("geometry"),
+    )
+    return geojson_explode(e.select(F.array(feature).alias("features")), strict=True).select("id", "timestamp", "magnitude")
+
+
+@register("map_report")
+def q_map_report(spark, sf_dir):
+    """Found reports as text columns."""
+    from civiclens.operators.mapping import map_report
+
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("https://p/"), F.col("o_custkey").cast("string"))).alias("url"),
+        F.when(F.col("o_orderstatus") == "F", F.lit(200)).alias("code"),
+    )
+    return map_report(o, "o_orderkey", "url", "code", "portal")
+
+
+@register("distinct_sources")
+def q_distinct_sources(spark, sf_dir):
+    """The sources of the documents."""
+    from civiclens.operators.mapping import distinct_values
+
+    return distinct_values(table(spark, sf_dir, "documents"), "source")
+
+
+@register("link_kinds")
+def q_link_kinds(spark, sf_dir):
+    """Links of the landed pages: whether they are URLs, the export link
+    where one is a sheet, and a comma list taken apart."""
+    from civiclens.functions.exprs import comma_list, is_url, sheet_csv_url
+
+    p = table(spark, sf_dir, "pages")
+    n = F.col("page_id").cast("string")
+    link = (
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://docs.google.com/spreadsheets/d/S"), n, F.lit("/edit?gid="), n))
+        .when(F.col("page_id") % 3 == 1, F.concat(F.lit("files/"), n)).otherwise(F.col("url"))
+    )
+    rows = p.select("page_id", link.alias("link"), F.concat(F.lit(" a"), n, F.lit(" ,, b ,"), n).alias("listed"))
+    return rows.select("page_id", is_url("link").alias("is_url"), sheet_csv_url("link").alias("export"), F.array_join(comma_list("listed"), "|").alias("items"))
+
+
+@register("combined_columns")
+def q_combined_columns(spark, sf_dir):
+    """Two datasets stacked with a tag, then steps one after the other."""
+    from civiclens.plans.compose import run_steps
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"), F.lit("customer").alias("dataset"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("dataset"))
+    return run_steps(
+        c.unionByName(s),
+        [
+            lambda d: d.filter(F.col("nation") < 20),
+            lambda d: d.groupBy("dataset", "nation").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("first_key")),
+        ],
+    )
+
+
+@register("range_scan_reports")
+def q_range_scan_reports(spark, sf_dir):
+    """Lookups normalised by a hook, then scanned by range: the first two found
+    reports of each block of 100 ids."""
+    from civiclens.operators.joins import scan_reports
+
+    lookups = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    blocks = lookups.select(F.floor(F.col("o_orderkey") / 100).cast("bigint").alias("range_no")).distinct()
+    ranges = blocks.select("range_no", (F.col("range_no") * 100).alias("start"), (F.col("range_no") * 100 + 100).alias("end"), F.lit(2).alias("limit"))
+
+    def normalize(raw):
+        return raw.where(F.col("o_orderstatus") != "P").select("o_orderkey", F.col("o_orderkey").cast("string").alias("crash_join_id"), F.round("o_totalprice", 0).alias("price"))
+
+    return scan_reports(lookups, ranges, normalize, "o_orderkey").select("range_no", "crash_join_id", "price")
+
+
+@register("multi_profile_text")
+def q_multi_profile_text(spark, sf_dir):
+    from civiclens.operators.profile import multi_profile_text
+
+    return multi_profile_text(_type_profile(spark, sf_dir), "event_type").select("section", "name", "line")
 
 
 # ----------------------------------------------------------------- mappings
@@ -1234,16 +1381,6 @@ def q_stream_token_bucket(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@register("stream_window_counts")
-def q_stream_window_counts(spark, sf_dir):
-    from civiclens.streaming.jobs import sliding_segment_counts, to_parquet
-
-    out, ckpt = _scratch(spark, "t04-out"), _scratch(spark, "t04-ckpt")
-    s = sliding_segment_counts(_events_stream(spark, sf_dir), "ts", F.col("event_type"), "7 days", "1 day", "1 day")
-    to_parquet(s, out, ckpt)
-    return spark.read.parquet(out)
-
-
 @register("stream_window_counts_all")
 def q_stream_window_counts_all(spark, sf_dir):
     from civiclens.streaming.jobs import window_counts_stream
@@ -1258,7 +1395,8 @@ def q_stream_window_counts_all(spark, sf_dir):
 def q_pii_text_summary(spark, sf_dir):
     from civiclens.operators.audit import pii_scan, pii_text_summary
 
-    return pii_text_summary(pii_scan(text_corpus(spark, sf_dir), "text", "source_url"))
+    texts = text_corpus(spark, sf_dir)
+    return pii_text_summary(pii_scan(texts, "text", "source_url"), texts)
 
 
 @register("wkt_points")

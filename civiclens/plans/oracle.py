@@ -751,13 +751,7 @@ SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type
 """
 ORACLE["stream_upsert"] = ORACLE["upsert_by_key"]
 ORACLE["stream_token_bucket"] = ORACLE["token_bucket_delay"]
-ORACLE["stream_window_counts"] = """
-WITH w AS (SELECT event_type AS segment, date_trunc('day', ts) - to_days(CAST(unnest(range(0, 7)) AS INTEGER)) AS window_start FROM events)
-SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, segment, count(*) AS crash_count FROM w
-WHERE window_start + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY
-GROUP BY 1, 2, 3
-"""
-# the same over all windows, those still open at the end among them
+# all windows, those still open at the end among them
 ORACLE["stream_window_counts_all"] = """
 WITH w AS (SELECT event_type AS segment, date_trunc('day', ts) - to_days(CAST(unnest(range(0, 7)) AS INTEGER)) AS window_start
            FROM events WHERE ts IS NOT NULL)
@@ -826,6 +820,8 @@ l AS (SELECT source_url, pattern_pos,
       FROM f)
 SELECT source_url, printf('PII Scan — %d finding(s):', count(*)) || chr(10) || string_agg(line, chr(10) ORDER BY r, pattern_pos) AS summary
 FROM l GROUP BY source_url
+UNION ALL
+SELECT DISTINCT source_url, 'No PII patterns detected.' FROM corpus WHERE source_url NOT IN (SELECT source_url FROM l)
 """
 
 ORACLE["wkt_points"] = """
@@ -861,13 +857,72 @@ _REPORT_PAGES = """WITH all_pages AS (
 for _k in ("html_fields", "html_by_id", "html_valid"):
     ORACLE[_k] = _REPORT_PAGES + ORACLE[_k].replace("FROM pages", "FROM all_pages")
 ORACLE["html_forms"] = """
-SELECT page_id, false AS has_form, CAST(NULL AS VARCHAR) AS action, '' AS fields, CAST(NULL AS VARCHAR) AS id_field, false AS has_token FROM pages
+SELECT page_id, false AS has_form, 'http://portal.example.com/lookup/search' AS action, '' AS fields, 'report_number' AS id_field, false AS has_token,
+       CAST(NULL AS VARCHAR) AS token, '' AS hidden FROM pages
 UNION ALL
-SELECT 1000000000 + o_orderkey, o_orderkey % 5 = 2, CASE WHEN o_orderkey % 5 = 2 THEN 'http://built.example.com/p/find' END,
+SELECT 1000000000 + o_orderkey, o_orderkey % 5 = 2, CASE WHEN o_orderkey % 5 = 2 THEN 'http://built.example.com/p/find' ELSE 'http://portal.example.com/lookup/search' END,
        CASE WHEN o_orderkey % 5 <> 2 THEN ''
             WHEN o_orderkey % 2 = 0 THEN 'csrf_token=t&report_number=' || o_orderkey || '&s=' || o_orderstatus
             ELSE 'caseNumber=' || o_orderkey || '&csrf_token=t&s=' || o_orderstatus END,
-       CASE WHEN o_orderkey % 5 = 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'report_number' ELSE 'caseNumber' END END,
-       o_orderkey % 5 = 2
+       CASE WHEN o_orderkey % 5 <> 2 OR o_orderkey % 2 = 0 THEN 'report_number' ELSE 'caseNumber' END,
+       o_orderkey % 5 = 2, CASE WHEN o_orderkey % 5 = 2 THEN 't' END, CASE WHEN o_orderkey % 5 = 2 THEN 'csrf_token=t' ELSE '' END
 FROM orders
 """
+
+ORACLE["append_insert"] = "SELECT event_id, ts, user_id, event_type, value FROM events"
+
+ORACLE["append_features"] = ORACLE["feature_build"]
+
+ORACLE["scan_csv_first"] = """
+SELECT CAST(c_custkey AS VARCHAR) AS crash_record_id, c_name, CAST(c_custkey AS VARCHAR) AS crash_join_id FROM customer ORDER BY c_custkey LIMIT 100
+"""
+
+ORACLE["inferred_types"] = """
+WITH t AS (SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_quantity AS VARCHAR) AS l_quantity, l_returnflag,
+                  CASE WHEN l_linenumber > 3 THEN 'true' ELSE 'false' END AS late,
+                  CASE WHEN l_linenumber = 1 THEN CAST(l_partkey AS VARCHAR) END AS part_of_first,
+                  CASE WHEN l_orderkey % 1000 = 7 THEN 'n/a' ELSE CAST(l_suppkey AS VARCHAR) END AS supplier_text FROM lineitem),
+u AS (UNPIVOT t ON l_orderkey, l_quantity, l_returnflag, late, part_of_first, supplier_text INTO NAME "column" VALUE v)
+SELECT "column", CASE WHEN bool_and(v IN ('true', 'false')) THEN 'boolean'
+                      WHEN bool_and(regexp_full_match(v, '[+-]?[0-9]+') AND TRY_CAST(v AS INTEGER) IS NOT NULL) THEN 'int'
+                      WHEN bool_and(regexp_full_match(v, '[+-]?[0-9]+') AND TRY_CAST(v AS BIGINT) IS NOT NULL) THEN 'bigint'
+                      WHEN bool_and(TRY_CAST(v AS DOUBLE) IS NOT NULL) THEN 'double' ELSE 'string' END AS type, count(*) AS cells
+FROM u WHERE v <> '' GROUP BY 1
+"""
+
+ORACLE["geojson_strict"] = """
+SELECT 'ev' || CAST(event_id AS VARCHAR) AS id, epoch_us(ts) // 1000 AS "timestamp", CAST(value AS DOUBLE) AS magnitude FROM events
+"""
+
+ORACLE["map_report"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS report_id, CAST(o_orderkey AS VARCHAR) AS crash_join_id, 'portal' AS source,
+       CASE WHEN o_orderkey % 4 <> 0 THEN 'https://p/' || CAST(o_custkey AS VARCHAR) ELSE '' END AS portal_url,
+       CASE WHEN o_orderstatus = 'F' THEN '200' ELSE '' END AS status_code FROM orders
+"""
+
+ORACLE["distinct_sources"] = "SELECT DISTINCT source FROM documents"
+
+ORACLE["link_kinds"] = """
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN true WHEN page_id % 3 = 1 THEN false ELSE regexp_matches(url, '^https?://') END AS is_url,
+       CASE WHEN page_id % 3 = 0 THEN 'https://docs.google.com/spreadsheets/d/S' || page_id || '/export?format=csv&gid=' || page_id END AS export,
+       'a' || page_id || '|b|' || page_id AS items FROM pages
+"""
+
+ORACLE["combined_columns"] = """
+SELECT dataset, nation, count(*) AS rows, min("key") AS first_key FROM (
+  SELECT c_custkey AS "key", c_nationkey AS nation, 'customer' AS dataset FROM customer
+  UNION ALL SELECT s_suppkey, s_nationkey, 'supplier' FROM supplier) WHERE nation < 20 GROUP BY 1, 2
+"""
+
+ORACLE["range_scan_reports"] = """
+SELECT o_orderkey // 100 AS range_no, CAST(o_orderkey AS VARCHAR) AS crash_join_id, round(o_totalprice, 0) AS price FROM orders
+WHERE o_orderstatus <> 'P' QUALIFY row_number() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) <= 2
+"""
+
+ORACLE["multi_profile_text"] = _TYPE + f"""
+SELECT 0 AS section, CAST(NULL AS VARCHAR) AS name, 'Multi-City Dataset Quality Report (' || count(*) || ' cities)' || chr(10) AS line FROM r
+UNION ALL SELECT 1, NULL, 'City                           Source    Records  Score Issues'
+UNION ALL SELECT 2, NULL, repeat('-', 65)
+UNION ALL SELECT 3, event_type, rpad(event_type, 30, ' ') || ' ' || rpad(data_source_type, 8, ' ') || ' ' || lpad(format('{{:,}}', total_records), 8, ' ') || ' '
+       || lpad({_fmt1('quality_score')}, 5, ' ') || '  ' || lpad(CAST(len(iss) AS VARCHAR), 5, ' ') FROM r
+"""

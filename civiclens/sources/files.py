@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,24 +22,73 @@ from civiclens.functions.exprs import col, comma_list, empty_to_null, strip_ws
 
 # ------------------------------------------------------------------ CSV
 
-def read_csv_strings(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+def read_csv_strings(spark: SparkSession, path: str | list[str], header: bool = True) -> DataFrame:
     """Header CSV with every column as text (no inference)."""
     return spark.read.option("header", header).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
 
 
+#: what a cell of each type looks like, from the narrowest type to the widest
+CELL_PATTERNS = {
+    "boolean": "^(?:true|false|True|False|TRUE|FALSE)$",
+    "int": "^[+-]?[0-9]+$",
+    "bigint": "^[+-]?[0-9]+$",
+    "double": r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$",
+}
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """``column, type, cells`` of a table of texts: the narrowest of boolean,
+    int, bigint, double and string that takes all non-empty cells of the column (string if
+    there are none).  Each cell's types are flags, a column's are those that all its
+    cells share: one aggregate over all rows, the same however they are partitioned.
+    """
+    folds = []
+    for c in df.columns:
+        text = strip_ws(F.col(f"`{c}`"))
+        full = text != ""
+        fits = {t: text.rlike(p) & text.try_cast(t).isNotNull() for t, p in CELL_PATTERNS.items()}
+        takes = lambda t: F.min(F.when(full, fits[t]).otherwise(F.lit(None)))  # noqa: B023, E731
+        kind = F.coalesce(*[F.when(takes(t), F.lit(t)) for t in CELL_PATTERNS], F.lit("string"))
+        folds.append(F.struct(F.lit(c).alias("column"), kind.alias("type"), F.count(F.when(full, 1)).alias("cells")))
+    return df.agg(F.array(*folds).alias("t")).select(F.inline("t"))
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """A table of texts with the inferred types (one row per column reaches the
+    driver); empty cells of a column with another type are NULL."""
+    kinds = {r["column"]: r["type"] for r in infer_types(df).collect()}
+    return df.select(*[F.col(f"`{c}`") if kinds[c] == "string" else strip_ws(F.col(f"`{c}`")).try_cast(kinds[c]).alias(c) for c in df.columns])
+
+
 def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     """An uploaded CSV with inferred types (one extra pass over the file)."""
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return typed(read_csv_strings(spark, path))
 
 
 def scan_csv_limit(
     spark: SparkSession, path: str, limit: int | None = None, id_col: str = "crash_record_id", key: str = "crash_join_id"
 ) -> DataFrame:
     """All-string CSV rows plus ``key`` = ``id_col`` ('' when the column is
-    missing); ``limit`` 0 or None reads everything (O04)."""
+    missing); ``limit`` 0 or None reads everything (O04), otherwise the first rows in
+    the order of files and of lines in them."""
     df = read_csv_strings(spark, path)
-    df = df.withColumn(key, F.coalesce(F.col(id_col), F.lit("")) if id_col in df.columns else F.lit(""))
-    return df.limit(limit) if limit else df
+    if limit:
+        df = first_rows(df, limit, lambda files: read_csv_strings(spark, files))
+    return df.withColumn(key, F.coalesce(F.col(id_col), F.lit("")) if id_col in df.columns else F.lit(""))
+
+
+def first_rows(df: DataFrame, limit: int, read: Callable[[list[str]], DataFrame]) -> DataFrame:
+    """The first ``limit`` rows of a file table in the order of file names, of
+    blocks in a file and of rows in a block.  ``read`` gives the rows of some of its
+    files: the first files are taken, twice as many each time, until they hold enough
+    rows; later ones are never opened."""
+    files = sorted(df.inputFiles())
+    n = 1
+    while n < len(files) and read(files[:n]).limit(limit).count() < limit:
+        n = min(len(files), 2 * n)
+    some = read(files[:n]) if files else df
+    line = some.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_l"))
+    return line.orderBy("_f", "_s", "_l").limit(limit).drop("_f", "_s", "_l")
 
 
 # ------------------------------------------------------------------ JSON

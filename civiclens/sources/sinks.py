@@ -84,10 +84,17 @@ def upsert_table(spark: SparkSession, current_path: str, updates: DataFrame, key
     return spark.read.parquet(new_path)
 
 
+def typed_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """CSV with a declared schema in FAILFAST mode: a bad cast aborts the job.
+    ``published.AppendTable.append`` lands it, checks the key in the same pass and
+    publishes it."""
+    return spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(path)
+
+
 def typed_load(spark: SparkSession, path: str, schema: StructType | str, key: Sequence[str]) -> DataFrame:
-    """CSV with a declared schema in FAILFAST mode (a bad cast aborts) and a
-    primary-key check (a duplicate key aborts)."""
-    df = spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(path)
+    """K07 without a table: the rows, after a primary-key check (a duplicate key
+    aborts)."""
+    df = typed_rows(spark, path, schema)
     dup = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     if not dup.isEmpty():
         raise ValueError(f"duplicate primary key in {path}")

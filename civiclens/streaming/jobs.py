@@ -10,7 +10,8 @@ then stop), which is also how the tests and the bindings run them.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from math import lcm
+from contextlib import contextmanager
+from math import gcd, lcm
 
 import numpy as np
 import pandas as pd
@@ -20,10 +21,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from civiclens.operators.aggregates import keep_first
+from civiclens.operators.aggregates import keep_last
 from civiclens.operators.rates import interval, simplest
 from civiclens.session import ship_package
-from civiclens.sources.sinks import merge_upsert
+from civiclens.sources.published import KeyedTable
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, glob: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -42,51 +43,78 @@ def run_available(writer, checkpoint: str) -> StreamingQuery:
     return q
 
 
+@contextmanager
+def _state_store(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB with a changelog, unless
+    the session names a store itself."""
+    ours = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    free = spark.conf.get(next(iter(ours)), default) == default
+    before = {k: spark.conf.get(k, None) for k in ours} if free else {}
+    for k in before:
+        spark.conf.set(k, ours[k])
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _run_into(stream: DataFrame, table: KeyedTable, checkpoint: str, mode: str, reduce=lambda d: d) -> StreamingQuery:
+    """Run what has landed into a keyed table, one upsert per micro-batch; the batch
+    id goes into the table's manifest, so a retried batch is applied once."""
+
+    def merge(batch: DataFrame, epoch_id: int) -> None:
+        table.upsert(reduce(batch), epoch_id)
+
+    with _state_store(stream.sparkSession):
+        q = run_available(stream.writeStream.outputMode(mode).foreachBatch(merge), checkpoint)
+    if not table.versions():  # nothing has landed yet: an empty table
+        table.upsert(stream.sparkSession.createDataFrame([], table.schema))
+    q.table = table  # type: ignore[attr-defined]
+    return q
+
+
 # ------------------------------------------------------------------ T01
 
-def keep_first_stream(stream: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str], table_root: str, checkpoint: str) -> StreamingQuery:
+def keep_first_stream(stream: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str], table_root: str, checkpoint: str,
+                      buckets: int = 32) -> StreamingQuery:
     """The first row of each key by ``order_cols`` (A01 on a stream).
 
-    Every micro-batch is reduced to its first rows and merged with the table so
-    far, keeping the smaller order; so the table does not depend on how the input
-    is cut into micro-batches, nor on their order.  Epoch ``n`` writes
-    ``table_root/v=<n>`` from version ``n-1``.
+    The first row so far is state of its key in the state store.  A micro-batch gives
+    the first rows of the keys it holds; a late row that comes before the one known is
+    a correction.  They replace their keys' rows in a keyed table, which writes the
+    buckets concerned only.  So the table does not depend on how the input is cut into
+    micro-batches, nor on their order, and a restart goes on from state and manifest.
     """
-    root = table_root.rstrip("/")
-
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        rows = batch
-        if epoch_id:
-            rows = rows.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{root}/v={epoch_id - 1}"))
-        keep_first(rows, list(key_cols), list(order_cols)).write.mode("overwrite").parquet(f"{root}/v={epoch_id}")
-
-    q = run_available(stream.writeStream.foreachBatch(merge), checkpoint)
-    last = q.lastProgress["batchId"] if q.lastProgress else None
-    q.current_table = f"{root}/v={last or 0}"  # type: ignore[attr-defined]
+    columns = [f.name for f in stream.schema.fields]
+    first = F.min_by(F.struct(*columns), F.struct(*order_cols))
+    firsts = stream.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)]).agg(first.alias("_row")).select("_row.*")
+    table = KeyedTable(stream.sparkSession, table_root, stream.schema, key_cols, buckets)
+    q = _run_into(firsts, table, checkpoint, "update")
+    q.current_table = table.glob()  # type: ignore[attr-defined]
     return q
 
 
 # ------------------------------------------------------------------ T02
 
 def upsert_stream(stream: DataFrame, table_root: str, key: str, order_cols: Sequence[str], checkpoint: str,
-                  initial_version: str) -> StreamingQuery:
-    """Each micro-batch is merged (K04) into the table.  Epoch ``n`` reads
-    version ``n-1`` (``initial_version`` for the first epoch) and writes
-    ``table_root/v=<n>``; the version read is derived from the epoch id, not
-    from driver memory, so a restarted query continues from shared storage, and
-    a retried epoch rewrites the same version from the same inputs.
+                  initial_version: str, buckets: int = 32) -> StreamingQuery:
+    """Each micro-batch is merged (K04) into a keyed table that begins as the
+    rows of ``initial_version``: the last update of a key replaces its row.  Only the
+    buckets of a batch's keys are written; a restart or a retried batch goes on from
+    the manifest, not from driver memory.
     """
-    root = table_root.rstrip("/")
-
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        source = initial_version if epoch_id == 0 else f"{root}/v={epoch_id - 1}"
-        merged = merge_upsert(spark.read.parquet(source), batch, key, order_cols)
-        merged.write.mode("overwrite").parquet(f"{root}/v={epoch_id}")
-
-    q = run_available(stream.writeStream.foreachBatch(merge), checkpoint)
-    last = q.lastProgress["batchId"] if q.lastProgress else None
-    q.current_table = initial_version if last is None else f"{root}/v={last}"  # type: ignore[attr-defined]
+    spark = stream.sparkSession
+    initial = spark.read.parquet(initial_version)
+    table = KeyedTable(spark, table_root, initial.schema, [key], buckets)
+    if not table.versions():
+        table.upsert(initial)
+    q = _run_into(stream, table, checkpoint, "append", lambda batch: keep_last(batch, [key], list(order_cols)).select(*initial.columns))
+    q.current_table = table.glob()  # type: ignore[attr-defined]
     return q
 
 
@@ -151,39 +179,31 @@ def sliding_segment_counts(stream: DataFrame, ts_col: str, segment: Column, wind
 
 
 def window_counts_stream(stream: DataFrame, ts_col: str, segment: Column, window: str, slide: str, table_root: str,
-                         checkpoint: str) -> StreamingQuery:
-    """T04 with all windows, those still open among them: every micro-batch is
-    reduced to its counts and added to the table so far.  No row is too late and no
-    window waits for its end, so the table does not depend on how the input is cut
-    into micro-batches.  Epoch ``n`` writes ``table_root/v=<n>`` from version ``n-1``.
+                         checkpoint: str, buckets: int = 8) -> StreamingQuery:
+    """T04 with all windows, those still open among them, by panes: a row counts in
+    one pane (the largest stretch of time that windows share whole), not in each window
+    that holds it.  Pane counts are state in the state store and go into a keyed table;
+    windows are sums of their panes.  No row is too late and no window waits for its
+    end, so the counts do not depend on how the input is cut into micro-batches.  A
+    day's slide in a week's window keeps a seventh of the rows of state.
+
+    ``q.panes``: the keyed table; ``q.current_table``: the windows of its version.
     """
-    root = table_root.rstrip("/")
-    keys = ["window_start", "window_end", "segment"]
-
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        rows = batch.select(F.window(F.col(ts_col).cast("timestamp"), window, slide).alias("w"), segment.alias("segment")).select(
-            F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "segment"
-        )
-        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("crash_count"))
-        if epoch_id:
-            before = batch.sparkSession.read.schema(counts.schema).parquet(f"{root}/v={epoch_id - 1}")
-            counts = counts.unionByName(before).groupBy(*keys).agg(F.sum("crash_count").alias("crash_count"))
-        counts.write.mode("overwrite").parquet(f"{root}/v={epoch_id}")
-
-    q = run_available(stream.writeStream.foreachBatch(merge), checkpoint)
-    q.current_table = _newest_version(stream.sparkSession, root)  # type: ignore[attr-defined]
+    spark = stream.sparkSession
+    width = gcd(*(int(pd.Timedelta(x).total_seconds() * 1_000_000) for x in (window, slide)))
+    pane = F.window(F.col(ts_col).cast("timestamp"), f"{width} microseconds")
+    counts = stream.groupBy(pane.alias("p"), segment.alias("segment")).agg(F.count(F.lit(1)).alias("crash_count"))
+    rows = counts.select(F.col("p.start").alias("pane_start"), "segment", "crash_count")
+    panes = KeyedTable(spark, f"{table_root.rstrip('/')}/panes", rows.schema, ["pane_start", "segment"], buckets)
+    q = _run_into(rows, panes, checkpoint, "update")
+    held = panes.read().select(F.window("pane_start", window, slide).alias("w"), "segment", "crash_count")
+    windows = held.groupBy(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "segment").agg(F.sum("crash_count").alias("crash_count"))
+    q.panes = panes  # type: ignore[attr-defined]
+    q.current_table = f"{table_root.rstrip('/')}/windows/v={panes.versions()[-1]}"  # type: ignore[attr-defined]
+    windows.write.mode("overwrite").parquet(q.current_table)
     return q
 
 
-def _newest_version(spark: SparkSession, root: str) -> str | None:
-    """The last version written whole; also after a restart that found nothing new."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
-    whole = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
-    return f"{root}/v={max(whole)}" if whole else None
-
-
 def to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     return run_available(df.writeStream.format("parquet").option("path", path).outputMode(mode), checkpoint)
 

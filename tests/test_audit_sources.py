@@ -357,6 +357,94 @@ def test_deep_pages_and_flat_rows(spark):
     forms = {r.page_id: r for r in html.html_forms(pages).collect()}
     assert forms[3].action == "http://h/p/go?x=1" and forms[3].has_token and forms[3].id_field == "a"
     assert forms[3].fields == {"a": "9", "c": "3", "s": "v", "t": "hi", "csrf_token": "k"}
-    assert not forms[2].has_form and forms[2].action is None and forms[2].id_field is None
+    assert not forms[2].has_form and forms[2].action == "http://h/p/search" and forms[2].id_field == "report_number" and forms[2].token is None
+    assert forms[3].token == "k" and forms[3].hidden == {"z": "", "csrf_token": "k"}
+    assert {r.action for r in html.html_forms(pages.where("page_id = 2"), search_url="http://portal/x/").collect()} == {"http://portal/x/search"}
     ids = {r.page_id: r.crash_join_id for r in html.html_by_id(pages).collect()}
     assert ids == {1: "", 2: "R1", 3: "", 4: ""}
+
+
+def test_scan_is_linear_in_the_page(spark):
+    import time
+
+    from civiclens.sources.html import PageScan
+
+    for page in ("<td>" * 250_000 + "x", "<td>x" * 200_000, '<p id="a">' * 100_000 + "y", "<td>" * 120_000 + "</b>" * 120_000, "<textarea>" * 50_000 + "z"):
+        started = time.process_time()
+        scan = PageScan("http://h/", "/s")
+        scan.feed(page)
+        scan.finish()
+        assert sum(len(x) for x in scan.pieces) < len(page) and time.process_time() - started < 8
+    pages = spark.createDataFrame([(1, "http://h/", "<table><tr><th>County</th><td>" + "<td>x" * 50_000)], "page_id long, url string, html string")
+    assert html.html_fields(pages).first().county == "x" * 50_000
+
+
+def test_page_ids_beside_null(spark):
+    ids = [2**53 + 1, 2**53 + 3, None]
+    pages = spark.createDataFrame([(i, "http://h/", "<p>ok</p>") for i in ids], "page_id long, url string, html string").coalesce(1)
+    assert sorted((r.page_id for r in html.html_valid(pages).collect()), key=str) == sorted(ids, key=str)
+
+
+def test_tokens_of_the_whole_page(spark):
+    rows = [(1, '<input name="csrf_token" value="a"><form><input name="csrf_token" value="b"></form>'), (2, '<input name="csrf_token">'), (3, "<form></form>"),
+            (4, '<input type=hidden name=v value=1><input type=submit name=go><input type=hidden name=v value=2><input type=text name=t value=3>')]
+    pages = spark.createDataFrame([(i, "http://h/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html.html_forms(pages).collect()}
+    assert [got[i].token for i in (1, 2, 3)] == ["a", None, None]
+    assert got[1].fields == {"csrf_token": "b"} and got[4].hidden == {"v": "2", "go": ""} and got[4].fields == {}
+
+
+def test_first_rows_in_file_order(spark, tmp_path):
+    for n in range(9):
+        (tmp_path / f"part-{n}.csv").write_text("crash_record_id,v\n" + "".join(f"{n}-{i},x\n" for i in range(40)))
+    for limit in (1, 39, 40, 41, 100, 360, 1000):
+        got = [r.crash_record_id for r in files.scan_csv_limit(spark, str(tmp_path), limit).collect()]
+        assert got == [f"{n}-{i}" for n in range(9) for i in range(40)][:limit]
+    assert files.scan_csv_limit(spark, str(tmp_path), 0).count() == 360
+
+
+def test_inferred_types(spark):
+    rows = [("1", "1", "true", "1.5", "x", "", "01"), ("-2", "", "False", "2", "1", None, "2e3"), (" 3 ", "2.", "true", "1e3", "true", " ", "9" * 30)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string, g string")
+    want = {"a": ("int", 3), "b": ("double", 2), "c": ("boolean", 3), "d": ("double", 3), "e": ("string", 3), "f": ("string", 0), "g": ("double", 3)}
+    for frame in (df, df.repartition(3), df.coalesce(1)):
+        assert {r["column"]: (r["type"], r["cells"]) for r in files.infer_types(frame).collect()} == want
+    got = files.typed(df)
+    assert dict(got.dtypes)["a"] == "int" and sorted(r.a for r in got.collect()) == [-2, 1, 3] and [r.b for r in got.orderBy("a").collect()] == [None, 1.0, 2.0]
+    assert {r["type"] for r in files.infer_types(df.limit(0)).collect()} == {"string"}
+
+
+def test_long_sessions_are_many_pieces(spark):
+    from pyspark.sql import functions as F
+
+    from civiclens.operators.audit import sequence_signature
+
+    events = spark.range(40_000).select(F.when(F.col("id") < 30_000, F.lit("hot")).otherwise(F.concat(F.lit("s"), F.col("id") % 200)).alias("session"),
+                                        F.col("id").alias("at"), F.concat(F.lit("e"), F.col("id") % 3).alias("name"))
+    one = {r.signature: (r.session, r.n_events) for r in sequence_signature(events, ["session"], ["at"], "name", ["e1"]).collect()}
+    two = {r.signature: (r.session, r.n_events) for r in sequence_signature(events, ["session"], ["at"], "name", ["e1"], bucket=F.lit(0)).collect()}
+    assert one == two and max(n for _, n in one.values()) == 30_000
+    nulls = spark.createDataFrame([(None, 1, "e1"), (None, 2, None), ("a", 3, "e1"), ("a", 4, None), ("b", 5, "q")], "session string, at int, name string")
+    got = sequence_signature(nulls, ["session"], ["at"], "name", ["e1"]).collect()
+    assert [(r.signature, r.session, r.n_events) for r in got] == [("e1-", None, 2)]
+
+
+def test_clean_texts_and_several_datasets(spark):
+    from civiclens.operators.audit import NO_PII, pii_scan, pii_text_summary
+    from civiclens.operators.profile import multi_profile_text
+
+    texts = spark.createDataFrame([("a", "SSN 123-45-6789"), ("b", "nothing"), ("c", None), (None, "clean")], "source_url string, text string")
+    got = {r.source_url: r.summary for r in pii_text_summary(pii_scan(texts, "text", "source_url"), texts).collect()}
+    assert got["a"].startswith("PII Scan") and {got["b"], got["c"], got[None]} == {NO_PII}
+    report = spark.createDataFrame(
+        [("Chicago", "csv", 1234567, 91.25, ["x"]), ("A city with a name of over thirty letters", "api", 5, 100.0, []), ("Bonn", "csv", 10, 91.25, ["x", "y"])],
+        "city string, data_source_type string, total_records long, quality_score double, flagged_issues array<string>",
+    )
+    lines = [r.line for r in multi_profile_text(report, "city").orderBy("section", "quality_score", "name").collect()]
+    assert lines[0] == "Multi-City Dataset Quality Report (3 cities)\n" and lines[2] == "-" * 65
+    assert lines[1] == "City                           Source    Records  Score Issues"
+    assert set(lines[3:]) == {
+        "Bonn                           csv            10  91.2      2", "Chicago                        csv      1,234,567  91.2      1",
+        "A city with a name of over thirty letters api             5 100.0      0",
+    }
+
