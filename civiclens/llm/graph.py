@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civiclens.llm.common import written
+from civiclens.llm.common import release, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,6 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = written(both, "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), "labels")
+    before = labels
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("near")), "b")
@@ -26,6 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("step"))
         jump = labels.select(F.col("node").alias("step"), F.col("component").alias("far"))
         new = written(lower.join(jump, "step").select("node", F.least("step", "far").alias("component"), "old"), "labels")
-        labels = new.select("node", "component")
+        release(before)
+        before, labels = new, new.select("node", "component")
         if new.where("component <> old").isEmpty():
+            release(both)
             return labels

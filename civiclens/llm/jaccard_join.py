@@ -5,8 +5,9 @@ Two sets whose Jaccard similarity is at least ``t`` share a token among the firs
 from the first order's prefix tokens, and must also share a prefix token under
 two further orders; only then are the sets compared.  A shared token counts only where
 its places in both sets leave room for the overlap that is needed.  All orders put frequent
-tokens last (the most frequent ones of the whole corpus, a list of bounded
-length), so common passages do not make candidates of unlike documents.
+tokens last (those that batches hold several times, most frequent in the whole corpus
+first, a list of bounded length), so common passages do not make candidates of unlike
+documents.
 
 Groups of like documents are never expanded into all pairs:
 
@@ -33,12 +34,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiclens.functions.frames import map_frames
-from civiclens.llm.common import id_and_text, written
+from civiclens.llm.common import id_and_text, release, shuffle_width, written
 from civiclens.llm.graph import components
 
 ORDERS = 3
 STARS = 4  # first members that a document is compared with before components are formed
-FREQUENT = 65_536  # tokens that all orders put last
+FREQUENT = 1 << 20  # tokens that all orders put last, at most
+IN_BATCH = 3  # documents of a batch that hold a token from which on it is counted
+SIEVE = 1 << 24
+PIECE = 1 << 22  # bytes of text that are hashed at a time
 CACHE_WORDS = 400_000
 _U = np.uint64
 
@@ -66,49 +70,165 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+# The words of many texts are hashed at once: a polynomial of the bytes' random values,
+# taken from running sums over the whole piece.  A-Z have the values of a-z.
+_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.int64).view(np.uint64)
+_VALUES[65:91] = _VALUES[97:123]
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """The base's powers and its inverse's, at least ``n`` of each."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [
+            np.concatenate([[_U(1)], np.cumprod(np.full(max(n, PIECE) - 1, b, dtype=np.uint64))]) for b in (_U(_BASE), _U(pow(_BASE, -1, 1 << 64)))
+        ]
+    return _powers
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some bytes, and where they begin."""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    word = np.concatenate([[False], ~_SPACE[b], [False]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    begin, end = edge[::2], edge[1::2]
+    up, down = _power(len(b) + 1)
+    sums = np.concatenate([[_U(0)], np.cumsum(_VALUES[b] * up[: len(b)])])
+    return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64), 5), begin
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A text in pieces of about ``PIECE`` bytes that end at white space."""
+    at = 0
+    while len(raw) - at > PIECE:
+        cut = max(raw.rfind(c, at, at + PIECE) for c in (b" ", b"\n", b"\t"))
+        if cut <= at:  # one very long word
+            cut = min((x for x in (raw.find(c, at + PIECE) for c in (b" ", b"\n", b"\t")) if x >= 0), default=len(raw))
+        yield raw[at:cut]
+        at = cut
+    yield raw[at:]
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' words one after the other, and each text's number of
+    words.  Words end at space, tab and line ends; A-Z count as a-z."""
+    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    out, counts = [], np.zeros(len(raws), dtype=np.int64)
+    at = 0
+    while at < len(raws):
+        if len(raws[at]) > PIECE:
+            for part in _pieces(raws[at]):
+                out.append(_hashed(part)[0])
+                counts[at] += len(out[-1])
+            at += 1
+            continue
+        size, to = 0, at
+        while to < len(raws) and size + len(raws[to]) <= PIECE:
+            size += len(raws[to]) + 1
+            to += 1
+        h, begin = _hashed(b"\n".join(raws[at:to]))
+        edges = np.cumsum([len(r) + 1 for r in raws[at:to]])
+        counts[at:to] = np.diff(np.concatenate([[0], np.searchsorted(begin, edges)]))
+        out.append(h)
+        at = to
+    return (np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)), counts
+
+
+def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' sets of distinct ``k``-word shingles as sorted 64-bit hashes, one set
+    after the other, and the sets' sizes; fewer words than ``k`` are one shingle."""
+    h, words = word_hashes(texts)
+    first = np.cumsum(words) - words
+    sizes = np.where(words >= k, words - k + 1, np.minimum(words, 1))
+    to = np.cumsum(sizes)
+    flat = np.zeros(int(sizes.sum()), dtype=np.uint64)
+    if len(h) >= k:
+        run = np.full(len(h) - k + 1, k, dtype=np.uint64)
+        for i in range(k):
+            run = mixed(run * _U(0x100000001B3) + h[i : i + len(run)], i)
+        whole = words >= k
+        at = np.repeat((first - (to - sizes))[whole], sizes[whole])  # from a set's place to its words'
+        place = np.flatnonzero(np.repeat(whole, sizes))
+        flat[place] = run[place + at]
+    for d in np.flatnonzero((words > 0) & (words < k)).tolist():
+        x = _U(int(words[d]))
+        for i in range(int(words[d])):
+            x = mixed(np.asarray([x * _U(0x100000001B3) + h[first[d] + i]], dtype=np.uint64), i)[0]
+        flat[to[d] - 1] = x
+    for a, b in zip((to - sizes).tolist(), to.tolist()):
+        flat[a:b].sort()
+    new = np.ones(len(flat), dtype=bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[(to - sizes)[sizes > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(new)])
+    return flat[new], kept[to] - kept[to - sizes]
+
+
 def shingles(text: str, k: int) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct ``k``-word shingles; A-Z are
-    lower-cased, words end at space, tab and line ends; fewer words than ``k`` are
-    one shingle."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = max(1, len(h) - k + 1)
-    out = np.full(n, min(k, len(h)), dtype=np.uint64)
-    for i in range(min(k, len(h))):
-        out = mixed(out * _U(0x100000001B3) + h[i : i + n], i)
-    return np.unique(out)
+    """One text's set."""
+    return shingle_sets([text], k)[0]
+
 
+def _split(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    ends = np.cumsum(sizes)
+    return [flat[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
 
-def _set_hash(s: np.ndarray) -> tuple[int, int]:
-    return tuple(int(mixed(s, 100 + i).sum(dtype=np.uint64).view(np.int64)) for i in (0, 1))
+
+def set_hashes(flat: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each set: the sum of its tokens' hashes."""
+    sums = np.concatenate([[_U(0)], np.cumsum(mixed(flat, seed))])
+    ends = np.cumsum(sizes)
+    return (sums[ends] - sums[ends - sizes]).view(np.int64)
 
 
 def sieve(frequent: np.ndarray) -> np.ndarray:
     """By low bits: whether a token may be among the frequent ones."""
-    maybe = np.zeros(1 << 20, dtype=bool)
-    maybe[(frequent & _U(len(maybe) - 1)).astype(np.int64)] = True
+    maybe = np.zeros(SIEVE, dtype=bool)
+    maybe[(frequent & _U(SIEVE - 1)).astype(np.int64)] = True
     return maybe
 
 
-def prefix(s: np.ndarray, order: int, percent: int, frequent: np.ndarray, maybe: np.ndarray) -> np.ndarray:
-    """The prefix tokens of a set under an order; ``frequent``: tokens, sorted, and
-    their sieve."""
-    n = len(s)
-    if not n:
-        return s
-    key = mixed(s, order) >> _U(1)
+def are_frequent(flat: np.ndarray, frequent: np.ndarray, maybe: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(flat), dtype=bool)
     if len(frequent):
-        hit = np.flatnonzero(maybe[(s & _U(len(maybe) - 1)).astype(np.int64)])
-        if len(hit):
-            at = np.minimum(np.searchsorted(frequent, s[hit]), len(frequent) - 1)
-            key[hit[frequent[at] == s[hit]]] |= _U(1 << 63)
-    size = n - (percent * n + 99) // 100 + 1
-    if size < n:
-        least = np.argpartition(key, size - 1)[:size]
-        return s[least[np.argsort(key[least], kind="stable")]]
-    return s[np.argsort(key, kind="stable")]
+        hit = np.flatnonzero(maybe[(flat & _U(SIEVE - 1)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(frequent, flat[hit]), len(frequent) - 1)
+        out[hit] = frequent[at] == flat[hit]
+    return out
+
+
+def prefixes(flat: np.ndarray, sizes: np.ndarray, order: int, percent: int, last: np.ndarray) -> list[np.ndarray]:
+    """Each set's prefix tokens under an order; ``last``: tokens that come last."""
+    key = (mixed(flat, order) >> _U(1)) | (last.astype(np.uint64) << _U(63))
+    out, ends = [], np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        n, k = b - a, key[a:b]
+        size = n - (percent * n + 99) // 100 + 1
+        if n and size < n:
+            least = np.argpartition(k, size - 1)[:size]
+            least = least[np.argsort(k[least], kind="stable")]
+        else:
+            least = np.argsort(k, kind="stable")
+        out.append(flat[a:b][least])
+    return out
+
+
+def prefix(s: np.ndarray, order: int, percent: int, frequent: np.ndarray, maybe: np.ndarray) -> np.ndarray:
+    """The prefix tokens of one set."""
+    return prefixes(s, np.asarray([len(s)]), order, percent, are_frequent(s, frequent, maybe))[0]
+
+
+def _slices(frames: Iterator[pd.DataFrame], limit: int = 4 * PIECE) -> Iterator[pd.DataFrame]:
+    """Frames of at most about ``limit`` characters of text."""
+    for f in frames:
+        if not len(f):
+            continue
+        slot = np.cumsum(f["text"].str.len().to_numpy(dtype=np.int64)) // limit
+        for i in np.unique(slot):
+            yield f[slot == i]
 
 
 def _profile(rows: DataFrame, k: int) -> DataFrame:
@@ -117,65 +237,79 @@ def _profile(rows: DataFrame, k: int) -> DataFrame:
 
     def profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            sets = [shingles(t, k) for t in f["text"]]
-            hashes = [_set_hash(s) for s in sets]
-            out = pd.DataFrame(
-                {
-                    "doc_id": f["doc_id"],
-                    "n": pd.array([len(s) for s in sets], dtype="Int64"),
-                    "h1": pd.array([h[0] for h in hashes], dtype="Int64"),
-                    "h2": pd.array([h[1] for h in hashes], dtype="Int64"),
-                    "tokens": None,
-                    "counts": None,
-                }
-            )
-            yield out
-            if sets and sum(map(len, sets)):
-                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-                common = np.argsort(-counts, kind="stable")[: FREQUENT // 8]
-                common = common[counts[common] >= max(3, len(sets) // 500)]
-                if len(common):
-                    yield pd.DataFrame(
-                        {
-                            "doc_id": pd.array([None], dtype="Int64"),
-                            "n": pd.array([-1], dtype="Int64"),
-                            "h1": pd.array([None], dtype="Int64"),
-                            "h2": pd.array([None], dtype="Int64"),
-                            "tokens": [tokens[common].view(np.int64)],
-                            "counts": [counts[common].astype(np.int64)],
-                        }
-                    )
+            held = []
+            for g in _slices([f]):
+                flat, sizes = shingle_sets(g["text"].tolist(), k)
+                held.append(flat)
+                yield pd.DataFrame(
+                    {
+                        "doc_id": g["doc_id"].reset_index(drop=True), "n": sizes, "h1": set_hashes(flat, sizes, 100), "h2": set_hashes(flat, sizes, 101),
+                        "tokens": None, "counts": None,
+                    }
+                )
+            tokens = np.sort(np.concatenate(held))
+            new = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, dtype=np.int64)
+            counts = np.diff(np.append(new, len(tokens)))
+            common = np.flatnonzero(counts >= IN_BATCH)
+            if len(common):
+                one = pd.array([None], dtype="Int64")
+                yield pd.DataFrame(
+                    {
+                        "doc_id": one, "n": pd.array([-1], dtype="Int64"), "h1": one, "h2": one,
+                        "tokens": [tokens[new[common]].view(np.int64)], "counts": [counts[common].astype(np.int64)],
+                    }
+                )
 
     return map_frames(rows, profile, "doc_id long, n long, h1 long, h2 long, tokens array<long>, counts array<long>")
 
 
+def _frequent(profile: DataFrame) -> np.ndarray:
+    """The tokens that come last, sorted: of those counted in batches the most
+    frequent, down to the count that leaves at most ``FREQUENT``."""
+    counts = written(
+        profile.where("tokens is not null")
+        .select(F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
+        .groupBy(F.col("t.tokens").alias("token"))
+        .agg(F.sum("t.counts").alias("docs")),
+        "token-counts",
+    )
+    level = F.floor(F.log2(F.col("docs").cast("double")) * 8).cast("int")
+    least = total = 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect():  # at most 8 * 64 levels
+        total += r["count"]
+        if total > FREQUENT:
+            least = r["level"] + 1
+            break
+    kept = counts.where(level >= least).select("token").toPandas()["token"].to_numpy(dtype=np.int64)
+    release(counts)
+    return np.sort(kept.view(np.uint64))
+
+
 def _prefixes(rows: DataFrame, k: int, percent: int, frequent) -> DataFrame:
     """``doc_id, n, p0, p1, ...``: prefix tokens under each order, by their places;
     those of the further orders, which only filter, as their low 32 bits."""
 
-    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, maybe = frequent.value, sieve(frequent.value)
-        for f in frames:
-            for at in range(0, len(f), 1000):
-                g = f.iloc[at : at + 1000]
-                sets = [shingles(t, k) for t in g["text"]]
-                out = pd.DataFrame({"doc_id": g["doc_id"].to_numpy(), "n": [len(s) for s in sets]})
-                out["p0"] = [prefix(s, 0, percent, common, maybe).view(np.int64) for s in sets]
-                for o in range(1, ORDERS):
-                    out[f"p{o}"] = [prefix(s, o, percent, common, maybe).astype(np.uint32).view(np.int32) for s in sets]
-                yield out
+        for g in _slices(frames):
+            flat, sizes = shingle_sets(g["text"].tolist(), k)
+            last = are_frequent(flat, common, maybe)
+            out = pd.DataFrame({"doc_id": g["doc_id"].to_numpy(), "n": sizes})
+            out["p0"] = [p.view(np.int64) for p in prefixes(flat, sizes, 0, percent, last)]
+            for o in range(1, ORDERS):
+                out[f"p{o}"] = [p.astype(np.uint32).view(np.int32) for p in prefixes(flat, sizes, o, percent, last)]
+            yield out
 
-    return rows.mapInPandas(prefixes, "doc_id long, n long, p0 array<long>, " + ", ".join(f"p{o} array<int>" for o in range(1, ORDERS)))
+    return rows.mapInPandas(run, "doc_id long, n long, p0 array<long>, " + ", ".join(f"p{o} array<int>" for o in range(1, ORDERS)))
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
     """``node, tokens``: whole shingle sets."""
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), 500):
-                g = f.iloc[at : at + 500]
-                yield pd.DataFrame({"node": g["doc_id"].to_numpy(), "tokens": [shingles(t, k).view(np.int64) for t in g["text"]]})
+        for g in _slices(frames):
+            flat, sizes = shingle_sets(g["text"].tolist(), k)
+            yield pd.DataFrame({"node": g["doc_id"].to_numpy(), "tokens": _split(flat.view(np.int64), sizes)})
 
     return rows.mapInPandas(sets, "node long, tokens array<long>")
 
@@ -199,6 +333,7 @@ class _Join:
 
     def __init__(self, rows: DataFrame, table: DataFrame, k: int, percent: int):
         self.rows, self.table, self.k, self.percent = rows, table, k, percent
+        self.tables: list[DataFrame] = []  # written for the steps
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
         """Pairs ``a, b`` that share prefix tokens under all further orders."""
@@ -220,11 +355,16 @@ class _Join:
             .withColumn("inter", F.size(F.array_intersect("a_tokens", "b_tokens")))
             .withColumn("total", F.size("a_tokens") + F.size("b_tokens") - F.col("inter"))
         )
-        return written(sized.select(*pairs.columns, "inter", "total"), f"{name}-compared")
+        found = written(sized.select(*pairs.columns, "inter", "total"), f"{name}-compared")
+        release(need, sets)
+        self.tables.append(found)
+        return found
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs ``a, b`` that link, with ``inter`` and ``total``."""
-        found = self.compared(written(self.filtered(pairs), f"{name}-pairs"), name)
+        near = written(self.filtered(pairs), f"{name}-pairs")
+        found = self.compared(near, name)
+        release(near)
         return found.where(F.lit(100) * F.col("inter") >= F.lit(self.percent) * F.col("total"))
 
 
@@ -241,19 +381,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     rows = id_and_text(docs, id_col, text_col)
     profile = written(_profile(rows, k), "profile")
     known = profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    top = (
-        profile.where("tokens is not null")
-        .select(F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
-        .groupBy(F.col("t.tokens").alias("token"))
-        .agg(F.sum("t.counts").alias("docs"))
-        .orderBy(F.col("docs").desc(), "token")
-        .limit(FREQUENT)
-        .toPandas()
+    frequent = spark.sparkContext.broadcast(_frequent(profile))
+
+    # a class that holds a large share of the rows is looked up without a shuffle
+    classes = written(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    share = max(1.0, (classes.agg(F.sum("copies")).first()[0] or 0) / (4.0 * shuffle_width(spark)))
+    hot = classes.where(F.col("copies") > share).select("h1", "h2", F.col("rep").alias("hot"))  # at most 4 rows per shuffle partition
+    looked = known.select("doc_id", "h1", "h2").join(F.broadcast(hot), ["h1", "h2"], "left")
+    cold = classes.where((F.col("copies") > 1) & (F.col("copies") <= share)).select("h1", "h2", "rep")
+    alone = classes.where((F.col("copies") == 1) & (F.col("copies") <= share)).select(F.col("rep").alias("doc_id"), "rep")
+    member = written(
+        looked.where("hot is not null").select("doc_id", F.col("hot").alias("rep"))
+        .unionByName(looked.where("hot is null").join(cold, ["h1", "h2"]).select("doc_id", "rep"))
+        .unionByName(alone),
+        "members",
     )
-    frequent = spark.sparkContext.broadcast(np.sort(top["token"].to_numpy(dtype=np.int64).view(np.uint64)))
-
-    classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = written(known.join(classes, ["h1", "h2"]).select("doc_id", "rep"), "members")
     reps = written(classes.select(F.col("rep").alias("doc_id")).distinct(), "representatives")
     table = written(_prefixes(rows.where("doc_id is not null"), k, percent, frequent).join(reps, "doc_id", "left_semi").where("n > 0"), "prefixes")
     join = _Join(rows, table, k, percent)
@@ -346,6 +488,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     )
     across = join.links(pairs, "across")
     final = components(star_links.unionByName(single).unionByName(across).select("a", "b"))
+    release(table, shared, meet, classes, reps, inside, rest, members, *join.tables)
 
     of = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "rep")).alias("component")
