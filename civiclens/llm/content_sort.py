@@ -91,7 +91,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         best("head").alias("whole_head"),
         F.sum("run_size").alias("whole_size"),
         # the one slice whose head stays (ids repeated over slices meet in one slice)
-        F.min(F.struct(F.col("head").isNull(), F.lit(0) - F.col("head") if keep == "max" else F.col("head"), "slice"))
+        F.min(F.struct(F.col("head").isNull(), F.bitwise_not("head") if keep == "max" else F.col("head"), "slice"))
         .getField("slice")
         .alias("whole_slice"),
     ).drop("head_text")
@@ -105,11 +105,31 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.  Ids are taken to be
-    unique; rows repeated with one id count as copies of it when their texts are
-    equal, and one of them stays."""
-    verdict = exact_duplicates(docs, id_col, text_col, keep).where("kept")
-    keys = verdict.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    tagged = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    kept = tagged.join(keys, tagged[id_col].cast("long").eqNullSafe(keys["__id"]) & (tagged["__sha"] == keys["__sha"]), "left_semi")
-    return kept.drop("__sha")
+    """The rows of ``docs`` that stay, with all their columns: one row of each group of
+    identical texts, that with the largest (``max``) or smallest id.  NULL text counts
+    as empty, a NULL id loses to any other; rows repeated with the same id are copies.
+
+    The same sort as above with the rows' columns carried along, so texts are
+    shuffled once.  Of hot texts, the slice that holds the row that stays is found
+    first: their rows are counted by (text, slice) on the map side.
+    """
+    spark = docs.sparkSession
+    width = shuffle_width(spark)
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), columns)
+    hot = written(hot_texts(rows.select("text"), width), "hot-texts")
+    order = F.struct(F.col("doc_id").isNull(), F.bitwise_not("doc_id") if keep == "max" else F.col("doc_id"))
+    keyed = (
+        rows.withColumn("content_hash", F.xxhash64("text"))
+        .join(F.broadcast(hot), "content_hash", "left")  # at most 4 rows per shuffle partition
+        .withColumn("slice", F.coalesce(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("slice")), F.col("slices")), F.lit(-1)).cast("int"))
+        .withColumn("start", F.substring("text", 1, SPLITTER_CHARS))
+    )
+    heads = keyed.where("slice >= 0").groupBy("content_hash", "text", "slice").agg(F.min(order).alias("head"))
+    stays = heads.groupBy("content_hash", "text").agg(F.min(F.struct("head", "slice")).getField("slice").alias("stays"))
+    stays = written(stays.select(F.col("content_hash").alias("h"), F.col("text").alias("t"), "stays"), "hot-heads")
+    run = Window.partitionBy("start", "content_hash", "slice", "text").orderBy(F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_last())
+    first = keyed.repartitionByRange(width, "start", "content_hash", "slice").withColumn("place", F.row_number().over(run)).where("place = 1")
+    calm = first.where("slice < 0").select("__row.*")
+    held = first.where("slice >= 0").join(F.broadcast(stays), (F.col("content_hash") == F.col("h")) & (F.col("text") == F.col("t")) & (F.col("slice") == F.col("stays")), "left_semi")
+    return calm.unionByName(held.select("__row.*"))
