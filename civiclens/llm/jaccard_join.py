@@ -72,7 +72,8 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
 
 # The words of many texts are hashed at once: a polynomial of the bytes' random values,
 # taken from running sums over the whole piece.  A-Z have the values of a-z.
-_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.int64).view(np.uint64)
+EXACT = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.int64).view(np.uint64)
+_VALUES = EXACT.copy()
 _VALUES[65:91] = _VALUES[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -89,14 +90,14 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(raw: bytes, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of some bytes, and where they begin."""
     b = np.frombuffer(raw, dtype=np.uint8)
     word = np.concatenate([[False], ~_SPACE[b], [False]])
     edge = np.flatnonzero(word[1:] != word[:-1])
     begin, end = edge[::2], edge[1::2]
     up, down = _power(len(b) + 1)
-    sums = np.concatenate([[_U(0)], np.cumsum(_VALUES[b] * up[: len(b)])])
+    sums = np.concatenate([[_U(0)], np.cumsum(values[b] * up[: len(b)])])
     return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64), 5), begin
 
 
@@ -112,16 +113,17 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], values: np.ndarray = _VALUES) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all texts' words one after the other, and each text's number of
-    words.  Words end at space, tab and line ends; A-Z count as a-z."""
+    words.  Words end at space, tab and line ends; A-Z count as a-z, unless ``values``
+    is ``EXACT``."""
     raws = [t.encode("utf-8", "surrogatepass") for t in texts]
     out, counts = [], np.zeros(len(raws), dtype=np.int64)
     at = 0
     while at < len(raws):
         if len(raws[at]) > PIECE:
             for part in _pieces(raws[at]):
-                out.append(_hashed(part)[0])
+                out.append(_hashed(part, values)[0])
                 counts[at] += len(out[-1])
             at += 1
             continue
@@ -129,7 +131,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         while to < len(raws) and size + len(raws[to]) <= PIECE:
             size += len(raws[to]) + 1
             to += 1
-        h, begin = _hashed(b"\n".join(raws[at:to]))
+        h, begin = _hashed(b"\n".join(raws[at:to]), values)
         edges = np.cumsum([len(r) + 1 for r in raws[at:to]])
         counts[at:to] = np.diff(np.concatenate([[0], np.searchsorted(begin, edges)]))
         out.append(h)

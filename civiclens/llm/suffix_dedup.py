@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiclens.functions.frames import map_frames
-from civiclens.llm.common import id_and_text, shuffle_width, written
-from civiclens.llm.jaccard_join import _WORDS, mixed
+from civiclens.llm.common import id_and_text, release, shuffle_width, written
+from civiclens.llm.jaccard_join import EXACT, mixed, word_hashes
 
 WIDTH = 13
 GRAM = 7
@@ -43,6 +43,7 @@ CHUNK_BYTES = 1 << 16
 IDS = 1 << 24  # bits of the bitmaps of document ids
 SPAN_WORDS = 500_000  # words streamed through one copy of a shard
 SLICE = 1500  # documents whose hashes a task holds at once
+SLICE_CHARS = 1 << 23
 _U = np.uint64
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,12 +64,6 @@ def _grams(h: np.ndarray, n: int, seed: int) -> np.ndarray:
     return mixed(out, seed + 1)
 
 
-def _hashes(text: str, width: int) -> np.ndarray | None:
-    """The words' hashes; None for texts without a window."""
-    words = words_of(text)
-    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words)) if len(words) >= width else None
-
-
 def anchors(h: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
     """Each window's anchor, by the place where the window starts."""
     gram = min(gram, width)
@@ -79,6 +74,20 @@ def anchors(h: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
     return out
 
 
+def _windows(texts: list[str], width: int) -> tuple[np.ndarray, ...]:
+    """Of all windows of the texts: the anchor, the window's own hash, the text's
+    number and the place in it.  Windows across two texts are no windows."""
+    h, counts = word_hashes(texts, EXACT)
+    if len(h) < width:
+        none = np.zeros(0, dtype=np.int64)
+        return none.view(np.uint64), none.view(np.uint64), none, none
+    n = np.maximum(counts - width + 1, 0)
+    doc = np.repeat(np.arange(len(texts)), n)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.cumsum(counts) - counts, n) + place
+    return anchors(h, width)[at], _grams(h, width, 17)[at], doc, place
+
+
 class Automaton:
     """Suffix automaton of word sequences; each state knows the smallest document
     that holds its words."""
@@ -185,21 +194,23 @@ def _shared_bits(rows: DataFrame, width: int) -> np.ndarray:
     def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         once, twice = np.zeros(BITS // 8, dtype=np.uint8), np.zeros(BITS // 8, dtype=np.uint8)
         for f in _slices(frames):
-            hashes = [h for h in (_hashes(t, width) for t in f["text"]) if h is not None]
-            found = [np.unique(anchors(h, width) % _U(BITS)) for h in hashes]
-            if found:
-                bits, docs = np.unique(np.concatenate(found).astype(np.int64), return_counts=True)
+            anchor, _, doc, _ = _windows(f["text"].tolist(), width)
+            key = np.unique((anchor % _U(BITS)).astype(np.int64) << 20 | doc)  # a bit counts once in a document
+            if len(key):
+                bits, docs = np.unique(key >> 20, return_counts=True)
                 before = (once[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
                 _put(once, bits)
                 _put(twice, bits[before | (docs > 1)])
-        at = np.flatnonzero(once)
-        cuts = np.searchsorted(at, np.arange(0, BITS // 8 + 1, CHUNK_BYTES))
         part = TaskContext.get().partitionId() % 64
-        out = [
-            (c, part, (at[a:b] % CHUNK_BYTES).astype(np.uint16).tobytes(), once[at[a:b]].tobytes(), twice[at[a:b]].tobytes())
-            for c, (a, b) in enumerate(zip(cuts, cuts[1:]))
-            if a < b
-        ]
+        out = []
+        for c, begin in enumerate(range(0, BITS // 8, CHUNK_BYTES)):
+            o = once[begin : begin + CHUNK_BYTES]
+            at = np.flatnonzero(o)
+            if len(at):
+                out.append((c, part, at.astype(np.uint16).tobytes(), o[at].tobytes(), twice[begin : begin + CHUNK_BYTES][at].tobytes()))
+            if len(out) == 64:  # few chunks are held a second time
+                yield pd.DataFrame(out, columns=["chunk", "part", "at", "once", "twice"])
+                out = []
         yield pd.DataFrame(out, columns=["chunk", "part", "at", "once", "twice"])
 
     def merge(f: pd.DataFrame, last: bool = False) -> pd.DataFrame:
@@ -231,9 +242,12 @@ def _in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of at most ``SLICE`` documents and about ``SLICE_CHARS`` characters."""
     for f in frames:
-        for at in range(0, len(f), SLICE):
-            yield f.iloc[at : at + SLICE]
+        if len(f):
+            slot = np.maximum(np.arange(len(f)) // SLICE, 0) + np.cumsum(f["text"].str.len().to_numpy(dtype=np.int64)) // SLICE_CHARS
+            for i in np.unique(slot):
+                yield f[slot == i]
 
 
 def _by_owner(w: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,17 +271,11 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         repeats of it; one row of each other window goes on to the other batches."""
         bits = bitmap.value
         for f in _slices(frames):
-            hashes, docs, places = [], [], []
-            for doc, text in zip(f["doc_id"].tolist(), f["text"]):
-                h = _hashes(text, width)
-                if h is not None:
-                    at = np.flatnonzero(_in_bitmap(bits, anchors(h, width)))
-                    hashes.append(_grams(h, width, 17)[at])
-                    docs.append(np.full(len(at), doc, dtype=np.int64))
-                    places.append(at)
-            if not sum(map(len, hashes)):
+            anchor, w, doc, place = _windows(f["text"].tolist(), width)
+            at = np.flatnonzero(_in_bitmap(bits, anchor))
+            if not len(at):
                 continue
-            w, doc, place = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
+            w, doc, place = w[at], f["doc_id"].to_numpy(dtype=np.int64)[doc[at]], place[at]
             order, first = _by_owner(w, doc)
             w, doc, place = w[order].view(np.int64), doc[order], place[order]
             own = doc[first] == doc  # rows of the batch's smallest document
@@ -304,6 +312,8 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         "runs",
     )
 
+    release(found)
+
     # the words of spans and of reference passages
     shards = 4 * shuffle_width(spark)
     shard = F.pmod(F.xxhash64("first_doc"), F.lit(shards)).cast("int").alias("shard")
