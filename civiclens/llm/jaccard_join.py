@@ -42,7 +42,7 @@ STARS = 4  # first members that a document is compared with before components ar
 FREQUENT = 1 << 20  # tokens that all orders put last, at most
 IN_BATCH = 3  # documents of a batch that hold a token from which on it is counted
 SIEVE = 1 << 24
-PIECE = 1 << 22  # bytes of text that are hashed at a time
+PIECE = 1 << 20  # bytes of text that are hashed at a time
 CACHE_WORDS = 400_000
 _U = np.uint64
 

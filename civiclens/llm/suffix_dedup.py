@@ -43,7 +43,7 @@ CHUNK_BYTES = 1 << 16
 IDS = 1 << 24  # bits of the bitmaps of document ids
 SPAN_WORDS = 500_000  # words streamed through one copy of a shard
 SLICE = 1500  # documents whose hashes a task holds at once
-SLICE_CHARS = 1 << 23
+SLICE_CHARS = 1 << 21
 _U = np.uint64
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
