@@ -34,6 +34,7 @@ CACHED_CHUNK = 64
 CACHE_ENTRIES = 800_000
 
 _SPACED_SPACE = re.compile(r"\s ")
+_SPACE_AT_END = re.compile(r"\s(?: |\Z)")
 _SPLIT_AT_SPACE = re.compile(r"(?<=\S) ")
 #: white space of str.split() that is none for the tokenizers' patterns
 _EXTRA_SPACE = re.compile("[\x1c-\x1f]")
@@ -101,9 +102,10 @@ class Encoder:
             self.strings = {i: t for t, i in vocab.items()}
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        if self.spaced is not None and len(texts) > 1 and all(t.count(" ") == 1 and t[0] == " " and not t[-1].isspace() for t in texts):
+        joined = "".join(texts) if self.spaced is not None and len(texts) > 1 else ""
+        if joined and joined.count(" ") == len(texts) and all([t[:1] == " " for t in texts]) and not _SPACE_AT_END.search(joined):
             # one call for all: each chunk's first token, and no other, begins with the space
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
             starts = np.flatnonzero(self.spaced[ids])
             if len(starts) == len(texts) and starts[0] == 0:
                 at, packed = (4 * starts).tolist() + [4 * len(ids)], ids.tobytes()

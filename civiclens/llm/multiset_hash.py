@@ -25,7 +25,7 @@ from civiclens.llm.common import shuffle_width
 from civiclens.llm.jaccard_join import _WORDS, mixed
 
 LANES = 128
-SAMPLED, BLOCKS = 100, 4  # rows sampled and blocks cut for each shuffle partition
+SAMPLED, BLOCKS = 16, 4  # rows sampled and blocks cut for each shuffle partition
 _U = np.uint64
 
 
