@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -282,9 +283,14 @@ def _frequent(profile: DataFrame) -> np.ndarray:
         if total > FREQUENT:
             least = r["level"] + 1
             break
-    kept = counts.where(level >= least).select("token").toPandas()["token"].to_numpy(dtype=np.int64)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary())], names=["tokens"])
+
+    kept = counts.where(level >= least).select("token").mapInArrow(packed, "tokens binary").collect()  # at most 8 bytes x FREQUENT, few rows
     release(counts)
-    return np.sort(kept.view(np.uint64))
+    return np.sort(np.frombuffer(b"".join(bytes(r["tokens"]) for r in kept), dtype=np.uint64))
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, frequent) -> DataFrame:
