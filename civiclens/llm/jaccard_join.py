@@ -250,16 +250,17 @@ def _profile(rows: DataFrame, k: int) -> DataFrame:
                         "tokens": None, "counts": None,
                     }
                 )
-            tokens = np.sort(np.concatenate(held))
-            new = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, dtype=np.int64)
-            counts = np.diff(np.append(new, len(tokens)))
-            common = np.flatnonzero(counts >= IN_BATCH)
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens.sort()  # in place: a batch's tokens are held once
+            common = np.unique(tokens[IN_BATCH - 1 :][tokens[IN_BATCH - 1 :] == tokens[: len(tokens) - IN_BATCH + 1]]) if len(tokens) >= IN_BATCH else tokens[:0]
             if len(common):
+                counts = np.searchsorted(tokens, common, side="right") - np.searchsorted(tokens, common)
                 one = pd.array([None], dtype="Int64")
                 yield pd.DataFrame(
                     {
                         "doc_id": one, "n": pd.array([-1], dtype="Int64"), "h1": one, "h2": one,
-                        "tokens": [tokens[new[common]].view(np.int64)], "counts": [counts[common].astype(np.int64)],
+                        "tokens": [common.view(np.int64)], "counts": [counts.astype(np.int64)],
                     }
                 )
 
