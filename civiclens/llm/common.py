@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from civiclens.session import ensure_checkpoint_dir, ship_package
 
+ROW_GROUP_BYTES = 16 << 20  # of intermediate tables: a writing task holds one row group
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -48,7 +49,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     it cuts the lineage and outlives a lost executor."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table

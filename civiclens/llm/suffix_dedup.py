@@ -9,14 +9,18 @@ window, whether and in which smallest document it occurs.
 
 Only the shards that can match are sent to a span, not all to all:
 
-1. Every window holds an anchor, its minimal ``GRAM``-word hash.  Tasks note in
+1. Every window holds an anchor, its minimal ``GRAM``-word hash; neighbouring windows
+   with one anchor are a run of at most ``width - GRAM + 1`` windows.  Tasks note in
    bitmaps of fixed size which anchors they saw once and which in two documents,
-   the bitmaps are merged, and windows whose anchor is in one document only are
+   the bitmaps are merged, and runs whose anchor is in one document only are
    done with.  (A full bitmap makes more work, not other results.)
-2. The other windows are compared by hash: first within some documents of a task, so that a window
-   in very many documents leaves one row for those, then over all batches.  Each
-   repeat names an earlier document and place.
-3. Runs of repeats are the candidate spans, and the places they name are the
+2. The other runs are compared whole, by the hash of all their words: first within some
+   documents of a task, so that a passage in very many documents leaves one row for
+   those, then over all batches.  A run that an earlier document holds is a repeat of
+   it.  Only the first run of its kind sends its windows on, to be compared one by one:
+   they are in the smallest document of any equal run, so no smaller one is missed.
+   Each repeat names an earlier document and place.
+3. Neighbouring repeats are the candidate spans, and the places they name are the
    reference passages.  Both go to the earlier document's shard; a shard with
    many spans is sent to several tasks.
 """
@@ -28,11 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiclens.functions.frames import map_frames
+from civiclens.functions.frames import frame_of, map_frames
 from civiclens.llm.common import id_and_text, release, shuffle_width, written
 from civiclens.llm.jaccard_join import EXACT, mixed, word_hashes
 
@@ -64,28 +69,46 @@ def _grams(h: np.ndarray, n: int, seed: int) -> np.ndarray:
     return mixed(out, seed + 1)
 
 
-def anchors(h: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> np.ndarray:
-    """Each window's anchor, by the place where the window starts."""
+def anchors(h: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Each window's anchor and the place of the (first) anchor, by the place where
+    the window starts."""
     gram = min(gram, width)
     g = _grams(h, gram, 11)
-    out, m = g[: len(h) - width + 1].copy(), len(h) - width + 1
+    m = len(h) - width + 1
+    out, at = g[:m].copy(), np.arange(m)
     for i in range(1, width - gram + 1):
-        np.minimum(out, g[i : i + m], out=out)
-    return out
-
-
-def _windows(texts: list[str], width: int) -> tuple[np.ndarray, ...]:
-    """Of all windows of the texts: the anchor, the window's own hash, the text's
-    number and the place in it.  Windows across two texts are no windows."""
+        x = g[i : i + m]
+        less = np.flatnonzero(x < out)
+        out[less] = x[less]
+        at[less] = less + i
+    return out, at
+
+
+def _runs(texts: list[str], width: int) -> tuple[np.ndarray, ...]:
+    """Runs of neighbouring windows of a text that have one anchor.  Of each run: the
+    anchor, the text's number, the first window's place in it and the number of
+    windows; and of all windows, run after run, the windows' own hashes.  Windows
+    across two texts are no windows."""
     h, counts = word_hashes(texts, EXACT)
-    if len(h) < width:
-        none = np.zeros(0, dtype=np.int64)
-        return none.view(np.uint64), none.view(np.uint64), none, none
     n = np.maximum(counts - width + 1, 0)
+    if not n.sum():
+        none = np.zeros(0, dtype=np.int64)
+        return none.view(np.uint64), none, none, none, none.view(np.uint64)
     doc = np.repeat(np.arange(len(texts)), n)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(np.cumsum(counts) - counts, n) + place
-    return anchors(h, width)[at], _grams(h, width, 17)[at], doc, place
+    value, where = anchors(h, width)
+    where = where[at]
+    begin = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])]))
+    length = np.diff(np.concatenate([begin, [len(doc)]]))
+    return value[at[begin]], doc[begin], place[begin], length, _grams(h, width, 17)[at]
+
+
+def _whole(windows: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each run from the hashes of its windows, in their order."""
+    begin = np.cumsum(length) - length
+    within = (np.arange(len(windows)) - np.repeat(begin, length)).astype(np.uint64)
+    return mixed(np.add.reduceat(mixed(windows ^ (within * _FACTOR), 23), begin) + length.astype(np.uint64), 24)
 
 
 class Automaton:
@@ -194,7 +217,7 @@ def _shared_bits(rows: DataFrame, width: int) -> np.ndarray:
     def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         once, twice = np.zeros(BITS // 8, dtype=np.uint8), np.zeros(BITS // 8, dtype=np.uint8)
         for f in _slices(frames):
-            anchor, _, doc, _ = _windows(f["text"].tolist(), width)
+            anchor, doc, _, _, _ = _runs(f["text"].tolist(), width)
             key = np.unique((anchor % _U(BITS)).astype(np.int64) << 20 | doc)  # a bit counts once in a document
             if len(key):
                 bits, docs = np.unique(key >> 20, return_counts=True)
@@ -266,53 +289,76 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
 
     bitmap = spark.sparkContext.broadcast(_shared_bits(known, width))
 
-    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Candidate windows.  Those that a smaller document of the batch holds are
-        repeats of it; one row of each other window goes on to the other batches."""
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidate runs.  Those that a smaller document of the batch holds are
+        repeats of it; each other run goes on to the other batches with its windows."""
         bits = bitmap.value
-        for f in _slices(frames):
-            anchor, w, doc, place = _windows(f["text"].tolist(), width)
-            at = np.flatnonzero(_in_bitmap(bits, anchor))
-            if not len(at):
+        for f in _slices(frame_of(b) for b in batches if b.num_rows):
+            anchor, doc, place, n, w = _runs(f["text"].tolist(), width)
+            hit = _in_bitmap(bits, anchor)
+            if not hit.any():
                 continue
-            w, doc, place = w[at], f["doc_id"].to_numpy(dtype=np.int64)[doc[at]], place[at]
-            order, first = _by_owner(w, doc)
-            w, doc, place = w[order].view(np.int64), doc[order], place[order]
+            w, doc, place, n = w[np.repeat(hit, n)].copy(), f["doc_id"].to_numpy(dtype=np.int64)[doc[hit]], place[hit], n[hit]
+            whole, begin = _whole(w, n), np.cumsum(n) - n
+            order, first = _by_owner(whole, doc)
+            whole, doc, place, n, begin = whole[order], doc[order], place[order], n[order], begin[order]
             own = doc[first] == doc  # rows of the batch's smallest document
-            yield pd.DataFrame(
-                {
-                    "hash": np.where(own, w, 0),
-                    "doc_id": doc,
-                    "place": place.astype(np.int32),
-                    "first_doc": pd.array(np.where(own, 0, doc[first]), dtype="Int64").astype("Int64"),
-                    "first_place": place[first].astype(np.int32),
-                    "open": own,
-                }
+            sent = np.where(own, n, 0)
+            to = np.cumsum(sent)
+            hashes = w[np.repeat(begin - (to - sent), sent) + np.arange(to[-1])].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.where(own, whole.view(np.int64), 0)),
+                    pa.array(doc),
+                    pa.array(place.astype(np.int32)),
+                    pa.array(n.astype(np.int32)),
+                    pa.array(np.where(own, 0, doc[first])),
+                    pa.array(place[first].astype(np.int32)),
+                    pa.array(own),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], to]).astype(np.int32)), pa.array(hashes)),
+                ],
+                names=["whole", "doc_id", "place", "n", "first_doc", "first_place", "open", "windows"],
             )
 
-    found = written(known.mapInPandas(windows, "hash long, doc_id long, place int, first_doc long, first_place int, open boolean"), "windows")
-    same = Window.partitionBy("hash").orderBy("doc_id", "place")
-    across = (
-        found.where("open")
-        .select("hash", "doc_id", "place", F.first(F.struct("doc_id", "place")).over(same).alias("first"))
-        .where("first.doc_id < doc_id")
-        .select("doc_id", "place", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place"))
+    found = written(
+        known.mapInArrow(
+            windows, "whole long, doc_id long, place int, n int, first_doc long, first_place int, open boolean, windows array<long>"
+        ),
+        "runs-of-windows",
+    )
+
+    def earlier(rows: DataFrame, key: str) -> DataFrame:
+        """``rows`` with the place of the smallest document that has the same key."""
+        same = Window.partitionBy(key).orderBy("doc_id", "place")
+        return rows.withColumn("first", F.first(F.struct("doc_id", "place")).over(same)).drop(key)
+
+    repeat = F.col("first.doc_id") < F.col("doc_id")
+    named = [F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place")]
+    compared = written(
+        earlier(found.where("open").select("whole", "doc_id", "place", "n", "windows"), "whole").withColumn("windows", F.when(~repeat, F.col("windows"))),
+        "runs-compared",
+    )
+    each = compared.where("windows is not null").select("doc_id", F.col("place").alias("begin"), F.posexplode("windows").alias("i", "window"))
+    each = each.select("doc_id", (F.col("begin") + F.col("i")).alias("place"), "window")
+    repeats = (
+        found.where("not open")
+        .select("doc_id", "place", "n", "first_doc", "first_place")
+        .unionByName(compared.where("windows is null").select("doc_id", "place", "n", *named))
+        .unionByName(earlier(each, "window").where(repeat).select("doc_id", "place", F.lit(1).alias("n"), *named))
     )
-    within = found.where("not open").select("doc_id", "place", "first_doc", "first_place")
-    # runs of neighbouring repeats that name neighbouring places
+    # spans of neighbouring repeats that name neighbouring places
     line = Window.partitionBy("doc_id", "first_doc", "shift").orderBy("place")
     runs = written(
-        within.unionByName(across)
-        .withColumn("shift", F.col("first_place") - F.col("place"))
-        .withColumn("new", F.coalesce((F.col("place") - F.lag("place").over(line) > 1).cast("int"), F.lit(1)))
+        repeats.withColumn("shift", F.col("first_place") - F.col("place"))
+        .withColumn("new", F.coalesce((F.col("place") > F.lag(F.col("place") + F.col("n")).over(line)).cast("int"), F.lit(1)))
         .withColumn("run", F.sum("new").over(line))
         .groupBy("doc_id", "first_doc", "shift", "run")
-        .agg(F.min("place").alias("start"), (F.max("place") + F.lit(width)).alias("end"))
+        .agg(F.min("place").alias("start"), (F.max(F.col("place") + F.col("n")) + F.lit(width - 1)).alias("end"))
         .select("doc_id", "first_doc", "start", "end", (F.col("start") + F.col("shift")).alias("first_start"), (F.col("end") + F.col("shift")).alias("first_end")),
         "runs",
     )
 
-    release(found)
+    release(found, compared)
 
     # the words of spans and of reference passages
     shards = 4 * shuffle_width(spark)
