@@ -180,6 +180,41 @@ ORACLE = {
         FROM documents
         WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS shingle
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, least(len(words), 1)) + 1)) AS i FROM d)
+        ), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        link AS MATERIALIZED (
+            SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+            JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)
+        ), reach(doc_id, met) AS (
+            SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.met
+        )
+        SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+        FROM (SELECT doc_id, min(met) AS component_id FROM reach GROUP BY doc_id) c LEFT JOIN n USING (doc_id)
+    """,
+    "op10_suffix_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), w AS MATERIALIZED (
+            SELECT doc_id, i, hash(array_to_string(words[i:i + 12], ' ')) AS h, sha256(array_to_string(words[i:i + 12], ' ')) AS v
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d)
+        ), gone AS (
+            SELECT DISTINCT doc_id, i + unnest(range(13)) AS i
+            FROM w JOIN (SELECT h, v, min(doc_id) AS first FROM w GROUP BY h, v) USING (h, v) WHERE first < doc_id
+        ), word AS (
+            SELECT doc_id, i, words[i] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d)
+        ), cut AS (
+            SELECT doc_id, count(*) AS n_words, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (g.i IS NULL) AS kept
+            FROM word LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)
+    """,
     "op12_ranked_search": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
