@@ -17,9 +17,11 @@ Only the shards that can match are sent to a span, not all to all:
 2. The other runs are compared whole, by the hash of all their words: first within some
    documents of a task, so that a passage in very many documents leaves one row for
    those, then over all batches.  A run that an earlier document holds is a repeat of
-   it.  Only the first run of its kind sends its windows on, to be compared one by one:
-   they are in the smallest document of any equal run, so no smaller one is missed.
-   Each repeat names an earlier document and place.
+   it.  Equal windows have equal anchors, so where all runs of an anchor are equal that
+   is all; a bitmap notes the anchors whose runs differ, and the windows of such runs
+   are compared one by one, in the same two steps.  (The first of some equal runs
+   stands for the others: it lies in the smallest document.)  Each repeat names an
+   earlier document and place.
 3. Neighbouring repeats are the candidate spans, and the places they name are the
    reference passages.  Both go to the earlier document's shard; a shard with
    many spans is sent to several tasks.
@@ -46,6 +48,7 @@ GRAM = 7
 BITS = 1 << 28
 CHUNK_BYTES = 1 << 16
 IDS = 1 << 24  # bits of the bitmaps of document ids
+DIFFERING = 1 << 25  # bits of the bitmap of anchors whose runs differ
 SPAN_WORDS = 500_000  # words streamed through one copy of a shard
 SLICE = 1500  # documents whose hashes a task holds at once
 SLICE_CHARS = 1 << 21
@@ -188,16 +191,16 @@ class Automaton:
         return out
 
 
-def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of ``IDS`` bits of a column's 64-bit values: at most IDS / 64 rows
+def _bitmap(hashes: DataFrame, column: str, size: int = IDS) -> np.ndarray:
+    """A bitmap of ``size`` bits of a column's 64-bit values: at most size / 64 rows
     reach the driver, whatever the input."""
-    bit = F.pmod(F.col(column), F.lit(IDS))
+    bit = F.pmod(F.col(column), F.lit(size))
     rows = (
         hashes.groupBy(F.shiftright(bit, 6).cast("int").alias("at"))
         .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))")).alias("bits"))
         .toPandas()
     )
-    out = np.zeros(IDS // 64, dtype=np.int64)
+    out = np.zeros(size // 64, dtype=np.int64)
     out[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
     return out.view(np.uint64)
 
@@ -289,67 +292,64 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
 
     bitmap = spark.sparkContext.broadcast(_shared_bits(known, width))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidate runs.  Those that a smaller document of the batch holds are
-        repeats of it; each other run goes on to the other batches with its windows."""
+    def compared(batches: Iterator[pa.RecordBatch], mixed_bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """Candidate runs, or the windows of runs whose anchor is in ``mixed_bits``.
+        Those that a smaller document of the batch holds are repeats of it; each
+        other one goes on to the other batches."""
         bits = bitmap.value
         for f in _slices(frame_of(b) for b in batches if b.num_rows):
             anchor, doc, place, n, w = _runs(f["text"].tolist(), width)
             hit = _in_bitmap(bits, anchor)
+            if mixed_bits is not None:
+                hit &= _in_bitmap(mixed_bits, anchor)
             if not hit.any():
                 continue
-            w, doc, place, n = w[np.repeat(hit, n)].copy(), f["doc_id"].to_numpy(dtype=np.int64)[doc[hit]], place[hit], n[hit]
-            whole, begin = _whole(w, n), np.cumsum(n) - n
-            order, first = _by_owner(whole, doc)
-            whole, doc, place, n, begin = whole[order], doc[order], place[order], n[order], begin[order]
+            w, anchor, doc, place, n = w[np.repeat(hit, n)], anchor[hit], f["doc_id"].to_numpy(dtype=np.int64)[doc[hit]], place[hit], n[hit]
+            key = _whole(w, n)
+            if mixed_bits is not None:  # of equal runs of the batch the first ones only: the others are known as repeats
+                order, first = _by_owner(key, doc)
+                kept = np.zeros(len(key), dtype=bool)
+                kept[order] = doc[order][first] == doc[order]
+                key = w[np.repeat(kept, n)]
+                begin = np.repeat((np.cumsum(n[kept]) - n[kept]) - place[kept], n[kept])
+                place = np.arange(len(key)) - begin
+                anchor, doc, n = np.repeat(anchor[kept], n[kept]), np.repeat(doc[kept], n[kept]), np.ones(len(key), dtype=np.int64)
+            order, first = _by_owner(key, doc)
+            key, anchor, doc, place, n = key[order].view(np.int64), anchor[order].view(np.int64), doc[order], place[order], n[order]
             own = doc[first] == doc  # rows of the batch's smallest document
-            sent = np.where(own, n, 0)
-            to = np.cumsum(sent)
-            hashes = w[np.repeat(begin - (to - sent), sent) + np.arange(to[-1])].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.where(own, whole.view(np.int64), 0)),
-                    pa.array(doc),
-                    pa.array(place.astype(np.int32)),
-                    pa.array(n.astype(np.int32)),
-                    pa.array(np.where(own, 0, doc[first])),
-                    pa.array(place[first].astype(np.int32)),
-                    pa.array(own),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], to]).astype(np.int32)), pa.array(hashes)),
-                ],
-                names=["whole", "doc_id", "place", "n", "first_doc", "first_place", "open", "windows"],
-            )
-
-    found = written(
-        known.mapInArrow(
-            windows, "whole long, doc_id long, place int, n int, first_doc long, first_place int, open boolean, windows array<long>"
-        ),
-        "runs-of-windows",
-    )
-
-    def earlier(rows: DataFrame, key: str) -> DataFrame:
-        """``rows`` with the place of the smallest document that has the same key."""
-        same = Window.partitionBy(key).orderBy("doc_id", "place")
-        return rows.withColumn("first", F.first(F.struct("doc_id", "place")).over(same)).drop(key)
+            columns = [np.where(own, key, 0), np.where(own, anchor, 0), doc, place.astype(np.int32), n.astype(np.int32)]
+            columns += [np.where(own, 0, doc[first]), place[first].astype(np.int32), own]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    names = ["key", "anchor", "doc_id", "place", "n", "first_doc", "first_place", "open"]
+    schema = "key long, anchor long, doc_id long, place int, n int, first_doc long, first_place int, open boolean"
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return compared(batches, None)
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return compared(batches, differing.value)
+
+    def repeats(found: DataFrame) -> DataFrame:
+        """What an earlier document holds too, with that document and place."""
+        same = Window.partitionBy("key").orderBy("doc_id", "place")
+        across = (
+            found.where("open")
+            .select("key", "doc_id", "place", "n", F.first(F.struct("doc_id", "place")).over(same).alias("first"))
+            .where("first.doc_id < doc_id")
+            .select("doc_id", "place", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place"))
+        )
+        return found.where("not open").select("doc_id", "place", "n", "first_doc", "first_place").unionByName(across)
+
+    wholes = written(known.mapInArrow(whole, schema), "runs-of-windows")
+    differ = wholes.where("open").groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    differing = spark.sparkContext.broadcast(_bitmap(differ, "anchor", DIFFERING))
+    singles = written(known.mapInArrow(single, schema), "windows")
 
-    repeat = F.col("first.doc_id") < F.col("doc_id")
-    named = [F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place")]
-    compared = written(
-        earlier(found.where("open").select("whole", "doc_id", "place", "n", "windows"), "whole").withColumn("windows", F.when(~repeat, F.col("windows"))),
-        "runs-compared",
-    )
-    each = compared.where("windows is not null").select("doc_id", F.col("place").alias("begin"), F.posexplode("windows").alias("i", "window"))
-    each = each.select("doc_id", (F.col("begin") + F.col("i")).alias("place"), "window")
-    repeats = (
-        found.where("not open")
-        .select("doc_id", "place", "n", "first_doc", "first_place")
-        .unionByName(compared.where("windows is null").select("doc_id", "place", "n", *named))
-        .unionByName(earlier(each, "window").where(repeat).select("doc_id", "place", F.lit(1).alias("n"), *named))
-    )
     # spans of neighbouring repeats that name neighbouring places
     line = Window.partitionBy("doc_id", "first_doc", "shift").orderBy("place")
     runs = written(
-        repeats.withColumn("shift", F.col("first_place") - F.col("place"))
+        repeats(wholes).unionByName(repeats(singles)).withColumn("shift", F.col("first_place") - F.col("place"))
         .withColumn("new", F.coalesce((F.col("place") > F.lag(F.col("place") + F.col("n")).over(line)).cast("int"), F.lit(1)))
         .withColumn("run", F.sum("new").over(line))
         .groupBy("doc_id", "first_doc", "shift", "run")
@@ -358,7 +358,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         "runs",
     )
 
-    release(found, compared)
+    release(wholes, singles)
 
     # the words of spans and of reference passages
     shards = 4 * shuffle_width(spark)
