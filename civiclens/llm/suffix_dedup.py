@@ -51,7 +51,7 @@ IDS = 1 << 24  # bits of the bitmaps of document ids
 DIFFERING = 1 << 25  # bits of the bitmap of anchors whose runs differ
 SPAN_WORDS = 500_000  # words streamed through one copy of a shard
 SLICE = 1500  # documents whose hashes a task holds at once
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 20
 _U = np.uint64
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -345,6 +345,8 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     differ = wholes.where("open").groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
     differing = spark.sparkContext.broadcast(_bitmap(differ, "anchor", DIFFERING))
     singles = written(known.mapInArrow(single, schema), "windows")
+    bitmap.unpersist()  # no plan still to run reads them
+    differing.unpersist()
 
     # spans of neighbouring repeats that name neighbouring places
     line = Window.partitionBy("doc_id", "first_doc", "shift").orderBy("place")
