@@ -19,7 +19,14 @@ Groups of like documents are never expanded into all pairs:
    components are formed, not of members.  The Jaccard distance is a metric, so
    two components whose pivots are farther apart than their radii and the
    threshold allow have no link; for the rest, the same bound is applied to
-   each member before members are paired.
+   each member before members are paired.  Components that a link between the
+   members nearest to their pivots already joins are not looked at further.
+
+A family of texts that are nearly like enough to link would still make candidates of
+all its pairs.  Each set has a sketch: of every token's hashed place whether the set has
+an odd number of tokens there.  Two sketches differ in no more places than the sets do
+in tokens, so pairs whose sketches differ in too many places have no link; the bound is
+part of the joins that pair members of large groups.
 
 No candidate is dropped otherwise, so the components are exact.
 """
@@ -27,11 +34,12 @@ No candidate is dropped otherwise, so the components are exact.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civiclens.functions.frames import map_frames
@@ -43,6 +51,9 @@ STARS = 4  # first members that a document is compared with before components ar
 FREQUENT = 1 << 20  # tokens that all orders put last, at most
 IN_BATCH = 3  # documents of a batch that hold a token from which on it is counted
 SIEVE = 1 << 24
+SKETCH_WORDS = 16  # 64-bit words of a set's sketch
+GROUP = 16  # documents with a prefix token from which on their sketches are compared
+HUBS = 4  # members nearest to the pivot that stand for their component at first
 PIECE = 1 << 20  # bytes of text that are hashed at a time
 CACHE_WORDS = 400_000
 _U = np.uint64
@@ -219,6 +230,17 @@ def prefixes(flat: np.ndarray, sizes: np.ndarray, order: int, percent: int, last
     return out
 
 
+def sketches(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Each set's sketch, as signed 64-bit integers."""
+    bits, out, ends = 64 * SKETCH_WORDS, [], np.cumsum(sizes)
+    place = (mixed(flat, 7) & _U(bits - 1)).astype(np.int64)
+    for at in range(0, len(sizes), 1024):
+        n, to = sizes[at : at + 1024], int(ends[min(at + 1024, len(sizes)) - 1])
+        odd = np.bincount(np.repeat(np.arange(len(n)) * bits, n) + place[to - int(n.sum()) : to], minlength=len(n) * bits) & 1
+        out += list(np.packbits(odd.astype(bool)).view(np.int64).reshape(len(n), SKETCH_WORDS))
+    return out
+
+
 def prefix(s: np.ndarray, order: int, percent: int, frequent: np.ndarray, maybe: np.ndarray) -> np.ndarray:
     """The prefix tokens of one set."""
     return prefixes(s, np.asarray([len(s)]), order, percent, are_frequent(s, frequent, maybe))[0]
@@ -295,8 +317,8 @@ def _frequent(profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """``doc_id, n, p0, p1, ...``: prefix tokens under each order, by their places;
-    those of the further orders, which only filter, as their low 32 bits."""
+    """``doc_id, n, sketch, p0, p1, ...``: prefix tokens under each order, by their
+    places; those of the further orders, which only filter, as their low 32 bits."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, maybe = frequent.value, sieve(frequent.value)
@@ -304,12 +326,13 @@ def _prefixes(rows: DataFrame, k: int, percent: int, frequent) -> DataFrame:
             flat, sizes = shingle_sets(g["text"].tolist(), k)
             last = are_frequent(flat, common, maybe)
             out = pd.DataFrame({"doc_id": g["doc_id"].to_numpy(), "n": sizes})
+            out["sketch"] = sketches(flat, sizes)
             out["p0"] = [p.view(np.int64) for p in prefixes(flat, sizes, 0, percent, last)]
             for o in range(1, ORDERS):
                 out[f"p{o}"] = [p.astype(np.uint32).view(np.int32) for p in prefixes(flat, sizes, o, percent, last)]
             yield out
 
-    return rows.mapInPandas(run, "doc_id long, n long, p0 array<long>, " + ", ".join(f"p{o} array<int>" for o in range(1, ORDERS)))
+    return rows.mapInPandas(run, "doc_id long, n long, sketch array<long>, p0 array<long>, " + ", ".join(f"p{o} array<int>" for o in range(1, ORDERS)))
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -328,6 +351,24 @@ def _may_link(n1: str, n2: str, percent: int):
     return F.lit(100) * F.least(n1, n2) >= F.lit(percent) * F.greatest(n1, n2)
 
 
+def _differ(one: str, two: str):
+    """The least number of tokens that two sets with these sketches differ in."""
+    words = [F.bit_count(F.get(F.col(one), F.lit(i)).bitwiseXOR(F.get(F.col(two), F.lit(i)))) for i in range(SKETCH_WORDS)]
+    return reduce(Column.__add__, words)
+
+
+def _close(one: str, n1: str, two: str, n2: str, percent: int):
+    """By their sketches, sets of these sizes may link: the union is half of both sizes
+    and the difference."""
+    return F.lit(100 + percent) * _differ(one, two) <= F.lit(100 - percent) * (F.col(n1) + F.col(n2))
+
+
+def _within(one: str, n1: str, two: str, n2: str, away: Column):
+    """By their sketches, two sets may have a Jaccard distance of ``away`` at most."""
+    d = _differ(one, two).cast("double")
+    return F.lit(2.0) * d <= away * (F.col(n1) + F.col(n2) + d)
+
+
 def _room(n1: str, at1: str, n2: str, at2: str, percent: int, least1: str | None = None, least2: str | None = None):
     """From a shared token at these places on, the sets can overlap enough.  It holds
     for the first shared token of any two sets that link.  For groups of sets:
@@ -441,8 +482,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     placed = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "token", "n", "at", F.coalesce("component", "doc_id").alias("component"), F.col("component").isNotNull().alias("many")
     )
-    units = placed.groupBy("token", "component").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("at").alias("at"), F.first("many").alias("many")
+    all_units = written(
+        placed.groupBy("token", "component").agg(
+            F.min("n").alias("least"), F.max("n").alias("most"), F.min("at").alias("at"), F.first("many").alias("many")
+        ),
+        "units",
+    )
+    # single documents of large groups bring their sketches
+    large = all_units.groupBy("token").count().where(F.col("count") > GROUP).select("token", F.lit(True).alias("large"))
+    marked = all_units.join(large, "token", "left").withColumn("looked", F.coalesce("large", F.lit(False)) & ~F.col("many")).drop("large")
+    units = (
+        marked.where("looked").join(table.select(F.col("doc_id").alias("component"), "sketch"), "component").select("token", "component", "least", "most", "at", "many", "sketch")
+        .unionByName(marked.where("not looked").select("token", "component", "least", "most", "at", "many", F.lit(None).cast("array<long>").alias("sketch")))
     )
     left, right = units.alias("l"), units.alias("r")
     meet = written(
@@ -452,6 +503,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
             & (F.lit(100) * F.col("l.most") >= F.lit(percent) * F.col("r.least"))
             & (F.lit(100) * F.col("r.most") >= F.lit(percent) * F.col("l.least"))
             & _room("l.most", "l.at", "r.most", "r.at", percent, "l.least", "r.least")
+            & (F.col("l.sketch").isNull() | F.col("r.sketch").isNull() | _close("l.sketch", "l.most", "r.sketch", "r.most", percent))
         )
         .select(F.col("l.component").alias("a"), F.col("r.component").alias("b"), (F.col("l.many") | F.col("r.many")).alias("many"))
         .distinct(),
@@ -476,28 +528,51 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     members = written(near.unionByName(pivots.select("component", F.col("component").alias("node"), F.lit(0.0).alias("away"))), "members")
     radius = members.groupBy("component").agg(F.max("away").alias("radius"))
     reach = 1.0 - percent / 100.0 + 1e-9
+    sketched = table.select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), "sketch")
+
+    # components whose members nearest to the pivots link are one
+    nearest = Window.partitionBy("component").orderBy("away", "node")
+    hubs = written(
+        members.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= HUBS + 1).join(sketched, "node").drop("place", "away"), "hubs"
+    )
+    side = lambda unit, d: hubs.select(F.col("component").alias(unit), F.col("node").alias(d), F.col("n").alias(f"{d}_n"), F.col("sketch").alias(f"{d}_s"))
+    met = grouped.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_may_link("x_n", "y_n", percent) & _close("x_s", "x_n", "y_s", "y_n", percent))
+    between = written(join.links(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "hubs").select("a", "b"), "hub-links")
+    whole = components(star_links.unionByName(single).select("a", "b").unionByName(between))
+    label = lambda c: whole.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+    apart_yet = written(
+        grouped.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b"), "apart"
+    )
+    pivot = lambda c: sketched.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s"))
     apart = (
-        join.compared(grouped, "pivots")
+        join.compared(apart_yet, "pivots")
         .select("a", "b", away.alias("apart"))
         .join(radius.select(F.col("component").alias("a"), F.col("radius").alias("a_radius")), "a")
         .join(radius.select(F.col("component").alias("b"), F.col("radius").alias("b_radius")), "b")
         .where(F.col("apart") <= F.col("a_radius") + F.col("b_radius") + F.lit(reach))
+        .join(pivot("b"), "b")
     )
-    sizes = table.select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"))
-    sized = members.join(sizes, "node")
-    one = sized.select(F.col("component").alias("a"), F.col("node").alias("x"), F.col("away").alias("x_away"), F.col("n").alias("x_n"))
-    two = sized.select(F.col("component").alias("b"), F.col("node").alias("y"), F.col("away").alias("y_away"), F.col("n").alias("y_n"))
+    sized = members.join(sketched, "node")
+    one = sized.select(F.col("component").alias("a"), F.col("node").alias("x"), F.col("away").alias("x_away"), F.col("n").alias("x_n"), F.col("sketch").alias("x_s"))
+    two = sized.select(F.col("component").alias("b"), F.col("node").alias("y"), F.col("away").alias("y_away"), F.col("n").alias("y_n"), F.col("sketch").alias("y_s"))
     pairs = (
         apart.join(one, "a")
-        .where(F.col("x_away") + F.col("b_radius") + F.lit(reach) >= F.col("apart"))
+        .where(
+            (F.col("x_away") + F.col("b_radius") + F.lit(reach) >= F.col("apart"))
+            & _within("x_s", "x_n", "b_s", "b_n", F.col("b_radius") + F.lit(reach))
+        )
         .join(two, "b")
-        .where((F.col("x_away") + F.col("y_away") + F.lit(reach) >= F.col("apart")) & _may_link("x_n", "y_n", percent))
+        .where(
+            (F.col("x_away") + F.col("y_away") + F.lit(reach) >= F.col("apart"))
+            & _may_link("x_n", "y_n", percent)
+            & _close("x_s", "x_n", "y_s", "y_n", percent)
+        )
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
     across = join.links(pairs, "across")
-    final = components(star_links.unionByName(single).unionByName(across).select("a", "b"))
-    release(table, shared, meet, classes, reps, inside, rest, members, *join.tables)
+    final = components(star_links.unionByName(single).unionByName(across).select("a", "b").unionByName(between))
+    release(table, shared, all_units, meet, classes, reps, inside, rest, members, hubs, between, apart_yet, *join.tables)
 
     of = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "rep")).alias("component")

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from civiclens.llm import jaccard_join as jj
 from civiclens.llm import multiset_hash as mh
 from civiclens.llm.jaccard_join import jaccard_components
 from civiclens.llm.suffix_dedup import Automaton, remove_repeats
@@ -57,6 +58,40 @@ def test_components_edges(edge, none):
     assert jaccard_components(none, 5, 80).count() == 0
 
 
+def test_a_family_of_near_copies_does_not_make_all_pairs(spark, monkeypatch):
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(140)]
+    docs = []
+    for i in range(200):
+        w = list(base)
+        for at in rnd.sample(range(len(w)), rnd.choice([1, 1, 2, 3, 3, 3, 4, 4])):
+            w[at] = f"own{i}x{at}"
+        docs.append((i, " ".join(w)))
+    made = {}
+
+    def counted(df, name, write=jj.written):
+        found = write(df, name)
+        made[name] = found.count()
+        return found
+
+    monkeypatch.setattr(jj, "written", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80).collect()}
+    assert got == brute_components(docs, 5, 80)
+    pairs = {k: n for k, n in made.items() if k == "meetings" or k.endswith("-pairs")}
+    assert max(pairs.values()) < 5 * len(docs), pairs  # all pairs: 19,900
+
+
+def test_sketches_differ_in_no_more_places_than_the_sets():
+    rnd = random.Random(2)
+    texts = [" ".join(f"w{rnd.randint(0, 50)}" for _ in range(n)) for n in (0, 1, 2, 9, 60, 400, 3000)]
+    flat, sizes = jj.shingle_sets(texts, 2)
+    sets, bits = [set(x.tolist()) for x in jj._split(flat, sizes)], jj.sketches(flat, sizes)
+    for a, x in zip(sets, bits):
+        assert int(jj.np.bitwise_count(x.view(jj.np.uint64)).sum()) % 2 == len(a) % 2
+        for b, y in zip(sets, bits):
+            assert int(jj.np.bitwise_count((x ^ y).view(jj.np.uint64)).sum()) <= len(a ^ b)
+
+
 def brute_removed(docs, width):
     first = {}
     for d, t in docs:
