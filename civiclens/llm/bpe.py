@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,7 @@ PART_CHARS = 32768
 WINDOW_CHARS = 48
 CACHED_CHUNK = 64
 CACHE_ENTRIES = 800_000
+MANY_CHUNKS = 64
 
 _SPACED_SPACE = re.compile(r"\s ")
 _SPACE_AT_END = re.compile(r"\s(?: |\Z)")
@@ -49,7 +50,19 @@ class _Chunks(dict):
         super().__init__()
         self.packed, self.lead = packed, lead
 
+    def learn(self, chunks: set[str]) -> None:
+        """Keep the ids of all these chunks, the new ones encoded in one call."""
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        new = [c for c in chunks.difference(self) if len(c) <= CACHED_CHUNK]
+        if new:
+            self.update(zip(new, self.packed([self.lead + c for c in new])))
+
     def joined(self, chunks: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.__getitem__, chunks))
+        except KeyError:
+            pass
         if len(self) > CACHE_ENTRIES:
             self.clear()
         new = [c for c in set(chunks) if c not in self]
@@ -102,6 +115,13 @@ class Encoder:
             self.strings = {i: t for t, i in vocab.items()}
 
     def _packed(self, texts: list[str]) -> list[bytes]:
+        if self.spaced is not None and len(texts) > MANY_CHUNKS:  # white space at the end of a few keeps no others from the one call
+            odd = [t[-1:].isspace() for t in texts]
+            ends, others = iter(self._encoded([t for t, o in zip(texts, odd) if o])), iter(self._encoded([t for t, o in zip(texts, odd) if not o]))
+            return [next(ends if o else others) for o in odd]
+        return self._encoded(texts)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         joined = "".join(texts) if self.spaced is not None and len(texts) > 1 else ""
         if joined and joined.count(" ") == len(texts) and all([t[:1] == " " for t in texts]) and not _SPACE_AT_END.search(joined):
             # one call for all: each chunk's first token, and no other, begins with the space
@@ -112,14 +132,36 @@ class Encoder:
                 return [packed[a:b] for a, b in zip(at, at[1:])]
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _chunks(self, text: str) -> list[str]:
+        """A text cut where no token joins what is before and after."""
+        if self.kind == "drops space":
+            return _WHITE.split(text) if _EXTRA_SPACE.search(text) else text.split()
+        return _SPLIT_AT_SPACE.split(text) if _SPACED_SPACE.search(text) else text.split(" ")
+
+    def learn(self, texts: Iterable[str]) -> None:
+        """Encode the words of several texts that are new, all in one call: a call for
+        each text's few new words costs more than the words."""
+        if self.kind == "whole":
+            return
+        first, rest = set(), set()
+        for t in texts:
+            chunks = self._chunks(t)
+            if self.kind == "leading space":
+                first.update(chunks[:1])
+                rest.update(chunks[1:])
+            else:
+                first.update(chunks)
+        self.first.learn(first)
+        self.rest.learn(rest)
+
     def leaf(self, text: str) -> bytes:
         """Ids of a text, packed; no tree."""
+        if self.kind == "whole":
+            return self._packed([text])[0]
+        chunks = self._chunks(text)
         if self.kind == "drops space":
-            return self.first.joined(_WHITE.split(text) if _EXTRA_SPACE.search(text) else text.split())
-        if self.kind == "leading space":
-            chunks = _SPLIT_AT_SPACE.split(text) if _SPACED_SPACE.search(text) else text.split(" ")
-            return self.first.joined(chunks[:1]) + self.rest.joined(chunks[1:])
-        return self._packed([text])[0]
+            return self.first.joined(chunks)
+        return self.first.joined(chunks[:1]) + self.rest.joined(chunks[1:])
 
     def placed(self, text: str) -> list[tuple[int, int, int]]:
         """``(id, start, end)`` of a short text's tokens, by code points."""

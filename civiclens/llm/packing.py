@@ -31,6 +31,7 @@ from civiclens.llm.common import id_and_text, shuffle_width, written
 
 CAPACITY = 1024
 GROUPS = 48
+LEARN_CHARS = 1 << 20  # of the texts whose new words are encoded together
 SMALL = (2, 4)  # lengths up to capacity / 2, or up to a quarter, are small: the better plan is taken
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 EPS = 1e-9
@@ -56,7 +57,10 @@ def token_pieces(
         for f in frames:
             out: list[tuple] = []
             ids: list[np.ndarray] = []
-            for doc_id, text in zip(f["doc_id"], f["text"]):
+            learnt = np.cumsum(f["text"].str.len().to_numpy(dtype=np.int64)) // LEARN_CHARS
+            for at, (doc_id, text) in enumerate(zip(f["doc_id"], f["text"])):
+                if at == 0 or learnt[at] != learnt[at - 1]:  # the new words of the next texts
+                    enc.learn(f["text"].iloc[at : np.searchsorted(learnt, learnt[at], side="right")])
                 packed = tree_encode(enc, text) + end
                 for piece, (start, length) in enumerate(cut_points(len(packed) // 4, capacity)):
                     part = packed[4 * start : 4 * (start + length)]

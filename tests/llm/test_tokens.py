@@ -31,6 +31,25 @@ def test_tree_equals_library(name):
         assert np.frombuffer(bpe.tree_encode(enc, long, leaf), dtype="<u4").tolist() == enc.tokenizer.encode(long, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_new_words_of_many_texts_are_encoded_together(name, monkeypatch):
+    enc = bpe.Encoder(public_tokenizers.path(name))
+    rnd = random.Random(5)
+    for some in [ALPHABET, *(rnd.sample(ALPHABET, rnd.choice([3, 6, 12])) for _ in range(60))]:
+        texts = ["".join(rnd.choice(some) for _ in range(rnd.choice([0, 3, 30, 200]))) for _ in range(40)]
+        enc.learn(texts)
+        for t in texts:
+            assert np.frombuffer(bpe.tree_encode(enc, t), dtype="<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
+    calls = []
+    encoded = enc._encoded
+    monkeypatch.setattr(enc, "_encoded", lambda texts: calls.append(len(texts)) or encoded(texts))
+    texts = [f"first{i} " + " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(20)) for i in range(50)]
+    enc.learn(texts)
+    for t in texts:
+        assert np.frombuffer(bpe.tree_encode(enc, t), dtype="<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+    assert 0 < len(calls) <= 4 and sum(calls) >= 1000
+
+
 def test_documents_match_library(edge, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
