@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,3 +449,15 @@ def test_clean_texts_and_several_datasets(spark):
         "A city with a name of over thirty letters api             5 100.0      0",
     }
 
+
+def test_scan_holds_the_rows_of_few_pages(spark):
+    size = 200_000
+    batch = pd.DataFrame({"page_id": range(40), "url": "u", "html": ["x" * size] * 38 + [None, ""]})
+    parts = list(html._parts(batch))
+    assert max(len(p) for p in parts) <= html.PART_CHARS // size + 1
+    assert pd.concat(parts).equals(batch)
+    small = pd.DataFrame({"page_id": range(2500), "url": "u", "html": "<p>a</p>"})
+    assert [len(p) for p in html._parts(small)] == [1000, 1000, 500]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", None if i % 7 == 0 else f'<form action="a{i}"><input name="n" value="{i}"></form>') for i in range(2300)], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.has_form, r.fields.get("n")) for r in html.html_forms(pages).collect()}
+    assert got == {i: (i % 7 != 0, None if i % 7 == 0 else str(i)) for i in range(2300)}
