@@ -9,6 +9,8 @@ with the same columns.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,3 +63,13 @@ def release(*tables: DataFrame) -> None:
         spark = t.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(t._scratch)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def trimmed(value):
+    """``value``, after the memory that making it has freed goes back to the system:
+    the driver trains on a bounded sample and then plans many steps."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+    return value

@@ -488,6 +488,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         ),
         "units",
     )
+    release(shared)
     # single documents of large groups bring their sketches
     large = all_units.groupBy("token").count().where(F.col("count") > GROUP).select("token", F.lit(True).alias("large"))
     marked = all_units.join(large, "token", "left").withColumn("looked", F.coalesce("large", F.lit(False)) & ~F.col("many")).drop("large")
@@ -572,7 +573,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     )
     across = join.links(pairs, "across")
     final = components(star_links.unionByName(single).unionByName(across).select("a", "b").unionByName(between))
-    release(table, shared, all_units, meet, classes, reps, inside, rest, members, hubs, between, apart_yet, *join.tables)
+    release(table, all_units, meet, classes, reps, inside, rest, members, hubs, between, apart_yet, *join.tables)
 
     of = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "rep")).alias("component")

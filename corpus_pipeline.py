@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiclens.llm import pii, toxicity
-from civiclens.llm.common import DOCUMENT_COLUMNS, table, written
+from civiclens.llm.common import DOCUMENT_COLUMNS, table, trimmed, written
 from civiclens.llm.content_sort import drop_exact_duplicates
 from civiclens.llm.jaccard_join import jaccard_components
 from civiclens.llm.packing import pack_documents
@@ -25,7 +25,7 @@ END_ID = 2
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more as toxic go; the rest stay as they are."""
     docs = _documents(spark, docs)
-    model = toxicity.train(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), held_out=None))
+    model = trimmed(toxicity.train(*toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), held_out=None)))
     return toxicity.drop_toxic(docs, model)
 
 
@@ -46,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the text is replaced; ``n_chars`` follows the text."""
     docs = _documents(spark, docs)
-    clean = pii.redact_documents(docs, pii.fit(pii.sample_texts(docs)))
+    clean = pii.redact_documents(docs, trimmed(pii.fit(pii.sample_texts(docs))))
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(
         *DOCUMENT_COLUMNS
     )
