@@ -9,16 +9,24 @@ with the same columns.
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civiclens.functions.frames import free_memory, freed_after
 from civiclens.session import ensure_checkpoint_dir, ship_package
 
 ROW_GROUP_BYTES = 16 << 20  # of intermediate tables: a writing task holds one row group
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+SPARK_BATCH_BYTES = f"{64 << 20}b"  # Spark's own limit
+BATCH_BYTES = 8 << 20
+IDS = 1 << 24  # bits of the bitmaps of document ids
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -69,7 +77,56 @@ def trimmed(value):
     """``value``, after the memory that making it has freed goes back to the system:
     the driver trains on a bounded sample and then plans many steps."""
     gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
+    free_memory()
     return value
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of at most ``BATCH_BYTES`` go to Python workers, unless the session sets
+    a limit of its own: Spark's 10,000 rows are as large as the texts are, and the
+    executor and the worker hold several batches at once."""
+    if spark.conf.get(BATCH_CONF, SPARK_BATCH_BYTES) == SPARK_BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+def bitmap_of(values: DataFrame, column: str, size: int = IDS) -> np.ndarray:
+    """A bitmap of ``size`` bits of a column's 64-bit values: at most size / 64 words
+    reach the driver, whatever the input."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [pa.array([b.column(i).to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["at", "bits"])
+
+    bit = F.pmod(F.col(column), F.lit(size))
+    words = (
+        values.where(F.col(column).isNotNull())
+        .groupBy(F.shiftright(bit, 6).cast("int").alias("at"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))")).alias("bits"))
+    )
+    out = np.zeros(size // 64, dtype=np.int64)
+    for r in words.mapInArrow(freed_after(packed), "at binary, bits binary").collect():
+        out[np.frombuffer(r["at"], dtype=np.int32)] = np.frombuffer(r["bits"], dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = (values.view(np.uint64) % np.uint64(64 * len(bitmap))).astype(np.int64)
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def ids_in(bitmap: np.ndarray, ids: pd.Series) -> np.ndarray:
+    """Which ids may be those of a bitmap; NULL is none of them."""
+    known = ids.notna().to_numpy()
+    return known & in_bitmap(bitmap, ids.fillna(0).to_numpy(dtype=np.int64))
+
+
+def likely(rows: DataFrame, bitmap) -> DataFrame:
+    """The rows whose ``doc_id`` may be in a broadcast bitmap."""
+
+    @F.pandas_udf("boolean")
+    def noted(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bitmap.value, doc_id.to_numpy(dtype=np.int64)))
+
+    # a NULL beside ids would make them floats
+    return rows.where(F.col("doc_id").isNotNull() & noted(F.coalesce("doc_id", F.lit(0).cast("long"))))
