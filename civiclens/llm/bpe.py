@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclens.functions.frames import map_frames
+from civiclens.llm.bpe_batch import BatchEncoder
 from civiclens.llm.common import id_and_text, shuffle_width
 
 LEAF_CHARS = 8192
@@ -104,8 +105,9 @@ class Encoder:
         #: an added token that a window's edge cuts through misleads the tokens this near to the edge
         self.margin = 4 + max((len(t["content"]) for t in spec.get("added_tokens", [])), default=0)
         self.first, self.rest = _Chunks(self._packed), _Chunks(self._packed, " ")
-        self.spaced = None
+        self.spaced = self.batch = None
         if self.kind == "leading space":
+            self.batch = BatchEncoder.of(self.tokenizer, spec)
             self.spaced = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
             self.spaced[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if "\u0120" in t]] = True
         # no decoder: the library joins the tokens' strings by a space
@@ -163,6 +165,15 @@ class Encoder:
             return self.first.joined(chunks)
         return self.first.joined(chunks[:1]) + self.rest.joined(chunks[1:])
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of short texts, packed: all at once where the file's rules allow it."""
+        if self.batch is None:
+            self.learn(texts)
+            return [tree_encode(self, t) for t in texts]
+        own = [i for i, t in enumerate(texts) if self.batch.takes(t)]
+        found = dict(zip(own, self.batch.encoded([texts[i] for i in own])))
+        return [found[i] if i in found else tree_encode(self, t) for i, t in enumerate(texts)]
+
     def placed(self, text: str) -> list[tuple[int, int, int]]:
         """``(id, start, end)`` of a short text's tokens, by code points."""
         e = self.tokenizer.encode(text, add_special_tokens=False)

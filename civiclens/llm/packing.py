@@ -25,13 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiclens.llm.bpe import encoder, tree_encode
+from civiclens.llm.bpe import Encoder, encoder, tree_encode
 from civiclens.functions.frames import map_frames
-from civiclens.llm.common import id_and_text, shuffle_width, written
+from civiclens.llm.common import bounded_batches, id_and_text, shuffle_width, written
 
 CAPACITY = 1024
 GROUPS = 48
-LEARN_CHARS = 1 << 20  # of the texts whose new words are encoded together
+BATCH_CHARS = 1 << 20  # of the texts that are encoded together
 SMALL = (2, 4)  # lengths up to capacity / 2, or up to a quarter, are small: the better plan is taken
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 EPS = 1e-9
@@ -45,6 +45,22 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
+def encoded_texts(enc: Encoder, texts: list[str]) -> Iterator[bytes]:
+    """The texts' packed ids: short texts together, those over ``BATCH_CHARS`` by the tree."""
+    at = 0
+    while at < len(texts):
+        to, chars = at, 0
+        while to < len(texts) and chars + len(texts[to]) <= BATCH_CHARS:
+            chars += len(texts[to])
+            to += 1
+        if to > at:
+            yield from enc.many(texts[at:to])
+        else:
+            yield tree_encode(enc, texts[at])
+            to += 1
+        at = to
+
+
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
@@ -57,11 +73,8 @@ def token_pieces(
         for f in frames:
             out: list[tuple] = []
             ids: list[np.ndarray] = []
-            learnt = np.cumsum(f["text"].str.len().to_numpy(dtype=np.int64)) // LEARN_CHARS
-            for at, (doc_id, text) in enumerate(zip(f["doc_id"], f["text"])):
-                if at == 0 or learnt[at] != learnt[at - 1]:  # the new words of the next texts
-                    enc.learn(f["text"].iloc[at : np.searchsorted(learnt, learnt[at], side="right")])
-                packed = tree_encode(enc, text) + end
+            for doc_id, packed in zip(f["doc_id"], encoded_texts(enc, f["text"].tolist())):
+                packed += end
                 for piece, (start, length) in enumerate(cut_points(len(packed) // 4, capacity)):
                     part = packed[4 * start : 4 * (start + length)]
                     out.append((doc_id, piece, start, length, zlib.crc32(part)))
@@ -286,4 +299,5 @@ def pack_documents(
     ids_crc32, sequence_id, offset`` (and ``ids`` if asked for).  NULL and empty
     texts are the end id alone; repeated rows are packed each for itself; an empty
     table gives no sequence."""
+    bounded_batches(docs.sparkSession)
     return pack(written(token_pieces(docs, tokenizer_path, end_id, capacity, with_ids=with_ids), "pieces"), capacity, groups)

@@ -112,3 +112,19 @@ def test_packed_documents(edge, none):
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 1024
     assert packing.pack_documents(none, path, 2).count() == 0
+
+
+def test_many_texts_at_once_give_the_librarys_ids():
+    """The batch encoder alone, on every rule of the splitting; no word is kept."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, rng = bpe.Encoder(path), random.Random(11)
+    assert enc.batch is not None
+    letters = "ab'stmdrevl S\n\t\r \u0085 　1½Ⅷ!_-é漢字\U0001d4b3\U0001f600́‍ßǅ\x00\x1c<"
+    runs = ["'s", "'ll", "'re", "'t", "  ", "\r\n", "the ", "<|endoftext|>", "x" * 40, " " * 40]
+    for _ in range(300):
+        texts = ["".join(rng.choice(runs if rng.random() < 0.2 else letters) for _ in range(rng.randrange(60))) for _ in range(4)]
+        assert enc.many(texts) == [np.asarray(enc.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    words = [f"w{i}{'abc' * (i % 7)}," for i in range(3000)]
+    before = len(enc.rest)
+    enc.many([" ".join(words)])
+    assert len(enc.rest) == before
