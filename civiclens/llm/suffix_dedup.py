@@ -39,15 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiclens.functions.frames import frame_of, map_frames
-from civiclens.llm.common import id_and_text, release, shuffle_width, written
+from civiclens.functions.frames import frame_of, freed_after, map_frames
+from civiclens.llm.common import bitmap_of, bounded_batches, id_and_text, ids_in, in_bitmap, likely, release, shuffle_width, written
 from civiclens.llm.jaccard_join import EXACT, mixed, word_hashes
 
 WIDTH = 13
 GRAM = 7
 BITS = 1 << 28
 CHUNK_BYTES = 1 << 16
-IDS = 1 << 24  # bits of the bitmaps of document ids
 DIFFERING = 1 << 25  # bits of the bitmap of anchors whose runs differ
 SPAN_WORDS = 500_000  # words streamed through one copy of a shard
 SLICE = 1500  # documents whose hashes a task holds at once
@@ -191,20 +190,6 @@ class Automaton:
         return out
 
 
-def _bitmap(hashes: DataFrame, column: str, size: int = IDS) -> np.ndarray:
-    """A bitmap of ``size`` bits of a column's 64-bit values: at most size / 64 rows
-    reach the driver, whatever the input."""
-    bit = F.pmod(F.col(column), F.lit(size))
-    rows = (
-        hashes.groupBy(F.shiftright(bit, 6).cast("int").alias("at"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))")).alias("bits"))
-        .toPandas()
-    )
-    out = np.zeros(size // 64, dtype=np.int64)
-    out[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
-
-
 def _put(bitmap: np.ndarray, bits: np.ndarray) -> None:
     """Set sorted distinct bits of a bitmap of bytes."""
     if len(bits):
@@ -255,18 +240,13 @@ def _shared_bits(rows: DataFrame, width: int) -> np.ndarray:
     def finish(f: pd.DataFrame) -> pd.DataFrame:
         return merge(f, last=True)
 
-    merged = rows.mapInPandas(seen, schema).groupBy("chunk", "part").applyInPandas(merge_part, schema).groupBy("chunk").applyInPandas(finish, schema)
+    merged = rows.mapInPandas(freed_after(seen), schema).groupBy("chunk", "part").applyInPandas(merge_part, schema).groupBy("chunk").applyInPandas(finish, schema)
     out = np.zeros(BITS // 8, dtype=np.uint8)
     for r in merged.select("chunk", "at", "twice").collect():  # at most BITS / 8 bytes and their places
         out[r["chunk"] * CHUNK_BYTES + np.frombuffer(r["at"], dtype=np.uint16).astype(np.int64)] = np.frombuffer(r["twice"], dtype=np.uint8)
     return out.view("<u8")
 
 
-def _in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = (values.view(np.uint64) % _U(64 * len(bitmap))).astype(np.int64)
-    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) == 1
-
-
 def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Frames of at most ``SLICE`` documents and about ``SLICE_CHARS`` characters."""
     for f in frames:
@@ -299,9 +279,9 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         bits = bitmap.value
         for f in _slices(frame_of(b) for b in batches if b.num_rows):
             anchor, doc, place, n, w = _runs(f["text"].tolist(), width)
-            hit = _in_bitmap(bits, anchor)
+            hit = in_bitmap(bits, anchor)
             if mixed_bits is not None:
-                hit &= _in_bitmap(mixed_bits, anchor)
+                hit &= in_bitmap(mixed_bits, anchor)
             if not hit.any():
                 continue
             w, anchor, doc, place, n = w[np.repeat(hit, n)], anchor[hit], f["doc_id"].to_numpy(dtype=np.int64)[doc[hit]], place[hit], n[hit]
@@ -341,10 +321,10 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         )
         return found.where("not open").select("doc_id", "place", "n", "first_doc", "first_place").unionByName(across)
 
-    wholes = written(known.mapInArrow(whole, schema), "runs-of-windows")
+    wholes = written(known.mapInArrow(freed_after(whole), schema), "runs-of-windows")
     differ = wholes.where("open").groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
-    differing = spark.sparkContext.broadcast(_bitmap(differ, "anchor", DIFFERING))
-    singles = written(known.mapInArrow(single, schema), "windows")
+    differing = spark.sparkContext.broadcast(bitmap_of(differ, "anchor", DIFFERING))
+    singles = written(known.mapInArrow(freed_after(single), schema), "windows")
     bitmap.unpersist()  # no plan still to run reads them
     differing.unpersist()
 
@@ -385,7 +365,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pd.DataFrame(out, columns=["shard", "reference", "doc_id", "start", "n", "words"])
 
     pieces = written(
-        with_texts(known, wanted).mapInPandas(cut, "shard int, reference boolean, doc_id long, start int, n int, words binary"), "passages"
+        with_texts(known, wanted).mapInPandas(freed_after(cut), "shard int, reference boolean, doc_id long, start int, n int, words binary"), "passages"
     )
     parts = pieces.where("not reference").groupBy("shard").agg(F.ceil(F.sum("n") / F.lit(float(SPAN_WORDS))).cast("int").alias("parts"))
     dealt = pieces.join(F.broadcast(parts), "shard")  # at most `shards` rows
@@ -412,19 +392,8 @@ def with_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rows`` joined with ``wanted`` by id; a bitmap of the wanted ids keeps other
     texts out of the shuffle."""
     wanted = written(wanted, "wanted")
-    return _likely(rows, wanted, True).join(wanted, "doc_id")
-
-
-def _likely(rows: DataFrame, wanted: DataFrame, inside: bool) -> DataFrame:
-    bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted, "doc_id"))
-
-    @F.pandas_udf("boolean")
-    def noted(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(_in_bitmap(bitmap.value, doc_id.to_numpy(dtype=np.int64)))
-
-    # a NULL beside ids would make them floats
-    hit = F.col("doc_id").isNotNull() & noted(F.coalesce("doc_id", F.lit(0).cast("long")))
-    return rows.where(hit if inside else ~hit)
+    ids = rows.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "doc_id"))
+    return likely(rows, ids).join(wanted, "doc_id")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -436,6 +405,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     one's source; rows that share an id are one document, whose stretches are
     removed from each of its rows by place.
     """
+    bounded_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     spans = written(repeated_spans(rows, width), "spans")
     wanted = written(spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cuts")), "removed")
@@ -454,7 +424,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             g = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256" if digests else "kept"])
             yield g.assign(doc_id=g["doc_id"].astype("Int64"))
 
-    nothing = F.lit(None).cast(wanted.schema["cuts"].dataType).alias("cuts")
-    touched = _likely(rows, wanted, True).join(wanted, "doc_id", "left").select("doc_id", "text", "cuts")
-    rest = _likely(rows, wanted, False).select("doc_id", "text", nothing)
-    return map_frames(touched, remove, schema).unionByName(map_frames(rest, remove, schema))
+    ids = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "doc_id"))
+
+    def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows that lose nothing; one worker a task finds and writes them."""
+        return remove(f[~ids_in(ids.value, f["doc_id"])].assign(cuts=None) for f in frames)
+
+    touched = likely(rows, ids).join(wanted, "doc_id", "left").select("doc_id", "text", "cuts")
+    return map_frames(touched, remove, schema).unionByName(map_frames(rows, others, schema))
