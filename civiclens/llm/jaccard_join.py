@@ -42,14 +42,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from civiclens.functions.frames import map_frames
-from civiclens.llm.common import id_and_text, release, shuffle_width, written
+from civiclens.functions.frames import freed_after, map_frames
+from civiclens.llm.common import bitmap_of, bounded_batches, id_and_text, ids_in, likely, release, shuffle_width, written
 from civiclens.llm.graph import components
 
 ORDERS = 3
 STARS = 4  # first members that a document is compared with before components are formed
 FREQUENT = 1 << 20  # tokens that all orders put last, at most
 IN_BATCH = 3  # documents of a batch that hold a token from which on it is counted
+COUNTED = 10_000, 1 << 23  # documents, or tokens, from which on such a batch is full
+FEW = 1 << 14  # ids up to which texts are looked up without a bitmap of the ids
 SIEVE = 1 << 24
 SKETCH_WORDS = 16  # 64-bit words of a set's sketch
 GROUP = 16  # documents with a prefix token from which on their sketches are compared
@@ -261,8 +263,9 @@ def _profile(rows: DataFrame, k: int) -> DataFrame:
     several documents of a batch hold (``tokens, counts``)."""
 
     def profile(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        docs = 0
         for f in frames:
-            held = []
             for g in _slices([f]):
                 flat, sizes = shingle_sets(g["text"].tolist(), k)
                 held.append(flat)
@@ -272,19 +275,26 @@ def _profile(rows: DataFrame, k: int) -> DataFrame:
                         "tokens": None, "counts": None,
                     }
                 )
-            tokens = np.concatenate(held)
-            held.clear()
-            tokens.sort()  # in place: a batch's tokens are held once
-            common = np.unique(tokens[IN_BATCH - 1 :][tokens[IN_BATCH - 1 :] == tokens[: len(tokens) - IN_BATCH + 1]]) if len(tokens) >= IN_BATCH else tokens[:0]
-            if len(common):
-                counts = np.searchsorted(tokens, common, side="right") - np.searchsorted(tokens, common)
-                one = pd.array([None], dtype="Int64")
-                yield pd.DataFrame(
-                    {
-                        "doc_id": one, "n": pd.array([-1], dtype="Int64"), "h1": one, "h2": one,
-                        "tokens": [common.view(np.int64)], "counts": [counts.astype(np.int64)],
-                    }
-                )
+            docs += len(f)
+            if docs >= COUNTED[0] or sum(map(len, held)) >= COUNTED[1]:
+                yield from counted(held)
+                docs = 0
+        yield from counted(held)
+
+    def counted(held: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        tokens = np.concatenate([np.zeros(0, dtype=np.uint64), *held])
+        held.clear()
+        tokens.sort()  # in place: a batch's tokens are held once
+        common = np.unique(tokens[IN_BATCH - 1 :][tokens[IN_BATCH - 1 :] == tokens[: len(tokens) - IN_BATCH + 1]]) if len(tokens) >= IN_BATCH else tokens[:0]
+        if len(common):
+            counts = np.searchsorted(tokens, common, side="right") - np.searchsorted(tokens, common)
+            one = pd.array([None], dtype="Int64")
+            yield pd.DataFrame(
+                {
+                    "doc_id": one, "n": pd.array([-1], dtype="Int64"), "h1": one, "h2": one,
+                    "tokens": [common.view(np.int64)], "counts": [counts.astype(np.int64)],
+                }
+            )
 
     return map_frames(rows, profile, "doc_id long, n long, h1 long, h2 long, tokens array<long>, counts array<long>")
 
@@ -316,9 +326,10 @@ def _frequent(profile: DataFrame) -> np.ndarray:
     return np.sort(np.frombuffer(b"".join(bytes(r["tokens"]) for r in kept), dtype=np.uint64))
 
 
-def _prefixes(rows: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """``doc_id, n, sketch, p0, p1, ...``: prefix tokens under each order, by their
-    places; those of the further orders, which only filter, as their low 32 bits."""
+def _prefixes(rows: DataFrame, k: int, percent: int, frequent, copies) -> DataFrame:
+    """``doc_id, n, sketch, p0, p1, ..., copied``: prefix tokens under each order, by their
+    places; those of the further orders, which only filter, as their low 32 bits; whether
+    the id may be in the bitmap ``copies``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, maybe = frequent.value, sieve(frequent.value)
@@ -330,9 +341,11 @@ def _prefixes(rows: DataFrame, k: int, percent: int, frequent) -> DataFrame:
             out["p0"] = [p.view(np.int64) for p in prefixes(flat, sizes, 0, percent, last)]
             for o in range(1, ORDERS):
                 out[f"p{o}"] = [p.astype(np.uint32).view(np.int32) for p in prefixes(flat, sizes, o, percent, last)]
+            out["copied"] = ids_in(copies.value, out["doc_id"])
             yield out
 
-    return rows.mapInPandas(run, "doc_id long, n long, sketch array<long>, p0 array<long>, " + ", ".join(f"p{o} array<int>" for o in range(1, ORDERS)))
+    further = "".join(f"p{o} array<int>, " for o in range(1, ORDERS))
+    return rows.mapInPandas(freed_after(run), f"doc_id long, n long, sketch array<long>, p0 array<long>, {further}copied boolean")
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -343,7 +356,7 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
             flat, sizes = shingle_sets(g["text"].tolist(), k)
             yield pd.DataFrame({"node": g["doc_id"].to_numpy(), "tokens": _split(flat.view(np.int64), sizes)})
 
-    return rows.mapInPandas(sets, "node long, tokens array<long>")
+    return rows.mapInPandas(freed_after(sets), "node long, tokens array<long>")
 
 
 def _may_link(n1: str, n2: str, percent: int):
@@ -398,7 +411,10 @@ class _Join:
         """``pairs`` (a stored table of distinct ``a, b``) with ``inter`` and
         ``total``, the sizes of the sets' intersection and union."""
         need = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-docs")
-        sets = written(_sets(self.rows.join(need, "doc_id", "left_semi"), self.k), f"{name}-sets")
+        rows = self.rows
+        if need.count() > FEW:  # a bitmap of the ids keeps other texts out of the shuffle
+            rows = likely(rows, rows.sparkSession.sparkContext.broadcast(bitmap_of(need, "doc_id")))
+        sets = written(_sets(rows.join(need, "doc_id", "left_semi"), self.k), f"{name}-sets")
         sized = (
             pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens")), "b")
@@ -428,6 +444,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     several rows is one document that links by any of its texts.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = id_and_text(docs, id_col, text_col)
     profile = written(_profile(rows, k), "profile")
     known = profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -447,7 +464,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         "members",
     )
     reps = written(classes.select(F.col("rep").alias("doc_id")).distinct(), "representatives")
-    table = written(_prefixes(rows.where("doc_id is not null"), k, percent, frequent).join(reps, "doc_id", "left_semi").where("n > 0"), "prefixes")
+    # most documents are alone in their class: only those that may be copies are looked up
+    copies = spark.sparkContext.broadcast(bitmap_of(member.where("doc_id <> rep"), "doc_id"))
+    prefixed = written(_prefixes(rows.where("doc_id is not null"), k, percent, frequent, copies).where("n > 0"), "prefixes")
+    copied = written(prefixed.where("copied").join(reps, "doc_id", "left_semi"), "prefixes-copied")
+    table = prefixed.where("not copied").unionByName(copied).drop("copied")
     join = _Join(rows, table, k, percent)
 
     # 2. each token's group against its first member
@@ -573,7 +594,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     )
     across = join.links(pairs, "across")
     final = components(star_links.unionByName(single).unionByName(across).select("a", "b").unionByName(between))
-    release(table, all_units, meet, classes, reps, inside, rest, members, hubs, between, apart_yet, *join.tables)
+    release(prefixed, copied, all_units, meet, classes, reps, inside, rest, members, hubs, between, apart_yet, *join.tables)
 
     of = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "rep")).alias("component")

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from civiclens.llm import common
 from civiclens.llm import jaccard_join as jj
 from civiclens.llm import multiset_hash as mh
 from civiclens.llm.jaccard_join import jaccard_components
@@ -180,3 +181,34 @@ def test_fingerprint_edges(edge, none):
     assert len(rows) == len(EDGE_ROWS) and sum(r.doc_id is None for r in rows) == 2
     assert mh.fingerprint_documents(none).count() == 0
     assert mh.fingerprint_documents(edge.limit(1)).first().near_next == 1.0
+
+
+def test_texts_looked_up_by_a_bitmap_give_the_same_components(spark, monkeypatch):
+    """Copies, an id on several rows and NULL ids; texts that no pair needs stay out of the shuffle."""
+    rng = random.Random(8)
+    base = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(40)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t) for i, t in enumerate(base[:9])]
+    rows += [(200 + i, t + " tail") for i, t in enumerate(base[5:15])] + [(3, base[20]), (None, base[0]), (None, None), (300, ""), (-(2**63), base[1]), (2**63 - 1, base[2] + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    take = lambda: sorted(map(tuple, jj.jaccard_components(docs, 3, 80).collect()), key=str)
+    plain, kept = take(), []
+    seen = jj.likely
+    monkeypatch.setattr(jj, "likely", lambda rows, bitmap: (kept.append(rows), seen(rows, bitmap))[1])
+    monkeypatch.setattr(jj, "FEW", 0)
+    assert take() == plain and kept
+    component = {d: c for d, _, c in plain}
+    assert component[100] == component[0] and component[205] == component[10] and component[2**63 - 1] == component[2] and component[-(2**63)] == -(2**63)
+
+
+def test_python_workers_get_small_batches(spark):
+    """Spark's own limit of 10,000 rows would hand these texts over in one batch."""
+    spark.conf.unset(common.BATCH_CONF)
+    docs = spark.range(0, 5000, 1, 1).selectExpr("id as doc_id", "repeat('x', 5000) as text")
+    count = lambda: docs.mapInPandas(lambda fs: ([f[["doc_id"]].assign(doc_id=len(f))[:1] for f in fs]), "doc_id long").count()
+    assert count() == 1
+    remove_repeats(docs.limit(0))
+    assert count() >= 3
+    spark.conf.set(common.BATCH_CONF, "1000000")
+    common.bounded_batches(spark)
+    assert spark.conf.get(common.BATCH_CONF) == "1000000"
+    spark.conf.unset(common.BATCH_CONF)
