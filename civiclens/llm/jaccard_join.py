@@ -56,7 +56,8 @@ SIEVE = 1 << 24
 SKETCH_WORDS = 16  # 64-bit words of a set's sketch
 GROUP = 16  # documents with a prefix token from which on their sketches are compared
 HUBS = 4  # members nearest to the pivot that stand for their component at first
-PIECE = 1 << 20  # bytes of text that are hashed at a time
+PIECE = 1 << 17  # bytes of text that are hashed at a time: their running sums stay in the CPU's caches
+SLICE = 1 << 20  # characters of text whose sets a task holds at a time
 CACHE_WORDS = 400_000
 _U = np.uint64
 
@@ -79,9 +80,12 @@ _WORDS = _WordHash()
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
     """A permutation of the 64-bit integers for each seed."""
     x = x ^ _U((0x9E3779B97F4A7C15 * (2 * seed + 1)) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x ^= x >> _U(30)  # in place from here on: the first step made a copy
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 # The words of many texts are hashed at once: a polynomial of the bytes' random values,
@@ -248,7 +252,7 @@ def prefix(s: np.ndarray, order: int, percent: int, frequent: np.ndarray, maybe:
     return prefixes(s, np.asarray([len(s)]), order, percent, are_frequent(s, frequent, maybe))[0]
 
 
-def _slices(frames: Iterator[pd.DataFrame], limit: int = 4 * PIECE) -> Iterator[pd.DataFrame]:
+def _slices(frames: Iterator[pd.DataFrame], limit: int = SLICE) -> Iterator[pd.DataFrame]:
     """Frames of at most about ``limit`` characters of text."""
     for f in frames:
         if not len(f):
@@ -285,7 +289,8 @@ def _profile(rows: DataFrame, k: int) -> DataFrame:
         tokens = np.concatenate([np.zeros(0, dtype=np.uint64), *held])
         held.clear()
         tokens.sort()  # in place: a batch's tokens are held once
-        common = np.unique(tokens[IN_BATCH - 1 :][tokens[IN_BATCH - 1 :] == tokens[: len(tokens) - IN_BATCH + 1]]) if len(tokens) >= IN_BATCH else tokens[:0]
+        common = tokens[IN_BATCH - 1 :][tokens[IN_BATCH - 1 :] == tokens[: len(tokens) - IN_BATCH + 1]] if len(tokens) >= IN_BATCH else tokens[:0]
+        common = common[np.concatenate([[True], common[1:] != common[:-1]])] if len(common) else common
         if len(common):
             counts = np.searchsorted(tokens, common, side="right") - np.searchsorted(tokens, common)
             one = pd.array([None], dtype="Int64")

@@ -19,9 +19,9 @@ Only the shards that can match are sent to a span, not all to all:
    those, then over all batches.  A run that an earlier document holds is a repeat of
    it.  Equal windows have equal anchors, so where all runs of an anchor are equal that
    is all; a bitmap notes the anchors whose runs differ, and the windows of such runs
-   are compared one by one, in the same two steps.  (The first of some equal runs
-   stands for the others: it lies in the smallest document.)  Each repeat names an
-   earlier document and place.
+   are compared one by one, in the same two steps.  The first of some equal runs, over
+   all batches, stands for the others: it lies in the smallest document, and a second
+   bitmap notes where.  Each repeat names an earlier document and place.
 3. Neighbouring repeats are the candidate spans, and the places they name are the
    reference passages.  Both go to the earlier document's shard; a shard with
    many spans is sent to several tasks.
@@ -48,6 +48,7 @@ GRAM = 7
 BITS = 1 << 28
 CHUNK_BYTES = 1 << 16
 DIFFERING = 1 << 25  # bits of the bitmap of anchors whose runs differ
+FIRSTS = 1 << 26  # bits of the bitmap of the places of first runs
 SPAN_WORDS = 500_000  # words streamed through one copy of a shard
 SLICE = 1500  # documents whose hashes a task holds at once
 SLICE_CHARS = 1 << 20
@@ -88,14 +89,14 @@ def anchors(h: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.nda
 
 def _runs(texts: list[str], width: int) -> tuple[np.ndarray, ...]:
     """Runs of neighbouring windows of a text that have one anchor.  Of each run: the
-    anchor, the text's number, the first window's place in it and the number of
-    windows; and of all windows, run after run, the windows' own hashes.  Windows
-    across two texts are no windows."""
+    anchor, the text's number, the first window's place in it, the number of windows,
+    and its first word's number among the words of all texts, whose hashes come last.
+    Windows across two texts are no windows."""
     h, counts = word_hashes(texts, EXACT)
     n = np.maximum(counts - width + 1, 0)
     if not n.sum():
         none = np.zeros(0, dtype=np.int64)
-        return none.view(np.uint64), none, none, none, none.view(np.uint64)
+        return none.view(np.uint64), none, none, none, none, h
     doc = np.repeat(np.arange(len(texts)), n)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     at = np.repeat(np.cumsum(counts) - counts, n) + place
@@ -103,7 +104,24 @@ def _runs(texts: list[str], width: int) -> tuple[np.ndarray, ...]:
     where = where[at]
     begin = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])]))
     length = np.diff(np.concatenate([begin, [len(doc)]]))
-    return value[at[begin]], doc[begin], place[begin], length, _grams(h, width, 17)[at]
+    return value[at[begin]], doc[begin], place[begin], length, at[begin], h
+
+
+def _windows(h: np.ndarray, at: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of the windows of some runs, run after run."""
+    first = np.repeat(at - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    x = mixed(h, 17)
+    out = x[first]
+    for _ in range(1, width):
+        first += 1
+        out *= _FACTOR
+        out += x[first]
+    return mixed(out, 18)
+
+
+def _mark(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of a document's id and a place in it."""
+    return mixed(mixed(doc.view(np.uint64), 31) + place.astype(np.uint64), 32)
 
 
 def _whole(windows: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -205,7 +223,7 @@ def _shared_bits(rows: DataFrame, width: int) -> np.ndarray:
     def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         once, twice = np.zeros(BITS // 8, dtype=np.uint8), np.zeros(BITS // 8, dtype=np.uint8)
         for f in _slices(frames):
-            anchor, doc, _, _, _ = _runs(f["text"].tolist(), width)
+            anchor, doc, *_ = _runs(f["text"].tolist(), width)
             key = np.unique((anchor % _U(BITS)).astype(np.int64) << 20 | doc)  # a bit counts once in a document
             if len(key):
                 bits, docs = np.unique(key >> 20, return_counts=True)
@@ -272,28 +290,27 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
 
     bitmap = spark.sparkContext.broadcast(_shared_bits(known, width))
 
-    def compared(batches: Iterator[pa.RecordBatch], mixed_bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        """Candidate runs, or the windows of runs whose anchor is in ``mixed_bits``.
-        Those that a smaller document of the batch holds are repeats of it; each
-        other one goes on to the other batches."""
+    def compared(batches: Iterator[pa.RecordBatch], mixed_bits: np.ndarray | None, first_bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """Candidate runs, or the windows of first runs (whose places are in
+        ``first_bits``) with an anchor in ``mixed_bits``.  Those that a smaller document
+        of the batch holds are repeats of it; each other one goes on to the other batches."""
         bits = bitmap.value
         for f in _slices(frame_of(b) for b in batches if b.num_rows):
-            anchor, doc, place, n, w = _runs(f["text"].tolist(), width)
-            hit = in_bitmap(bits, anchor)
-            if mixed_bits is not None:
-                hit &= in_bitmap(mixed_bits, anchor)
-            if not hit.any():
+            anchor, doc, place, n, at, h = _runs(f["text"].tolist(), width)
+            hit = np.flatnonzero(in_bitmap(bits, anchor))
+            ids = f["doc_id"].to_numpy(dtype=np.int64)
+            if mixed_bits is not None:  # the other equal runs are known as repeats
+                hit = hit[in_bitmap(mixed_bits, anchor[hit])]
+                hit = hit[in_bitmap(first_bits, _mark(ids[doc[hit]], place[hit]))]
+            if not len(hit):
                 continue
-            w, anchor, doc, place, n = w[np.repeat(hit, n)], anchor[hit], f["doc_id"].to_numpy(dtype=np.int64)[doc[hit]], place[hit], n[hit]
-            key = _whole(w, n)
-            if mixed_bits is not None:  # of equal runs of the batch the first ones only: the others are known as repeats
-                order, first = _by_owner(key, doc)
-                kept = np.zeros(len(key), dtype=bool)
-                kept[order] = doc[order][first] == doc[order]
-                key = w[np.repeat(kept, n)]
-                begin = np.repeat((np.cumsum(n[kept]) - n[kept]) - place[kept], n[kept])
-                place = np.arange(len(key)) - begin
-                anchor, doc, n = np.repeat(anchor[kept], n[kept]), np.repeat(doc[kept], n[kept]), np.ones(len(key), dtype=np.int64)
+            anchor, doc, place, n = anchor[hit], ids[doc[hit]], place[hit], n[hit]
+            w = _windows(h, at[hit], n, width)
+            if mixed_bits is None:
+                key = _whole(w, n)
+            else:
+                key, place = w, np.arange(len(w)) - np.repeat((np.cumsum(n) - n) - place, n)
+                anchor, doc, n = np.repeat(anchor, n), np.repeat(doc, n), np.ones(len(key), dtype=np.int64)
             order, first = _by_owner(key, doc)
             key, anchor, doc, place, n = key[order].view(np.int64), anchor[order].view(np.int64), doc[order], place[order], n[order]
             own = doc[first] == doc  # rows of the batch's smallest document
@@ -305,33 +322,45 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     schema = "key long, anchor long, doc_id long, place int, n int, first_doc long, first_place int, open boolean"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return compared(batches, None)
+        return compared(batches, None, None)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return compared(batches, differing.value)
+        return compared(batches, differing.value, firsts.value)
 
-    def repeats(found: DataFrame) -> DataFrame:
-        """What an earlier document holds too, with that document and place."""
+    def judged(found: DataFrame) -> DataFrame:
+        """What is open, with the first document and place of all batches."""
         same = Window.partitionBy("key").orderBy("doc_id", "place")
-        across = (
+        return (
             found.where("open")
-            .select("key", "doc_id", "place", "n", F.first(F.struct("doc_id", "place")).over(same).alias("first"))
-            .where("first.doc_id < doc_id")
-            .select("doc_id", "place", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place"))
+            .select("key", "anchor", "doc_id", "place", "n", F.first(F.struct("doc_id", "place")).over(same).alias("first"))
+            .select("key", "anchor", "doc_id", "place", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.place").alias("first_place"))
         )
-        return found.where("not open").select("doc_id", "place", "n", "first_doc", "first_place").unionByName(across)
+
+    def repeats(found: DataFrame, over_all: DataFrame) -> DataFrame:
+        """What an earlier document holds too, with that document and place."""
+        columns = ["doc_id", "place", "n", "first_doc", "first_place"]
+        return found.where("not open").select(*columns).unionByName(over_all.where("first_doc < doc_id").select(*columns))
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, place = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(_mark(doc, place).view(np.int64))], names=["mark"])
 
     wholes = written(known.mapInArrow(freed_after(whole), schema), "runs-of-windows")
-    differ = wholes.where("open").groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    kinds = written(judged(wholes), "runs-judged")
+    own = kinds.where("first_doc = doc_id")
+    differ = written(own.groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("anchor"), "differing")
     differing = spark.sparkContext.broadcast(bitmap_of(differ, "anchor", DIFFERING))
+    places = own.select("doc_id", "place").mapInArrow(marks, "mark long")
+    firsts = spark.sparkContext.broadcast(bitmap_of(places, "mark", FIRSTS))
     singles = written(known.mapInArrow(freed_after(single), schema), "windows")
-    bitmap.unpersist()  # no plan still to run reads them
-    differing.unpersist()
+    for b in (bitmap, differing, firsts):
+        b.unpersist()  # no plan still to run reads them
 
     # spans of neighbouring repeats that name neighbouring places
     line = Window.partitionBy("doc_id", "first_doc", "shift").orderBy("place")
     runs = written(
-        repeats(wholes).unionByName(repeats(singles)).withColumn("shift", F.col("first_place") - F.col("place"))
+        repeats(wholes, kinds).unionByName(repeats(singles, judged(singles))).withColumn("shift", F.col("first_place") - F.col("place"))
         .withColumn("new", F.coalesce((F.col("place") > F.lag(F.col("place") + F.col("n")).over(line)).cast("int"), F.lit(1)))
         .withColumn("run", F.sum("new").over(line))
         .groupBy("doc_id", "first_doc", "shift", "run")
@@ -340,7 +369,7 @@ def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         "runs",
     )
 
-    release(wholes, singles)
+    release(wholes, kinds, differ, singles)
 
     # the words of spans and of reference passages
     shards = 4 * shuffle_width(spark)
@@ -416,11 +445,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             out = []
             for doc, text, cuts in zip(f["doc_id"], f["text"], f["cuts"]):
                 words = words_of(text)
-                gone = np.zeros(len(words), dtype=bool)
-                for c in cuts if cuts is not None else ():
-                    gone[c["start"] : c["end"]] = True
-                kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
-                out.append((doc, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest() if digests else kept.decode("utf-8", "surrogatepass")))
+                stay, at = [], 0
+                for s, e in sorted((c["start"], c["end"]) for c in cuts) if cuts is not None else ():
+                    stay += words[at:s]  # none, where cuts overlap
+                    at = max(at, e)
+                stay += words[at:]
+                kept = b" ".join(stay)
+                out.append((doc, len(words), len(words) - len(stay), hashlib.sha256(kept).hexdigest() if digests else kept.decode("utf-8", "surrogatepass")))
             g = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256" if digests else "kept"])
             yield g.assign(doc_id=g["doc_id"].astype("Int64"))
 

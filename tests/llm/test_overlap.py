@@ -6,6 +6,7 @@ import pytest
 from civiclens.llm import common
 from civiclens.llm import jaccard_join as jj
 from civiclens.llm import multiset_hash as mh
+from civiclens.llm import suffix_dedup as sd
 from civiclens.llm.jaccard_join import jaccard_components
 from civiclens.llm.suffix_dedup import Automaton, remove_repeats
 from tests.llm.conftest import EDGE_ROWS
@@ -212,3 +213,17 @@ def test_python_workers_get_small_batches(spark):
     common.bounded_batches(spark)
     assert spark.conf.get(common.BATCH_CONF) == "1000000"
     spark.conf.unset(common.BATCH_CONF)
+
+
+def test_windows_are_compared_for_the_first_of_equal_runs_only(spark, monkeypatch):
+    """Two texts, each in many documents of different tasks, with a common passage between
+    words of their own: the runs at its ends differ, and each of them has many copies."""
+    words = lambda kind, n: [f"{kind}{i}" for i in range(n)]
+    texts = [" ".join(words(a, 20) + words("p", 30) + words(z, 20)) for a, z in (("a", "y"), ("b", "z"))]
+    docs = [(i, texts[i % 2]) for i in range(24)]
+    counts, write = {}, sd.written
+    monkeypatch.setattr(sd, "written", lambda df, name: (out := write(df, name), counts.update({name: out.count()}))[0])
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(12, "doc_id")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_repeats(rows, 13).collect()}
+    assert got == brute_removed(docs, 13)
+    assert 0 < counts["windows"] <= 2 * 24  # at most 2 * 12 windows of each text's ends
