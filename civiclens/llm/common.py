@@ -122,11 +122,11 @@ def ids_in(bitmap: np.ndarray, ids: pd.Series) -> np.ndarray:
 
 
 def likely(rows: DataFrame, bitmap) -> DataFrame:
-    """The rows whose ``doc_id`` may be in a broadcast bitmap."""
-
-    @F.pandas_udf("boolean")
-    def noted(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(bitmap.value, doc_id.to_numpy(dtype=np.int64)))
-
-    # a NULL beside ids would make them floats
-    return rows.where(F.col("doc_id").isNotNull() & noted(F.coalesce("doc_id", F.lit(0).cast("long"))))
+    """The rows whose ``doc_id`` may be in a broadcast bitmap, found by a join with its
+    words (at most size / 64): a task that goes on in Python needs no second worker."""
+    words = bitmap.value.view(np.int64)
+    at = np.flatnonzero(words)
+    noted = rows.sparkSession.createDataFrame(pa.table({"_at": pa.array(at, pa.int64()), "_bits": pa.array(words[at], pa.int64())}))
+    place = F.shiftright(F.pmod(F.col("doc_id"), F.lit(64 * len(words)).cast("long")), 6)
+    bit = F.getbit(F.col("_bits"), F.pmod(F.col("doc_id"), F.lit(64)).cast("int"))
+    return rows.join(F.broadcast(noted), place == F.col("_at")).where(bit == 1).drop("_at", "_bits")

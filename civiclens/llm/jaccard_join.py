@@ -102,6 +102,7 @@ _powers: list[np.ndarray] = []
 def _power(n: int) -> list[np.ndarray]:
     """The base's powers and its inverse's, at least ``n`` of each."""
     if not _powers or len(_powers[0]) < n:
+        n = 1 << (n - 1).bit_length()  # not anew for each slightly longer text
         _powers[:] = [
             np.concatenate([[_U(1)], np.cumprod(np.full(max(n, PIECE) - 1, b, dtype=np.uint64))]) for b in (_U(_BASE), _U(pow(_BASE, -1, 1 << 64)))
         ]

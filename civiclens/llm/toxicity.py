@@ -32,8 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civiclens.functions.frames import map_frames
-from civiclens.llm.common import fold, id_and_text
+from civiclens.functions.frames import freed_after, map_frames
+from civiclens.llm.common import bounded_batches, fold, id_and_text
 
 MAX_TOXIC, MAX_ORDINARY = 1500, 3000  # labelled documents of each class that are learnt from
 BASE_BYTES, CLASS_BYTES = 8192, 32768
@@ -339,6 +339,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, all columns kept."""
+    bounded_batches(docs.sparkSession)
     scores = score_column(model, docs)
     return docs.where(scores(F.coalesce(F.col(text_col), F.lit(""))) < threshold)
 
@@ -346,11 +347,14 @@ def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 def score_column(model: Model, docs: DataFrame):
     """The score as a pandas UDF of a text column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    seen: dict[bytes, int] = {}
+
+    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m, seen = shared.value, {}
+        for text in texts:
+            yield pd.Series([m.score(m.evidence(t, seen)) for t in text], dtype=float)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        m = shared.value
-        return pd.Series([m.score(m.evidence(t, seen)) for t in text], dtype=float)
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from freed_after(scores)(texts)
 
     return score

@@ -7,6 +7,7 @@ from civiclens.llm import common
 from civiclens.llm import jaccard_join as jj
 from civiclens.llm import multiset_hash as mh
 from civiclens.llm import suffix_dedup as sd
+from civiclens.llm import toxicity
 from civiclens.llm.jaccard_join import jaccard_components
 from civiclens.llm.suffix_dedup import Automaton, remove_repeats
 from tests.llm.conftest import EDGE_ROWS
@@ -227,3 +228,25 @@ def test_windows_are_compared_for_the_first_of_equal_runs_only(spark, monkeypatc
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_repeats(rows, 13).collect()}
     assert got == brute_removed(docs, 13)
     assert 0 < counts["windows"] <= 2 * 24  # at most 2 * 12 windows of each text's ends
+
+
+def test_rows_of_a_bitmap_are_found_without_python(spark, capsys):
+    """A Python step after it would need a second worker a task beside its own."""
+    ids = [0, 1, 63, 64, -1, -(2**63), 2**63 - 1, common.IDS - 1]
+    wanted = spark.createDataFrame([(i,) for i in [*ids, None]], "doc_id long")
+    bitmap = spark.sparkContext.broadcast(common.bitmap_of(wanted, "doc_id"))
+    others = [2, 65, -64, common.IDS + 5, None]
+    rows = spark.createDataFrame([(i, "x") for i in [*ids, *others, 63, common.IDS + 64]], "doc_id long, text string")
+    kept = common.likely(rows, bitmap)
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([*ids, 63, common.IDS + 64])
+    kept.explain()
+    assert "EvalPython" not in capsys.readouterr().out
+
+
+def test_toxicity_hands_small_batches_to_workers(spark):
+    spark.conf.unset(common.BATCH_CONF)
+    docs = spark.createDataFrame([(1, "foo bar"), (2, None)], "doc_id long, text string")
+    assert toxicity.drop_toxic(docs, toxicity.Model(b"", b"", (-1.0,))).count() == 2
+    assert spark.conf.get(common.BATCH_CONF) == str(common.BATCH_BYTES)
+    spark.conf.unset(common.BATCH_CONF)
