@@ -32,3 +32,19 @@ def components(edges: DataFrame) -> DataFrame:
         if new.where("component <> old").isEmpty():
             release(both)
             return labels
+
+
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (``node, component``) after ``edges`` too: however many edges join
+    two of the components, they count as one."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+    ends = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")
+    )
+    joined = components(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    further = joined.select(F.col("node").alias("component"), F.col("component").alias("further"))
+    return written(
+        labels.join(further, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+        .unionByName(joined.join(labels, "node", "left_anti").select("node", "component")),
+        "labels",
+    )

@@ -13,14 +13,16 @@ Groups of like documents are never expanded into all pairs:
 
 1. documents with the same shingle set are one class with one representative;
 2. in each prefix token's group a member is compared with the group's first member
-   at most, and a document with the few first members it shares most tokens with;
-   the links found make components;
+   at most: that with the fewest tokens before it, so of near copies one with few
+   changes, which most others link with.  A document is compared with the few first
+   members it shares most tokens with; the links found make components;
 3. for links between different components that share a prefix token, pairs of
    components are formed, not of members.  The Jaccard distance is a metric, so
    two components whose pivots are farther apart than their radii and the
    threshold allow have no link; for the rest, the same bound is applied to
    each member before members are paired.  Components that a link between the
-   members nearest to their pivots already joins are not looked at further.
+   members nearest to their pivots already joins are not looked at further.  Links
+   found from here on are kept as pairs of components, not of members.
 
 A family of texts that are nearly like enough to link would still make candidates of
 all its pairs.  Each set has a sketch: of every token's hashed place whether the set has
@@ -44,7 +46,7 @@ from pyspark.sql import functions as F
 
 from civiclens.functions.frames import freed_after, map_frames
 from civiclens.llm.common import bitmap_of, bounded_batches, id_and_text, ids_in, likely, release, shuffle_width, written
-from civiclens.llm.graph import components
+from civiclens.llm.graph import components, merged
 
 ORDERS = 3
 STARS = 4  # first members that a document is compared with before components are formed
@@ -478,7 +480,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     join = _Join(rows, table, k, percent)
 
     # 2. each token's group against its first member
-    group = Window.partitionBy("token").orderBy("doc_id")
+    group = Window.partitionBy("token").orderBy("at", "doc_id")
     shared = written(
         table.select(F.posexplode("p0").alias("at", "token"), "doc_id", F.col("n").cast("int").alias("n"))
         .withColumn("first", F.first(F.struct("doc_id", "n", "at")).over(group))
@@ -500,7 +502,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         .agg(F.count(F.lit(1)).alias("shared"))
         .withColumn("place", F.row_number().over(best))
         .where(F.col("place") <= STARS)
-        .select("a", "b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
     )
     star_links = join.links(star_pairs, "stars")
     first = components(star_links)
@@ -566,7 +569,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     side = lambda unit, d: hubs.select(F.col("component").alias(unit), F.col("node").alias(d), F.col("n").alias(f"{d}_n"), F.col("sketch").alias(f"{d}_s"))
     met = grouped.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_may_link("x_n", "y_n", percent) & _close("x_s", "x_n", "y_s", "y_n", percent))
     between = written(join.links(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "hubs").select("a", "b"), "hub-links")
-    whole = components(star_links.unionByName(single).select("a", "b").unionByName(between))
+    whole = merged(first, single.select("a", "b").unionByName(between))
     label = lambda c: whole.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
     apart_yet = written(
         grouped.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b"), "apart"
@@ -599,7 +602,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         .distinct()
     )
     across = join.links(pairs, "across")
-    final = components(star_links.unionByName(single).unionByName(across).select("a", "b").unionByName(between))
+    final = merged(whole, across.select("a", "b"))
     release(prefixed, copied, all_units, meet, classes, reps, inside, rest, members, hubs, between, apart_yet, *join.tables)
 
     of = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from civiclens.llm import common
+from civiclens.llm import common, graph
 from civiclens.llm import jaccard_join as jj
 from civiclens.llm import multiset_hash as mh
 from civiclens.llm import suffix_dedup as sd
@@ -84,6 +84,44 @@ def test_a_family_of_near_copies_does_not_make_all_pairs(spark, monkeypatch):
     assert max(pairs.values()) < 5 * len(docs), pairs  # all pairs: 19,900
 
 
+def test_members_of_a_family_that_link_are_not_paired_with_each_other(spark, monkeypatch):
+    """The smallest ids are the most changed ones; a third of all pairs link."""
+    rnd = random.Random(6)
+    base = [f"b{i}" for i in range(140)]
+    changes = sorted((rnd.choice([0, 1, 2, 2, 3, 4, 5, 6]) for _ in range(240)), reverse=True)
+    docs = []
+    for i, n in enumerate(changes):
+        w = list(base)
+        for at in rnd.sample(range(len(w)), n):
+            w[at] = f"own{i}x{at}"
+        docs.append((i, " ".join(w)))
+    made = {}
+
+    def counted(df, name, write=jj.written):
+        found = write(df, name)
+        made[name] = made.get(name, 0) + found.count()
+        return found
+
+    monkeypatch.setattr(jj, "written", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80).collect()}
+    assert got == brute_components(docs, 5, 80)
+    pairs = {k: n for k, n in made.items() if k == "meetings" or k.endswith("-pairs")}
+    assert sum(pairs.values()) < 8 * len(docs), pairs  # all pairs: 28,680
+
+
+def test_many_edges_between_components_are_one(spark):
+    """The components after more edges are those of all edges; single nodes and edges inside a component count too."""
+    rnd = random.Random(3)
+    some = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(25)]
+    more = [(rnd.randrange(90), rnd.randrange(90)) for _ in range(40)] + some[:5]
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    take = lambda df: sorted(map(tuple, df.collect()))
+    first = graph.components(edges(some))
+    assert take(graph.merged(first, edges(more))) == take(graph.components(edges(some + more)))
+    assert take(graph.merged(first, edges([]))) == take(first)
+    assert take(graph.merged(first.limit(0), edges(more))) == take(graph.components(edges(more)))
+
+
 def test_sketches_differ_in_no_more_places_than_the_sets():
     rnd = random.Random(2)
     texts = [" ".join(f"w{rnd.randint(0, 50)}" for _ in range(n)) for n in (0, 1, 2, 9, 60, 400, 3000)]
