@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiclens.functions.frames import map_frames
-from civiclens.llm.common import shuffle_width
+from civiclens.llm.common import bounded_batches, shuffle_width
 from civiclens.llm.jaccard_join import _WORDS, mixed
 
 LANES = 128
 SAMPLED, BLOCKS = 16, 4  # rows sampled and blocks cut for each shuffle partition
+ROWS = 1024  # results handed over at a time: two fingerprints each
 _U = np.uint64
 
 
@@ -125,6 +126,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     any other rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     width = shuffle_width(spark)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -171,8 +173,14 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     other = fingerprint(changed)
                     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
                     out.append((held[1], len(t), digest, mark.text(), other.text(), mark.likeness(other), mark.likeness(own)))
+                    if len(out) == ROWS:
+                        yield results(out)
+                        out = []
                 held = (block, doc_id, text, own)
-            result = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            yield result.assign(doc_id=pd.array(result["doc_id"].tolist(), dtype="Int64"))
+            yield results(out)
+
+    def results(out: list[tuple]) -> pd.DataFrame:
+        result = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        return result.assign(doc_id=pd.array(result["doc_id"].tolist(), dtype="Int64"))
 
     return map_frames(dealt.select("block", "ends", "doc_id", "text"), walk, schema)

@@ -254,6 +254,22 @@ def test_python_workers_get_small_batches(spark):
     spark.conf.unset(common.BATCH_CONF)
 
 
+def test_fingerprints_take_and_give_small_batches(spark, monkeypatch):
+    """The texts that a task holds at once don't grow with Spark's batches, nor its results with the texts' batches."""
+    docs = [(i, f"line {i}\nand {i * i} more") for i in range(40)] + [(None, None), (7, "again")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    take = lambda: sorted(map(tuple, mh.fingerprint_documents(frame).collect()), key=str)
+    spark.conf.unset(common.BATCH_CONF)
+    whole = take()
+    assert spark.conf.get(common.BATCH_CONF) == str(common.BATCH_BYTES)
+    sizes, given = spark.sparkContext.accumulator(0), mh.map_frames
+    given_at_once = lambda walk: lambda frames: (sizes.add(len(f) > 3) or f for f in walk(frames))
+    monkeypatch.setattr(mh, "map_frames", lambda df, walk, schema: given(df, given_at_once(walk), schema))
+    monkeypatch.setattr(mh, "ROWS", 3)
+    assert take() == whole and len(whole) == len(docs)
+    assert sizes.value == 0
+
+
 def test_windows_are_compared_for_the_first_of_equal_runs_only(spark, monkeypatch):
     """Two texts, each in many documents of different tasks, with a common passage between
     words of their own: the runs at its ends differ, and each of them has many copies."""
